@@ -5,14 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing
+from ledgerloom.llm import mixing, packing, quality_rules, simhash
 from ledgerloom.llm.workspace import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.screened(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT k, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS n_dup_lines
+  FROM (SELECT k, line, count(*) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line) GROUP BY k),
+g AS (
+  SELECT k, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS s
+  FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+h AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS n FROM g) WHERE n > 1),
+r AS (SELECT k, count(*) AS n_repeat_words FROM (SELECT DISTINCT k, i + j AS p FROM h, (VALUES (0), (1), (2)) o(j)) GROUP BY k),
+s AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
+  FROM d LEFT JOIN l USING (k) LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= n_words AND 10 * n_exclamations <= 3 * n_words AND 10 * n_dup_lines <= 4 * n_lines
+         AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND 5 * n_stutters <= n_words AS kept
+FROM b
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.document_sizes(documents(spark, sf_dir)))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
@@ -49,10 +86,13 @@ FROM q
 """
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL = {
+    "op5_quality_rules": OP5_SQL,
     "op7_mixing": OP7_SQL,
 }
