@@ -129,19 +129,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     same = Window.partitionBy("doc_id", "source", "text_key").orderBy(F.lit(0))
     plan = plan.withColumn("twin", F.row_number().over(same)).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "twin", "passes", "rest", "words_before", "source_size", "target", "slope"
+        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_key").alias("__mix_key"), "twin", "passes", "rest", "words_before", "source_size", "target", "slope"
     )
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    keyed = keyed.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "_text_key").orderBy(F.lit(0))))
-    joined = keyed.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key")) & (F.col("_twin") == F.col("twin")))
+    keyed = docs.withColumn("__mix_text_key", F.xxhash64(text))
+    keyed = keyed.withColumn("__mix_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_text_key").orderBy(F.lit(0))))
+    joined = keyed.join(plan, docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_text_key") == F.col("__mix_key")) & (F.col("__mix_twin") == F.col("twin")))
     copies = F.sequence(F.lit(1), (F.col("passes") + (F.col("rest") > 0).cast("long")).cast("int"))
-    joined = joined.withColumn("_copy", F.explode(copies))
-    share = F.least(F.try_divide((F.col("words_before") + (F.col("_copy") - 1) * F.col("source_size")).cast("double"), F.col("target")), F.lit(1.0))
+    joined = joined.withColumn("__mix_copy", F.explode(copies))
+    share = F.least(F.try_divide((F.col("words_before") + (F.col("__mix_copy") - 1) * F.col("source_size")).cast("double"), F.col("target")), F.lit(1.0))
     flat = 1 - F.col("slope")
     position = F.when(F.col("slope") == 0, share).otherwise((F.sqrt(flat * flat + 4 * F.col("slope") * share) - flat) / (2 * F.col("slope")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("rest").cast("int")), " ")
-    partly = F.col("_copy") > F.col("passes")
+    partly = F.col("__mix_copy") > F.col("passes")
     out = {"text": F.when(partly, cut).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(partly, F.length(cut).cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumns(out).withColumn("_position", position).orderBy("_position", "doc_id", "_copy").select(*docs.columns)
+    return joined.withColumns(out).withColumn("__mix_position", position).orderBy("__mix_position", "doc_id", "__mix_copy").select(*docs.columns)

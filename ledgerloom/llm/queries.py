@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing, quality_rules, simhash
+from ledgerloom.llm import mixing, packing, quality_rules, simhash, substrings
 from ledgerloom.llm.workspace import documents
 
 
@@ -85,14 +85,35 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, taken::BIGINT AS taken
 FROM q
 """
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT k, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+h AS (SELECT k, i FROM g JOIN m USING (s) WHERE doc_id > least),
+r AS (SELECT k, list(DISTINCT p) AS gone FROM (SELECT k, unnest(range(i, i + 13)) AS p FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r USING (k)
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_substrings": op8_substrings,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_substrings": OP8_SQL,
 }

@@ -186,7 +186,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = written(kept, "simhash-kept")
     ids = docs["doc_id"].cast("long")
-    stay = docs.withColumn("_id", ids).join(kept.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
+    stay = docs.withColumn("__simhash_id", ids).join(kept.select(F.col("doc_id").alias("__simhash_id")), "__simhash_id", "left_semi")
     if not kept.filter("rows > 1").isEmpty():
-        stay = stay.dropDuplicates(["_id"])
+        stay = stay.dropDuplicates(["__simhash_id"])
     return stay.select(*docs.columns).unionByName(docs.filter(ids.isNull()))
