@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing, quality_rules, simhash, substrings
+from ledgerloom.llm import classifier, mixing, packing, quality_rules, simhash, substrings
 from ledgerloom.llm.workspace import documents
 
 
@@ -117,3 +117,11 @@ ORACLE_SQL = {
     "op7_mixing": OP7_SQL,
     "op8_substrings": OP8_SQL,
 }
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return classifier.classified(documents(spark, sf_dir), labels)
+
+
+QUERIES["op10_classifier"] = op10_classifier
