@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import classifier, mixing, packing, quality_rules, simhash, substrings
+from ledgerloom.llm import classifier, fingerprints, mixing, packing, quality_rules, simhash, substrings
 from ledgerloom.llm.workspace import documents
 
 
@@ -125,3 +125,10 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_classifier"] = op10_classifier
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
+QUERIES["op6_fingerprints"] = op6_fingerprints
