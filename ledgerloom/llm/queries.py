@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import classifier, fingerprints, mixing, packing, quality_rules, simhash, substrings
+from ledgerloom.llm import classifier, fingerprints, licenses, mixing, packing, quality_rules, simhash, substrings, token_counts
 from ledgerloom.llm.workspace import documents
 
 
@@ -132,3 +132,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_fingerprints"] = op6_fingerprints
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
+QUERIES |= {"op3_token_counts": op3_token_counts, "op4_licenses": op4_licenses}
+ORACLE_SQL["op4_licenses"] = licenses.oracle_sql()
