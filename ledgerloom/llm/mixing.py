@@ -119,6 +119,12 @@ def mix(sizes: DataFrame, total_share: float = 1.5, max_repeat: int = 2, weights
     )
 
 
+def _row_key(text_key: Column | None = None) -> Column:
+    """One key for what makes a row: its id, source and text. Nulls are values of their own."""
+    parts = [F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text_key").cast("string") if text_key is None else text_key.cast("string")]
+    return F.md5(F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), part), F.lit("-")) for part in parts)).cast("binary"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed training set: the rows of ``docs``, repeated, cut and range-sorted by position.
 
@@ -126,21 +132,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document that a last pass ends in is cut after its last word taken.
     """
     plan = mix(document_sizes(docs), **options).filter("taken > 0")
-    text = F.coalesce("text", F.lit(""))
-    same = Window.partitionBy("doc_id", "source", "text_key").orderBy(F.lit(0))
-    plan = plan.withColumn("twin", F.row_number().over(same)).select(
-        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_key").alias("__mix_key"), "twin", "passes", "rest", "words_before", "source_size", "target", "slope"
-    )
-    keyed = docs.withColumn("__mix_text_key", F.xxhash64(text))
-    keyed = keyed.withColumn("__mix_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_text_key").orderBy(F.lit(0))))
-    joined = keyed.join(plan, docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_text_key") == F.col("__mix_key")) & (F.col("__mix_twin") == F.col("twin")))
-    copies = F.sequence(F.lit(1), (F.col("passes") + (F.col("rest") > 0).cast("long")).cast("int"))
+    plan = plan.select(_row_key().alias("__mix_plan_key"), "passes", "rest", "words_before", "source_size", "target", "slope")
+    plan = plan.toDF(*(name if name.startswith("__") else f"__mix_{name}" for name in plan.columns))
+    same = Window.partitionBy("__mix_plan_key").orderBy("__mix_words_before")
+    plan = plan.withColumn("__mix_plan_twin", F.row_number().over(same))
+    keyed = docs.withColumn("__mix_key", _row_key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    keyed = keyed.withColumn("__mix_twin", F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.lit(0))))
+    joined = keyed.join(plan, (F.col("__mix_key") == F.col("__mix_plan_key")) & (F.col("__mix_twin") == F.col("__mix_plan_twin")))
+    slope = F.col("__mix_slope")
+    copies = F.sequence(F.lit(1), (F.col("__mix_passes") + (F.col("__mix_rest") > 0).cast("long")).cast("int"))
     joined = joined.withColumn("__mix_copy", F.explode(copies))
-    share = F.least(F.try_divide((F.col("words_before") + (F.col("__mix_copy") - 1) * F.col("source_size")).cast("double"), F.col("target")), F.lit(1.0))
-    flat = 1 - F.col("slope")
-    position = F.when(F.col("slope") == 0, share).otherwise((F.sqrt(flat * flat + 4 * F.col("slope") * share) - flat) / (2 * F.col("slope")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("rest").cast("int")), " ")
-    partly = F.col("__mix_copy") > F.col("passes")
+    share = F.least(F.try_divide((F.col("__mix_words_before") + (F.col("__mix_copy") - 1) * F.col("__mix_source_size")).cast("double"), F.col("__mix_target")), F.lit(1.0))
+    flat = 1 - slope
+    position = F.when(slope == 0, share).otherwise((F.sqrt(flat * flat + 4 * slope * share) - flat) / (2 * slope))
+    text = F.coalesce("text", F.lit(""))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__mix_rest").cast("int")), " ")
+    partly = F.col("__mix_copy") > F.col("__mix_passes")
     out = {"text": F.when(partly, cut).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(partly, F.length(cut).cast("long")).otherwise(F.col("n_chars"))

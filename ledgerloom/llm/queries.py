@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import classifier, fingerprints, licenses, mixing, packing, quality_rules, simhash, substrings, token_counts
+from ledgerloom.llm import classifier, fingerprints, html_text, licenses, mixing, packing, quality_rules, simhash, substrings, token_counts
 from ledgerloom.llm.workspace import documents
 
 
@@ -144,3 +144,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op3_token_counts": op3_token_counts, "op4_licenses": op4_licenses}
 ORACLE_SQL["op4_licenses"] = licenses.oracle_sql()
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.rendered(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES["op9_html_text"] = op9_html_text
