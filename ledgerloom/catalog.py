@@ -1,10 +1,232 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the derived ledger, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ledgerloom.functions import identifiers as ids
+from ledgerloom.operators import duplicates, invoices, report, row_rules, vendors
+from ledgerloom.plans import oracle_parts as sql
+from ledgerloom.sources.ledger_views import books, gstr2a
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLE_SQL[function.__name__] = oracle
+        return function
+
+    return register
+
+
+_SIDE = "(SELECT gstin, sum(taxable_value)::BIGINT AS taxable_value, sum(igst)::BIGINT AS igst, sum(cgst)::BIGINT AS cgst, sum(sgst)::BIGINT AS sgst, count(*) AS row_count FROM {} GROUP BY gstin)"
+_VENDORS = f"""{sql.VIEWS},
+vendors AS (
+  SELECT coalesce(a.gstin, b.gstin) AS gstin,
+    CASE WHEN b.gstin IS NULL THEN 'missing_in_books' WHEN a.gstin IS NULL THEN 'missing_in_gstr2a'
+      WHEN abs(a.igst - b.igst) <= 100 AND abs(a.cgst - b.cgst) <= 100 AND abs(a.sgst - b.sgst) <= 100 THEN 'matched' ELSE 'discrepancy' END AS status,
+    {", ".join(f"coalesce({s}.{c}, 0) AS {s}_{c}" for s in "ab" for c in ("taxable_value", "igst", "cgst", "sgst", "row_count"))}
+  FROM {_SIDE.format("gstr2a")} a FULL JOIN {_SIDE.format("books")} b ON a.gstin = b.gstin)"""
+
+
+@query(f"{_VENDORS} SELECT * FROM vendors")
+def vendor_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vendors.ordered(vendors.compare(gstr2a(spark, sf_dir), books(spark, sf_dir)))
+
+
+@query(f"{_VENDORS} SELECT status, count(*) AS vendors, sum(a_row_count)::BIGINT AS rows_2a, sum(b_row_count)::BIGINT AS rows_books FROM vendors GROUP BY status")
+def vendor_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vendors.status_counts(vendors.compare(gstr2a(spark, sf_dir), books(spark, sf_dir)))
+
+
+@query(f"{sql.VIEWS} SELECT coalesce(a.gstin, b.gstin) AS gstin, coalesce(a.n, b.n) AS vendor_name FROM (SELECT gstin, min_by(trade_legal_name, row_index) AS n FROM gstr2a GROUP BY gstin) a FULL JOIN (SELECT gstin, min_by(trade_legal_name, row_index) AS n FROM books GROUP BY gstin) b ON a.gstin = b.gstin")
+def vendor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vendors.vendor_names(gstr2a(spark, sf_dir), books(spark, sf_dir))
+
+
+@query(f"""{sql.VIEWS},
+v AS (SELECT DISTINCT gstin FROM gstr2a),
+p AS (SELECT gstin, unnest(range(1, 15)) AS i FROM v),
+q AS (SELECT gstin, (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(gstin, i::INT, 1)) - 1) * (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END) AS x FROM p),
+s AS (SELECT gstin, sum(x // 36 + x % 36) AS total FROM q GROUP BY gstin)
+SELECT gstin, regexp_full_match(gstin, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') AS well_formed,
+  substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - total % 36) % 36 + 1)::INT, 1) AS check_digit,
+  substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - total % 36) % 36 + 1)::INT, 1) = substr(gstin, 15, 1) AS valid, substr(gstin, 1, 2) AS state
+FROM s""")
+def gstin_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("gstin")
+    return gstr2a(spark, sf_dir).select("gstin").distinct().select("gstin", ids.is_gstin(g).alias("well_formed"), ids.gstin_check_digit(g).alias("check_digit"), ids.has_valid_checksum(g).alias("valid"), ids.state_of_gstin(g).alias("state"))
+
+
+@query(f"""{sql.VIEWS},{sql.CANONICAL}
+SELECT gstin, identifier, a.row_index AS a_row_index, b.row_index AS b_row_index
+FROM ca a JOIN cb b USING (gstin, identifier) JOIN ka USING (gstin, identifier) JOIN kb USING (gstin, identifier) WHERE ka.n = 1 AND kb.n = 1""")
+def invoice_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = invoices.exact_pairs(invoices.canonical(gstr2a(spark, sf_dir)), invoices.canonical(books(spark, sf_dir)))
+    return pairs.select("gstin", "identifier", "a_row_index", "b_row_index")
+
+
+def _left(spark: SparkSession, sf_dir: str, own: int) -> DataFrame:
+    sides = [invoices.canonical(side(spark, sf_dir)) for side in (gstr2a, books)]
+    return invoices.unmatched(sides[own], sides[1 - own])
+
+
+_LEFT = f"{sql.VIEWS},{sql.CANONICAL},{sql.runs('a')},{sql.runs('b')},{sql.bridge('a', 'b')},{sql.bridge('b', 'a')},{sql.left_over('a', 'b')},{sql.left_over('b', 'a')}"
+
+
+@query(f"{_LEFT} SELECT row_index, gstin, identifier FROM left_a UNION ALL SELECT row_index, gstin, identifier FROM left_b")
+def invoice_ambiguous_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exact numbers, amounts under ambiguous numbers, and digit bridges leave over on both sides."""
+    return _left(spark, sf_dir, 0).unionByName(_left(spark, sf_dir, 1)).select("row_index", "gstin", "identifier")
+
+
+@query(f"{_LEFT} SELECT 'gstr2a' AS side, * FROM bridge_a UNION ALL SELECT 'books', * FROM bridge_b")
+def fuzzy_digit_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = invoices.canonical(gstr2a(spark, sf_dir)), invoices.canonical(books(spark, sf_dir))
+    return invoices.digit_bridges(a, b).select(F.lit("gstr2a").alias("side"), "*").unionByName(invoices.digit_bridges(b, a).select(F.lit("books").alias("side"), "*"))
+
+
+def _extras(spark: SparkSession, sf_dir: str) -> invoices.Extras:
+    a, b = gstr2a(spark, sf_dir), books(spark, sf_dir)
+    return invoices.detect_extras(a, b, row_rules.reverse_charge(a, False).select("row_index"), row_rules.reverse_charge(b, True).select("row_index"))
+
+
+_TIERS = f"{sql.VIEWS},rcm_a AS ({sql.rcm('gstr2a', False)}),rcm_b AS ({sql.rcm('books', True)}),{sql.tiers('SELECT row_index FROM rcm_a', 'SELECT row_index FROM rcm_b')}"
+
+
+@query(f"{_TIERS} SELECT row_index, gstin, identifier, taxable_value, igst, cgst, sgst FROM final_a")
+def extra_in_2a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extras(spark, sf_dir).extra_in_2a.drop("invoice_date").orderBy("gstin", "row_index")
+
+
+@query(f"{_TIERS} SELECT row_index, gstin, identifier, taxable_value, igst, cgst, sgst FROM final_b")
+def extra_in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extras(spark, sf_dir).extra_in_books.drop("invoice_date").orderBy("gstin", "row_index")
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("l_gstin").alias("gstin"), "l_row_index", "r_row_index", "l_identifier", "r_identifier")
+
+
+_PAIRS = "SELECT gstin, l_row_index, r_row_index, l_identifier, r_identifier FROM"
+
+
+@query(f"{_TIERS} {_PAIRS} short")
+def short_id_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_extras(spark, sf_dir).short_numbers)
+
+
+@query(f"{_TIERS} {_PAIRS} normed")
+def normalized_number_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_extras(spark, sf_dir).normalized_numbers)
+
+
+@query(f"{_TIERS} {_PAIRS} possible")
+def possible_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(_extras(spark, sf_dir).possible_matches)
+
+
+_WRONG = f"""
+wrong AS (
+  SELECT row_index, gstin, identifier, CASE WHEN actual = 'mixed' THEN 'mixed_tax_heads' ELSE 'wrong_head' END AS issue, expected, actual, igst, cgst, sgst
+  FROM (SELECT *, {sql.head()} AS actual, {sql.expected("gstin", "place_of_supply")} AS expected FROM gstr2a) WHERE expected IS NOT NULL AND actual <> 'none' AND actual <> expected)"""
+
+
+@query(f"{sql.VIEWS},{_WRONG} SELECT * FROM wrong")
+def wrong_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_rules.wrong_head(gstr2a(spark, sf_dir))
+
+
+_CROSS = f"""
+cross_pairs AS (
+  SELECT x.gstin, x.identifier, x.row_index AS a, y.row_index AS b FROM ca x JOIN cb y USING (gstin, identifier) JOIN ka USING (gstin, identifier) JOIN kb USING (gstin, identifier) WHERE ka.n = 1 AND kb.n = 1
+  UNION ALL
+  SELECT x.gstin, x.identifier, x.row_index, y.row_index FROM bridge_a r JOIN ca x USING (gstin, identifier) JOIN cb y ON y.gstin = r.gstin AND y.identifier = r.other_identifier
+    JOIN ka ON ka.gstin = x.gstin AND ka.identifier = x.identifier JOIN kb ON kb.gstin = y.gstin AND kb.identifier = y.identifier WHERE ka.n = 1 AND kb.n = 1),
+cross_heads AS (
+  SELECT p.gstin, p.identifier, p.a AS a_row_index, p.b AS b_row_index, {sql.head("x.")} AS a_head, {sql.head("y.")} AS b_head, {sql.expected("x.gstin", "x.place_of_supply")} AS expected
+  FROM cross_pairs p JOIN gstr2a x ON x.row_index = p.a JOIN books y ON y.row_index = p.b),
+cross_wrong AS (
+  SELECT *, CASE WHEN a_head = expected THEN 'books' WHEN b_head = expected THEN 'gstr2a' END AS incorrect_side FROM cross_heads
+  WHERE a_head IN ('igst', 'cgst_sgst') AND b_head IN ('igst', 'cgst_sgst') AND a_head <> b_head)"""
+
+
+@query(f"{_LEFT},{_CROSS} SELECT * FROM cross_wrong")
+def cross_wrong_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_rules.cross_wrong_head(gstr2a(spark, sf_dir), books(spark, sf_dir))
+
+
+@query(f"{sql.VIEWS} SELECT 'gstr2a' AS source, * FROM ({sql.rcm('gstr2a', False)}) UNION ALL SELECT 'books', * FROM ({sql.rcm('books', True)})")
+def rcm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = row_rules.reverse_charge(gstr2a(spark, sf_dir), False), row_rules.reverse_charge(books(spark, sf_dir), True)
+    return a.select(F.lit("gstr2a").alias("source"), "*").unionByName(b.select(F.lit("books").alias("source"), "*"))
+
+
+_BLOCKED = f"SELECT row_index, gstin, identifier, category, {sql.section('category')} AS section, {sql.keyword('particulars', 'category')} AS keyword, igst, cgst, sgst FROM (SELECT *, {sql.category('particulars', False)} AS category FROM books) WHERE category IS NOT NULL"
+
+
+@query(f"{sql.VIEWS} {_BLOCKED}")
+def ineligible_itc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_rules.blocked_credit(books(spark, sf_dir))
+
+
+def _rates(side: str) -> str:
+    expected = "floor(taxable_value * rate::DOUBLE / 100 + 0.5)::BIGINT"
+    return f"""SELECT '{side}' AS source, row_index, gstin, identifier, taxable_value, rate::DOUBLE AS rate_percent, {expected} AS expected_tax, igst + cgst + sgst AS actual_tax,
+  igst + cgst + sgst - {expected} AS difference FROM {side} WHERE abs(igst + cgst + sgst - {expected}) > greatest(100.0, {expected} * 0.01)"""
+
+
+@query(f"{sql.VIEWS} {_rates('gstr2a')} UNION ALL {_rates('books')}")
+def rate_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [row_rules.rate_mismatch(side(spark, sf_dir)).select(F.lit(side.__name__).alias("source"), "*") for side in (gstr2a, books)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""{sql.VIEWS} SELECT count(*) AS vendors, coalesce(sum((least = most)::BIGINT), 0)::BIGINT AS constant
+FROM (SELECT gstin, min(lower(particulars)) AS least, max(lower(particulars)) AS most FROM books GROUP BY gstin HAVING count(*) >= 2 AND count(particulars) > 0)""")
+def description_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_rules.description_variability(books(spark, sf_dir))
+
+
+@query(f"{sql.VIEWS},{sql.DUPLICATE_ROWS} {sql.NUMBER_PAIRS}")
+def dup_identifier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.number_pairs(duplicates.records(books(spark, sf_dir)))
+
+
+@query(f"{sql.VIEWS},{sql.AMOUNT_CTES} SELECT * FROM amount_pairs")
+def dup_amount_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.amount_pairs(duplicates.records(books(spark, sf_dir)))
+
+
+@query()
+def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.clusters(books(spark, sf_dir))
+
+
+@query()
+def dup_overclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.overclaim(duplicates.clusters(books(spark, sf_dir)))
+
+
+@query()
+def itc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary_lines(report.summary(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)))
+
+
+@query()
+def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five foremost issues, as the headline shows them."""
+    return report.ranked(report.top_issues(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)), 5)
+
+
+@query()
+def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ranked(report.top_issues(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)))
