@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import identifiers as ids
 from ledgerloom.operators import duplicates, invoices, report, row_rules, vendors
 from ledgerloom.plans import oracle_parts as sql
+from ledgerloom.plans.staging import staged
 from ledgerloom.sources.ledger_views import books, gstr2a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides as tables, for queries that read them several times."""
+    return staged(gstr2a(spark, sf_dir), "gstr2a"), staged(books(spark, sf_dir), "books")
+
+
 _SIDE = "(SELECT gstin, sum(taxable_value)::BIGINT AS taxable_value, sum(igst)::BIGINT AS igst, sum(cgst)::BIGINT AS cgst, sum(sgst)::BIGINT AS sgst, count(*) AS row_count FROM {} GROUP BY gstin)"
 _VENDORS = f"""{sql.VIEWS},
 vendors AS (
@@ -74,8 +80,8 @@ def invoice_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("gstin", "identifier", "a_row_index", "b_row_index")
 
 
-def _left(spark: SparkSession, sf_dir: str, own: int) -> DataFrame:
-    sides = [invoices.canonical(side(spark, sf_dir)) for side in (gstr2a, books)]
+def _left(written: tuple[DataFrame, DataFrame], own: int) -> DataFrame:
+    sides = [invoices.canonical(side) for side in written]
     return invoices.unmatched(sides[own], sides[1 - own])
 
 
@@ -85,17 +91,18 @@ _LEFT = f"{sql.VIEWS},{sql.CANONICAL},{sql.runs('a')},{sql.runs('b')},{sql.bridg
 @query(f"{_LEFT} SELECT row_index, gstin, identifier FROM left_a UNION ALL SELECT row_index, gstin, identifier FROM left_b")
 def invoice_ambiguous_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What exact numbers, amounts under ambiguous numbers, and digit bridges leave over on both sides."""
-    return _left(spark, sf_dir, 0).unionByName(_left(spark, sf_dir, 1)).select("row_index", "gstin", "identifier")
+    written = _written(spark, sf_dir)
+    return _left(written, 0).unionByName(_left(written, 1)).select("row_index", "gstin", "identifier")
 
 
 @query(f"{_LEFT} SELECT 'gstr2a' AS side, * FROM bridge_a UNION ALL SELECT 'books', * FROM bridge_b")
 def fuzzy_digit_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = invoices.canonical(gstr2a(spark, sf_dir)), invoices.canonical(books(spark, sf_dir))
+    a, b = map(invoices.canonical, _written(spark, sf_dir))
     return invoices.digit_bridges(a, b).select(F.lit("gstr2a").alias("side"), "*").unionByName(invoices.digit_bridges(b, a).select(F.lit("books").alias("side"), "*"))
 
 
 def _extras(spark: SparkSession, sf_dir: str) -> invoices.Extras:
-    a, b = gstr2a(spark, sf_dir), books(spark, sf_dir)
+    a, b = _written(spark, sf_dir)
     return invoices.detect_extras(a, b, row_rules.reverse_charge(a, False).select("row_index"), row_rules.reverse_charge(b, True).select("row_index"))
 
 
@@ -161,7 +168,7 @@ cross_wrong AS (
 
 @query(f"{_LEFT},{_CROSS} SELECT * FROM cross_wrong")
 def cross_wrong_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_rules.cross_wrong_head(gstr2a(spark, sf_dir), books(spark, sf_dir))
+    return row_rules.cross_wrong_head(*_written(spark, sf_dir))
 
 
 @query(f"{sql.VIEWS} SELECT 'gstr2a' AS source, * FROM ({sql.rcm('gstr2a', False)}) UNION ALL SELECT 'books', * FROM ({sql.rcm('books', True)})")
@@ -196,37 +203,41 @@ def description_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_rules.description_variability(books(spark, sf_dir))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(duplicates.records(books(spark, sf_dir)), "entries")
+
+
 @query(f"{sql.VIEWS},{sql.DUPLICATE_ROWS} {sql.NUMBER_PAIRS}")
 def dup_identifier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.number_pairs(duplicates.records(books(spark, sf_dir)))
+    return duplicates.number_pairs(_entries(spark, sf_dir))
 
 
 @query(f"{sql.VIEWS},{sql.AMOUNT_CTES} SELECT * FROM amount_pairs")
 def dup_amount_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.amount_pairs(duplicates.records(books(spark, sf_dir)))
+    return duplicates.amount_pairs(_entries(spark, sf_dir))
 
 
 @query()
 def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.clusters(books(spark, sf_dir))
+    return duplicates.clusters(staged(books(spark, sf_dir), "books"))
 
 
 @query()
 def dup_overclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.overclaim(duplicates.clusters(books(spark, sf_dir)))
+    return duplicates.overclaim(duplicates.clusters(staged(books(spark, sf_dir), "books")))
 
 
 @query()
 def itc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary_lines(report.summary(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)))
+    return report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)))
 
 
 @query()
 def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five foremost issues, as the headline shows them."""
-    return report.ranked(report.top_issues(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)), 5)
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)), 5)
 
 
 @query()
 def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked(report.top_issues(report.propose(gstr2a(spark, sf_dir), books(spark, sf_dir), True)))
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ledgerloom.functions import identifiers as ids
 from ledgerloom.functions.amounts import days_between, same_month
 from ledgerloom.operators.matching import banded, mutually_unique, taxes_agree
 from ledgerloom.plans.fixed import TIEBREAK_DAYS, TOLERANCE
+from ledgerloom.plans.staging import staged
 
 KEY = ["gstin", "identifier"]
 AMOUNTS = ["taxable_value", "igst", "cgst", "sgst"]
@@ -123,20 +123,20 @@ def _without(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def detect_extras(gstr2a: DataFrame, books: DataFrame, excluded_2a: DataFrame | None = None, excluded_books: DataFrame | None = None) -> Extras:
-    """All tiers. Leftovers of the exact tier are kept in memory or on disk, as three tiers read them."""
-    a0, b0 = canonical(gstr2a), canonical(books)
-    a = unmatched(a0, b0, excluded_2a).persist(StorageLevel.MEMORY_AND_DISK)
-    b = unmatched(b0, a0, excluded_books).persist(StorageLevel.MEMORY_AND_DISK)
-    short = mutually_unique(_pairs_by_short_number(a, b), "l_row_index", "r_row_index").persist(StorageLevel.MEMORY_AND_DISK)
+    """All tiers. What a tier leaves is written down before the next reads it, so plans do not pile up."""
+    a0, b0 = staged(canonical(gstr2a), "statement"), staged(canonical(books), "register")
+    a, b = staged(unmatched(a0, b0, excluded_2a), "left-2a"), staged(unmatched(b0, a0, excluded_books), "left-books")
+    short = staged(mutually_unique(_pairs_by_short_number(a, b), "l_row_index", "r_row_index"), "short-numbers")
     a, b = _without(a, short, "l"), _without(b, short, "r")
-    normalized = mutually_unique(_pairs_by_normalized_number(a, b), "l_row_index", "r_row_index").persist(StorageLevel.MEMORY_AND_DISK)
+    normalized = staged(mutually_unique(_pairs_by_normalized_number(a, b), "l_row_index", "r_row_index"), "normalized-numbers")
     a, b = _without(a, normalized, "l"), _without(b, normalized, "r")
 
     def with_blanks(rows: DataFrame, all_rows: DataFrame, excluded: DataFrame | None) -> DataFrame:
         blank = all_rows.filter("identifier = ''")
         return rows.unionByName(blank if excluded is None else blank.join(excluded.select("row_index"), "row_index", "left_anti"))
 
-    possible = mutually_unique(_pairs_by_month(with_blanks(a, a0, excluded_2a), with_blanks(b, b0, excluded_books)), "l_row_index", "r_row_index").persist(StorageLevel.MEMORY_AND_DISK)
+    candidates = with_blanks(a, a0, excluded_2a), with_blanks(b, b0, excluded_books)
+    possible = staged(mutually_unique(_pairs_by_month(*candidates), "l_row_index", "r_row_index"), "possible")
     blank_a, blank_b = F.col("l_identifier") == "", F.col("r_identifier") == ""
     reason = (
         F.when(blank_a & blank_b, "numbers blank on both sides").when(blank_b, "number blank in the books").when(blank_a, "number blank in the statement").otherwise("numbers differ")

@@ -14,9 +14,6 @@ from pyspark.sql.window import Window
 from ledgerloom.operators import duplicates, invoices, row_rules, vendors
 from ledgerloom.plans.fixed import MATERIALITY
 
-TAX = F.lit(0)
-
-
 def tax_of(prefix: str = "") -> Column:
     return sum((F.coalesce(f"{prefix}{h}", F.lit(0)) for h in ("igst", "cgst", "sgst")), start=F.lit(0).cast("long"))
 
@@ -65,15 +62,15 @@ def summary(p: Proposal) -> DataFrame:
     differs = F.col("status") == "discrepancy"
     total = p.vendors.agg(
         F.count("*").alias("vendors"),
-        F.coalesce(F.sum(tax_of("a_")), TAX).alias("tax_2a"),
-        F.coalesce(F.sum(tax_of("b_")), TAX).alias("tax_books"),
-        F.coalesce(F.sum(least), TAX).alias("supportable"),
+        F.coalesce(F.sum(tax_of("a_")), F.lit(0)).alias("tax_2a"),
+        F.coalesce(F.sum(tax_of("b_")), F.lit(0)).alias("tax_books"),
+        F.coalesce(F.sum(least), F.lit(0)).alias("supportable"),
         F.count_if(differs).alias("mismatches"),
-        F.coalesce(F.sum(F.when(differs, gap)), TAX).alias("mismatch_amount"),
+        F.coalesce(F.sum(F.when(differs, gap)), F.lit(0)).alias("mismatch_amount"),
     )
 
     def counted(rows: DataFrame, name: str, amount: Column) -> DataFrame:
-        return rows.agg(F.count("*").alias(f"{name}_rows"), F.coalesce(F.sum(amount), TAX).alias(f"{name}_amount"))
+        return rows.agg(F.count("*").alias(f"{name}_rows"), F.coalesce(F.sum(amount), F.lit(0)).alias(f"{name}_amount"))
 
     parts = [
         counted(p.extras.extra_in_2a, "extra_in_2a", tax_of()),
@@ -99,7 +96,7 @@ def summary_lines(one_row: DataFrame) -> DataFrame:
 
 def top_issues(p: Proposal) -> DataFrame:
     """All findings as ``tier, amount, category, reason, gstin, row_index``. Tier 1: reverse charge and blocked credit of 1 % of the statement's tax or more."""
-    bar = p.gstr2a.agg((F.coalesce(F.sum(tax_of()), TAX) * MATERIALITY).alias("bar"))
+    bar = p.gstr2a.agg((F.coalesce(F.sum(tax_of()), F.lit(0)) * MATERIALITY).alias("bar"))
 
     def issue(rows: DataFrame, category: str, reason: Column, tier: int, amount: Column, row: str = "row_index") -> DataFrame:
         return rows.select(F.lit(tier).alias("tier"), amount.cast("long").alias("amount"), F.lit(category).alias("category"), reason.alias("reason"), "gstin", F.col(row).cast("long").alias("row_index"))
