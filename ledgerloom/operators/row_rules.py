@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +94,11 @@ def describe(invoices: DataFrame) -> Description:
     return Description(usable, "text varies within vendors" if usable else "text is constant for most vendors", vendors, constant)
 
 
+def _mentions(text: Column, keywords: Iterable[str]) -> Column:
+    """Whether any keyword stands in the text: one pass that spares most rows the search by category."""
+    return text.rlike("|".join(map(re.escape, keywords)))
+
+
 def _first_category(text: Column, categories: list[tuple[str, tuple[str, ...], Column]]) -> Column:
     """Id of the first category with a keyword anywhere in the text, also inside of words."""
     found = F.lit(None).cast("string")
@@ -115,7 +122,9 @@ def reverse_charge(invoices: DataFrame, description: bool = True) -> DataFrame:
     categories = [(name, words, unregistered if only else F.lit(True)) for name, words, only, _ in RCM_CATEGORIES]
     by_text = _first_category(F.lower("particulars"), categories) if description else F.lit(None).cast("string")
     flag = reverse_charge_flag(F.col("reverse_charge"))
-    rows = invoices.withColumns({"flag": flag, "category": F.when(flag.isNull(), by_text)})
+    hinted = _mentions(F.lower("particulars"), (w for _, words, _, _ in RCM_CATEGORIES for w in words)) if description else F.lit(False)
+    rows = invoices.withColumn("flag", flag).filter(F.col("flag") | (F.col("flag").isNull() & hinted))
+    rows = rows.withColumn("category", F.when(F.col("flag").isNull(), by_text))
     confirm = [name for name, _, _, by_hand in RCM_CATEGORIES if by_hand]
     rows = rows.filter("flag or category is not null")
     found_by = F.when(F.col("flag"), "reverse_charge_flag").otherwise("keyword_match")
@@ -137,5 +146,5 @@ def blocked_credit(invoices: DataFrame, description: bool = True) -> DataFrame:
         if hits:
             keyword = F.when(F.col("category") == name, F.coalesce(*hits)).otherwise(keyword)
     sections = F.create_map(*(F.lit(x) for name, section, _ in BLOCKED_CATEGORIES for x in (name, section)))
-    rows = invoices.filter(F.trim("gstin") != "").withColumn("category", category).filter("category is not null")
+    rows = invoices.filter((F.trim("gstin") != "") & _mentions(text, (w for _, _, words in BLOCKED_CATEGORIES for w in words))).withColumn("category", category).filter("category is not null")
     return rows.select("row_index", F.upper(F.trim("gstin")).alias("gstin"), "identifier", "category", sections[F.col("category")].alias("section"), keyword.alias("keyword"), "igst", "cgst", "sgst")
