@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers as ids
-from ledgerloom.operators import duplicates, invoices, report, row_rules, vendors
+from ledgerloom.operators import duplicates, invoices, ledgers, report, row_rules, vendors
 from ledgerloom.plans import oracle_parts as sql
 from ledgerloom.plans.staging import staged
+from ledgerloom.sources import cells
 from ledgerloom.sources.ledger_views import books, gstr2a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,3 +242,83 @@ def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
+
+
+def _as_ledger(rows: DataFrame) -> DataFrame:
+    return rows.select("row_index", F.col("identifier").alias("invoice_no"), F.col("trade_legal_name").alias("supplier"), (F.col("taxable_value") + F.col("igst") + F.col("cgst") + F.col("sgst")).alias("amount"), F.col("invoice_date").alias("date"))
+
+
+_SIMILAR = "CASE WHEN greatest(len({0}), len({1})) = 0 THEN 100 ELSE floor((1 - levenshtein(lower({0}), lower({1}))::DOUBLE / greatest(len({0}), len({1}))) * 100 + 0.5) END"
+
+
+@query(f"""{sql.VIEWS},
+l AS (SELECT row_index, identifier AS invoice_no, trade_legal_name AS supplier, taxable_value + igst + cgst + sgst AS amount, invoice_date AS d FROM books),
+s AS (SELECT row_index, identifier AS invoice_no, trade_legal_name AS supplier, taxable_value + igst + cgst + sgst AS amount, invoice_date AS d FROM gstr2a),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY invoice_no ORDER BY row_index) = 1),
+n AS (SELECT DISTINCT x.supplier FROM (SELECT DISTINCT supplier FROM l) x, (SELECT DISTINCT supplier FROM s) y WHERE {_SIMILAR.format("x.supplier", "y.supplier")} BETWEEN 80 AND 99),
+j AS (
+  SELECT l.row_index, l.invoice_no, f.row_index AS s_row,
+    CASE WHEN row_number() OVER (PARTITION BY l.invoice_no ORDER BY l.row_index) > 1 OR row_number() OVER (PARTITION BY lower(l.supplier), l.amount, l.d ORDER BY l.row_index) > 1 THEN 'DUPLICATE'
+      WHEN f.row_index IS NULL THEN CASE WHEN n.supplier IS NOT NULL THEN 'FUZZY_VENDOR' ELSE 'MISSING_SUPPLIER' END
+      WHEN {_SIMILAR.format("l.supplier", "f.supplier")} < 80 THEN 'FUZZY_VENDOR'
+      WHEN l.amount <> f.amount THEN CASE WHEN abs(abs(l.amount - f.amount)::DOUBLE / nullif(l.amount, 0)::DOUBLE - 0.2::DOUBLE) < 0.01::DOUBLE THEN 'VAT_ISSUE' ELSE 'AMOUNT_DIFF' END
+      WHEN l.d <> f.d THEN 'DATE_DIFF' ELSE 'MATCHED' END AS status
+  FROM l LEFT JOIN f ON l.invoice_no = f.invoice_no LEFT JOIN n ON l.supplier = n.supplier)
+SELECT 'ledger' AS side, row_index, invoice_no, status FROM j
+UNION ALL SELECT 'statement', row_index, invoice_no, 'MISSING_LEDGER' FROM s WHERE row_index NOT IN (SELECT s_row FROM j WHERE status <> 'DUPLICATE' AND s_row IS NOT NULL)""")
+def ledger_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement, register = _written(spark, sf_dir)
+    return ledgers.compare_ledger(_as_ledger(register), _as_ledger(statement))
+
+
+_COST_LINES = {"freight": "Lorry freight inward", "catering": "Outdoor catering", "repairs": "Motor vehicle repair", "legal": "Legal fees, advocate"}
+
+
+@query(f"""{sql.VIEWS},
+o AS (SELECT strftime(o_orderdate::DATE, '%Y-%m') AS month, round(o_totalprice * 100)::BIGINT AS paise, o_orderkey FROM orders),
+r AS (SELECT month, sum(CASE WHEN o_orderkey % 3 = 0 THEN paise ELSE 0 END)::BIGINT AS counter_sales, sum(CASE WHEN o_orderkey % 3 <> 0 THEN paise ELSE 0 END)::BIGINT AS online_sales FROM o GROUP BY month),
+c AS (SELECT strftime(invoice_date, '%Y-%m') AS month, {", ".join(f"sum(CASE WHEN particulars = '{text}' THEN taxable_value ELSE 0 END)::BIGINT AS {name}" for name, text in _COST_LINES.items())} FROM books GROUP BY 1),
+t AS (
+  SELECT coalesce(r.month, c.month) AS month, coalesce(counter_sales, 0) AS counter_sales, coalesce(online_sales, 0) AS online_sales, {", ".join(f"coalesce({n}, 0) AS {n}" for n in _COST_LINES)}
+  FROM r FULL JOIN c ON r.month = c.month),
+p AS (SELECT *, counter_sales + online_sales AS total_revenue, freight + catering AS total_cost, repairs + legal AS total_expenses FROM t),
+g AS (SELECT *, total_revenue - total_cost AS gross_profit, total_revenue - total_cost - total_expenses AS ebitda FROM p)
+SELECT *, ebitda - lag(ebitda) OVER (ORDER BY month) AS variance FROM g""")
+def pnl_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.round(F.col("o_totalprice") * 100).cast("long").alias("paise"), "o_orderkey")
+    counter = F.col("o_orderkey") % 3 == 0
+    sales = ledgers.conditional_sums(orders, F.col("month"), {"counter_sales": F.when(counter, F.col("paise")), "online_sales": F.when(~counter, F.col("paise"))})
+    costs = ledgers.conditional_sums(books(spark, sf_dir), F.date_format("invoice_date", "yyyy-MM"), {name: F.when(F.col("particulars") == text, F.col("taxable_value")) for name, text in _COST_LINES.items()})
+    both = sales.join(costs, "month", "full").select("month", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("counter_sales", "online_sales", *_COST_LINES)))
+    return ledgers.profit_and_loss(both, ["counter_sales", "online_sales"], ["freight", "catering"], ["repairs", "legal"])
+
+
+@query(f"""{sql.VIEWS},
+g AS (SELECT substr(gstin, 1, 2) AS platform, strftime(invoice_date, '%Y-%m') AS month, sum(taxable_value) AS gross, sum(taxable_value - igst - cgst - sgst) AS net FROM gstr2a GROUP BY ALL),
+r AS (SELECT platform, month, CASE WHEN gross > 0 THEN 1 - net::DOUBLE / gross::DOUBLE END AS rate FROM g),
+p AS (SELECT *, lag(rate) OVER (PARTITION BY platform ORDER BY month) AS previous FROM r)
+SELECT platform, month, round(previous, 9) AS previous, round(rate, 9) AS rate FROM p WHERE abs(rate - previous) > 0.01""")
+def commission_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares kept back, by state and month."""
+    rows = gstr2a(spark, sf_dir).select(F.substring("gstin", 1, 2).alias("platform"), F.date_format("invoice_date", "yyyy-MM").alias("month"), "taxable_value", (F.col("taxable_value") - F.col("igst") - F.col("cgst") - F.col("sgst")).alias("net"))
+    moved = ledgers.commission_drift(rows.withColumn("amount", F.col("taxable_value")), rows.withColumn("amount", F.col("net")))
+    return moved.select("platform", "month", F.round("previous", 9).alias("previous"), F.round("rate", 9).alias("rate"))
+
+
+@query()
+def vendor_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledgers.vendor_renames(books(spark, sf_dir).select(F.col("trade_legal_name").alias("vendor"), "row_index"))
+
+
+@query("""
+SELECT 'l_quantity' AS header, count(*) AS filled, count(DISTINCT l_quantity) AS n_distinct, count(*) AS n_numeric, 0::BIGINT AS n_date, sum((l_quantity > 0)::BIGINT)::BIGINT AS n_positive FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(*), count(DISTINCT l_extendedprice), count(*) - sum((l_extendedprice BETWEEN 32874 AND 49674)::BIGINT)::BIGINT, sum((l_extendedprice BETWEEN 32874 AND 49674)::BIGINT)::BIGINT,
+  sum((l_extendedprice > 0 AND l_extendedprice NOT BETWEEN 32874 AND 49674)::BIGINT)::BIGINT FROM lineitem""")
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return cells.profile(cells.from_table(rows, "lineitem", "l_orderkey"), in_order=False).select("header", "filled", "n_distinct", "n_numeric", "n_date", "n_positive")
+
+
+@query(f"{sql.VIEWS} SELECT avg(regexp_full_match(gstin, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]')::INT) AS gstin_share FROM books")
+def gstin_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books(spark, sf_dir).agg(F.avg(ids.is_gstin(ids.gstin(F.col("gstin"))).cast("int")).alias("gstin_share"))

@@ -1,6 +1,6 @@
 """Sheets as cells: one row per cell, with its kind, so that untyped tables can be profiled as DataFrames.
 
-``cells``: ``sheet string, row_ix int, col_ix int, s string, n double, fmt string``
+``cells``: ``sheet string, row_ix long, col_ix int, s string, n double, fmt string``
 - ``s`` is the text, ``n`` the number if the cell held one, ``fmt`` its number
 format if known.
 """
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.amounts import number_or_null
 
-SCHEMA = "sheet string, row_ix int, col_ix int, s string, n double, fmt string"
+SCHEMA = "sheet string, row_ix long, col_ix int, s string, n double, fmt string"
 # How dates and numbers look as text, and day numbers that pass for dates.
 DATE_SHAPES = (
     r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}$", r"^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}$", r"^\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}$", r"^[A-Za-z]{3,9}\s+\d{4}$",
@@ -44,7 +44,7 @@ def from_table(df: DataFrame, sheet: str, order: str) -> DataFrame:
     names = [name for name in df.columns if name != order]
     numeric = {name for name, kind in df.dtypes if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal")}
     parts = [F.struct(F.lit(j).alias("col_ix"), F.col(name).cast("string").alias("s"), (F.col(name).cast("double") if name in numeric else F.lit(None).cast("double")).alias("n")) for j, name in enumerate(names)]
-    cells = df.select((F.col(order) + 1).cast("int").alias("row_ix"), F.explode(F.array(*parts)).alias("c")).select(F.lit(sheet).alias("sheet"), "row_ix", "c.col_ix", "c.s", "c.n", F.lit(None).cast("string").alias("fmt"))
+    cells = df.select((F.col(order) + 1).cast("long").alias("row_ix"), F.explode(F.array(*parts)).alias("c")).select(F.lit(sheet).alias("sheet"), "row_ix", "c.col_ix", "c.s", "c.n", F.lit(None).cast("string").alias("fmt"))
     header = df.sparkSession.createDataFrame([(sheet, 0, j, name, None, None) for j, name in enumerate(names)], SCHEMA)
     return header.unionByName(cells.filter("s is not null and s <> ''"))
 
@@ -82,8 +82,12 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return cells.select("sheet").distinct().join(first, "sheet", "left").select("sheet", F.coalesce("header_ix", F.lit(-1)).alias("header_ix"))
 
 
-def profile(cells: DataFrame) -> DataFrame:
-    """One row per sheet and column: shares of kinds, distinct values, samples, signs and monotonic runs."""
+def profile(cells: DataFrame, in_order: bool = True) -> DataFrame:
+    """One row per sheet and column: counts of kinds, distinct values and signs; with ``in_order`` also samples and monotonic runs.
+
+    What depends on the order of rows sorts a whole column at once, so tables
+    beyond a sheet's size are profiled without it.
+    """
     headers = header_rows(cells)
     joined = cells.join(headers, "sheet")
     names = joined.filter("row_ix = header_ix").select("sheet", "col_ix", F.col("s").alias("header"))
@@ -91,7 +95,7 @@ def profile(cells: DataFrame) -> DataFrame:
     n_rows = data.groupBy("sheet").agg((F.max("row_ix") - F.first("header_ix")).alias("n_rows"))
     data = data.filter("kind <> 'blank'").withColumn("number", F.when(F.col("kind") == "numeric", F.coalesce("n", number_or_null(F.col("s")))))
     step = Window.partitionBy("sheet", "col_ix").orderBy("row_ix")
-    numbers = data.filter("number is not null").withColumn("before", F.lag("number").over(step))
+    numbers = data.filter("number is not null").withColumn("before", F.lag("number").over(step) if in_order else F.lit(None).cast("double"))
     signs = numbers.groupBy("sheet", "col_ix").agg(
         F.count("*").alias("n_numbers"),
         F.count_if(F.col("number") > 0).alias("n_positive"),
@@ -100,11 +104,13 @@ def profile(cells: DataFrame) -> DataFrame:
         F.avg((F.col("number") <= F.col("before")).cast("int")).alias("decreasing"),
     )
     values = data.groupBy("sheet", "col_ix", F.trim("s").alias("value")).agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("date", "numeric", "text")))
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy(F.desc("n"), "first_ix")))
-    ranked = ranked.withColumn("seen", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy("first_ix")))
+    if not in_order:
+        values = values.withColumns({"rank": F.lit(0), "seen": F.lit(0)})
+    ranked = values if not in_order else values.withColumn("rank", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy(F.desc("n"), "first_ix")))
+    ranked = ranked if not in_order else ranked.withColumn("seen", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy("first_ix")))
     top = lambda place: F.transform(F.array_sort(F.collect_list(F.when(F.col(place) <= 5, F.struct(place, "value")))), lambda x: x["value"])
     shape = ranked.groupBy("sheet", "col_ix").agg(
-        F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")), top("rank").alias("top_values"), top("seen").alias("samples")
+        F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")), *((top("rank").alias("top_values"), top("seen").alias("samples")) if in_order else ())
     )
     out = names.join(shape, ["sheet", "col_ix"], "full").join(signs, ["sheet", "col_ix"], "left").join(n_rows, "sheet", "left")
     counts = ("filled", "n_distinct", "n_date", "n_numeric", "n_text", "n_numbers", "n_positive", "n_negative", "n_rows")
