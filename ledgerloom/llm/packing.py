@@ -25,7 +25,9 @@ input are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,7 +51,7 @@ class ByteBpe:
     anew).  Texts with white space of other shapes are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 200_000, longest_cached: int = 40) -> None:
+    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 500_000, longest_cached: int = 40) -> None:
         import base64
 
         import tiktoken
@@ -61,7 +63,10 @@ class ByteBpe:
         self._size, self._longest = cache_size, longest_cached
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
+        ids = array("I", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _word(self, word: str) -> bytes:
         ids = self._ids(" " + word)
