@@ -322,3 +322,11 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{sql.VIEWS} SELECT avg(regexp_full_match(gstin, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]')::INT) AS gstin_share FROM books")
 def gstin_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(spark, sf_dir).agg(F.avg(ids.is_gstin(ids.gstin(F.col("gstin"))).cast("int")).alias("gstin_share"))
+
+
+@query(f"{sql.VIEWS},{_WRONG} SELECT row_index, gstin, identifier, issue, CASE WHEN row_index % 8 = 0 THEN 'Needs follow-up' END AS reviewer_status, CASE WHEN row_index % 8 = 0 THEN 'note ' || identifier END AS reviewer_note FROM wrong")
+def reviewer_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that half of the findings had in an older report, on the new one."""
+    rows = staged(row_rules.wrong_head(gstr2a(spark, sf_dir)).select("row_index", "gstin", "identifier", "issue"), "wrong-head")
+    notes = rows.filter("row_index % 8 = 0").select("gstin", "identifier", "row_index", F.lit("Needs follow-up").alias("reviewer_status"), F.concat(F.lit("note "), "identifier").alias("reviewer_note"))
+    return report.carry_notes(rows, notes, ["gstin", "identifier"])

@@ -168,3 +168,8 @@ def accept(p: Proposal, path: str) -> dict[str, str]:
         places[name] = f"{path.rstrip('/')}/{name}"
         rows.write.mode("overwrite").parquet(places[name])
     return places
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add ``rows`` (time, place, text) to the audit log; older entries stay as they are."""
+    rows.write.mode("append").parquet(path)

@@ -167,3 +167,24 @@ def test_ledger_statuses(spark):
     statement = spark.createDataFrame([(0, "1", "Acme Ltd", 100, "a"), (1, "2", "Acme Ltd", 96, "a"), (2, "3", "Acme Ltd", 100, "c"), (3, "6", "Acme Ltd", 50, "a"), (4, "7", "Acme Ltd", 10, "a"), (5, "8", "Acme Ltd", 1, "a")], schema)
     got = {(r["side"][0], r["row_index"]): r["status"] for r in ledgers.compare_ledger(ledger, statement).collect()}
     assert got == {("l", 0): "MATCHED", ("l", 1): "DUPLICATE", ("l", 2): "VAT_ISSUE", ("l", 3): "DATE_DIFF", ("l", 4): "FUZZY_VENDOR", ("l", 5): "MISSING_SUPPLIER", ("l", 6): "AMOUNT_DIFF", ("l", 7): "FUZZY_VENDOR", ("s", 5): "MISSING_LEDGER"}
+
+
+def test_names_join_the_first_leader_that_is_alike(spark):
+    names = spark.createDataFrame([("Acme Limited", 1), ("Acme Ltd", 2), ("acme limited", 3), ("Other", 4), ("Acme Limited", 5), (" ", 6)], "vendor string, row_index long")
+    assert {(r["alias"], r["canonical"]) for r in ledgers.vendor_renames(names).collect()} == {("Acme Limited", "Acme Limited"), ("Acme Ltd", "Acme Limited"), ("acme limited", "acme limited"), ("Other", "Other")}
+
+
+def test_commission_moves_and_months_add_up(spark):
+    gross = spark.createDataFrame([("p", "2024-01", 100), ("p", "2024-02", 100), ("p", "2024-03", 100)], "platform string, month string, amount long")
+    net = spark.createDataFrame([("p", "2024-01", 70), ("p", "2024-02", 70), ("p", "2024-03", 60)], "platform string, month string, amount long")
+    assert [r["month"] for r in ledgers.commission_drift(gross, net).collect()] == ["2024-03"]
+    months = spark.createDataFrame([("2024-01", 100, 40, 10), ("2024-02", 90, None, 10)], "month string, sales long, food long, rent long")
+    got = [tuple(r)[-3:] for r in ledgers.profit_and_loss(months, ["sales"], ["food"], ["rent"]).orderBy("month").collect()]
+    assert got == [(60, 50, None), (90, 80, 30)]
+
+
+def test_audit_log_grows(spark, tmp_path):
+    rows = spark.createDataFrame([("now", "A1", "written")], "time string, place string, text string")
+    for _ in range(2):
+        report.append_audit(rows, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
