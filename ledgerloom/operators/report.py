@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators import duplicates, invoices, row_rules, vendors
 from ledgerloom.plans.fixed import MATERIALITY
 
+
 def tax_of(prefix: str = "") -> Column:
     return sum((F.coalesce(f"{prefix}{h}", F.lit(0)) for h in ("igst", "cgst", "sgst")), start=F.lit(0).cast("long"))
 
@@ -97,26 +98,36 @@ def summary_lines(one_row: DataFrame) -> DataFrame:
 def top_issues(p: Proposal) -> DataFrame:
     """All findings as ``tier, amount, category, reason, gstin, row_index``. Tier 1: reverse charge and blocked credit of 1 % of the statement's tax or more."""
     bar = p.gstr2a.agg((F.coalesce(F.sum(tax_of()), F.lit(0)) * MATERIALITY).alias("bar"))
+    return _issues(tables(p), bar)
+
+
+def ranked_from_written(spark: SparkSession, places: dict[str, str]) -> DataFrame:
+    """The same issues from tables that ``accept`` wrote, without computing anything anew; the bar comes from the written summary."""
+    found = {name: spark.read.parquet(place) for name, place in places.items()}
+    bar = found["summary"].filter("label = 'tax_2a'").select((F.col("value") * MATERIALITY).alias("bar"))
+    return ranked(_issues(found, bar))
 
+
+def _issues(t: dict[str, DataFrame], bar: DataFrame) -> DataFrame:
     def issue(rows: DataFrame, category: str, reason: Column, tier: int, amount: Column, row: str = "row_index") -> DataFrame:
         return rows.select(F.lit(tier).alias("tier"), amount.cast("long").alias("amount"), F.lit(category).alias("category"), reason.alias("reason"), "gstin", F.col(row).cast("long").alias("row_index"))
 
     gap = F.abs(tax_of("a_") - tax_of("b_"))
-    rcm = p.rcm_2a.unionByName(p.rcm_books)
-    doubles = duplicates.overclaim(p.duplicates)
+    doubles = duplicates.overclaim(t["duplicates"])
     size = F.concat(F.lit("cluster of "), F.col("members"), F.lit(" entries"))
+    heads = F.concat_ws(" ", F.lit("charged"), "actual", F.lit("should be"), "expected")
     found = [
-        issue(p.extras.extra_in_books, "Extra in Books", F.lit("not in the statement yet"), 2, tax_of()),
-        issue(p.extras.extra_in_2a, "Extra in 2A", F.lit("not in the books yet"), 2, tax_of()),
-        issue(p.extras.possible_matches.withColumn("gstin", F.col("l_gstin")), "Possible Match", F.col("reason"), 3, tax_of("l_"), "l_row_index"),
-        issue(p.vendors.filter("status = 'discrepancy'").withColumn("row_index", F.lit(None)), "Mismatch", F.lit("tax totals differ"), 2, gap),
-        issue(p.wrong_head, "Wrong Head", F.concat_ws(" ", F.lit("charged"), "actual", F.lit("should be"), "expected"), 3, tax_of()),
+        issue(t["extra_in_books"], "Extra in Books", F.lit("not in the statement yet"), 2, tax_of()),
+        issue(t["extra_in_2a"], "Extra in 2A", F.lit("not in the books yet"), 2, tax_of()),
+        issue(t["possible_matches"].withColumn("gstin", F.col("l_gstin")), "Possible Match", F.col("reason"), 3, tax_of("l_"), "l_row_index"),
+        issue(t["mismatch"].withColumn("row_index", F.lit(None)), "Mismatch", F.lit("tax totals differ"), 2, gap),
+        issue(t["wrong_head"].filter("section = 'statement'"), "Wrong Head", heads, 3, tax_of()),
         issue(doubles.filter("confirmed"), "Duplicate Invoices", size, 3, F.col("overclaim"), "cluster"),
         issue(doubles.filter("not confirmed"), "Possible Duplicate Invoices", size, 3, F.col("overclaim"), "cluster"),
-        issue(p.rate_mismatch, "Rate Mismatch", F.concat_ws(" ", F.lit("tax is off at"), F.col("rate_percent"), F.lit("percent")), 3, F.abs("difference")),
+        issue(t["rate_mismatch"], "Rate Mismatch", F.concat_ws(" ", F.lit("tax is off at"), F.col("rate_percent"), F.lit("percent")), 3, F.abs("difference")),
     ]
-    weighed = [issue(rcm, "RCM", F.coalesce("category", "found_by"), 0, tax_of()), issue(p.blocked, "Ineligible ITC", F.concat_ws(" ", "category", "section"), 0, tax_of())]
-    material = weighed[0].unionByName(weighed[1]).crossJoin(bar)
+    weighed = [issue(t["rcm"], "RCM", F.coalesce("category", "found_by"), 0, tax_of()), issue(t["ineligible_itc"], "Ineligible ITC", F.concat_ws(" ", "category", "section"), 0, tax_of())]
+    material = weighed[0].unionByName(weighed[1]).crossJoin(F.broadcast(bar))  # one row
     found.append(material.withColumn("tier", F.when(F.col("amount") >= F.col("bar"), 1).otherwise(3)).drop("bar"))
     out = found[0]
     for rows in found[1:]:
@@ -124,6 +135,11 @@ def top_issues(p: Proposal) -> DataFrame:
     return out
 
 
+def flags_by_category(issues: DataFrame) -> DataFrame:
+    """``category, items, amount``: what is open in each category."""
+    return issues.groupBy("category").agg(F.count("*").alias("items"), F.sum("amount").alias("amount"))
+
+
 def ranked(issues: DataFrame, most: int | None = None) -> DataFrame:
     """By tier, then amount; category, tax id and row break ties. A limit makes it a top-k, without a full sort."""
     order = issues.orderBy("tier", F.desc("amount"), "category", "gstin", "row_index", "reason")
