@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers as ids
-from ledgerloom.operators import duplicates, invoices, ledgers, report, row_rules, vendors
+from ledgerloom.operators import duplicates, explain, hygiene, invoices, ledgers, matching, report, row_rules, screening, vendors
 from ledgerloom.plans import oracle_parts as sql
-from ledgerloom.plans.staging import staged
+from ledgerloom.plans import recognition
+from ledgerloom.plans.fixed import MATERIALITY
+from ledgerloom.plans.staging import shared_folder, staged
 from ledgerloom.sources import cells
 from ledgerloom.sources.ledger_views import books, gstr2a
 
@@ -35,13 +38,14 @@ def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _SIDE = "(SELECT gstin, sum(taxable_value)::BIGINT AS taxable_value, sum(igst)::BIGINT AS igst, sum(cgst)::BIGINT AS cgst, sum(sgst)::BIGINT AS sgst, count(*) AS row_count FROM {} GROUP BY gstin)"
-_VENDORS = f"""{sql.VIEWS},
+_VENDOR_CTE = f"""
 vendors AS (
   SELECT coalesce(a.gstin, b.gstin) AS gstin,
     CASE WHEN b.gstin IS NULL THEN 'missing_in_books' WHEN a.gstin IS NULL THEN 'missing_in_gstr2a'
       WHEN abs(a.igst - b.igst) <= 100 AND abs(a.cgst - b.cgst) <= 100 AND abs(a.sgst - b.sgst) <= 100 THEN 'matched' ELSE 'discrepancy' END AS status,
     {", ".join(f"coalesce({s}.{c}, 0) AS {s}_{c}" for s in "ab" for c in ("taxable_value", "igst", "cgst", "sgst", "row_count"))}
   FROM {_SIDE.format("gstr2a")} a FULL JOIN {_SIDE.format("books")} b ON a.gstin = b.gstin)"""
+_VENDORS = f"{sql.VIEWS},{_VENDOR_CTE}"
 
 
 @query(f"{_VENDORS} SELECT * FROM vendors")
@@ -251,7 +255,7 @@ def _as_ledger(rows: DataFrame) -> DataFrame:
 _SIMILAR = "CASE WHEN greatest(len({0}), len({1})) = 0 THEN 100 ELSE floor((1 - levenshtein(lower({0}), lower({1}))::DOUBLE / greatest(len({0}), len({1}))) * 100 + 0.5) END"
 
 
-@query(f"""{sql.VIEWS},
+_LEDGER = f"""{sql.VIEWS},
 l AS (SELECT row_index, identifier AS invoice_no, trade_legal_name AS supplier, taxable_value + igst + cgst + sgst AS amount, invoice_date AS d FROM books),
 s AS (SELECT row_index, identifier AS invoice_no, trade_legal_name AS supplier, taxable_value + igst + cgst + sgst AS amount, invoice_date AS d FROM gstr2a),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY invoice_no ORDER BY row_index) = 1),
@@ -263,14 +267,24 @@ j AS (
       WHEN {_SIMILAR.format("l.supplier", "f.supplier")} < 80 THEN 'FUZZY_VENDOR'
       WHEN l.amount <> f.amount THEN CASE WHEN abs(abs(l.amount - f.amount)::DOUBLE / nullif(l.amount, 0)::DOUBLE - 0.2::DOUBLE) < 0.01::DOUBLE THEN 'VAT_ISSUE' ELSE 'AMOUNT_DIFF' END
       WHEN l.d <> f.d THEN 'DATE_DIFF' ELSE 'MATCHED' END AS status
-  FROM l LEFT JOIN f ON l.invoice_no = f.invoice_no LEFT JOIN n ON l.supplier = n.supplier)
-SELECT 'ledger' AS side, row_index, invoice_no, status FROM j
-UNION ALL SELECT 'statement', row_index, invoice_no, 'MISSING_LEDGER' FROM s WHERE row_index NOT IN (SELECT s_row FROM j WHERE status <> 'DUPLICATE' AND s_row IS NOT NULL)""")
+  FROM l LEFT JOIN f ON l.invoice_no = f.invoice_no LEFT JOIN n ON l.supplier = n.supplier),
+findings AS (
+  SELECT 'ledger' AS side, row_index, invoice_no, status FROM j
+  UNION ALL SELECT 'statement', row_index, invoice_no, 'MISSING_LEDGER' FROM s WHERE row_index NOT IN (SELECT s_row FROM j WHERE status <> 'DUPLICATE' AND s_row IS NOT NULL))"""
+
+
+@query(f"{_LEDGER} SELECT * FROM findings")
 def ledger_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement, register = _written(spark, sf_dir)
     return ledgers.compare_ledger(_as_ledger(register), _as_ledger(statement))
 
 
+@query(f"{_LEDGER} SELECT s.status, count(row_index) AS n FROM (SELECT unnest({list(ledgers.STATUSES)}) AS status) s LEFT JOIN findings f ON f.status = s.status GROUP BY s.status")
+def ledger_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement, register = _written(spark, sf_dir)
+    return ledgers.status_counts(ledgers.compare_ledger(_as_ledger(register), _as_ledger(statement)))
+
+
 _COST_LINES = {"freight": "Lorry freight inward", "catering": "Outdoor catering", "repairs": "Motor vehicle repair", "legal": "Legal fees, advocate"}
 
 
@@ -330,3 +344,123 @@ def reviewer_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(row_rules.wrong_head(gstr2a(spark, sf_dir)).select("row_index", "gstin", "identifier", "issue"), "wrong-head")
     notes = rows.filter("row_index % 8 = 0").select("gstin", "identifier", "row_index", F.lit("Needs follow-up").alias("reviewer_status"), F.concat(F.lit("note "), "identifier").alias("reviewer_note"))
     return report.carry_notes(rows, notes, ["gstin", "identifier"])
+
+
+def _line(label: str, value: str, rows: str) -> str:
+    return f"SELECT '{label}' AS label, coalesce({value}, 0)::BIGINT AS value FROM {rows}"
+
+
+def _counted(name: str, rows: str, amount: str = "sum(igst + cgst + sgst)") -> str:
+    return f"{_line(f'{name}_rows', 'count(*)', rows)} UNION ALL {_line(f'{name}_amount', amount, rows)}"
+
+
+_TAX_A, _TAX_B = ("+".join(f"{s}_{h}" for h in ("igst", "cgst", "sgst")) for s in "ab")
+_LEAST = " + ".join(f"least(a_{h}, b_{h})" for h in ("igst", "cgst", "sgst"))
+_SUMMARY = " UNION ALL ".join((
+    _line("vendors", "count(*)", "vendors"), _line("tax_2a", f"sum({_TAX_A})", "vendors"), _line("tax_books", f"sum({_TAX_B})", "vendors"), _line("supportable", f"sum({_LEAST})", "vendors"),
+    _line("mismatches", "sum((status = 'discrepancy')::INT)", "vendors"), _line("mismatch_amount", f"sum(CASE WHEN status = 'discrepancy' THEN abs({_TAX_A} - ({_TAX_B})) END)", "vendors"),
+    _counted("extra_in_2a", "final_a"), _counted("extra_in_books", "final_b"), _counted("possible_match", "possible p JOIN gstr2a g ON g.row_index = p.l_row_index"), _counted("blocked", "blocked"), _counted("wrong_head", "wrong"),
+    _line("cross_wrong_head_rows", "count(*)", "cross_wrong"), _counted("rcm", "(SELECT * FROM rcm_a UNION ALL SELECT * FROM rcm_b)"), _counted("rate_mismatch", "rates", "sum(abs(difference))"),
+))
+
+
+@query(f"{_TIERS},{_VENDOR_CTE},{_WRONG},{_CROSS}, blocked AS ({_BLOCKED}), rates AS ({_rates('gstr2a')} UNION ALL {_rates('books')}) {_SUMMARY}")
+def itc_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary but for duplicates, whose clusters depend on the order of rows."""
+    lines = report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)))
+    return lines.filter(~F.col("label").isin("duplicate_rows", "duplicate_amount", "net_eligible"))
+
+
+@query()
+def open_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.flags_by_category(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
+
+
+@query(f"""{_TIERS},{_VENDOR_CTE}, blocked AS ({_BLOCKED}),
+bar AS (SELECT sum({_TAX_A}) * {MATERIALITY} AS bar FROM vendors),
+weighed AS (SELECT 'RCM' AS category, row_index, igst + cgst + sgst AS amount FROM (SELECT * FROM rcm_a UNION ALL SELECT * FROM rcm_b) UNION ALL SELECT 'Ineligible ITC', row_index, igst + cgst + sgst FROM blocked)
+SELECT CASE WHEN amount >= bar THEN 1 ELSE 3 END AS tier, amount::BIGINT AS amount, category, row_index FROM weighed, bar""")
+def material_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reverse charge and blocked credit with their tier, by the statement's total tax."""
+    issues = report.top_issues(report.propose(*_written(spark, sf_dir), True))
+    return issues.filter(F.col("category").isin("RCM", "Ineligible ITC")).select("tier", "amount", "category", "row_index")
+
+
+def _shown(column: str) -> str:
+    return f"upper(replace({column}, '_', '+'))"
+
+
+@query(f"""{_LEFT},{_WRONG},{_CROSS}
+SELECT gstin, identifier, 'Wrong head' AS rule, 'invoice ' || identifier || ' of ' || gstin || ' is charged ' || {_shown("actual")} || ', should be ' || {_shown("expected")} AS finding FROM wrong
+UNION ALL SELECT gstin, identifier, 'Wrong head (both sides)', 'invoice ' || identifier || ' of ' || gstin || ' has ' || {_shown("a_head")} || ' in the statement and ' || {_shown("b_head")} || ' in the books; expected ' || coalesce({_shown("expected")}, 'unknown') FROM cross_wrong""")
+def wrong_head_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of wrong heads, each with the sentence that explains it."""
+    statement, register = _written(spark, sf_dir)
+    single = row_rules.wrong_head(statement).withColumn("section", F.lit("statement"))
+    both = row_rules.cross_wrong_head(statement, register).withColumn("section", F.lit("both sides"))
+    return explain.explained("wrong_head", single.unionByName(both, allowMissingColumns=True)).select("gstin", "identifier", "rule", "finding")
+
+
+_NAMED = "SELECT c_custkey::VARCHAR AS gstin, c_name || ' ' || lower(c_mktsegment) AS vendor_name FROM customer"
+_RULE = "CASE {} END".format(" ".join(f"WHEN regexp_matches(vendor_name, '{pattern}') THEN {sql.text('{}')}" for pattern, _, _ in screening.NAME_RULES))
+
+
+@query(f"SELECT gstin, vendor_name, category IS NOT NULL AS flagged, category, sub_clause FROM (SELECT *, {_RULE.format(*(r[1] for r in screening.NAME_RULES))} AS category, {_RULE.format(*(r[2] for r in screening.NAME_RULES))} AS sub_clause FROM ({_NAMED}))")
+def vendor_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as vendors, their market segment as part of the name."""
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("gstin"), F.concat("c_name", F.lit(" "), F.lower("c_mktsegment")).alias("vendor_name"))
+    return screening.by_name(named).drop("reasoning")
+
+
+@query(f"""WITH names AS (SELECT DISTINCT s_name AS name FROM supplier UNION SELECT DISTINCT p_name FROM part)
+SELECT * FROM (SELECT x.name, y.name AS other, ({_SIMILAR.format("x.name", "y.name")})::INT AS similarity FROM names x, names y) WHERE similarity >= 80""")
+def similar_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of supplier and part names that are alike by 80 percent."""
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name")).union(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name")).distinct()
+    return matching.similar_names(names, names, 80)
+
+
+@query("""WITH
+i AS (SELECT CASE l_returnflag WHEN 'A' THEN 'Beverage' WHEN 'N' THEN 'Food' ELSE 'Rent' END AS category, l_tax AS vat_rate, CASE l_linestatus WHEN 'F' THEN 'Price rise' ELSE '' END AS notes FROM lineitem),
+b AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Supplier Payment' WHEN 'O' THEN 'Delivery Platform Payout' ELSE 'Other' END AS category, o_orderkey % 10 = 0 AS blank, o_orderkey % 7 = 0 AS dotted FROM orders)
+SELECT 'untaxed_beverages' AS check_name, count(*) AS found FROM i WHERE category = 'Beverage' AND vat_rate = 0
+UNION ALL SELECT 'noted_price_rises', count(*) FROM i WHERE category = 'Food' AND notes <> ''
+UNION ALL SELECT 'payments_without_invoice', count(*) FROM b WHERE category = 'Supplier Payment' AND blank
+UNION ALL SELECT 'dotted_dates', count(*) FROM b WHERE category = 'Delivery Platform Payout' AND dotted""")
+def pnl_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as supplier invoices and orders as bank lines: rows that each check points out."""
+    flag, state = F.col("l_returnflag"), F.col("o_orderstatus")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(flag == "A", "Beverage").when(flag == "N", "Food").otherwise("Rent").alias("category"), F.col("l_tax").alias("vat_rate"), F.when(F.col("l_linestatus") == "F", "Price rise").otherwise("").alias("notes"))
+    key = F.col("o_orderkey")
+    bank = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.when(state == "F", hygiene.SUPPLIER_PAYMENT).when(state == "O", hygiene.PAYOUT).otherwise("Other").alias("category"),
+        F.lit("PAYMENT - x").alias("description"),
+        F.when(key % 10 == 0, "").otherwise(key.cast("string")).alias("matched_invoice_id"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("slashed"),
+        F.when(key % 7 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).alias("dotted"),
+    ).withColumn("date_as_entered", F.coalesce("dotted", "slashed"))
+    found = {check.__name__: check(rows) for check, rows in ((hygiene.untaxed_beverages, items), (hygiene.noted_price_rises, items), (hygiene.payments_without_invoice, bank), (hygiene.dotted_dates, bank))}
+    parts = [rows.agg(F.count("*").alias("found")).select(F.lit(name).alias("check_name"), "found") for name, rows in found.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query()
+def sheet_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three typed tables are taken for when they are read as sheets."""
+    grids = [cells.from_table(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table, key) for table, key in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"))]
+    sheets = recognition.read_sheets(staged(grids[0].unionByName(grids[1]).unionByName(grids[2]), "cells"))
+    rows = []
+    for name, columns in sheets.items():
+        kind, role = recognition.classify_sheet(columns), recognition.recognize_role(recognition.identify_columns(columns))
+        rows.append((name, kind.kind, kind.confidence, role.kind, recognition.signature(columns)[0]))
+    return spark.createDataFrame(rows, "sheet string, kind string, confidence string, role string, signature string")
+
+
+@query(f"{_VENDORS} SELECT gstin AS place, status AS text FROM vendors")
+def audit_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a fresh audit log, and what it holds then."""
+    compared = staged(vendors.compare(gstr2a(spark, sf_dir), books(spark, sf_dir)), "compared")
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    for part in ("status = 'matched'", "status <> 'matched'"):
+        report.append_audit(compared.filter(part).select(F.current_timestamp().alias("at"), F.col("gstin").alias("place"), F.col("status").alias("text")), path)
+    return spark.read.parquet(path).select("place", "text")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.identifiers import similarity_percent
+from ledgerloom.operators.matching import similar_names
 
+# In the order in which findings are shown.
 STATUSES = ("MATCHED", "FUZZY_VENDOR", "AMOUNT_DIFF", "VAT_ISSUE", "DATE_DIFF", "MISSING_SUPPLIER", "MISSING_LEDGER", "DUPLICATE")
 SIMILAR = 80
 VAT_SHARE, VAT_BAND = 0.20, 0.01
@@ -32,10 +34,9 @@ def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
     first = statement.withColumn("nth", _nth(statement, "invoice_no")).filter("nth = 1")
     first = first.select("invoice_no", F.col("row_index").alias("s_row"), F.col("supplier").alias("s_supplier"), F.col("amount").alias("s_amount"), F.col("date").alias("s_date"))
     names = statement.groupBy(F.col("supplier").alias("other")).agg(F.min("row_index").alias("first_row"))
-    own = ledger.select("supplier").distinct()
-    near = own.join(names, F.abs(F.length("supplier") - F.length("other")) <= F.greatest(F.length("supplier"), F.length("other")) * (100 - SIMILAR + 1) / 100)
-    alike = near.withColumn("similarity", similarity_percent(F.col("supplier"), F.col("other"))).filter((F.col("similarity") >= SIMILAR) & (F.col("similarity") < 100))
-    alike = alike.groupBy("supplier").agg(F.min_by("other", "first_row").alias("similar_supplier"))
+    own = ledger.join(first.select("invoice_no"), "invoice_no", "left_anti").select("supplier").distinct()  # only there it matters
+    alike = similar_names(own, names.select("other"), SIMILAR).filter("similarity < 100").join(names, "other")
+    alike = alike.groupBy(F.col("name").alias("supplier")).agg(F.min_by("other", "first_row").alias("similar_supplier"))
 
     joined = rows.join(first, "invoice_no", "left").join(alike, "supplier", "left")
     off = F.abs(F.col("amount") - F.col("s_amount"))
@@ -54,6 +55,13 @@ def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
     return judged.drop("s_row").unionByName(missing)
 
 
+def status_counts(findings: DataFrame) -> DataFrame:
+    """Rows per status of ``compare_ledger``, all eight statuses, in display order."""
+    order = findings.sparkSession.createDataFrame(list(enumerate(STATUSES)), "place int, status string")
+    counts = findings.groupBy("status").agg(F.count("*").alias("n"))
+    return F.broadcast(order).join(counts, "status", "left").orderBy("place").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _leaders(names: pd.DataFrame) -> pd.DataFrame:
     """Greedy clusters: a name joins the first earlier leader that is alike, or leads itself."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.identifiers import similarity_percent
+
 
 def banded(left: DataFrame, right: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
     """Pairs with equal ``keys`` and ``value`` at most ``width`` apart, as an equi-join.
@@ -35,3 +37,33 @@ def taxes_agree(tolerance: int) -> Column:
     for head in ("igst", "cgst", "sgst"):
         agree = agree & (F.abs(F.col(f"l_{head}") - F.col(f"r_{head}")) <= tolerance)
     return agree
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """``name, other, similarity`` of names (one column each) that are alike by ``least`` percent or more, as an equi-join.
+
+    Names within ``d`` edits share a piece: of ``d + 1`` even pieces of one, at least
+    one stands whole in the other, shifted by ``d`` places at most.  ``d`` follows from
+    both lengths, which are part of the key; all pairs found so are then measured.
+    ``least`` is above 50.  Blank and missing names meet nothing.
+    """
+    slack = 1000 - 10 * least + 5  # per mille of the longer length, as halves are rounded up
+    other_length = lambda n: F.explode(F.sequence(F.ceil(F.lit(1000 - slack) * n / 1000).cast("int"), F.floor(F.lit(1000) * n / (1000 - slack)).cast("int")))
+    edits = F.floor(F.lit(slack) * F.greatest("m", "n") / 1000).cast("int")
+    pieces = F.explode(F.sequence(F.lit(0), F.col("edits")))
+    start = F.floor(F.col("i") * F.col("n") / (F.col("edits") + 1)).cast("int")
+    size = F.floor((F.col("i") + 1) * F.col("n") / (F.col("edits") + 1)).cast("int") - F.col("start")
+
+    def cut(rows: DataFrame, name: str, own: str, its: str) -> DataFrame:
+        text = F.lower(F.trim(rows.columns[0]))
+        named = rows.select(F.col(rows.columns[0]).alias(name), text.alias("text"), F.length(text).alias(own)).filter(F.col(own) > 0).distinct()
+        sized = named.withColumn(its, other_length(F.col(own))).withColumn("edits", edits)
+        return sized.withColumn("i", pieces).withColumn("start", start).withColumn("size", size)
+
+    keys = ["m", "n", "i", "piece"]
+    indexed = cut(right, "other", "n", "m").select("other", "m", "n", "i", F.substring(F.col("text"), F.col("start") + 1, F.col("size")).alias("piece"))
+    first, last = F.greatest(F.lit(0), F.col("start") - F.col("edits")), F.least(F.col("m") - F.col("size"), F.col("start") + F.col("edits"))
+    places = cut(left, "name", "m", "n").withColumns({"first": first, "last": last}).filter("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
+    probes = places.select("name", "m", "n", "i", F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = probes.join(indexed, keys).select("name", "other").distinct()
+    return pairs.withColumn("similarity", similarity_percent(F.col("name"), F.col("other"))).filter(F.col("similarity") >= least)

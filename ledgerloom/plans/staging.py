@@ -30,3 +30,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete a table made by ``staged`` that nothing reads any more."""
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for root in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, identifiers
-from ledgerloom.operators import duplicates, invoices, ledgers, report, row_rules, vendors
+from ledgerloom.operators import duplicates, invoices, ledgers, matching, report, row_rules, vendors
 
 SCHEMA = "row_index long, gstin string, identifier string, trade_legal_name string, particulars string, place_of_supply string, reverse_charge string, rate long, taxable_value long, igst long, cgst long, sgst long, invoice_date date"
 G = "07AAAPL0001Q1Z5"
@@ -188,3 +189,25 @@ def test_audit_log_grows(spark, tmp_path):
     for _ in range(2):
         report.append_audit(rows, str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["", " ", None, "a", "A", "ab", "é" * 40, "Acme Ltd", "ACME LTD ", "Acme Ltd."] + ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    left, right = spark.createDataFrame([(n,) for n in names[:45]], "x string"), spark.createDataFrame([(n,) for n in names[25:] + names[:9]], "y string")
+    for least in (60, 80, 95):
+        measured = left.distinct().crossJoin(right.distinct()).withColumn("s", identifiers.similarity_percent(F.col("x"), F.col("y"))).filter("trim(x) <> '' and trim(y) <> ''")
+        want = {tuple(r) for r in measured.filter(F.col("s") >= least).collect()}
+        rows = matching.similar_names(left, right, least).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want) and want
+
+
+def test_sets_of_pairs_that_span_batches(spark):
+    pairs = pd.DataFrame([(c, c * 100 + i, c * 100 + i + 1) for c in range(1, 6) for i in range(7)], columns=["component", "a", "b"])
+    pairs = pairs.assign(gstin="g" + pairs["component"].astype(str), by_number=True, a_day=0, b_day=0, a_amount=1, b_amount=1)
+    whole = duplicates._greedy(pairs).sort_values("row_index").values.tolist()
+    for size in (1, 3, 7, 10, 100):
+        parts = [pairs.iloc[i : i + size] for i in range(0, len(pairs), size)]
+        got = pd.concat(duplicates._streamed(iter([*parts[:1], pairs.iloc[:0], *parts[1:]])))
+        assert got.sort_values("row_index").values.tolist() == whole
+    assert len(whole) == 40 and list(duplicates._streamed(iter([]))) == []
