@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how wide shuffles are.
+"""Intermediate tables, the width of shuffles, and the table that most operators read.
 
 Intermediate results are written as Parquet tables under the folder that the
 session names in ``spark.checkpoint.dir``.  That cuts lineage and survives the
@@ -7,42 +7,12 @@ loss of an executor, because every executor and the driver see that folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only a local session without the setting gets one of its own."""
-    path = spark.conf.get(SETTING, None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    spark.conf.set(SETTING, path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder, and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    roots = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+from ledgerloom.plans.staging import remove, shared_folder, staged
+
+__all__ = ["documents", "remove", "shared_dir", "shuffle_width", "written"]
+shared_dir, written = shared_folder, staged
 
 
 def shuffle_width(spark: SparkSession) -> int:
