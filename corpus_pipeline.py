@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, packing, quality_rules, simhash, substrings
+from ledgerloom.llm import mixing, near_copies, packing, quality_rules, simhash, substrings
 from ledgerloom.llm.workspace import documents, written
 
 
@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.deduplicated(docs)
+    """Of each group of documents alike by 80 percent of their five-word shingles, or with fingerprints as close as op1's, the one with the smallest id stays."""
+    close = simhash.near_duplicates(docs).select("doc_id", "component_id").filter("doc_id <> component_id").distinct()
+    return near_copies.deduplicated(docs, also=close)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from ledgerloom.llm import mixing, quality_rules, simhash
+import pytest
+from ledgerloom.llm import mixing, near_copies, quality_rules, simhash
 from test_operators import brute_removed, words
 
 
@@ -31,3 +33,46 @@ def test_stages_do_what_they_say(spark, docs, rows):
 
     packed = stages["packing"](spark, docs, "").collect()
     assert all(0 < r["length"] <= 2048 for r in packed)
+
+
+def five_word_sets(text):
+    w = [x.lower() for x in words(text)]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("tile_rows", [512, 4])
+def test_near_dedup_finds_all_documents_alike_by_four_fifths(spark, rows, tile_rows):
+    rng = random.Random(3)
+    table = [(r[0], r[1]) for r in rows]
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    for family in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(50, 160))
+        for copy in range(8):
+            changed = list(base)
+            for place in rng.sample(range(len(base)), copy * len(base) // 160):
+                changed[place] = rng.choice(vocabulary)
+            table.append((1000 + 10 * family + copy, " ".join(changed)))
+    sets = [(i, five_word_sets(t)) for i, t in table if i is not None]
+    group = {i: i for i, _ in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    met = 0
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                met += a != b
+                group[max(root(i), root(j))] = min(root(i), root(j))
+    assert met > 40
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    found = near_copies.near_copies(docs, tile_rows=tile_rows)
+    assert Counter(map(tuple, found.collect())) == Counter((i, root(i)) for i, _ in sets)
+    if tile_rows == 512:  # the stage joins what fingerprints link as well
+        for r in simhash.near_duplicates(docs).filter("doc_id is not null").collect():
+            a, b = root(r["doc_id"]), root(r["component_id"])
+            group[max(a, b)] = min(a, b)
+        kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({root(i) for i, _ in sets})
