@@ -18,6 +18,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,24 @@ _APACHE_NOTICE = (
     "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 )
+_CC_NAMES = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_REGION = {"4.0": ("", " International"), "3.0": ("", " Unported"), "2.5": ("", " Generic"), "2.0": ("", " Generic"), "1.0": ("", " Generic")}
+
+
+def _creative_commons() -> tuple[tuple[str, str], ...]:
+    """Notices of the Creative Commons licences, in short and long spellings."""
+    found = []
+    for (short, long), (version, regions) in itertools.product(_CC_NAMES.items(), _CC_REGION.items()):
+        longs = {long, long.replace("NoDerivatives", "NoDerivs")}
+        names = [f"CC {short} {version}", f"Creative Commons {short} {version}", *(f"{cc} {name} {version}{region}" for cc in ("CC", "Creative Commons") for name in sorted(longs) for region in regions)]
+        for start, article, name, end in itertools.product(("Licensed under", "Released under", "This work is licensed under"), ("", "a ", "the "), names, ("", " License")):
+            found.append((f"CC-{short}-{version}", f"{start} {article}{name}{end}."))
+    return tuple(found)
+
+
 #: (licence, text): known whole texts.
 KNOWN = (
     ("MIT", _MIT),
@@ -89,8 +109,34 @@ KNOWN = (
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *_creative_commons(),
+)
+#: (licence, digest) of the canonical forms of standard texts that are too long to stand here, with and without what follows their terms.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "d5b6708487fbbbf89cc5abdd972838249d3265d5241105b6bacda1706c4068e6"),
+    ("Apache-2.0", "eb436bc873ed1f340784636aa1574ba49c1eaf6a89f2de4eb044f6cfd8c89660"),
+    ("Apache-2.0", "f2d7b2c77869a6d9cc2f70ffcc26690237b2cb960366ab506d5d212859dab5e8"),
+    ("CC0-1.0", "3e6e368fd02abd67188d1bf25b196ac79f5782b2079e9579134c5e3f71f9ab74"),
+    ("GPL-1.0", "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef"),
+    ("GPL-1.0", "b5bd3889f3288309a0cfa3c8da4c6abe71e7af97975f7eaa0093fdfc8994be7a"),
+    ("GPL-1.0", "f4d5622e8488e9135bbad4562a4dddb47eb06044ce19b0c0d2064503f5933de5"),
+    ("GPL-2.0", "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61"),
+    ("GPL-2.0", "46f90fb5923e11bc5b072f6872fe391adbc25dd2046a33fe66ac15c717f3517f"),
+    ("GPL-2.0", "3c9f4977ae65ec51dce2737640196c8c2d45aa4ba394ba71168fae3b8a4cc93f"),
+    ("GPL-3.0", "ab75edbf73a72121bdba9fb3af792f1b33a1533edb22a286043c7478d958ee63"),
+    ("GPL-3.0", "364b9ec532739b053b76aadd8eff2901d097a9b32b2c3b38b47f954a5b5e96b2"),
+    ("GPL-3.0", "5d527914d4539f34149cd198edb1e5de52322047d37781b3bd66403f12dc40e1"),
+    ("LGPL-2.0", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.0", "9d13cf53bf2cbeca5b76fbf2816c49e4187ffde010c14909d506a84660773425"),
+    ("LGPL-2.0", "d449b5d838ee652333de62d88304ddcf67663cda782f1c7257ee9c9dae33dfb4"),
+    ("LGPL-2.1", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-2.1", "d203bc167b87a561b06e0875df37e31508f1030f0b6c56bbfabc2f16acce8c65"),
+    ("LGPL-2.1", "a7bd7bcc6f59de5c915482fc3cacdd5a1b6b27c24354df724c2ef3672dce9475"),
+    ("LGPL-3.0", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "724757714a8157908a4262d37330f3ac617800181f14c5bb7ae1773611ef1af5"),
+    ("MPL-2.0", "7eb42cd7f8edde0699d303a531b8d604a4370bd579346f5e1d615398ffe83791"),
+    ("GFDL-1.2", "763fd67087ee54c1928a00c7e66bd59138dfa48fb7cf636fe42a828b1c489bcd"),
+    ("GFDL-1.3", "d76fb8c45f11b761aa1870334672b79fa828bbbd142bbd27f820e7f118b97ad6"),
 )
 #: (spelling, canonical spelling) of words, between spaces.
 SPELLINGS = (
@@ -130,7 +176,9 @@ def digest(text: Column) -> Column:
 
 def known_digests(docs: DataFrame) -> DataFrame:
     known = docs.sparkSession.createDataFrame(list(KNOWN), "license string, text string")
-    return known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    known = known.select("license", digest(F.col("text")).alias("digest"))
+    known = known.unionByName(docs.sparkSession.createDataFrame(list(KNOWN_DIGESTS), "license string, digest string"))
+    return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

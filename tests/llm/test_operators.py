@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,6 +157,27 @@ def test_licenses_ignore_case_punctuation_and_copyright_lines(spark):
     assert got == {(1, "MIT", None), (2, None, "MIT"), (3, None, None), (4, None, None), (None, None, None), (5, None, None)}
 
 
+def test_licenses_know_creative_commons_and_standard_texts(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the CC-BY-SA 3.0 licence": "CC-BY-SA-3.0",
+        "Released under a Creative Commons Attribution-NoDerivs 2.5 Generic License.": "CC-BY-ND-2.5", "Licensed under CC BY 4.0 and more": None,
+    }
+    table = spark.createDataFrame([(n, f"words\n{line}\nwords") for n, line in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"]: r["notices"] for r in licenses.scanned(table).collect()} == dict(enumerate(lines.values()))
+    folder = Path("/usr/share/common-licenses")
+    texts = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = [(n, (folder / name).read_text().upper()) for n, name in enumerate(texts) if (folder / name).exists()]
+    table = spark.createDataFrame(here, "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scanned(table).collect()} == {n: list(texts.values())[n] for n, _ in here}
+
+
+def test_no_license_line_of_the_tables_stays_unknown(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = docs.selectExpr("doc_id", "explode(split(text, '\\n')) as text").filter("lower(text) rlike 'licen[cs]e'")
+    found = licenses.scanned(lines.selectExpr("row_number() over (order by doc_id, text) as doc_id", "text"))
+    assert found.count() > 0 and found.filter("license is null").count() == 0
+
+
 def brute_repeats(w):
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     counts = Counter(windows)
