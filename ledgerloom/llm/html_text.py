@@ -6,9 +6,11 @@ it, an unknown end tag is ignored, and what is open at the end is closed.  A
 start tag looks for what it implies only as far as the nearest container (list,
 table, cell, ...).  ``render`` walks the tree and writes what a reader sees:
 
-- nothing of scripts, styles, templates, the head, comments, form controls that
-  show no text, or elements that are hidden (``hidden``, ``aria-hidden="true"``,
-  ``display:none``, ``visibility:hidden``);
+- nothing of scripts, styles, templates, the head, comments, ``input``, or
+  elements that are hidden (``hidden``, ``display:none``, ``visibility:hidden``;
+  not ``aria-hidden``, which hides from screen readers alone);
+- of a drawing its labels, of a formula its signs, of a ``select`` the selected
+  options, or its first one (all of a list box);
 - white space runs as one space, but as it stands in ``pre`` and ``textarea``;
 - block elements on lines of their own, with an empty line around paragraphs,
   headings, lists, tables, quotations and ``pre``;
@@ -36,7 +38,9 @@ from pyspark.sql import DataFrame
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas svg math datalist select input button meta link".split())
+UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist input meta link annotation annotation-xml".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = SPACED | frozenset(
     "address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tr".split()
@@ -139,7 +143,31 @@ def parse(markup: str) -> Element:
 
 def hidden(element: Element) -> bool:
     a = element.attributes
-    return element.name in UNSEEN or "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDING.search(a.get("style", "")))
+    return element.name in UNSEEN or "hidden" in a or bool(_HIDING.search(a.get("style", "")))
+
+
+def _shown(select: Element) -> list[Element | str]:
+    """The options that a select shows: all of a list box, else the last selected one, or the first that is not disabled."""
+    options: list[Element] = []
+    off: set[int] = set()
+    work = [(child, False) for child in reversed(select.children)]
+    while work:
+        node, disabled = work.pop()
+        if isinstance(node, str):
+            continue
+        disabled = disabled or "disabled" in node.attributes
+        if node.name == "option":
+            if not hidden(node) or "selected" in node.attributes:
+                options.append(node)
+                if disabled:
+                    off.add(id(node))
+        elif not hidden(node):
+            work.extend((child, disabled) for child in reversed(node.children))
+    size = select.attributes.get("size", "").strip()
+    if "multiple" in select.attributes or (size.isdecimal() and int(size) > 1):
+        return [option for option in options if not hidden(option)]
+    chosen = [option for option in options if "selected" in option.attributes][-1:] or [option for option in options if id(option) not in off][:1]
+    return [part for option in chosen for part in ([option.attributes["label"]] if option.attributes.get("label") else option.children)]
 
 
 class _Writer:
@@ -211,7 +239,7 @@ def render(root: Element) -> str:
     writers = [_Writer()]
     tables: list[list[list[str]]] = []
     lists: list[list] = []  # [next number or None, indent outside]
-    as_it_stands = 0
+    as_it_stands = drawings = 0
     work: list[tuple[Element | str, bool]] = [(root, True)]
     while work:
         node, entering = work.pop()
@@ -224,8 +252,10 @@ def render(root: Element) -> str:
             continue
         name = node.name
         if entering:
-            if hidden(node):
+            if hidden(node) or (drawings and name in UNDRAWN):
                 continue
+            if name == "svg":
+                drawings += 1
             if name == "br":
                 if not out.line and out.lines and out.lines[-1]:
                     out.gap = True
@@ -255,8 +285,10 @@ def render(root: Element) -> str:
             elif name in CELLS and tables:
                 writers.append(_Writer())
             work.append((node, False))
-            work.extend((child, True) for child in reversed(node.children))
+            work.extend((child, True) for child in reversed(_shown(node) if name == "select" else node.children))
             continue
+        if name == "svg":
+            drawings -= 1
         if name in CELLS and tables:
             cell = " ".join(line.strip() for line in writers.pop().result().split("\n") if line.strip())
             if not tables[-1]:

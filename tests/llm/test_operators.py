@@ -304,6 +304,23 @@ def test_pages_render_as_seen(markup, text):
     assert html_text.page_text(markup) == text
 
 
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("a <button>Send <b>now</b></button> b", "a Send now b"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+        ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>", "x"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>label</text></svg> after", "label after"),
+        ("a <span aria-hidden='true'>seen</span> b", "a seen b"),
+        ("a <select><option>one<option selected>two<option>three</select> b", "a two b"),
+        ("a <select><optgroup label=g><option disabled>one<option>two</optgroup></select> b", "a two b"),
+        ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+    ],
+)
+def test_pages_show_buttons_selects_formulas_and_drawings(markup, text):
+    assert html_text.page_text(markup) == text
+
+
 def test_deep_pages_and_odd_rows(spark):
     assert html_text.page_text("<div>" * 50_000 + "x") == "x"
     table = spark.createDataFrame([(1, None), (1, "<b>t"), (None, "")], "page_id long, html string")
