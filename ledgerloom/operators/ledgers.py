@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.identifiers import similarity_percent
-from ledgerloom.operators.matching import similar_names
+from ledgerloom.operators.components import components
+from ledgerloom.operators.matching import PIECE_KEYS, name_pieces, similar_names
+from ledgerloom.plans.staging import staged
 
 # In the order in which findings are shown.
 STATUSES = ("MATCHED", "FUZZY_VENDOR", "AMOUNT_DIFF", "VAT_ISSUE", "DATE_DIFF", "MISSING_SUPPLIER", "MISSING_LEDGER", "DUPLICATE")
@@ -90,9 +92,21 @@ def _leaders(names: pd.DataFrame) -> pd.DataFrame:
 
 
 def vendor_renames(invoices: DataFrame) -> DataFrame:
-    """``canonical, alias`` of vendor names, in the order in which they first appear. Distinct names of one first letter meet."""
+    """``canonical, alias`` of vendor names, in the order in which they first appear.
+
+    Names alike share a piece, so they lie in one connected set of names with common
+    pieces; the greedy pass runs within each set, where it meets all that matters.
+    """
     first = invoices.filter(F.trim("vendor") != "").groupBy("vendor").agg(F.min("row_index").alias("row_index"))
-    return first.withColumn("block", F.lower(F.substring(F.trim("vendor"), 1, 1))).groupBy("block").applyInPandas(_leaders, "block string, canonical string, alias string").drop("block")
+    first = first.withColumn("text", F.lower(F.regexp_replace("vendor", r"(?U)^\s+|\s+$", "")))
+    first = staged(first.withColumn("node", F.xxhash64("text")), "vendor-names")
+    probes, indexed = name_pieces(first.select("text").distinct(), first.select("text").distinct(), RENAME_SIMILAR)
+    held = probes.unionByName(indexed.withColumnRenamed("other", "name")).select(F.xxhash64(*PIECE_KEYS).alias("piece"), F.xxhash64("name").alias("node")).distinct()
+    held = staged(held, "vendor-pieces")
+    least = held.groupBy("piece").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    sets = components(held.join(least, "piece").select("node", "least").distinct())
+    blocks = first.join(sets, "node", "left").select("vendor", "row_index", F.coalesce("component", "node").alias("block"))
+    return blocks.groupBy("block").applyInPandas(_leaders, "block long, canonical string, alias string").drop("block")
 
 
 def conditional_sums(rows: DataFrame, month: Column, lines: dict[str, Column]) -> DataFrame:

@@ -39,12 +39,15 @@ def taxes_agree(tolerance: int) -> Column:
     return agree
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """``name, other, similarity`` of names (one column each) that are alike by ``least`` percent or more, as an equi-join.
+PIECE_KEYS = ["m", "n", "i", "piece"]
+
+
+def name_pieces(left: DataFrame, right: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``name`` and ``other`` (names of one column each) under keys of which two names alike by ``least`` percent or more have one in common.
 
     Names within ``d`` edits share a piece: of ``d + 1`` even pieces of one, at least
     one stands whole in the other, shifted by ``d`` places at most.  ``d`` follows from
-    both lengths, which are part of the key; all pairs found so are then measured.
+    both lengths, which are part of the key.
     ``least`` is above 50.  Blank and missing names meet nothing.
     """
     slack = 1000 - 10 * least + 5  # per mille of the longer length, as halves are rounded up
@@ -60,10 +63,15 @@ def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
         sized = named.withColumn(its, other_length(F.col(own))).withColumn("edits", edits)
         return sized.withColumn("i", pieces).withColumn("start", start).withColumn("size", size)
 
-    keys = ["m", "n", "i", "piece"]
     indexed = cut(right, "other", "n", "m").select("other", "m", "n", "i", F.substring(F.col("text"), F.col("start") + 1, F.col("size")).alias("piece"))
     first, last = F.greatest(F.lit(0), F.col("start") - F.col("edits")), F.least(F.col("m") - F.col("size"), F.col("start") + F.col("edits"))
     places = cut(left, "name", "m", "n").withColumns({"first": first, "last": last}).filter("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
     probes = places.select("name", "m", "n", "i", F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    pairs = probes.join(indexed, keys).select("name", "other").distinct()
+    return probes, indexed
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """``name, other, similarity`` of names (one column each) that are alike by ``least`` percent or more: all pairs with a common piece, measured."""
+    probes, indexed = name_pieces(left, right, least)
+    pairs = probes.join(indexed, PIECE_KEYS).select("name", "other").distinct()
     return pairs.withColumn("similarity", similarity_percent(F.col("name"), F.col("other"))).filter(F.col("similarity") >= least)

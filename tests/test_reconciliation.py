@@ -211,3 +211,25 @@ def test_sets_of_pairs_that_span_batches(spark):
         got = pd.concat(duplicates._streamed(iter([*parts[:1], pairs.iloc[:0], *parts[1:]])))
         assert got.sort_values("row_index").values.tolist() == whole
     assert len(whole) == 40 and list(duplicates._streamed(iter([]))) == []
+
+
+def test_renames_meet_across_first_letters(spark):
+    given = ["Fresh Fields Ltd", "The Fresh Fields Ltd", "Acme Foods", "4cme Foods", "Fresh Field Ltd", "Zebra", "fresh fields ltd", "Xcme Foodz", "q"]
+    names = spark.createDataFrame(list(enumerate(given)), "row_index long, vendor string")
+
+    def alike(a, b):
+        a, b = a.lower(), b.lower()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i, *[0] * len(b)], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+        return 55 <= int((1 - row[-1] / max(len(a), len(b))) * 100 + 0.5) < 100
+
+    leaders, expected = [], set()
+    for name in given:
+        leader = next((x for x in leaders if alike(x, name)), name)
+        leaders += [name] if leader == name else []
+        expected.add((leader, name))
+    assert {("Fresh Fields Ltd", "The Fresh Fields Ltd"), ("Acme Foods", "4cme Foods")} <= expected
+    assert {(r["canonical"], r["alias"]) for r in ledgers.vendor_renames(names).collect()} == expected
