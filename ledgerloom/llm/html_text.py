@@ -1,22 +1,28 @@
 """Operator 9: layout-aware text of web pages.
 
-``parse`` builds a tree from tags, with the end tags that HTML leaves out: a
-block closes an open paragraph, a list item or table part closes the one before
-it, an unknown end tag is ignored, and what is open at the end is closed.  A
-start tag looks for what it implies only as far as the nearest container (list,
-table, cell, ...).  ``render`` walks the tree and writes what a reader sees:
-
-- nothing of scripts, styles, templates, the head, comments, ``input``, or
-  elements that are hidden (``hidden``, ``display:none``, ``visibility:hidden``;
-  not ``aria-hidden``, which hides from screen readers alone);
+``parse`` builds a tree from tags, with the tags that HTML leaves out: what
+cannot stand in a head (a tag or words) ends it, a block closes an open
+paragraph, a list item or table part closes the one before it, an end tag that
+nothing matches or that would close a block from inside a line is ignored, and
+what is open at the end is closed.  A start tag looks for what it implies only
+as far as the nearest container (list, table, cell, ...).  ``render`` walks the
+tree and writes what a reader sees:
+
+- nothing of scripts, styles, templates, the head, comments, or elements that
+  are hidden (``hidden``, ``display:none``, a ``dialog`` or the inside of
+  ``details`` without ``open``; not ``aria-hidden``, which hides from screen
+  readers alone);
+- nothing that stands in ``visibility:hidden``, but parts of it that are
+  ``visibility:visible``;
 - of a drawing its labels, of a formula its signs, of a ``select`` the selected
-  options, or its first one (all of a list box);
+  options, or its first one (all of a list box), of ``input`` a button's label;
 - white space runs as one space, but as it stands in ``pre`` and ``textarea``;
 - block elements on lines of their own, with an empty line around paragraphs,
   headings, lists, tables, quotations and ``pre``;
 - list items with ``- ``, or their number, indented by their depth;
 - table rows as lines, cells padded to the width of their column, two spaces
-  between them (a line break in a cell becomes a space).
+  between them (a line break in a cell becomes a space); cells that reach over
+  columns or rows keep those places free.
 
 Both are loops over their own stacks, so depth is bounded by memory alone.
 
@@ -28,7 +34,9 @@ not read.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -37,11 +45,16 @@ from pyspark.sql import DataFrame
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist input meta link annotation annotation-xml".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist meta link annotation annotation-xml rp".split())
+#: What may stand in a head.
+HEAD = frozenset("html head base link meta title style script noscript noframes template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+VERBATIM = frozenset("pre textarea xmp listing".split())
+LISTS = frozenset("ul ol menu dir".split())
 #: Parts of a drawing that are not drawn where they stand.
 UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
+SPACED = HEADINGS | frozenset("p ul ol dl table blockquote pre xmp listing figure hr".split())
 BLOCKS = SPACED | frozenset(
     "address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tr".split()
 )
@@ -64,12 +77,12 @@ CLOSES = {
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template", "object", "button"})
 
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?](?P<declaration>[^>]*)(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<(?P<start>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--(?P<comment>-?>|.*?(?:--!?>|\Z))|<[!?](?P<declaration>[^>]*)(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</(?P<odd>>|[^A-Za-z][^>]*(?:>|\Z))"
+    # A quotation mark holds a value together only behind an equals sign.
+    r"|<(?P<start>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*+)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -94,9 +107,12 @@ class _Stack:
     def __init__(self, root: Element) -> None:
         self.elements = [root]
         self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  #: Places of open blocks
 
     def push(self, element: Element) -> None:
         self.places.setdefault(element.name, []).append(len(self.elements))
+        if element.name in BLOCKS:
+            self.blocks.append(len(self.elements))
         self.elements.append(element)
 
     def _last(self, names: frozenset[str] | set[str]) -> int:
@@ -106,31 +122,62 @@ class _Stack:
         """Close the innermost open element of these names, if no stop is open inside of it."""
         at = self._last(names)
         if at and at > self._last(stops - names):
-            while len(self.elements) > at:
-                self.places[self.elements.pop().name].pop()
+            self._cut(at)
+
+    def close_inline(self, name: str) -> None:
+        """Close the innermost open element of this name, if no block is open inside of it."""
+        at = self._last({name})
+        if at > self.blocks[-1] and at > self._last(SCOPES):
+            self._cut(at)
+
+    def _cut(self, at: int) -> None:
+        while len(self.elements) > at:
+            name = self.elements.pop().name
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
 
 
 def parse(markup: str) -> Element:
+    markup = markup.replace("\r\n", "\n").replace("\r", "\n")
     root = Element("#root", {})
     stack = _Stack(root)
+    template = frozenset(("template",))
     at, end = 0, len(markup)
     while at < end:
         token = _TOKEN.match(markup, at)
         at = token.end()
         kind = token.lastgroup
         if kind == "text":
+            if stack.elements[-1].name == "head" and token["text"].strip():
+                stack.close({"head"}, template)
             stack.elements[-1].children.append(html.unescape(token["text"]))
         elif kind == "end":
             name = token["end"].lower()
-            stack.close({name}, SCOPES if name not in ("table", "html") else frozenset(("html",)))
+            if name in HEADINGS:
+                stack.close(HEADINGS, SCOPES)
+            elif name in ("table", "html"):
+                stack.close({name}, frozenset(("html",)))
+            elif name in ("br", "p") and not stack.places.get(name):
+                stack.elements[-1].children.append(Element(name, {}))
+            elif name in BLOCKS or name in SCOPES or name in ("head", "select", "datalist"):
+                stack.close({name}, SCOPES)
+            else:
+                stack.close_inline(name)
         elif token["start"]:
             name = token["start"].lower()
+            if name not in HEAD:
+                stack.close({"head"}, template)
             if name in BLOCKS and name not in ("body", "html"):
                 stack.close({"p"}, SCOPES)
+            if name in HEADINGS and stack.elements[-1].name in HEADINGS:
+                stack.close(HEADINGS, SCOPES)
             if name in CLOSES:
                 stack.close(*CLOSES[name])
             element = Element(name, _attributes(token["attributes"] or ""))
             stack.elements[-1].children.append(element)
+            if name in VERBATIM and markup.startswith("\n", at):
+                at += 1  # a line break right behind the tag does not count
             if name in RAW:
                 closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(markup, at)
                 inside = markup[at : closing.start() if closing else end]
@@ -141,9 +188,26 @@ def parse(markup: str) -> Element:
     return root
 
 
+def _style(element: Element) -> dict[str, str]:
+    """The declarations of a style attribute; of repeated ones the last."""
+    parts = (part.partition(":") for part in element.attributes.get("style", "").lower().split(";"))
+    return {name.strip(): value.replace("!important", "").strip() for name, _, value in parts}
+
+
 def hidden(element: Element) -> bool:
+    """Whether an element takes no place, and nothing in it is seen."""
     a = element.attributes
-    return element.name in UNSEEN or "hidden" in a or bool(_HIDING.search(a.get("style", "")))
+    if element.name in UNSEEN or (element.name == "dialog" and "open" not in a):
+        return True
+    display = _style(element).get("display") if "style" in a else None
+    return display == "none" or ("hidden" in a and not display)
+
+
+def _unfolded(details: Element) -> list[Element | str]:
+    """What is seen of ``details``: its summary, and all the rest if it is open."""
+    if "open" in details.attributes:
+        return details.children
+    return [child for child in details.children if isinstance(child, Element) and child.name == "summary"][:1]
 
 
 def _shown(select: Element) -> list[Element | str]:
@@ -229,81 +293,143 @@ class _Writer:
         return "\n".join(self.lines)
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
-    widths = [max(len(row[i]) for row in rows if i < len(row)) for i in range(max(map(len, rows), default=0))]
-    return ["  ".join(cell.ljust(width) for cell, width in zip(row, widths, strict=False)).rstrip() for row in rows]
+def _number(value: str, most: int) -> int:
+    return min(int(value), most) if value.isascii() and value.isdecimal() and len(value) < 9 else 1
+
+
+def _placed(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tuple[int, int, str]]]:
+    """Cells with their first column and the one behind their last. ``rows``: their group, and texts with columns and rows that they take (0 rows: to the group's end)."""
+    placed: list[list[tuple[int, int, str]]] = []
+    above: list[tuple[int, int, float]] = []  # columns that cells of earlier rows take, and for how many rows more
+    group = None
+    for of, cells in rows:
+        if of != group:
+            above, group = [], of
+        taken, at, new, line = sorted(above), 0, [], []
+        for text, across, down in cells:
+            while taken and taken[0][0] <= at:
+                at = max(at, taken.pop(0)[1])
+            line.append((at, at + across, text))
+            if down != 1:
+                new.append((at, at + across, down - 1 if down else float("inf")))
+            at += across
+        above = [(lo, hi, left - 1) for lo, hi, left in above if left > 1] + new
+        placed.append(line)
+    return placed
+
+
+def _aligned(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
+    """Lines of a table. Columns in which no cell begins take no room."""
+    placed = [line for line in _placed(rows) if any(text for _, _, text in line)]
+    columns = sorted({first for line in placed for first, _, _ in line})
+    index = {column: i for i, column in enumerate(columns)}
+    widths = [0] * len(columns)
+    wide = []
+    for line in placed:
+        for first, behind, text in line:
+            i = index[first]
+            if i + 1 == len(columns) or columns[i + 1] >= behind:
+                widths[i] = max(widths[i], len(text))
+            else:
+                wide.append((i, bisect.bisect_left(columns, behind), len(text)))
+    for i, j, length in wide:  # what does not fit in the columns it reaches over widens the last one
+        widths[j - 1] += max(0, length - sum(widths[i:j]) - 2 * (j - i - 1))
+    starts = [0, *itertools.accumulate(width + 2 for width in widths)]
+    lines = []
+    for line in placed:
+        out = ""
+        for first, _, text in line:
+            out = out.ljust(starts[index[first]]) + text
+        lines.append(out.rstrip())
+    return lines
 
 
 def render(root: Element) -> str:
     """The visible text of a tree."""
     writers = [_Writer()]
-    tables: list[list[list[str]]] = []
-    lists: list[list] = []  # [next number or None, indent outside]
+    tables: list[dict] = []
+    lists: list[list] = []  # [next number or None, indent outside, step]
+    visible = [True]
     as_it_stands = drawings = 0
     work: list[tuple[Element | str, bool]] = [(root, True)]
     while work:
         node, entering = work.pop()
         out = writers[-1]
         if isinstance(node, str):
+            if not visible[-1]:
+                continue
             if as_it_stands:
                 out.verbatim(node)
             else:
                 out.text(node)
             continue
-        name = node.name
+        name, a = node.name, node.attributes
         if entering:
             if hidden(node) or (drawings and name in UNDRAWN):
                 continue
+            shown = _style(node).get("visibility") if "style" in a else None
+            visible.append(visible[-1] if shown in (None, "inherit") else shown not in ("hidden", "collapse"))
             if name == "svg":
                 drawings += 1
-            if name == "br":
-                if not out.line and out.lines and out.lines[-1]:
-                    out.gap = True
-                out.end_line()
+            if name in ("br", "input"):
+                if name == "br":
+                    if not out.line and out.lines and out.lines[-1]:
+                        out.gap = True
+                    out.end_line()
+                elif visible[-1] and a.get("type", "").lower() in ("submit", "button", "reset"):
+                    out.text(a.get("value", ""))
+                visible.pop()
                 continue
             if name in BLOCKS:
                 out.block(name in SPACED and not (name in ("ul", "ol") and lists))
-            if name in ("ul", "ol", "menu", "dir"):
-                start = node.attributes.get("start", "1")
-                lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, out.indent] if name == "ol" else [None, out.indent])
+            if name in LISTS:
+                step = -1 if "reversed" in a else 1
+                first = sum(isinstance(child, Element) and child.name == "li" for child in node.children) if step < 0 else 1
+                start = a.get("start", "")
+                lists.append([int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else first, out.indent, step] if name == "ol" else [None, out.indent, 0])
             elif name == "li":
+                value = a.get("value", "")
+                if lists and lists[-1][0] is not None and re.fullmatch(r"-?[0-9]{1,9}", value):
+                    lists[-1][0] = int(value)
                 number = lists[-1][0] if lists else None
                 mark = "- " if number is None else f"{number}. "
                 if number is not None:
-                    lists[-1][0] += 1
+                    lists[-1][0] += lists[-1][2]
                 outside = lists[-1][1] if lists else out.indent
                 out.marker, out.indent = outside + mark, outside + " " * len(mark)
             elif name in ("dd", "blockquote"):
                 out.indent += "  "
-            elif name in ("pre", "textarea"):
+            elif name in VERBATIM:
                 as_it_stands += 1
             elif name == "table":
-                tables.append([])
+                tables.append({"rows": [], "group": 0})
                 writers.append(_Writer())
+            elif name in GROUPS and tables:
+                tables[-1]["group"] += 1
             elif name == "tr" and tables:
-                tables[-1].append([])
+                tables[-1]["rows"].append((tables[-1]["group"], []))
             elif name in CELLS and tables:
                 writers.append(_Writer())
             work.append((node, False))
-            work.extend((child, True) for child in reversed(_shown(node) if name == "select" else node.children))
+            inside = _shown(node) if name == "select" else _unfolded(node) if name == "details" else node.children
+            work.extend((child, True) for child in reversed(inside))
             continue
+        visible.pop()
         if name == "svg":
             drawings -= 1
         if name in CELLS and tables:
             cell = " ".join(line.strip() for line in writers.pop().result().split("\n") if line.strip())
-            if not tables[-1]:
-                tables[-1].append([])
-            tables[-1][-1].append(cell)
-            span = node.attributes.get("colspan", "1")
-            tables[-1][-1].extend([""] * (min(int(span), 1000) - 1 if span.isdecimal() else 0))
+            if not tables[-1]["rows"]:
+                tables[-1]["rows"].append((tables[-1]["group"], []))
+            tables[-1]["rows"][-1][1].append((cell, max(1, _number(a.get("colspan", "1").strip(), 1000)), _number(a.get("rowspan", "1").strip(), 65_534)))
             continue
         if name == "table":
             around = writers.pop().result()  # captions, and text that stands between cells
             out = writers[-1]
-            for line in [*(around.split("\n") if around else []), *_aligned([row for row in tables.pop() if any(row)])]:
+            for line in [*(around.split("\n") if around else []), *_aligned(tables.pop()["rows"])]:
                 out.verbatim(line)
                 out.end_line()
-        elif name in ("ul", "ol", "menu", "dir"):
+        elif name in LISTS:
             lists.pop()
         elif name == "li":
             out.end_line()
@@ -311,8 +437,10 @@ def render(root: Element) -> str:
         elif name in ("dd", "blockquote"):
             out.end_line()
             out.indent = out.indent[:-2]
-        elif name in ("pre", "textarea"):
+        elif name in VERBATIM:
             as_it_stands -= 1
+        if name in GROUPS and tables:
+            tables[-1]["group"] += 1
         if name in BLOCKS:
             out.block(name in SPACED and not (name in ("ul", "ol") and lists))
     return writers[0].result()
