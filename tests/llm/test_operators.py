@@ -76,7 +76,6 @@ def test_packing_is_an_exact_cover(docs, rows):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, capacity=128, max_open=4).collect()
     pieces = sorted((str(r["doc_id"]), r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]) for r in got)
     ids = {}
@@ -115,18 +114,41 @@ def test_sum_of_squares_level_is_the_best_one():
                 costs[h] = int((m[1:20] ** 2).sum())
         level = packer.level(int(size))
         assert costs[level] == min(costs.values())
+        costs.pop(0)
+        level = packer.level(int(size), new=False)
+        assert costs[level] == min(costs.values()) if costs else level == 0
         list(packer.add((0, 0), np.ones(size, "<u4")))
 
 
+def test_sequences_follow_an_order(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    place = rng.permutation(400).tolist()
+    table = spark.createDataFrame([(i, f"{'word ' * (1 + p % 37)}", p) for i, p in enumerate(place)], "doc_id long, text string, place long").repartition(5)
+    got = packing.pack(table, capacity=64, order=[F.col("place")]).collect()
+    first = {r["doc_id"]: r["sequence_id"] >> 40 for r in got}
+    by_place = [first[i] for i in sorted(first, key=lambda i: place[i])]
+    assert len(first) == 400 and by_place == sorted(by_place) and by_place[-1] > 0
+
+
+def test_few_sequences_are_emptied_and_one_is_short():
+    rng = np.random.default_rng(5)
+    packer = packing.SumOfSquaresPacker(2048, 4096)
+    full = [s for n in rng.integers(1, 1500, 4000) for s in packer.add((0, int(n)), np.ones(int(n), "<u4"))]
+    last = list(packer.finish())
+    assert sum(sum(len(ids) for _, _, ids in s) < 2048 for s in full + last) == 1
+    assert packer.n_emptied < 0.15 * len(full + last)
+
+
 def test_token_ids_equal_the_reference_tokenizer(rows):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encode = packing.byte_bpe_50k()
-    for text in [*(r[1] or "" for r in rows), "a  b", "a   b", "x \n y", " lead", "tail  ", "\x85 x", "it's  we'll", "<|endoftext|> b", "a\n\n b"]:
+    for text in [*(r[1] or "" for r in rows), "a  b", "a   b", "x \n y", " lead", "tail  ", "\x85 x", "it's  we'll", "<|endoftext|> b", "a<|endoftext|><|endoftext|>  b <|endoftext|>", "<|endoftext|", "a\n\n b"]:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
