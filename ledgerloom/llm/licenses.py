@@ -4,8 +4,8 @@ A text's canonical form has A-Z in lower case, no copyright lines, one space
 for every run of characters other than letters and digits, and one spelling of
 words that have several.  Its SHA-256 is looked up among the digests of the
 known texts (``KNOWN``), which go through the same expressions.  Two scopes are
-looked up: the whole text, and each line of it that has the word "license" in
-some spelling (all known notices have it, so no other line can match).
+looked up: the whole text, and each line of it that has one of the words of
+``NOTICE_WORDS`` (every known text has one, so no other line can match).
 
 Everything is DataFrame expressions.  The known texts are a fixed list of this
 module, a few kilobytes, so they are broadcast; the texts are digested where
@@ -156,17 +156,19 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 )
+#: Words of which every known text has one.
+NOTICE_WORDS = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt][Ii][Oo][Nn]|[Rr][Ee][Ll][Ee][Aa][Ss][Ee][Dd]"
 COPYRIGHT_LINE = r"\n[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form: words with one space before, between and behind them."""
+    """The canonical form: words with one space before, between and behind them. While spellings are replaced each word has spaces of its own."""
     text = F.concat(F.lit("\n"), F.translate(text, _UPPER, _LOWER))
     text = F.regexp_replace(text, COPYRIGHT_LINE, "\n")
-    text = F.concat(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    text = F.concat(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for spelling, usual in SPELLINGS:
-        text = F.replace(text, F.lit(f" {spelling} "), F.lit(f" {usual} "))
+        text = F.replace(text, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {usual.replace(' ', '  ')} "))
     return F.regexp_replace(text, " +", " ")
 
 
@@ -185,7 +187,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``digest``, ``license`` of the whole text (or null) and ``notices`` (licences of lines, with commas, or null)."""
     known = known_digests(docs)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]"))
+    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(NOTICE_WORDS))
     notices = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(F.broadcast(known), "digest")
     notices = notices.groupBy(F.col("doc_id").alias("of")).agg(F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("notices"))
     whole = texts.select("doc_id", digest(F.col("text")).alias("digest")).join(F.broadcast(known), "digest", "left")
@@ -200,9 +202,9 @@ def oracle_sql() -> str:
 
     def form(column: str) -> str:
         out = f"regexp_replace(chr(10) || translate({column}, '{_UPPER}', '{_LOWER}'), {text(COPYRIGHT_LINE)}, chr(10), 'g')"
-        out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+        out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
         for spelling, usual in SPELLINGS:
-            out = f"replace({out}, ' {spelling} ', ' {usual} ')"
+            out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
         return f"regexp_replace({out}, ' +', ' ', 'g')"
 
     values = ", ".join(f"({text(name)}, {text(body)})" for name, body in KNOWN)
@@ -211,7 +213,7 @@ WITH known AS (SELECT sha256({form("body")}) AS digest, min(license) AS license
 whole AS (SELECT doc_id, sha256({form("coalesce(text, '')")}) AS digest FROM documents),
 lines AS (
   SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-  WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]')),
+  WHERE regexp_matches(line, '{NOTICE_WORDS}')),
 notices AS (
   SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices
   FROM (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, sha256({form("line")}) AS digest FROM lines) JOIN known USING (digest)) GROUP BY doc_id)
