@@ -2,10 +2,11 @@
 
 A rule rejects a document by a few statistics of its whole text.  A statistic
 is computed when the first rule asks for it and kept for the rules after it.
-Before the run, a bounded sample of ``sample_rows`` texts is put through all
-rules on the driver: the time that each takes is its cost, and the order is
-built greedily, each time by the rule that rejects most of what the rules
-before it let through, per second.  Every document then runs through the rules
+Before the run, a bounded sample of ``sample_rows`` texts, those of the least
+hashes of id and text in the whole table, is put through the rules on the
+driver.  The order is built greedily, each time by the rule that rejects most of
+what the rules before it let through, per second; its cost is the time that it
+takes beyond the statistics that those rules have left behind.  Every document then runs through the rules
 in that order and leaves at the first that rejects it.  All rules of a set must
 hold, so the order changes the work and never the verdict.
 
@@ -20,6 +21,7 @@ by ``screened``.
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -27,6 +29,7 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -115,23 +118,30 @@ RULES = (
 
 def cascade(sample: Sequence[bytes], rules: Sequence[Rule], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
     """The rules in the order of what each rejects per second, given those before it."""
-    left, order, remaining = list(range(len(sample))), [], list(rules)
-    verdicts, costs = {}, {}
-    for rule in rules:
-        began = clock()
-        verdicts[rule.name] = {i for i in left if rule.rejects(Statistics(sample[i]))}
-        costs[rule.name] = max(clock() - began, 1e-9)
+    left, order, remaining = [Statistics(text) for text in sample], [], list(rules)
     while remaining:
-        best = max(remaining, key=lambda rule: len(verdicts[rule.name].intersection(left)) / costs[rule.name])
+        tried = {}
+        for rule in remaining:
+            known = [copy.copy(statistics) for statistics in left]  # what the rules before have computed, no more
+            began = clock()
+            rejected = [rule.rejects(statistics) for statistics in known]
+            tried[rule.name] = sum(rejected) / max(clock() - began, 1e-9), known, rejected
+        best = max(remaining, key=lambda rule: tried[rule.name][0])
         remaining.remove(best)
         order.append(best)
-        left = [i for i in left if i not in verdicts[best.name]]
+        _, known, rejected = tried[best.name]
+        left = [statistics for statistics, gone in zip(known, rejected, strict=True) if not gone]
     return order
 
 
 def planned(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200) -> list[Rule]:
-    """The cascade for ``docs``, from a sample of at most ``sample_rows`` of its texts."""
-    return cascade([(row[0] or "").encode() for row in docs.select("text").head(sample_rows)], rules)
+    """The cascade for ``docs``, from a sample of at most ``sample_rows`` of its texts, drawn by hash over the whole table."""
+    keys = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
+    last = keys.orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
+    if last is None:
+        return list(rules)
+    sample = docs.filter(F.xxhash64(docs["doc_id"], docs["text"]) <= last).select("text").limit(sample_rows)  # repeated rows may make more
+    return cascade([(row[0] or "").encode() for row in sample.collect()], rules)
 
 
 def passes(statistics: Statistics, order: Sequence[Rule]) -> bool:
@@ -142,8 +152,8 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES, sample_rows: int = 200) -> DataFrame:
-    """Statistics and verdicts of every row: ``base_failed`` by the base rules, ``kept`` by all rules."""
-    order = [rule for rule in planned(docs, rules, sample_rows) if rule not in base]
+    """Statistics and verdicts of every row: ``base_failed`` by the base rules, ``kept`` by all rules (which ``rules`` holds)."""
+    order = planned(docs, rules, sample_rows)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +164,7 @@ def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule
                 for column, name in zip(columns, COLUMNS, strict=True):
                     column.append(getattr(s, name))
                 failed.append(not passes(s, base))
-                kept.append(not failed[-1] and passes(s, order))
+                kept.append(passes(s, order))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], ["doc_id", *COLUMNS, "base_failed", "kept"])
 
     schema = f"doc_id long, {', '.join(f'{name} long' for name in COLUMNS)}, base_failed boolean, kept boolean"
