@@ -13,9 +13,9 @@ substrings get the same phrases inside, wherever they stand.
 A fingerprint holds the least ``SKETCH`` 32-bit hashes of a text's distinct
 phrases at levels 1 and 2, as hexadecimal numbers, with a dash between the
 levels.  The likeness of two fingerprints is the share that their phrases have
-in common (Jaccard), estimated from the least hashes of the union, at level 2;
-or at level 1 if one of the texts has fewer than ``FEW`` phrases at level 2.
-Texts with the same phrases, so equal texts at least, have likeness 1.
+in common (Jaccard), estimated from the least hashes of the union of each level;
+a level weighs as much as it has such hashes, so level 2, of which more are
+kept, tells for most, and level 1 for texts of a few phrases.  Texts with the same phrases, so equal texts at least, have likeness 1.
 
 ``with_neighbours`` brings each document together with the next one: rows go to
 ranges of ids of about equal size, the first row of every range goes to the
@@ -41,8 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.workspace import shuffle_width
 
-SKETCH = (32, 64)  #: Hashes kept at levels 1 and 2
-FEW = 8
+SKETCH = (16, 80)  #: Hashes kept at levels 1 and 2
 BLOCK_POINTS = 1_000_000
 _LEAST = -(2**63)
 
@@ -128,17 +127,16 @@ def from_string(fingerprint: str) -> tuple[np.ndarray, ...]:
 
 def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     """Estimated share of common phrases, 0 to 1."""
-    level = 1 if min(len(a[1]), len(b[1])) >= FEW else 0
-    x, y = a[level], b[level]
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.concatenate([x, y])
-    both.sort()
-    common = np.zeros(len(both), bool)
-    common[1:] = both[1:] == both[:-1]
-    distinct = np.cumsum(~common)
-    first = common[distinct <= SKETCH[level]]
-    return float(first.sum() / min(SKETCH[level], distinct[-1]))
+    shared = weight = 0
+    for x, y, size in zip(a, b, SKETCH, strict=True):
+        both = np.concatenate([x, y])
+        both.sort()
+        common = np.zeros(len(both), bool)
+        common[1:] = both[1:] == both[:-1]
+        distinct = np.cumsum(~common)
+        shared += int(common[distinct <= size].sum())
+        weight += min(size, int(distinct[-1])) if len(both) else 0
+    return shared / weight if weight else 1.0
 
 
 def edited(text: str, following: str) -> str:
