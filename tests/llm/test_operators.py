@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -10,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import classifier, fingerprints, html_text, licenses, mixing, packing, quality_rules, simhash, substrings, token_counts
 
@@ -121,8 +124,6 @@ def test_sum_of_squares_level_is_the_best_one():
 
 
 def test_sequences_follow_an_order(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(2)
     place = rng.permutation(400).tolist()
     table = spark.createDataFrame([(i, f"{'word ' * (1 + p % 37)}", p) for i, p in enumerate(place)], "doc_id long, text string, place long").repartition(5)
@@ -179,6 +180,20 @@ def test_licenses_ignore_case_punctuation_and_copyright_lines(spark):
     assert got == {(1, "MIT", None), (2, None, "MIT"), (3, None, None), (4, None, None), (None, None, None), (5, None, None)}
 
 
+def test_licenses_in_long_and_repeated_rows_under_clashing_columns(spark, docs, rows):
+    notice = licenses._ISC + licenses._ISC_NOTICE + licenses._ISC_TAIL
+    table = [(1, f"words {notice} words\n" + notice.replace("\n", " "), "x", "y", 0), (2, "word " * 200_000 + "\nLicensed under the MIT licence.", None, "z", 1), (2, "Licensed under the MIT licence.", None, None, 1), (2, "Licensed under the MIT licence.", None, None, 1)]
+    found = licenses.scanned(spark.createDataFrame(table, "doc_id long, text string, digest string, license string, line int"))
+    assert Counter((r["doc_id"], r["license"], r["notices"]) for r in found.collect()) == Counter([(1, None, "ISC"), (2, None, "MIT"), (2, "MIT", "MIT"), (2, "MIT", "MIT")])
+    assert Counter(r["doc_id"] for r in licenses.scanned(docs).collect()) == Counter(r[0] for r in rows)
+
+
+def test_spellings_side_by_side_and_words_of_notices(spark):
+    a, b = (spark.createDataFrame([(text,)], "text string").select(licenses.canonical(F.col("text"))).first()[0] for text in ("Licence licence, Sub-Licence copyright owner", "license LICENSE sublicense copyright holder"))
+    assert a == b
+    assert all(re.search(licenses.NOTICE_WORDS, text) for _, text in licenses.KNOWN)
+
+
 def test_licenses_know_creative_commons_and_standard_texts(spark):
     lines = {
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the CC-BY-SA 3.0 licence": "CC-BY-SA-3.0",
@@ -227,6 +242,82 @@ def test_cascade_order_follows_rejections_per_second():
     assert [r.name for r in quality_rules.cascade([b"a", b"a b"], rules, lambda: next(ticks))][0] == "all"
 
 
+def test_cascade_counts_shared_statistics_once_and_samples_the_whole_table(spark):
+    ticks = iter(range(10_000))
+
+    class Slow(quality_rules.Statistics):
+        pass
+
+    def costly(s):  # the words are split by whichever rule comes first
+        if "words" not in s.__dict__:
+            for _ in range(50):
+                next(ticks)
+        return s.words
+
+    rules = [quality_rules.Rule("first", lambda s: len(costly(s)) == 1), quality_rules.Rule("after", lambda s: len(costly(s)) == 2), quality_rules.Rule("other", lambda s: not [next(ticks) for _ in range(30)] or len(s.text) == 5)]
+    order = quality_rules.cascade([b"a", b"a", b"a", b"a a", b"a a b"], rules, lambda: next(ticks))
+    assert [r.name for r in order] == ["first", "after", "other"]
+    table = spark.createDataFrame([(i, "BAD" if i >= 500 else "good") for i in range(1000)], "doc_id long, text string").repartition(1)
+    only = quality_rules.Rule("bad", lambda s: s.text == b"BAD")
+    seen = []
+    quality_rules.planned(table, [quality_rules.Rule("see", lambda s: bool(seen.append(s.text)))], sample_rows=100)
+    assert len(seen) == 100 and 20 < seen.count(b"BAD") < 80 and quality_rules.planned(table, [only], 10) == [only]
+
+
+def brute_level(names):
+    """Phrases of one level, symbol by symbol, in plain integers."""
+    full = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & full
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & full
+        return x ^ x >> 32
+
+    symbols = []
+    for name, group in itertools.groupby(names):
+        n = len(list(group))
+        symbols.append(name if n == 1 else mix(name + mix(n) & full))
+    labels = symbols
+    for _ in range(4):
+        tossed = []
+        for i, label in enumerate(labels):
+            other = labels[i - 1] if i else label ^ 1
+            bit = ((label ^ other) & -(label ^ other)).bit_length() - 1
+            tossed.append(2 * bit + (label >> bit & 1))
+        labels = tossed
+    phrases = []
+    for i, symbol in enumerate(symbols):
+        if i == 0 or (labels[i] > labels[i - 1] and (i + 1 == len(symbols) or labels[i] > labels[i + 1])):
+            phrases.append([])
+        phrases[-1].append(symbol)
+    return [mix(sum(mix(s + k * 0x9E3779B97F4A7C15 & full) for k, s in enumerate(p)) & full) for p in phrases], mix
+
+
+def brute_sketch(text):
+    _, mix = brute_level([])
+    names, out = [mix(ord(c) + 1) for c in text], []
+    for size in (16, 80):
+        names, _ = brute_level(names)
+        out.append(sorted({n >> 32 for n in names})[:size])
+    return out
+
+
+def brute_likeness(a, b):
+    unions = [sorted({*x, *y})[:size] for x, y, size in zip(a, b, (16, 80), strict=True)]
+    common = sum(len([h for h in u if h in x and h in y]) for u, x, y in zip(unions, a, b, strict=True))
+    return common / sum(map(len, unions)) if any(unions) else 1.0
+
+
+def test_fingerprints_equal_plain_parsing(rows):
+    texts = [r[1] or "" for r in rows] + ["aaaa", "ab" * 50, "a"]
+    for text, after in zip(texts, [*texts[1:], texts[0]], strict=True):
+        own, nxt = fingerprints.sketches([text, after])
+        assert [level.tolist() for level in own] == brute_sketch(text)
+        assert fingerprints.likeness(own, nxt) == brute_likeness(brute_sketch(text), brute_sketch(after))
+
+
 def test_fingerprints_of_texts_edits_and_neighbours(docs, rows):
     got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprints.fingerprinted(docs, ranges=4, block_points=3000).collect())
     ordered = sorted(((-(2**63) if r[0] is None else r[0], (r[1] or "").encode(), r[0]) for r in rows))
