@@ -51,7 +51,9 @@ class TrieCounter:
 
     def __init__(self, scores: dict[str, float], max_nodes: int = 500_000, longest_in_trie: int = 200) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores))
+        #: All endings of pieces; those that are pieces, with their score (which is below 0).
+        self.endings: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))}
+        self.endings.update(scores)
         self.fallback = min(scores.values())
         self.max_nodes, self.longest_in_trie = max_nodes, longest_in_trie
         self._start()
@@ -62,12 +64,16 @@ class TrieCounter:
         self.tokens: list[int] = [0]
         self.terminal: dict[str, int] = {}
 
-    def _forward(self, prefix: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and token count of ``prefix[:end]``, from those of all shorter prefixes."""
-        n_bytes = len(prefix[end - 1].encode())
-        found = (best[end - 1] + n_bytes * self.fallback, -tokens[end - 1] - n_bytes) if prefix[end - 1] not in self.scores else None
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(prefix[start:end])
+    def _forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score and token count of ``word[:end]``, from those of all shorter prefixes."""
+        last = word[end - 1]
+        n_bytes = len(last.encode())
+        found = (best[end - 1] + n_bytes * self.fallback, -tokens[end - 1] - n_bytes) if last not in self.scores else None
+        endings = self.endings
+        for start in range(end - 1, -1, -1):
+            score = endings.get(word[start:end], 0)
+            if score == 0:  # no piece ends like this, so no longer one does
+                break
             if score is not None:
                 other = (best[start] + score, -tokens[start] - 1)
                 if found is None or other > found:
@@ -75,23 +81,22 @@ class TrieCounter:
         return found[0], -found[1]
 
     def _insert(self, word: str) -> int:
-        node, path = 0, [0]
-        for depth, char in enumerate(word):
+        node, best, tokens = 0, [0.0], [0]
+        for depth, char in enumerate(word, 1):
             children = self.children[node]
             if children is None:
                 children = self.children[node] = {}
             nxt = children.get(char)
             if nxt is None:
                 nxt = children[char] = len(self.best)
-                first = max(0, depth + 1 - self.longest)
-                near = path[first:]
-                score, count = self._forward(word[first : depth + 1], depth + 1 - first, [self.best[i] for i in near], [self.tokens[i] for i in near])
+                score, count = self._forward(word, depth, best, tokens)
                 self.children.append(None)
                 self.best.append(score)
                 self.tokens.append(count)
             node = nxt
-            path.append(node)
-        return self.tokens[node]
+            best.append(self.best[node])
+            tokens.append(self.tokens[node])
+        return tokens[-1]
 
     def count(self, word: str) -> int:
         """Tokens of one word."""
@@ -108,8 +113,7 @@ class TrieCounter:
     def without_trie(self, marked: str) -> int:
         best, tokens = [0.0], [0]
         for end in range(1, len(marked) + 1):
-            first = max(0, end - self.longest)
-            score, count = self._forward(marked[first:end], end - first, best[first:], tokens[first:])
+            score, count = self._forward(marked, end, best, tokens)
             best.append(score)
             tokens.append(count)
         return tokens[-1]
