@@ -8,9 +8,10 @@ runs of equal words (a hash of the word's name and the length), splits all
 names into left and right ones by a hashed coin, and gives each adjacent
 left-right pair a name of its own (a hash of both).  The next level does the
 same to what came out, where equal neighbours share a coin and so stay apart.
-A name depends on what it stands for alone, so all tasks of a Spark round name
-all runs and pairs alike, and equal passages get equal symbols but for
-those at their ends, which can be joined with what stands outside.
+A name depends on what it stands for alone, so naming needs no exchange between
+tasks, and equal passages get equal symbols but for those at their ends, which
+can be joined with what stands outside.  Two levels are what 13 words leave
+room for: a border between symbols of the third can depend on words outside.
 
 Anchors.  In a window without equal adjacent words, the borders between
 second-level symbols at word 3 to 10 do not depend on the words outside, and
@@ -19,17 +20,24 @@ border between places 3 and 9, where the name of the seven words around it is
 least.  Equal windows have equal anchors, and one anchor serves about four
 windows.  A window with equal adjacent words is its own anchor.
 
-Round 1.  Every task names the words of a block of documents.  Windows that
-also start in a smaller document of the same block are found at once (a passage
-that very many documents share so leaves each block just once); the anchors of
-the others, each with its windows' names (40 bits), go to the anchor's bucket.
-Round 2.  A bucket drops anchors that one document alone has, and reports
-windows that a smaller document has too.  A window is taken for equal if its
-anchor's name (64 bits) and its own (40 bits) are.
-Round 3.  Reports meet the texts, which are cut.
+Texts are dealt to blocks of about ``block_bytes`` by hash, once; all rounds
+read that one shuffle.
 
-The number of buckets follows the shuffle's width, so what a task holds at once
-is a block of ``block_words`` words, or a bucket.
+Round 1.  A block names its words and gives the anchors that it has to the
+anchors' buckets.
+Round 2.  A bucket tells blocks which of their anchors another block has too.
+Round 3.  A block finds its windows that also start in a smaller document of the
+block (so a passage that very many documents share leaves each block just once),
+and gives the words of the others to the buckets, if their anchor is shared.
+Round 4.  A bucket compares the words and reports windows that a smaller
+document of another block has too.
+Round 5.  A block cuts its texts.
+
+Anchors and names only say where to look.  Within a block and within a bucket,
+windows are equal if their words are (``_classes``), whatever their hashes.
+
+The numbers of blocks and buckets follow the bytes of all texts, so what a task
+holds at once is a block, or the shared anchors or windows of a bucket.
 
 Cases: a null text has no words; texts of fewer than 13 words lose none; of rows
 with equal ids none is smaller; rows with a null id are left whole and take
@@ -40,9 +48,9 @@ their names, are passed on by ``deduplicated`` and not read by ``digests``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
-from functools import partial
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +63,11 @@ from ledgerloom.llm.workspace import shuffle_width
 WINDOW = 13
 AROUND = (3, 4)  #: Words before and after a border whose name is the border's
 FIRST, LAST = 3, 9  #: Places of a window where its anchor can be
-BLOCK_WORDS = 400_000
-BUCKETS_PER_TASK = 4
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 64 << 20  #: Bytes of text for one bucket of anchors
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit names evenly."""
     x = x ^ (x >> np.uint64(33))
@@ -108,6 +115,10 @@ def symbol_borders(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return found
 
 
+def _names(index: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+
+
 def _name_of_next(words: np.ndarray, count: int) -> np.ndarray:
     """The name of the ``count`` words from each word on (of fewer at the block's end)."""
     padded = np.concatenate([words, np.zeros(count, np.uint64)])
@@ -117,198 +128,223 @@ def _name_of_next(words: np.ndarray, count: int) -> np.ndarray:
     return names
 
 
-def _block(rows: list[tuple[int, int, np.ndarray]], buckets: int) -> list[tuple[int, bytes | None, int | None, int | None, bytes | None]]:
-    """Round 1 for a block of ``(doc_id, text key, words' names)``: anchors by bucket, and windows found in the block."""
-    rows = [r for r in rows if len(r[2]) >= WINDOW]
-    if not rows:
-        return []
-    words = np.concatenate([r[2] for r in rows])
-    lengths = np.array([len(r[2]) for r in rows])
-    offsets = np.cumsum(lengths) - lengths
-    n = len(words)
-    starts = np.zeros(n, bool)
-    starts[offsets] = True
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    place = np.arange(n) - offsets[row]
-    is_window = place <= lengths[row] - WINDOW
-    ids = np.array([r[0] for r in rows], np.int64)
-
-    window = _name_of_next(words, WINDOW)
-    equal = np.zeros(n, np.int64)
-    equal[1:] = (words[1:] == words[:-1]) & ~starts[1:]
-    sums = np.concatenate([np.cumsum(equal), np.full(WINDOW, equal.sum())])
-    stutters = sums[WINDOW - 1 : WINDOW - 1 + n] > sums[:n]
-
-    around = np.zeros(n, np.uint64)
-    named = _name_of_next(words, sum(AROUND))
-    around[AROUND[0] :] = named[: n - AROUND[0]]
-    none = np.uint64(2**64 - 1)
-    place_name = np.where(symbol_borders(words, starts), around, none)
-    place_name = np.concatenate([place_name, np.full(WINDOW, none)])
-    anchor = place_name[FIRST : FIRST + n].copy()
-    for i in range(FIRST + 1, LAST + 1):
-        np.minimum(anchor, place_name[i : i + n], out=anchor)
-    own = stutters | (anchor == none)
-    anchor[own] = window[own]
-
-    at = np.nonzero(is_window)[0]
-    order = np.lexsort((ids[row[at]], window[at]))
-    at = at[order]
-    names, owners = window[at], ids[row[at]]
+def _binary(texts: pa.ChunkedArray) -> pa.ChunkedArray:
+    return texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())
+
+
+def _numbered() -> dict[bytes, int]:
+    """Words by number: a word that is looked up for the first time gets the next one."""
+    index: dict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__
+    return index
+
+
+def _classes(at: np.ndarray, name: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A number for each window that starts at ``at``: equal if, and only if, the words are. ``name``: a hash of each window; ``words``: word numbers."""
+    order = np.argsort(name, kind="stable")
     first = np.ones(len(at), bool)
-    first[1:] = names[1:] != names[:-1]
-    least = owners[first][np.cumsum(first) - 1]
-    gone = at[owners > least]
-    kept = at[owners == least]
-
-    out: list[tuple] = []
-    out.extend(_reports(np.sort(gone), row, place, rows, buckets))
-
-    # Windows that stay, by bucket, anchor and document.
-    bucket = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((kept, anchor[kept], bucket))
-    kept, bucket = kept[order], bucket[order]
-    cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-    for lo, hi in zip(cuts, [*cuts[1:], len(kept)], strict=True):
-        part = kept[lo:hi]
-        owner = row[part]
-        mentioned, owner = np.unique(owner, return_inverse=True)
-        keys = np.array([[rows[m][0], rows[m][1]] for m in mentioned], "<i8")
-        out.append((int(bucket[lo]), _blob(keys, anchor[part], window[part], owner, place[part]), None, None, None))
-    return out
+    first[1:] = name[order[1:]] != name[order[:-1]]
+    group = np.cumsum(first) - 1
+    sizes = np.bincount(group, minlength=1)
+    several = np.nonzero(sizes[group] > 1)[0]
+    own, of_first = at[order[several]], at[order[np.nonzero(first)[0][group[several]]]]
+    same = np.ones(len(several), bool)
+    for i in range(WINDOW):
+        same &= words[own + i] == words[of_first + i]
+    found = np.empty(len(at), np.int64)
+    found[order] = group
+    if not same.all():  # different words under one hash
+        clash = np.isin(found, group[several[~same]])
+        exact: dict[bytes, int] = {}
+        found[clash] = [len(at) + exact.setdefault(words[i : i + WINDOW].tobytes(), len(exact)) for i in at[clash]]
+    return found
 
 
-def _blob(keys: np.ndarray, anchor: np.ndarray, window: np.ndarray, owner: np.ndarray, place: np.ndarray) -> bytes:
-    """Windows of one bucket as bytes: runs of neighbouring windows with one anchor, and 40 bits for each window."""
-    n = len(anchor)
-    breaks = np.ones(n, bool)
-    breaks[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(place) != 1)
-    since = np.arange(n) - np.nonzero(breaks)[0][np.cumsum(breaks) - 1]
-    heads = np.nonzero(since % 255 == 0)[0]
-    short = (window & np.uint64(2**40 - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    low, high = place[heads] & 0xFFFF, place[heads] >> 16
-    pieces = (
-        np.array([len(keys), len(heads), n], "<i8"), keys, anchor[heads].astype("<u8"), owner[heads].astype("<u4"),
-        low.astype("<u2"), high.astype("<u2"), np.diff(heads, append=n).astype(np.uint8), np.ascontiguousarray(short),
-    )
-    return b"".join(p.tobytes() for p in pieces)
-
-
-def _unblob(blob: bytes) -> tuple[np.ndarray, ...]:
-    n_keys, n_runs, n = map(int, np.frombuffer(blob, "<i8", 3))
-    at = 24
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(blob, kind, count, at)
-        at += found.nbytes
-        return found
-
-    keys = take("<i8", 2 * n_keys).reshape(-1, 2)
-    anchor, owner = take("<u8", n_runs), take("<u4", n_runs).astype(np.int64)
-    place = take("<u2", n_runs).astype(np.int64)
-    place += take("<u2", n_runs).astype(np.int64) << 16
-    counts = take("u1", n_runs)
-    short = np.zeros((n, 8), np.uint8)
-    short[:, :5] = take("u1", 5 * n).reshape(-1, 5)
-    run = np.repeat(np.arange(n_runs), counts)
-    heads = np.cumsum(counts, dtype=np.int64) - counts
-    return keys, anchor[run], short.view("<u8").ravel(), owner[run], place[run] + np.arange(n) - heads[run]
-
-
-def _reports(gone: np.ndarray, row: np.ndarray, place: np.ndarray, rows: list, buckets: int) -> Iterator[tuple]:
-    """Runs of windows that go, as ``(first place, number)`` pairs for each document."""
-    if not len(gone):
-        return
-    breaks = np.ones(len(gone), bool)
-    breaks[1:] = (np.diff(gone) != 1) | (row[gone[1:]] != row[gone[:-1]])
+def _least(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window the least id of its class."""
+    order = np.lexsort((ids, classes))
+    first = np.ones(len(order), bool)
+    first[1:] = classes[order[1:]] != classes[order[:-1]]
+    least = np.empty(len(order), np.int64)
+    least[order] = ids[order][first][np.cumsum(first) - 1]
+    return least
+
+
+class _Block:
+    """The words of a block's texts, one text after the other; texts without a window are left out."""
+
+    def __init__(self, table: pa.Table) -> None:
+        index = _numbered()
+        number = index.__getitem__
+        self.keys: list[tuple[int, int]] = []
+        parts = []
+        for doc_id, key, text in zip(table["__substrings_id"].to_pylist(), table["__substrings_key"].to_pylist(), _binary(table["text"]), strict=True):
+            value = text.as_py() if doc_id is not None else None
+            words = value.split() if value else ()
+            if len(words) >= WINDOW:
+                self.keys.append((doc_id, key))
+                parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.index = index
+        lengths = np.array([len(part) for part in parts], np.int64)
+        offsets = np.cumsum(lengths) - lengths
+        self.starts = np.zeros(len(self.words), bool)
+        self.starts[offsets] = True
+        self.row = np.repeat(np.arange(len(parts)), lengths)
+        self.place = np.arange(len(self.words)) - offsets[self.row]
+        self.windows = np.nonzero(self.place <= lengths[self.row] - WINDOW)[0]
+        self.names = _names(index)[self.words] if parts else np.zeros(0, np.uint64)
+        self.window_names = _name_of_next(self.names, WINDOW)
+
+    def anchors(self) -> np.ndarray:
+        """The anchor of each window."""
+        names, n = self.names, len(self.names)
+        if not n:
+            return names
+        equal = np.zeros(n, np.int64)
+        equal[1:] = (names[1:] == names[:-1]) & ~self.starts[1:]
+        sums = np.concatenate([np.cumsum(equal), np.full(WINDOW, equal.sum())])
+        stutters = sums[WINDOW - 1 : WINDOW - 1 + n] > sums[:n]
+        around = np.zeros(n, np.uint64)
+        around[AROUND[0] :] = _name_of_next(names, sum(AROUND))[: n - AROUND[0]]
+        none = np.uint64(2**64 - 1)
+        place_name = np.concatenate([np.where(symbol_borders(names, self.starts), around, none), np.full(WINDOW, none)])
+        anchor = place_name[FIRST : FIRST + n].copy()
+        for i in range(FIRST + 1, LAST + 1):
+            np.minimum(anchor, place_name[i : i + n], out=anchor)
+        own = stutters | (anchor == none)
+        anchor[own] = self.window_names[own]
+        return anchor[self.windows]
+
+
+def _cut_by(values: np.ndarray) -> zip:
+    """Begin and end of each run of equal values."""
+    cuts = np.nonzero(np.diff(values, prepend=values[:1] - 1))[0] if len(values) else np.zeros(0, np.int64)
+    return zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=False)
+
+
+def _spans(owner: np.ndarray, place: np.ndarray, keys: list) -> list[tuple[int, int, bytes]]:
+    """Windows that go, as runs of ``(first place, number)``, for each document. The windows stand in the order of owner and place."""
+    if not len(owner):
+        return []
+    breaks = np.ones(len(owner), bool)
+    breaks[1:] = (owner[1:] != owner[:-1]) | (np.diff(place) != 1)
     heads = np.nonzero(breaks)[0]
-    spans = np.stack([place[gone[heads]], np.diff(heads, append=len(gone))], axis=1).astype("<u4")
-    owner = row[gone[heads]]
-    cuts = np.nonzero(np.diff(owner, prepend=-1))[0]
-    for lo, hi in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-        doc_id, key, _ = rows[owner[lo]]
-        yield (doc_id % buckets, None, doc_id, key, spans[lo:hi].tobytes())
-
-
-def _named(batches: Iterator[pa.RecordBatch], buckets: int, block_words: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, int, np.ndarray]] = []
-    n_held = 0
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        out = _block(held, buckets)
-        for lo in range(0, len(out), 2000):
-            yield _batch(out[lo : lo + 2000])
-        held.clear()
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            value = text.as_py()
-            if doc_id is None or not value:
-                continue
-            words = value.split()
-            key = int(np.uint64(xxhash.xxh64_intdigest(value, 42)).view(np.int64))
-            held.append((doc_id, key, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
-            n_held += len(words)
-            if n_held >= block_words:
-                yield from flushed()
-                n_held = 0
-    yield from flushed()
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "anchors", "doc_id", "text_key", "spans"])
+    spans = np.stack([place[heads], np.diff(heads, append=len(owner))], axis=1).astype("<u4")
+    return [(*keys[owner[heads[lo]]], spans[lo:hi].tobytes()) for lo, hi in _cut_by(owner[heads])]
+
+
+ANCHORS = "__substrings_block long, bucket long, anchors binary"
+
+
+def _named(table: pa.Table, buckets: int) -> pa.Table:
+    """Round 1."""
+    anchors = np.unique(_Block(table).anchors())
+    bucket = (anchors % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    anchors, bucket = anchors[order], bucket[order]
+    rows = [(int(bucket[lo]), anchors[lo:hi].tobytes()) for lo, hi in _cut_by(bucket)]
+    block = table["__substrings_block"][0].as_py()
+    return pa.table({"__substrings_block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "anchors": pa.array([a for _, a in rows], pa.binary())})
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Round 2 for a bucket: passes on the reports of round 1, and adds those of windows that blocks share."""
-    reports: list[tuple] = [(d, k, s) for d, k, s in zip(table["doc_id"].to_pylist(), table["text_key"].to_pylist(), table["spans"].to_pylist(), strict=True) if s is not None]
-    parts = [b.as_py() for b in table["anchors"] if b.is_valid]
-    if parts:
-        keys, anchors, windows, owners, places = zip(*map(_unblob, parts), strict=True)
-        shifts = np.cumsum([0, *map(len, keys)])
-        owners = [owner + shift for owner, shift in zip(owners, shifts, strict=False)]
-        key, anchor, window, owner, place = map(np.concatenate, (keys, anchors, windows, owners, places))
-        ids = key[owner, 0]
-        name = _joined(anchor, window)
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        twins = np.zeros(len(name), bool)
-        twins[1:] = name[1:] == name[:-1]
-        twins[:-1] |= twins[1:]
-        at = order[twins]
-        if len(at):
-            at = at[np.lexsort((ids[at], window[at], anchor[at]))]
-            first = np.ones(len(at), bool)
-            first[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (window[at[1:]] != window[at[:-1]])
-            least = ids[at][first][np.cumsum(first) - 1]
-            gone = at[ids[at] > least]
-            gone = gone[np.lexsort((place[gone], owner[gone]))]
-            o, p = owner[gone], place[gone]
-            if len(gone):
-                breaks = np.ones(len(gone), bool)
-                breaks[1:] = (o[1:] != o[:-1]) | (np.diff(p) != 1)
+    """Round 2. A block names an anchor once, so an anchor that stands twice has two blocks."""
+    parts = [np.frombuffer(blob.as_py(), np.uint64) for blob in table["anchors"]]
+    found, often = np.unique(np.concatenate(parts), return_counts=True)
+    shared = found[often > 1]
+    blobs = [part[np.isin(part, shared, assume_unique=True)].tobytes() for part in parts]
+    out = pa.table({"__substrings_block": table["__substrings_block"], "bucket": table["bucket"], "anchors": pa.array(blobs, pa.binary())})
+    return out.filter(pa.array([bool(blob) for blob in blobs], pa.bool_()))
+
+
+WINDOWS = "__substrings_block long, bucket long, doc_id long, text_key long, spans binary, owners binary, places binary, counts binary, words binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _compared(table: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
+    """Round 3. A row is a report (with spans), or a block's windows for a bucket: documents, and for each run of windows its owner, first place, number and words."""
+    rows: list[tuple] = []
+    block = _Block(table)
+    if len(block.windows):
+        number = table["__substrings_block"][0].as_py()
+        at, ids = block.windows, np.array([doc_id for doc_id, _ in block.keys], np.int64)
+        owner, place = block.row[at], block.place[at]
+        gone = ids[owner] > _least(_classes(at, block.window_names[at], block.words), ids[owner])
+        rows += [(number, doc_id % buckets, doc_id, key, spans, None, None, None, None) for doc_id, key, spans in _spans(owner[gone], place[gone], block.keys)]
+        blobs = [np.frombuffer(blob.as_py(), np.uint64) for blob in shared["anchors"]]
+        if blobs:
+            anchor = block.anchors()
+            kept = np.nonzero(~gone & np.isin(anchor, np.concatenate(blobs)))[0]
+            bucket = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            kept, bucket = kept[order], bucket[order]
+            text = list(block.index)
+            for lo, hi in _cut_by(bucket):
+                part = kept[lo:hi]
+                breaks = np.ones(len(part), bool)
+                breaks[1:] = np.diff(at[part]) != 1
+                breaks[1:] |= owner[part[1:]] != owner[part[:-1]]
                 heads = np.nonzero(breaks)[0]
-                spans = np.stack([p[heads], np.diff(heads, append=len(gone))], axis=1).astype("<u4")
-                who = o[heads]
-                cuts = np.nonzero(np.diff(who, prepend=-1))[0]
-                for lo, hi in zip(cuts, [*cuts[1:], len(who)], strict=True):
-                    reports.append((int(key[who[lo], 0]), int(key[who[lo], 1]), spans[lo:hi].tobytes()))
-    columns = list(zip(*reports, strict=True)) or [[]] * 3
-    return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "text_key": pa.array(columns[1], pa.int64()), "spans": pa.array(columns[2], pa.binary())})
-
-
-def repeated_spans(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | None = None) -> DataFrame:
-    """For every document with windows to remove: ``doc_id``, ``text_key`` and their ``(first word, windows)`` runs."""
-    spark = docs.sparkSession
-    buckets = buckets or BUCKETS_PER_TASK * shuffle_width(spark)
-    named = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(
-        partial(_named, buckets=buckets, block_words=block_words), "bucket int, anchors binary, doc_id long, text_key long, spans binary"
-    )
-    found = named.groupBy("bucket").applyInArrow(_shared, "doc_id long, text_key long, spans binary")
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+                counts = np.diff(heads, append=len(part))
+                runs = zip(at[part[heads]].tolist(), counts.tolist(), strict=True)
+                words = b" ".join(text[w] for first, count in runs for w in block.words[first : first + count + WINDOW - 1].tolist())
+                owners = np.array([block.keys[o] for o in owner[part[heads]]], "<i8")
+                rows.append((number, int(bucket[lo]), None, None, None, owners.tobytes(), place[part[heads]].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), words))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_KINDS)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [field.split()[0] for field in WINDOWS.split(", ")])
+
+
+REPORTS = "__substrings_block long, doc_id long, text_key long, spans binary"
+
+
+def _verified(table: pa.Table) -> pa.Table:
+    """Round 4. Passes on the reports of round 3, and adds those of windows whose words another block has too."""
+    columns = [table[name].to_pylist() for name in ("__substrings_block", "doc_id", "text_key", "spans", "owners", "places", "counts", "words")]
+    reports: list[tuple] = []
+    index = _numbered()
+    number = index.__getitem__
+    keys: list[tuple[int, int, int]] = []
+    parts, places, counts = [], [], []
+    for block, doc_id, key, spans, owners, first, count, words in zip(*columns, strict=True):
+        if spans is not None:
+            reports.append((block, doc_id, key, spans))
+            continue
+        keys += [(block, *pair) for pair in np.frombuffer(owners, "<i8").reshape(-1, 2).tolist()]
+        places.append(np.frombuffer(first, "<u4").astype(np.int64))
+        counts.append(np.frombuffer(count, "<u4").astype(np.int64))
+        split = words.split(b" ")
+        parts.append(np.fromiter(map(number, split), np.int64, len(split)))
+    if parts:
+        words, place, count = map(np.concatenate, (parts, places, counts))
+        run = np.repeat(np.arange(len(count)), count)
+        within = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+        at = begin[run] + within
+        ids = np.array([key[1] for key in keys], np.int64)[run]
+        names = _name_of_next(_mix(words.astype(np.uint64) + np.uint64(1)), WINDOW)[at]
+        gone = np.nonzero(ids > _least(_classes(at, names, words), ids))[0]
+        reports += _spans(run[gone], (place[run] + within)[gone], keys)
+    columns = list(zip(*reports, strict=True)) or [[]] * 4
+    return pa.table({name: pa.array(c, k) for name, c, k in zip(("__substrings_block", "doc_id", "text_key", "spans"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+
+def _dealt(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` with their key and block, and the bytes of all texts."""
+    text = docs["text"]
+    n_bytes = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, math.ceil(n_bytes / block_bytes))
+    keyed = docs.select("*", docs["doc_id"].cast("long").alias("__substrings_id"), F.xxhash64(text).alias("__substrings_key"))
+    return keyed.withColumn("__substrings_block", F.pmod(F.xxhash64("__substrings_id", "__substrings_key"), F.lit(blocks))), n_bytes
+
+
+def _reported(dealt: DataFrame, n_bytes: int, buckets: int | None) -> DataFrame:
+    """Rounds 1 to 4: for documents with windows to remove their block, ``doc_id``, ``text_key`` and ``(first word, windows)`` runs."""
+    buckets = buckets or max(shuffle_width(dealt.sparkSession), math.ceil(n_bytes / BUCKET_BYTES))
+    blocks = dealt.groupBy("__substrings_block")
+    shared = blocks.applyInArrow(lambda texts: _named(texts, buckets), ANCHORS).groupBy("bucket").applyInArrow(_shared, ANCHORS)
+    windows = blocks.cogroup(shared.groupBy("__substrings_block")).applyInArrow(lambda texts, anchors: _compared(texts, anchors, buckets), WINDOWS)
+    return windows.groupBy("bucket").applyInArrow(_verified, REPORTS)
 
 
 def removed_words(spans: list[bytes] | None, n_words: int) -> np.ndarray:
@@ -320,30 +356,33 @@ def removed_words(spans: list[bytes] | None, n_words: int) -> np.ndarray:
     return np.cumsum(gone)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    spans = repeated_spans(docs, **options).select(F.col("doc_id").alias("__substrings_id"), F.col("text_key").alias("__substrings_key"), F.col("spans").alias("__substrings_spans"))
-    keyed = docs.withColumn("__substrings_own_id", docs["doc_id"].cast("long")).withColumn("__substrings_own_key", F.xxhash64(docs["text"]))
-    return keyed.join(spans, (F.col("__substrings_own_id") == F.col("__substrings_id")) & (F.col("__substrings_own_key") == F.col("__substrings_key")), "left")
+def _spans_of(texts: pa.Table, reports: pa.Table) -> list[list[bytes] | None]:
+    """The spans of each row of a block."""
+    spans: dict[tuple, list[bytes]] = {}
+    for doc_id, key, span in zip(*(reports[name].to_pylist() for name in ("doc_id", "text_key", "spans")), strict=True):
+        spans.setdefault((doc_id, key), []).append(span)
+    return [spans.get(pair) for pair in zip(texts["__substrings_id"].to_pylist(), texts["__substrings_key"].to_pylist(), strict=True)]
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed`` and the SHA-256 of the kept words, joined by one space, of every row."""
+def _digests(texts: pa.Table, reports: pa.Table) -> pa.Table:
+    counts, removed, hashes = [], [], []
+    for text, spans in zip(_binary(texts["text"]), _spans_of(texts, reports), strict=True):
+        words = (text.as_py() or b"").split()
+        counts.append(len(words))
+        if spans:
+            gone = removed_words(spans, len(words))
+            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        removed.append(counts[-1] - len(words))
+        hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return pa.table({"doc_id": texts["__substrings_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes, pa.string())})
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, removed, hashes = [], [], []
-            for text, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words = (text.as_py() or b"").split()
-                counts.append(len(words))
-                if spans.is_valid:
-                    gone = removed_words(spans.as_py(), len(words))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                removed.append(counts[-1] - len(words))
-                hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_spans(docs.select("doc_id", "text"), **options)
-    return joined.select("__substrings_own_id", "text", "__substrings_spans").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def digests(docs: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_removed`` and the SHA-256 of the kept words, joined by one space, of every row."""
+    dealt, n_bytes = _dealt(docs.select("doc_id", "text"), block_bytes)
+    reports = _reported(dealt, n_bytes, buckets)
+    both = dealt.groupBy("__substrings_block").cogroup(reports.groupBy("__substrings_block"))
+    return both.applyInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_text(text: bytes, spans: list[bytes]) -> bytes:
@@ -360,22 +399,19 @@ def kept_text(text: bytes, spans: list[bytes]) -> bytes:
     return b"".join(pieces)
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, repeated passages cut from ``text`` (and ``n_chars`` counted anew where there is one)."""
-    joined = _with_spans(docs, **options)
     names = docs.columns
-    at, spans_at = names.index("text"), len(names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i) for i in range(len(names))]
-            spans = batch.column(spans_at)
-            if spans.null_count < len(spans):
-                texts = [kept_text(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(columns[at].cast(pa.binary()), spans, strict=True)]
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    out = joined.select(*(docs[name] for name in names), "__substrings_spans").mapInArrow(cut, docs.schema)
+
+    def cut(texts: pa.Table, reports: pa.Table) -> pa.Table:
+        own = _binary(texts["text"])
+        kept = [kept_text(t.as_py(), s) if s else t.as_py() for t, s in zip(own, _spans_of(texts, reports), strict=True)]
+        at = texts.column_names.index("text")
+        return texts.set_column(at, "text", pa.array(kept, own.type).cast(texts["text"].type)).select(names)
+
+    dealt, n_bytes = _dealt(docs, block_bytes)
+    reports = _reported(dealt, n_bytes, buckets)
+    out = dealt.groupBy("__substrings_block").cogroup(reports.groupBy("__substrings_block")).applyInArrow(cut, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -10,6 +10,8 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -386,16 +388,53 @@ def brute_removed(rows):
         yield r[0], w, gone
 
 
-@pytest.mark.parametrize("block_words", [50, 100_000])
-def test_repeated_passages_go(docs, rows, block_words):
-    got = Counter(tuple(r) for r in substrings.digests(docs, block_words=block_words, buckets=5).collect())
+@pytest.mark.parametrize("block_bytes", [300, 20_000, 1 << 20])
+def test_repeated_passages_go(docs, rows, block_bytes):
+    got = Counter(tuple(r) for r in substrings.digests(docs, block_bytes=block_bytes, buckets=5).collect())
     want = Counter()
     for doc_id, w, gone in brute_removed(rows):
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want[doc_id, len(w), len(gone), hashlib.sha256(kept).hexdigest()] += 1
     assert got == want
-    texts = Counter((r["doc_id"], tuple(words(r["text"]))) for r in substrings.deduplicated(docs, block_words=block_words).collect())
-    assert texts == Counter((doc_id, tuple(x for i, x in enumerate(w) if i not in gone)) for doc_id, w, gone in brute_removed(rows))
+    cut = substrings.deduplicated(docs, block_bytes=block_bytes)
+    assert cut.schema == docs.schema
+    assert Counter((r["doc_id"], tuple(words(r["text"]))) for r in cut.collect()) == Counter((doc_id, tuple(x for i, x in enumerate(w) if i not in gone)) for doc_id, w, gone in brute_removed(rows))
+
+
+def by_key(table, key):
+    return {k: table.filter(pa.compute.equal(table[key], k)) for k in set(table[key].to_pylist())}
+
+
+@pytest.mark.parametrize("hashes", [2**64, 3, 1])
+def test_words_decide_where_hashes_clash(rows, hashes, monkeypatch):
+    """The rounds by hand, with few names for words and windows, so that most windows seem equal."""
+    names, joined = substrings._names, substrings._joined
+    if hashes < 2**64:
+        monkeypatch.setattr(substrings, "_names", lambda index: names(index) % np.uint64(hashes))
+        monkeypatch.setattr(substrings, "_joined", lambda a, b: joined(a, b) % np.uint64(hashes))
+    texts = [(i, r[1][:1500]) for i, r in enumerate(rows) if r[1]]
+    table = pa.table({"text": [t for _, t in texts], "__substrings_id": [i for i, _ in texts], "__substrings_key": [0] * len(texts), "__substrings_block": [i % 4 for i, _ in texts]})
+    blocks = by_key(table, "__substrings_block")
+    anchors = by_key(pa.concat_tables(substrings._named(t, 3) for t in blocks.values()), "bucket")
+    shared = by_key(pa.concat_tables(map(substrings._shared, anchors.values())), "__substrings_block")
+    none = pa.table({"anchors": pa.array([], pa.binary())})
+    windows = by_key(pa.concat_tables(substrings._compared(t, shared.get(b, none), 3) for b, t in blocks.items()), "bucket")
+    spans = {}
+    for part in windows.values():
+        for r in substrings._verified(part).to_pylist():
+            spans.setdefault(r["doc_id"], []).append(r["spans"])
+    met = 0
+    for doc_id, w, gone in brute_removed(texts):
+        assert set(np.nonzero(substrings.removed_words(spans.get(doc_id), len(w)))[0].tolist()) == gone
+        met += len(gone)
+    assert met > 500
+
+
+def test_windows_of_equal_hashes_are_told_apart_by_words():
+    words = np.array([*range(13), 99, *range(13), 98, *range(1, 14)])
+    at = np.array([0, 14, 28])
+    assert substrings._classes(at, np.zeros(3, np.uint64), words).tolist()[0] == substrings._classes(at, np.zeros(3, np.uint64), words).tolist()[1]
+    assert len(set(substrings._classes(at, np.zeros(3, np.uint64), words).tolist())) == 2
 
 
 @pytest.mark.parametrize(
