@@ -138,7 +138,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = plan.withColumn("__mix_plan_twin", F.row_number().over(same))
     keyed = docs.withColumn("__mix_key", _row_key(F.xxhash64(F.coalesce("text", F.lit("")))))
     keyed = keyed.withColumn("__mix_twin", F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.lit(0))))
-    joined = keyed.join(plan, (F.col("__mix_key") == F.col("__mix_plan_key")) & (F.col("__mix_twin") == F.col("__mix_plan_twin")))
+    # A difference, not an equality of twins: then rows stay where the window's shuffle by key has put them.
+    joined = keyed.join(plan, (F.col("__mix_key") == F.col("__mix_plan_key")) & (F.col("__mix_twin") - F.col("__mix_plan_twin") == 0))
     slope = F.col("__mix_slope")
     copies = F.sequence(F.lit(1), (F.col("__mix_passes") + (F.col("__mix_rest") > 0).cast("long")).cast("int"))
     joined = joined.withColumn("__mix_copy", F.explode(copies))

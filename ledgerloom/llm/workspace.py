@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans.staging import remove, shared_folder, staged
+from ledgerloom.plans.staging import remove, scratch, shared_folder, staged
 
-__all__ = ["documents", "remove", "shared_dir", "shuffle_width", "written"]
+__all__ = ["documents", "remove", "scratch", "shared_dir", "shuffle_width", "written"]
 shared_dir, written = shared_folder, staged
 
 
