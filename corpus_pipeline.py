@@ -3,7 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last keep the columns of ``documents``.  ``run`` writes each result as Parquet
 in the shared folder and reads it again as the next stage's ``docs``, so a lost
-executor costs the work of one stage at most.
+executor costs the work of one stage at most.  When a stage is written, the
+tables that it made on the way and its own input are deleted.
+
+Cases, for every stage: a null text counts as an empty one; a row with a null
+doc_id stays a row of its own; repeated rows, ties, empty and very long texts and
+an empty table give what the stage's operator defines for them; other columns,
+whatever their names, are passed on.
 
 No SQL counterpart: fingerprints, cuts and token ids are not to be had in SQL.
 The tests hold every stage against a brute-force version instead.
@@ -14,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, near_copies, packing, quality_rules, simhash, substrings
-from ledgerloom.llm.workspace import documents, written
+from ledgerloom.llm.workspace import documents, remove, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a packed sequence."""
-    return packing.pack(docs)
+    """One row for each piece of a packed sequence. Sequences follow the training order, in which the mixture was written: files by number, rows by place."""
+    if not docs.inputFiles():  # rows that no file holds have no place
+        return packing.pack(docs)
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    return packing.pack(docs, order=[number, name, F.col("_metadata.row_index")])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,7 +68,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", keep=True)
+        if before is not None:
+            remove(before)
+        before = docs
     return docs
