@@ -18,26 +18,29 @@ second-level symbols at word 3 to 10 do not depend on the words outside, and
 four neighbouring places hold at least one.  The anchor of a window is such a
 border between places 3 and 9, where the name of the seven words around it is
 least.  Equal windows have equal anchors, and one anchor serves about four
-windows.  A window with equal adjacent words is its own anchor.
+windows.  A window with equal adjacent words is its own anchor.  A window's
+symbol is named by its anchor and what stands around it.
 
 Texts are dealt to blocks of about ``block_bytes`` by hash, once; all rounds
 read that one shuffle.
 
-Round 1.  A block names its words and gives the anchors that it has to the
-anchors' buckets.
-Round 2.  A bucket tells blocks which of their anchors another block has too.
+Round 1.  A block names its words and windows, and gives the windows' symbols (40
+bits of each, once) to the symbols' buckets.
+Round 2.  A bucket tells blocks which of their symbols another block has too.
 Round 3.  A block finds its windows that also start in a smaller document of the
 block (so a passage that very many documents share leaves each block just once),
-and gives the words of the others to the buckets, if their anchor is shared.
+and gives the words of the others to the anchors' buckets, if their symbol is
+shared: neighbours with one anchor together.  A phrase that is common but stands
+in ever other surroundings is anchor to many windows, but they are not shared.
 Round 4.  A bucket compares the words and reports windows that a smaller
 document of another block has too.
 Round 5.  A block cuts its texts.
 
-Anchors and names only say where to look.  Within a block and within a bucket,
+Symbols and anchors only say where to look.  Within a block and within a bucket,
 windows are equal if their words are (``_classes``), whatever their hashes.
 
 The numbers of blocks and buckets follow the bytes of all texts, so what a task
-holds at once is a block, or the shared anchors or windows of a bucket.
+holds at once is a block, or the symbols or shared windows of a bucket.
 
 Cases: a null text has no words; texts of fewer than 13 words lose none; of rows
 with equal ids none is smaller; rows with a null id are left whole and take
@@ -64,7 +67,7 @@ WINDOW = 13
 AROUND = (3, 4)  #: Words before and after a border whose name is the border's
 FIRST, LAST = 3, 9  #: Places of a window where its anchor can be
 BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 64 << 20  #: Bytes of text for one bucket of anchors
+BUCKET_BYTES = 64 << 20  #: Bytes of text for one bucket
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -216,6 +219,20 @@ class _Block:
         anchor[own] = self.window_names[own]
         return anchor[self.windows]
 
+    def symbols(self, anchors: np.ndarray) -> np.ndarray:
+        return _joined(anchors, self.window_names[self.windows])
+
+
+def _packed(symbols: np.ndarray) -> bytes:
+    """The upper 40 bits of symbols, five bytes each."""
+    return np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
 
 def _cut_by(values: np.ndarray) -> zip:
     """Begin and end of each run of equal values."""
@@ -234,27 +251,30 @@ def _spans(owner: np.ndarray, place: np.ndarray, keys: list) -> list[tuple[int,
     return [(*keys[owner[heads[lo]]], spans[lo:hi].tobytes()) for lo, hi in _cut_by(owner[heads])]
 
 
-ANCHORS = "__substrings_block long, bucket long, anchors binary"
+SYMBOLS = "__substrings_block long, bucket long, symbols binary"
 
 
 def _named(table: pa.Table, buckets: int) -> pa.Table:
     """Round 1."""
-    anchors = np.unique(_Block(table).anchors())
-    bucket = (anchors % np.uint64(buckets)).astype(np.int64)
+    block = _Block(table)
+    symbols = np.unique(block.symbols(block.anchors()))
+    bucket = (symbols % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    anchors, bucket = anchors[order], bucket[order]
-    rows = [(int(bucket[lo]), anchors[lo:hi].tobytes()) for lo, hi in _cut_by(bucket)]
-    block = table["__substrings_block"][0].as_py()
-    return pa.table({"__substrings_block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "anchors": pa.array([a for _, a in rows], pa.binary())})
+    symbols, bucket = symbols[order], bucket[order]
+    rows = [(int(bucket[lo]), _packed(symbols[lo:hi])) for lo, hi in _cut_by(bucket)]
+    number = table["__substrings_block"][0].as_py()
+    return pa.table({"__substrings_block": pa.array([number] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "symbols": pa.array([a for _, a in rows], pa.binary())})
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Round 2. A block names an anchor once, so an anchor that stands twice has two blocks."""
-    parts = [np.frombuffer(blob.as_py(), np.uint64) for blob in table["anchors"]]
-    found, often = np.unique(np.concatenate(parts), return_counts=True)
-    shared = found[often > 1]
-    blobs = [part[np.isin(part, shared, assume_unique=True)].tobytes() for part in parts]
-    out = pa.table({"__substrings_block": table["__substrings_block"], "bucket": table["bucket"], "anchors": pa.array(blobs, pa.binary())})
+    """Round 2. A block names a symbol once, so one that stands twice has two blocks (or is alike in 40 bits, which costs work alone)."""
+    parts = [_unpacked(blob.as_py()) for blob in table["symbols"]]
+    every = np.concatenate(parts)
+    _, which, often = np.unique(every, return_inverse=True, return_counts=True)
+    again = often[which] > 1
+    ends = np.cumsum([len(part) for part in parts])
+    blobs = [_packed(part[again[end - len(part) : end]]) for part, end in zip(parts, ends.tolist(), strict=True)]
+    out = pa.table({"__substrings_block": table["__substrings_block"], "bucket": table["bucket"], "symbols": pa.array(blobs, pa.binary())})
     return out.filter(pa.array([bool(blob) for blob in blobs], pa.bool_()))
 
 
@@ -272,10 +292,11 @@ def _compared(table: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
         owner, place = block.row[at], block.place[at]
         gone = ids[owner] > _least(_classes(at, block.window_names[at], block.words), ids[owner])
         rows += [(number, doc_id % buckets, doc_id, key, spans, None, None, None, None) for doc_id, key, spans in _spans(owner[gone], place[gone], block.keys)]
-        blobs = [np.frombuffer(blob.as_py(), np.uint64) for blob in shared["anchors"]]
+        blobs = [_unpacked(blob.as_py()) for blob in shared["symbols"]]
         if blobs:
             anchor = block.anchors()
-            kept = np.nonzero(~gone & np.isin(anchor, np.concatenate(blobs)))[0]
+            symbols = _unpacked(_packed(block.symbols(anchor)))
+            kept = np.nonzero(~gone & np.isin(symbols, np.concatenate(blobs)))[0]
             bucket = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             kept, bucket = kept[order], bucket[order]
@@ -342,8 +363,8 @@ def _reported(dealt: DataFrame, n_bytes: int, buckets: int | None) -> DataFrame:
     """Rounds 1 to 4: for documents with windows to remove their block, ``doc_id``, ``text_key`` and ``(first word, windows)`` runs."""
     buckets = buckets or max(shuffle_width(dealt.sparkSession), math.ceil(n_bytes / BUCKET_BYTES))
     blocks = dealt.groupBy("__substrings_block")
-    shared = blocks.applyInArrow(lambda texts: _named(texts, buckets), ANCHORS).groupBy("bucket").applyInArrow(_shared, ANCHORS)
-    windows = blocks.cogroup(shared.groupBy("__substrings_block")).applyInArrow(lambda texts, anchors: _compared(texts, anchors, buckets), WINDOWS)
+    shared = blocks.applyInArrow(lambda texts: _named(texts, buckets), SYMBOLS).groupBy("bucket").applyInArrow(_shared, SYMBOLS)
+    windows = blocks.cogroup(shared.groupBy("__substrings_block")).applyInArrow(lambda texts, symbols: _compared(texts, symbols, buckets), WINDOWS)
     return windows.groupBy("bucket").applyInArrow(_verified, REPORTS)
 
 

@@ -415,9 +415,9 @@ def test_words_decide_where_hashes_clash(rows, hashes, monkeypatch):
     texts = [(i, r[1][:1500]) for i, r in enumerate(rows) if r[1]]
     table = pa.table({"text": [t for _, t in texts], "__substrings_id": [i for i, _ in texts], "__substrings_key": [0] * len(texts), "__substrings_block": [i % 4 for i, _ in texts]})
     blocks = by_key(table, "__substrings_block")
-    anchors = by_key(pa.concat_tables(substrings._named(t, 3) for t in blocks.values()), "bucket")
-    shared = by_key(pa.concat_tables(map(substrings._shared, anchors.values())), "__substrings_block")
-    none = pa.table({"anchors": pa.array([], pa.binary())})
+    symbols = by_key(pa.concat_tables(substrings._named(t, 3) for t in blocks.values()), "bucket")
+    shared = by_key(pa.concat_tables(map(substrings._shared, symbols.values())), "__substrings_block")
+    none = pa.table({"symbols": pa.array([], pa.binary())})
     windows = by_key(pa.concat_tables(substrings._compared(t, shared.get(b, none), 3) for b, t in blocks.items()), "bucket")
     spans = {}
     for part in windows.values():
