@@ -15,7 +15,7 @@ from ledgerloom.plans import recognition
 from ledgerloom.plans.fixed import MATERIALITY
 from ledgerloom.plans.staging import shared_folder, staged
 from ledgerloom.sources import cells
-from ledgerloom.sources.ledger_views import books, gstr2a
+from ledgerloom.sources.ledger_views import books, duckdb_ctes, gstr2a
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,7 +212,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(duplicates.records(books(spark, sf_dir)), "entries")
 
 
-@query(f"{sql.VIEWS},{sql.DUPLICATE_ROWS} {sql.NUMBER_PAIRS}")
+@query(f"{sql.VIEWS},{sql.DUPLICATE_ROWS},{sql.NUMBER_CTES} {sql.NUMBER_PAIRS}")
 def dup_identifier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.number_pairs(_entries(spark, sf_dir))
 
@@ -222,30 +222,17 @@ def dup_amount_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.amount_pairs(_entries(spark, sf_dir))
 
 
-@query()
-def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.clusters(staged(books(spark, sf_dir), "books"))
-
-
-@query()
-def dup_overclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.overclaim(duplicates.clusters(staged(books(spark, sf_dir), "books")))
-
-
-@query()
-def itc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)))
+_DOUBLES = sql.duplicates()
 
 
-@query()
-def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five foremost issues, as the headline shows them."""
-    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)), 5)
+@query(f"{sql.VIEWS},{_DOUBLES} SELECT m.source, m.gstin, m.cluster, m.number, m.row_index, m.identifier, m.amount, m.tax, m.date, d.reason, d.confirmed, d.spread_days, d.overclaim FROM members m JOIN doubles d USING (source, cluster)")
+def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.on_both_sides(*_written(spark, sf_dir))
 
 
-@query()
-def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
+@query(f"{sql.VIEWS},{_DOUBLES} SELECT * EXCLUDE (cluster), cluster FROM doubles")
+def dup_overclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.overclaim(duplicates.on_both_sides(*_written(spark, sf_dir)))
 
 
 def _as_ledger(rows: DataFrame) -> DataFrame:
@@ -319,7 +306,16 @@ def commission_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("platform", "month", F.round("previous", 9).alias("previous"), F.round("rate", 9).alias("rate"))
 
 
-@query()
+_RENAMED = "list_filter(leaders, lambda x: floor((1 - levenshtein(lower(trim(x)), lower(trim(n.vendor)))::DOUBLE / greatest(len(trim(x)), len(trim(n.vendor)))) * 100 + 0.5) BETWEEN 55 AND 99)"
+
+
+@query(f"""WITH RECURSIVE {duckdb_ctes()},
+n AS (SELECT vendor, row_number() OVER (ORDER BY first_row) AS i FROM (SELECT trade_legal_name AS vendor, min(row_index) AS first_row FROM books WHERE trim(trade_legal_name) <> '' GROUP BY 1)),
+r AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS leaders, NULL::VARCHAR AS canonical, NULL::VARCHAR AS alias
+  UNION ALL
+  SELECT n.i, CASE WHEN len({_RENAMED}) = 0 THEN list_append(leaders, n.vendor) ELSE leaders END, coalesce({_RENAMED}[1], n.vendor), n.vendor FROM r JOIN n ON n.i = r.i + 1)
+SELECT canonical, alias FROM r WHERE i > 0""")
 def vendor_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.vendor_renames(books(spark, sf_dir).select(F.col("trade_legal_name").alias("vendor"), "row_index"))
 
@@ -358,20 +354,60 @@ _TAX_A, _TAX_B = ("+".join(f"{s}_{h}" for h in ("igst", "cgst", "sgst")) for s i
 _LEAST = " + ".join(f"least(a_{h}, b_{h})" for h in ("igst", "cgst", "sgst"))
 _SUMMARY = " UNION ALL ".join((
     _line("vendors", "count(*)", "vendors"), _line("tax_2a", f"sum({_TAX_A})", "vendors"), _line("tax_books", f"sum({_TAX_B})", "vendors"), _line("supportable", f"sum({_LEAST})", "vendors"),
+    *(_line(f"vendors_{status}", f"sum((status = '{status}')::INT)", "vendors") for status in ("matched", "missing_in_books", "missing_in_gstr2a")),
     _line("mismatches", "sum((status = 'discrepancy')::INT)", "vendors"), _line("mismatch_amount", f"sum(CASE WHEN status = 'discrepancy' THEN abs({_TAX_A} - ({_TAX_B})) END)", "vendors"),
     _counted("extra_in_2a", "final_a"), _counted("extra_in_books", "final_b"), _counted("possible_match", "possible p JOIN gstr2a g ON g.row_index = p.l_row_index"), _counted("blocked", "blocked"), _counted("wrong_head", "wrong"),
+    _counted("duplicate", "doubles WHERE confirmed AND source = 'books'", "sum(overclaim)"),
     _line("cross_wrong_head_rows", "count(*)", "cross_wrong"), _counted("rcm", "(SELECT * FROM rcm_a UNION ALL SELECT * FROM rcm_b)"), _counted("rate_mismatch", "rates", "sum(abs(difference))"),
 ))
 
 
-@query(f"{_TIERS},{_VENDOR_CTE},{_WRONG},{_CROSS}, blocked AS ({_BLOCKED}), rates AS ({_rates('gstr2a')} UNION ALL {_rates('books')}) {_SUMMARY}")
+_FINDINGS = f"{_TIERS},{_VENDOR_CTE},{_WRONG},{_CROSS},{_DOUBLES}, blocked AS ({_BLOCKED}), rates AS ({_rates('gstr2a')} UNION ALL {_rates('books')})"
+_NET = f"SELECT 'net_eligible' AS label, (SELECT coalesce(sum({_LEAST}), 0) FROM vendors) - (SELECT coalesce(sum(igst + cgst + sgst), 0) FROM blocked) - (SELECT coalesce(sum(overclaim), 0) FROM doubles WHERE confirmed AND source = 'books') AS value"
+
+
+@query(f"{_FINDINGS} SELECT label, value::BIGINT AS value FROM ({_SUMMARY} UNION ALL {_NET})")
+def itc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)))
+
+
+@query(f"{_FINDINGS} {_SUMMARY}")
 def itc_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary but for duplicates, whose clusters depend on the order of rows."""
-    lines = report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)))
-    return lines.filter(~F.col("label").isin("duplicate_rows", "duplicate_amount", "net_eligible"))
+    """The lines that are counted from findings; the net line is computed from them."""
+    return report.summary_lines(report.summary(report.propose(*_written(spark, sf_dir), True)).drop("net_eligible"))
 
 
-@query()
+_TAX = "igst + cgst + sgst"
+_SIZE = "'cluster ' || number || ' of ' || members || ' entries in ' || source"
+_BLANKS = "CASE WHEN l_identifier = '' AND r_identifier = '' THEN 'numbers blank on both sides' WHEN r_identifier = '' THEN 'number blank in the books' WHEN l_identifier = '' THEN 'number blank in the statement' ELSE 'numbers differ' END"
+_ISSUES = f"""{_FINDINGS},
+bar AS (SELECT sum({_TAX_A}) * {MATERIALITY} AS bar FROM vendors),
+weighed AS (
+  SELECT 'RCM' AS category, coalesce(category, found_by) AS reason, gstin, row_index, {_TAX} AS amount FROM (SELECT * FROM rcm_a UNION ALL SELECT * FROM rcm_b)
+  UNION ALL SELECT 'Ineligible ITC', category || ' ' || section, gstin, row_index, {_TAX} FROM blocked),
+issues AS (
+  SELECT 2 AS tier, ({_TAX})::BIGINT AS amount, 'Extra in Books' AS category, 'not in the statement yet' AS reason, gstin, row_index FROM final_b
+  UNION ALL SELECT 2, ({_TAX})::BIGINT, 'Extra in 2A', 'not in the books yet', gstin, row_index FROM final_a
+  UNION ALL SELECT 3, (l_igst + l_cgst + l_sgst)::BIGINT, 'Possible Match', {_BLANKS}, gstin, l_row_index FROM possible
+  UNION ALL SELECT 2, abs({_TAX_A} - ({_TAX_B}))::BIGINT, 'Mismatch', 'tax totals differ', gstin, NULL FROM vendors WHERE status = 'discrepancy'
+  UNION ALL SELECT 3, ({_TAX})::BIGINT, 'Wrong Head', 'charged ' || actual || ' should be ' || expected, gstin, row_index FROM wrong
+  UNION ALL SELECT 3, overclaim, CASE WHEN confirmed THEN 'Duplicate Invoices' ELSE 'Possible Duplicate Invoices' END, {_SIZE}, gstin, cluster FROM doubles
+  UNION ALL SELECT 3, abs(difference)::BIGINT, 'Rate Mismatch', 'tax is off at ' || rate_percent || ' percent', gstin, row_index FROM rates
+  UNION ALL SELECT CASE WHEN amount >= bar THEN 1 ELSE 3 END, amount::BIGINT, category, reason, gstin, row_index FROM weighed, bar)"""
+
+
+@query(f"{_ISSUES} SELECT * FROM issues ORDER BY tier, amount DESC, category, gstin NULLS FIRST, row_index NULLS FIRST, reason LIMIT 5")
+def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five foremost issues, as the headline shows them."""
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)), 5)
+
+
+@query(f"{_ISSUES} SELECT * FROM issues")
+def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
+
+
+@query(f"{_ISSUES} SELECT category, count(*) AS items, sum(amount)::BIGINT AS amount FROM issues GROUP BY category")
 def open_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.flags_by_category(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
 

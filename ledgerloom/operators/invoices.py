@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import identifiers as ids
-from ledgerloom.functions.amounts import days_between, same_month
+from ledgerloom.functions.amounts import days_between
 from ledgerloom.operators.matching import banded, mutually_unique, taxes_agree
 from ledgerloom.plans.fixed import TIEBREAK_DAYS, TOLERANCE
 from ledgerloom.plans.staging import staged
@@ -45,29 +46,57 @@ def exact_pairs(gstr2a: DataFrame, books: DataFrame) -> DataFrame:
     return a.join(b, KEY).drop("n_a", "n_b")
 
 
-def digit_bridges(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``gstin, identifier, other_identifier``: numbers missing on the other side that one number there spells otherwise.
+def _on_both(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Numbers of either side, and how often each stands there: ``n_one``, ``n_two`` (0 if not at all)."""
+    sides = indexable(one).select(*KEY, F.lit(1).alias("first"), F.lit(0).alias("second")).unionByName(indexable(two).select(*KEY, F.lit(0).alias("first"), F.lit(1).alias("second")))
+    return sides.groupBy(*KEY).agg(F.sum("first").alias("n_one"), F.sum("second").alias("n_two"))
+
+
+def bridged(keys: DataFrame) -> DataFrame:
+    """``gstin, identifier, over_one, over_two``: for numbers of ``_on_both`` that stand on side one (two) alone, the number of the other side that spells it otherwise, or null.
 
     A plain number bridges to the only identifier over there with that run of three
     digits or more; another identifier to the only plain number that is one of its
-    runs, if no second identifier on its own side has that run.
+    runs, if no second identifier on its own side has that run.  Runs of both sides
+    are counted together, in one shuffle.
     """
+    runs = keys.withColumn("run", F.explode(F.array_distinct(ids.digit_runs(F.col("identifier"), ids.SHORTEST_RUN))))
+    runs = runs.withColumn("plain", F.col("identifier").rlike(r"^\d+$"))
+    holders = Window.partitionBy("gstin", "run")
+    on = {"one": F.col("n_one") > 0, "two": F.col("n_two") > 0}
+    for side, there in on.items():
+        name, plain = F.when(there, F.col("identifier")), F.when(there & F.col("plain"), F.col("identifier"))
+        runs = runs.withColumns({f"n_{side}_run": F.count(name).over(holders), f"{side}_run": F.min(name).over(holders), f"n_{side}_plain": F.count(plain).over(holders), f"{side}_plain": F.min(plain).over(holders)})
+    partners = {}
+    for own, other in (("one", "two"), ("two", "one")):
+        by_plain = F.when(F.col("plain") & (F.col(f"n_{other}_run") == 1), F.col(f"{other}_run"))
+        by_run = F.when(~F.col("plain") & (F.col(f"n_{own}_run") == 1) & (F.col(f"n_{other}_plain") == 1), F.col(f"{other}_plain"))
+        partners[own] = F.when(on[own] & ~on[other], F.coalesce(by_plain, by_run))
+    found = runs.select(*KEY, partners["one"].alias("one"), partners["two"].alias("two")).filter("one is not null or two is not null")
+    only = lambda side: F.when(F.min(side) == F.max(side), F.min(side)).alias(f"over_{side}")
+    return found.groupBy(*KEY).agg(only("one"), only("two"))
 
-    def runs(rows: DataFrame) -> DataFrame:
-        keys = indexable(rows).select(*KEY).distinct()
-        found = F.array_distinct(ids.digit_runs(F.col("identifier"), ids.SHORTEST_RUN))
-        return keys.select(*KEY, F.explode(found).alias("run"), F.col("identifier").rlike(r"^\d+$").alias("plain"))
 
-    def only(found: DataFrame, name: str) -> DataFrame:
-        return found.groupBy("gstin", "run").agg(F.count("*").alias("n"), F.first("identifier").alias(name)).filter("n = 1").drop("n")
+def digit_bridges(own: DataFrame, other: DataFrame) -> DataFrame:
+    """``gstin, identifier, other_identifier``: numbers missing on the other side that one number there spells otherwise (``bridged``)."""
+    return bridged(_on_both(own, other)).filter("over_one is not null").select(*KEY, F.col("over_one").alias("other_identifier"))
+
 
-    mine, theirs = runs(own), runs(other)
-    absent = mine.join(indexable(other).select(*KEY).distinct(), KEY, "left_anti")
-    plain = absent.filter("plain").join(only(theirs, "other_identifier"), ["gstin", "run"]).select(*KEY, "other_identifier")
-    alone = only(mine, "own_identifier").select("gstin", "run")
-    complex_ = absent.filter("not plain").join(alone, ["gstin", "run"]).join(only(theirs.filter("plain"), "other_identifier"), ["gstin", "run"])
-    complex_ = complex_.groupBy(*KEY).agg(F.min("other_identifier").alias("other_identifier"), F.max("other_identifier").alias("last")).filter("other_identifier = last").drop("last")
-    return plain.unionByName(complex_)
+def numbers(one: DataFrame, two: DataFrame) -> DataFrame:
+    """All numbers of both sides with their counts and bridges, for ``unmatched``."""
+    keys = _on_both(one, two)
+    return keys.join(bridged(keys), KEY, "left")
+
+
+def _left(rows: DataFrame, other: DataFrame, keys: DataFrame, own_side: str, other_side: str, excluded: DataFrame | None) -> DataFrame:
+    n_own, n_other = F.col(f"n_{own_side}"), F.col(f"n_{other_side}")
+    here = keys.filter((n_own > 0) & F.when(n_other == 0, F.col(f"over_{own_side}").isNull()).otherwise((n_own > 1) | (n_other > 1)))
+    rows = indexable(rows).join(here.select(*KEY, (n_other > 0).alias("ambiguous")), KEY)
+    ambiguous = rows.filter("ambiguous").select(*ROW)
+    partner = indexable(other).join(here.filter(n_other > 0).select(*KEY), KEY, "left_semi")
+    agree = banded(ambiguous, partner.select(*ROW), KEY, "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
+    left = rows.join(agree.select(F.col("l_row_index").alias("row_index")).distinct(), "row_index", "left_anti").select(*ROW)
+    return left if excluded is None else left.join(excluded.select("row_index"), "row_index", "left_anti")
 
 
 def unmatched(own: DataFrame, other: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -75,15 +104,7 @@ def unmatched(own: DataFrame, other: DataFrame, excluded: DataFrame | None = Non
 
     ``excluded``: row indexes that are never reported but can serve the other side as partners.
     """
-    counts = key_counts(own, "n_own").join(key_counts(other, "n_other"), KEY, "left")
-    rows = indexable(own).join(counts, KEY)
-    absent = rows.filter("n_other is null").join(digit_bridges(own, other).select(*KEY), KEY, "left_anti")
-    ambiguous = rows.filter("n_other is not null and not (n_own = 1 and n_other = 1)")
-    partner = indexable(other).join(ambiguous.select(*KEY).distinct(), KEY, "left_semi")
-    agree = banded(ambiguous.select(*ROW), partner.select(*ROW), KEY, "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
-    alone = ambiguous.join(agree.select(F.col("l_row_index").alias("row_index")).distinct(), "row_index", "left_anti")
-    left = absent.select(*ROW).unionByName(alone.select(*ROW))
-    return left if excluded is None else left.join(excluded.select("row_index"), "row_index", "left_anti")
+    return _left(own, other, numbers(own, other), "one", "two", excluded)
 
 
 def _pairs_by_short_number(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -95,16 +116,18 @@ def _pairs_by_short_number(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _pairs_by_normalized_number(a: DataFrame, b: DataFrame) -> DataFrame:
     """Amounts and taxes agree, and the numbers may be one."""
-    forms = {"core": ids.core_segments(F.col("identifier")), "norm": ids.normalized_number(F.col("identifier"))}
-    pairs = banded(a.withColumns(forms), b.withColumns(forms), ["gstin"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
+    pairs = banded(a, b, ["gstin"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
+    for side in "lr":
+        number = F.col(f"{side}_identifier")
+        pairs = pairs.withColumns({f"{side}_core": ids.core_segments(number), f"{side}_norm": ids.normalized_number(number)})
     names = [F.col(f"{side}_{name}") for name in ("identifier", "core", "norm") for side in "lr"]
     return pairs.filter(ids.numbers_agree(*names)).drop("l_core", "r_core", "l_norm", "r_norm")
 
 
 def _pairs_by_month(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Amounts and taxes agree within one calendar month."""
-    pairs = banded(a, b, ["gstin"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
-    return pairs.filter(same_month(F.col("l_invoice_date"), F.col("r_invoice_date")))
+    """Amounts and taxes agree within one calendar month; rows without a date meet nothing."""
+    a, b = (side.withColumn("month", F.date_trunc("month", "invoice_date")) for side in (a, b))
+    return banded(a, b, ["gstin", "month"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE)).drop("l_month", "r_month")
 
 
 @dataclass(frozen=True)
@@ -123,9 +146,10 @@ def _without(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def detect_extras(gstr2a: DataFrame, books: DataFrame, excluded_2a: DataFrame | None = None, excluded_books: DataFrame | None = None) -> Extras:
-    """All tiers. What a tier leaves is written down before the next reads it, so plans do not pile up."""
-    a0, b0 = staged(canonical(gstr2a), "statement"), staged(canonical(books), "register")
-    a, b = staged(unmatched(a0, b0, excluded_2a), "left-2a"), staged(unmatched(b0, a0, excluded_books), "left-books")
+    """All tiers. What a tier leaves is written down before the next reads it, so plans do not pile up. Both inputs are read several times."""
+    a0, b0 = canonical(gstr2a), canonical(books)
+    keys = staged(numbers(a0, b0), "numbers")
+    a, b = staged(_left(a0, b0, keys, "one", "two", excluded_2a), "left-2a"), staged(_left(b0, a0, keys, "two", "one", excluded_books), "left-books")
     short = staged(mutually_unique(_pairs_by_short_number(a, b), "l_row_index", "r_row_index"), "short-numbers")
     a, b = _without(a, short, "l"), _without(b, short, "r")
     normalized = staged(mutually_unique(_pairs_by_normalized_number(a, b), "l_row_index", "r_row_index"), "normalized-numbers")

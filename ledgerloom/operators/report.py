@@ -1,6 +1,7 @@
 """The netted credit summary, ranked issues, report tables and their reviewers' notes.
 
-A ``Proposal`` is lazy: nothing is written until ``accept``.
+A ``Proposal`` changes nothing: its steps are staged in the shared folder while
+it is made, and no report is written until ``accept``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.operators import duplicates, invoices, row_rules, vendors
 from ledgerloom.plans.fixed import MATERIALITY
+from ledgerloom.plans.staging import exists, staged
 
 
 def tax_of(prefix: str = "") -> Column:
@@ -21,7 +23,7 @@ def tax_of(prefix: str = "") -> Column:
 
 @dataclass(frozen=True)
 class Proposal:
-    """All findings of one reconciliation, as lazy tables."""
+    """All findings of one reconciliation. Rules that look at one sheet alone have run on both; ``source`` says on which."""
 
     gstr2a: DataFrame
     books: DataFrame
@@ -36,11 +38,18 @@ class Proposal:
     rate_mismatch: DataFrame
 
 
-def propose(gstr2a: DataFrame, books: DataFrame, book_text: bool | None = None) -> Proposal:
-    """Reverse charge is found first: its rows never count as extras. ``book_text``: whether particulars describe (judged if None)."""
+def propose(gstr2a: DataFrame, books: DataFrame, book_text: bool | None = None, statement_text: bool | None = None, limits: duplicates.Limits = duplicates.USUAL) -> Proposal:
+    """Reverse charge is found first: its rows never count as extras.
+
+    ``book_text``, ``statement_text``: whether a side's particulars describe what was bought (judged if None).
+    """
     usable = row_rules.describe(books).usable if book_text is None else book_text
-    rcm_2a, rcm_books = row_rules.reverse_charge(gstr2a, description=False), row_rules.reverse_charge(books, description=usable)
-    rates = row_rules.rate_mismatch(gstr2a).withColumn("source", F.lit("gstr2a")).unionByName(row_rules.rate_mismatch(books).withColumn("source", F.lit("books")))
+    usable_2a = row_rules.describe(gstr2a).usable if statement_text is None else statement_text
+    rcm_2a, rcm_books = row_rules.reverse_charge(gstr2a, description=usable_2a), row_rules.reverse_charge(books, description=usable)
+
+    def both(one: DataFrame, other: DataFrame) -> DataFrame:
+        return one.withColumn("source", F.lit("gstr2a")).unionByName(other.withColumn("source", F.lit("books")))
+
     return Proposal(
         gstr2a,
         books,
@@ -50,14 +59,14 @@ def propose(gstr2a: DataFrame, books: DataFrame, book_text: bool | None = None)
         row_rules.cross_wrong_head(gstr2a, books),
         rcm_2a,
         rcm_books,
-        row_rules.blocked_credit(books, usable),
-        duplicates.clusters(books),
-        rates,
+        both(row_rules.blocked_credit(gstr2a, usable_2a), row_rules.blocked_credit(books, usable)),
+        duplicates.on_both_sides(gstr2a, books, limits),
+        both(row_rules.rate_mismatch(gstr2a), row_rules.rate_mismatch(books)),
     )
 
 
 def summary(p: Proposal) -> DataFrame:
-    """One row of counts and paise. Blocked credit and confirmed duplicates are netted; the rest informs."""
+    """One row of counts and paise. Blocked credit and confirmed duplicates in the books are netted; the rest informs."""
     least = sum((F.least(f"a_{h}", f"b_{h}") for h in ("igst", "cgst", "sgst")), start=F.lit(0).cast("long"))
     gap = F.abs(tax_of("a_") - tax_of("b_"))
     differs = F.col("status") == "discrepancy"
@@ -68,6 +77,7 @@ def summary(p: Proposal) -> DataFrame:
         F.coalesce(F.sum(least), F.lit(0)).alias("supportable"),
         F.count_if(differs).alias("mismatches"),
         F.coalesce(F.sum(F.when(differs, gap)), F.lit(0)).alias("mismatch_amount"),
+        *(F.count_if(F.col("status") == status).alias(f"vendors_{status}") for status in ("matched", "missing_in_books", "missing_in_gstr2a")),
     )
 
     def counted(rows: DataFrame, name: str, amount: Column) -> DataFrame:
@@ -78,7 +88,7 @@ def summary(p: Proposal) -> DataFrame:
         counted(p.extras.extra_in_books, "extra_in_books", tax_of()),
         counted(p.extras.possible_matches, "possible_match", tax_of("l_")),
         counted(p.blocked, "blocked", tax_of()),
-        counted(duplicates.overclaim(p.duplicates).filter("confirmed"), "duplicate", F.col("overclaim")),
+        counted(duplicates.overclaim(p.duplicates).filter("confirmed and source = 'books'"), "duplicate", F.col("overclaim")),
         counted(p.wrong_head, "wrong_head", tax_of()),
         p.cross_wrong_head.agg(F.count("*").alias("cross_wrong_head_rows")),
         counted(p.rcm_2a.select("igst", "cgst", "sgst").unionByName(p.rcm_books.select("igst", "cgst", "sgst")), "rcm", tax_of()),
@@ -114,7 +124,7 @@ def _issues(t: dict[str, DataFrame], bar: DataFrame) -> DataFrame:
 
     gap = F.abs(tax_of("a_") - tax_of("b_"))
     doubles = duplicates.overclaim(t["duplicates"])
-    size = F.concat(F.lit("cluster of "), F.col("members"), F.lit(" entries"))
+    size = F.concat(F.lit("cluster "), F.col("number"), F.lit(" of "), F.col("members"), F.lit(" entries in "), F.col("source"))
     heads = F.concat_ws(" ", F.lit("charged"), "actual", F.lit("should be"), "expected")
     found = [
         issue(t["extra_in_books"], "Extra in Books", F.lit("not in the statement yet"), 2, tax_of()),
@@ -146,9 +156,9 @@ def ranked(issues: DataFrame, most: int | None = None) -> DataFrame:
     return order if most is None else order.limit(most)
 
 
-def carry_notes(rows: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
+def carry_notes(rows: DataFrame, notes: DataFrame, keys: list[str], order: str = "row_index") -> DataFrame:
     """``rows`` with the reviewer status and note of the old table's row with the same key; an old note is used once."""
-    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("row_index")))
+    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     old = nth(notes).select(*(F.col(k).alias(f"old_{k}") for k in keys), F.col("nth").alias("old_nth"), "reviewer_status", "reviewer_note")
     match = F.col("nth") == F.col("old_nth")
     for key in keys:
@@ -177,12 +187,41 @@ def tables(p: Proposal) -> dict[str, DataFrame]:
     }
 
 
+#: What makes a row of a report table the same as one of an older report, and what orders rows that are alike.
+REVIEWED: dict[str, tuple[list[str], str]] = {
+    "extra_in_books": (["gstin", "identifier"], "row_index"),
+    "extra_in_2a": (["gstin", "identifier"], "row_index"),
+    "possible_matches": (["l_gstin", "l_identifier", "r_identifier"], "l_row_index"),
+    "mismatch": (["gstin"], "gstin"),
+    "wrong_head": (["section", "gstin", "identifier"], "row_index"),
+    "rcm": (["source", "gstin", "identifier"], "row_index"),
+    "ineligible_itc": (["source", "gstin", "identifier"], "row_index"),
+    "duplicates": (["source", "gstin", "identifier"], "row_index"),
+    "rate_mismatch": (["source", "gstin", "identifier"], "row_index"),
+}
+
+
+def reviewed(name: str, rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` of a report table with what reviewers wrote beside the same rows of the table at ``place``, if there is one."""
+    keys, order = REVIEWED[name]
+    spark = rows.sparkSession
+    if not exists(spark, place):
+        return rows.withColumns({"reviewer_status": F.lit(None).cast("string"), "reviewer_note": F.lit(None).cast("string")})
+    old = spark.read.parquet(place).filter("reviewer_status is not null or reviewer_note is not null")
+    notes = staged(old.select(*dict.fromkeys([*keys, order]), "reviewer_status", "reviewer_note"), "notes")  # the table is about to be replaced
+    return carry_notes(rows, notes, keys, order)
+
+
 def accept(p: Proposal, path: str) -> dict[str, str]:
-    """Write all report tables below ``path``, replacing older ones; gives each table's place."""
+    """Write all report tables below ``path``, explained, in place of older ones whose reviewers' notes they take over; gives each table's place."""
+    from ledgerloom.operators.explain import explained  # explains the tables of this module
+
     places = {}
     for name, rows in tables(p).items():
-        places[name] = f"{path.rstrip('/')}/{name}"
-        rows.write.mode("overwrite").parquet(places[name])
+        place = places[name] = f"{path.rstrip('/')}/{name}"
+        if name in REVIEWED:
+            rows = reviewed(name, explained(name, rows), place)
+        rows.write.mode("overwrite").parquet(place)
     return places
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ledgerloom.plans.fixed import AMOUNT_DAYS, BLOCKED_CATEGORIES, IDENTIFIER_DAYS, RCM_CATEGORIES, STATE_ALIASES, STATE_NAMES, TIEBREAK_DAYS, TOLERANCE
 from ledgerloom.sources.ledger_views import duckdb_ctes
 
@@ -158,9 +160,14 @@ rec AS (
   SELECT row_index, gstin, CASE WHEN regexp_full_match(identifier, '[0-9]+') THEN regexp_replace(identifier, '^0+([0-9])', '\\1') ELSE identifier END AS identifier,
     taxable_value AS amount, igst + cgst + sgst AS tax, CASE WHEN taxable_value > 0 THEN (igst + cgst + sgst)::DOUBLE / taxable_value::DOUBLE * 100 END AS rate, invoice_date AS d
   FROM books)"""
+#: Only numbers that stand twice meet, so the join is one of equal keys with few rows each.
+NUMBER_CTES = """
+again AS MATERIALIZED (SELECT gstin || '|' || identifier AS k, * FROM rec WHERE identifier <> '' QUALIFY count(*) OVER (PARTITION BY gstin, identifier) > 1),
+same_number AS MATERIALIZED (
+  SELECT x.gstin, x.row_index AS i, y.row_index AS j, x.d AS xd, y.d AS yd, x.amount AS xa, y.amount AS ya, x.rate AS xr, y.rate AS yr FROM again x JOIN again y ON x.k = y.k)"""
 NUMBER_PAIRS = f"""
-SELECT x.gstin, x.row_index AS a, y.row_index AS b FROM rec x JOIN rec y ON x.gstin = y.gstin AND x.identifier = y.identifier AND x.row_index < y.row_index
-WHERE x.identifier <> '' AND abs(date_diff('day', x.d, y.d)) <= {IDENTIFIER_DAYS} AND abs(x.amount - y.amount) <= {TOLERANCE} AND coalesce(abs(x.rate - y.rate) <= 0.5, true)"""
+SELECT gstin, i AS a, j AS b FROM same_number
+WHERE i < j AND abs(date_diff('day', xd, yd)) <= {IDENTIFIER_DAYS} AND abs(xa - ya) <= {TOLERANCE} AND coalesce(abs(xr - yr) <= 0.5, true)"""
 AMOUNT_CTES = f"""{DUPLICATE_ROWS},
 one_run AS (
   SELECT gstin, regexp_replace(identifier, '[0-9]+', '#', 'g') AS shape, regexp_extract(identifier, '[0-9]+')::DOUBLE AS number, d
@@ -184,3 +191,26 @@ shaped AS (
 amount_pairs AS (
   SELECT gstin, a, b FROM shaped WHERE NOT (p <> '' AND q <> '' AND alike AND len(odd) = 1
     AND coalesce(abs(odd[1][1]::DOUBLE - odd[1][2]::DOUBLE) <= greatest(5.0, coalesce(median_gap * 3, 0), coalesce(per_day * days * 3, 0)), false)))"""
+
+_NAMES = ("rec", "again", "same_number", "one_run", "numbers", "gaps", "nth", "typical", "close", "shaped", "amount_pairs")
+
+
+def duplicates() -> str:
+    """Clusters of both sheets, ``members`` and ``doubles``. In the derived ledger no pair shares a row with another, so a pair is a cluster."""
+    parts = []
+    for side in ("gstr2a", "books"):
+        ctes = f"{AMOUNT_CTES},{NUMBER_CTES},pairs_of AS (SELECT *, true AS confirmed FROM ({NUMBER_PAIRS}) UNION ALL SELECT *, false FROM amount_pairs)"
+        ctes = re.sub(r"\b(" + "|".join((*_NAMES, "pairs_of")) + r")\b", rf"\1_{side}", ctes.replace("FROM books", f"FROM {side}"))
+        parts.append(ctes)
+    clusters = " UNION ALL ".join(f"SELECT '{side}' AS source, * FROM pairs_of_{side}" for side in ("gstr2a", "books"))
+    members = " UNION ALL ".join(
+        f"SELECT c.source, c.gstin, c.a AS cluster, c.number, c.confirmed, r.row_index, r.identifier, r.amount, r.tax, r.d AS date FROM numbered c JOIN rec_{side} r ON r.row_index IN (c.a, c.b) WHERE c.source = '{side}'"
+        for side in ("gstr2a", "books")
+    )
+    parts.append(f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, confirmed ORDER BY a) AS number FROM ({clusters})),
+members AS ({members}),
+doubles AS (
+  SELECT source, number, gstin, cluster, CASE WHEN confirmed THEN 'same_number_and_amount' ELSE 'same_amount' END AS reason, confirmed, count(*) AS members,
+    date_diff('day', min(date), max(date))::INT AS spread_days, (sum(tax) - max(tax))::BIGINT AS overclaim FROM members GROUP BY ALL)""")
+    return ",".join(parts)

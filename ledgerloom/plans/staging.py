@@ -43,6 +43,11 @@ def _delete(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table made by ``staged`` that nothing reads any more."""
     for root in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

@@ -9,7 +9,8 @@ is SQL that both Spark and DuckDB run; Spark binds the tables as DataFrames.
 statement, 7 missing in the books; 4 lacks some invoices in the statement; 3
 and 9 have amounts or tax heads that differ; 5, 6 and 8 have voucher numbers
 that are bare, spelled otherwise or blank.  Order keys plant the row checks:
-multiples of 101 and 103 are entered twice in the books, multiples of 53 carry
+multiples of 101 and 103 are entered twice in the books, those below 100 of
+suppliers with 1 are plain numbers with and without leading zeros, multiples of 53 carry
 a wrong tax amount, some carry reverse-charge flags and telling particulars.
 
 ``row_index`` is ``(orderkey * 100000 + suppkey) * 4 + copy``: unique, and in
@@ -47,7 +48,8 @@ split AS (
 
 GSTR2A_CTE = """
 gstr2a AS (
-  SELECT base_index AS row_index, gstin, 'INV/' || cast(orderkey AS string) || '/21-22' AS identifier, trade_legal_name,
+  SELECT base_index AS row_index, gstin,
+    CASE WHEN m = 1 AND orderkey < 100 THEN cast(orderkey AS string) ELSE 'INV/' || cast(orderkey AS string) || '/21-22' END AS identifier, trade_legal_name,
     cast(NULL AS string) AS particulars, place_of_supply,
     CASE WHEN orderkey % 97 = 0 THEN 'Y' WHEN orderkey % 89 = 0 THEN ' no ' ELSE '' END AS reverse_charge,
     rate, tv AS taxable_value, igst0 AS igst, cgst0 + CASE WHEN orderkey % 53 = 0 THEN 50000 ELSE 0 END AS cgst, sgst0 AS sgst, invoice_date
@@ -58,7 +60,8 @@ entered AS (SELECT *, copy FROM split CROSS JOIN (SELECT 0 AS copy UNION ALL SEL
   WHERE m <> 7 AND (copy = 0 OR orderkey % 101 = 0 OR orderkey % 103 = 0)),
 books AS (
   SELECT base_index + copy AS row_index, gstin,
-    CASE WHEN m = 5 AND orderkey % 3 = 0 THEN cast(orderkey AS string)
+    CASE WHEN m = 1 AND orderkey < 100 THEN '00' || cast(orderkey AS string)
+         WHEN m = 5 AND orderkey % 3 = 0 THEN cast(orderkey AS string)
          WHEN m = 6 AND orderkey % 3 = 0 THEN 'INV-' || cast(orderkey AS string) || '-2021-22'
          WHEN m = 8 AND orderkey % 5 = 0 THEN ''
          WHEN copy = 1 AND orderkey % 101 <> 0 THEN 'RE/' || cast(orderkey AS string) || '/77/A'

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
+from pathlib import Path
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import catalog
 from ledgerloom.functions import amounts, identifiers
 from ledgerloom.operators import duplicates, invoices, ledgers, matching, report, row_rules, vendors
 
@@ -162,6 +166,52 @@ def test_reports_are_written_on_acceptance_and_keep_notes(spark, table, tmp_path
     assert [r["identifier"] for r in report.orphaned_notes(p.extras.extra_in_2a, notes, ["gstin", "identifier"]).collect()] == ["gone"]
 
 
+def test_notes_outlive_the_next_report_and_rows_are_explained(spark, table, tmp_path):
+    place = str(tmp_path / "out")
+    report.accept(report.propose(table(row(1, "A")), table(row(2, "B", tv=5)), True), place)
+    first = spark.read.parquet(f"{place}/extra_in_2a")
+    assert first.first()["rule"] == "Extra in 2A" and first.first()["reviewer_note"] is None
+    written = [{**r.asDict(), "reviewer_status": "Needs follow-up", "reviewer_note": "asked"} for r in first.collect()]
+    spark.createDataFrame(written, first.schema).write.mode("overwrite").parquet(f"{place}/extra_in_2a")
+    report.accept(report.propose(table(row(1, "C"), row(9, "A")), table(row(2, "B", tv=5)), True), place)
+    again = {r["identifier"]: r["reviewer_note"] for r in spark.read.parquet(f"{place}/extra_in_2a").collect()}
+    assert again == {"C": None, "A": "asked"}
+
+
+def test_one_sheet_rules_run_on_both_sheets(table):
+    twice = [row(1, "A", text="canteen"), row(2, "A"), row(3, "B", tv=70_000), row(4, "B", tv=70_000)]
+    p = report.propose(table(*twice), table(*twice[:2], row(7, "Z", tv=9)), True, True)
+    assert sorted((r["source"], r["row_index"]) for r in p.blocked.collect()) == [("books", 1), ("gstr2a", 1)]
+    numbers = {(r["source"], r["cluster"], r["number"]) for r in p.duplicates.collect()}
+    assert numbers == {("gstr2a", 1, 1), ("gstr2a", 3, 2), ("books", 1, 1)}
+    summary = report.summary(p).first()
+    assert summary["duplicate_rows"] == 1 and summary["blocked_rows"] == 2
+
+
+def test_limits_of_duplicates_can_be_set(table):
+    far = table(row(1, "A", day=1), row(2, "A", day=25))
+    assert duplicates.clusters(far).count() == 2
+    assert duplicates.clusters(far, duplicates.Limits(identifier_days=10)).count() == 0
+
+
+QUICK = (
+    "vendor_status_counts", "invoice_exact_match", "fuzzy_digit_bridge", "wrong_head", "cross_wrong_head", "rate_mismatch", "dup_identifier_edges",
+    "vendor_renames", "short_id_tiebreak", "commission_drift", "pnl_monthly", "similar_vendors",
+)
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_queries_equal_their_sql(spark, name):
+    folder = Path("/root/testdata/sf0.001")
+    con = duckdb.connect()
+    for file in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    found = catalog.QUERIES[name](spark, str(folder))
+    wanted = con.execute(f"SELECT {', '.join(sorted(found.columns))} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    plain = lambda rows: Counter(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert wanted and plain(found.select(*sorted(found.columns)).collect()) == plain(wanted)
+
+
 def test_ledger_statuses(spark):
     schema = "row_index long, invoice_no string, supplier string, amount long, date string"
     ledger = spark.createDataFrame([(0, "1", "Acme Ltd", 100, "a"), (1, "1", "Acme Ltd", 100, "a"), (2, "2", "Acme Ltd", 120, "a"), (3, "3", "Acme Ltd", 100, "b"), (4, "4", "Acme Lts", 7, "a"), (5, "5", "Zzz", 7, "a"), (6, "6", "Acme Ltd", 55, "a"), (7, "7", "Other", 10, "a")], schema)
