@@ -15,7 +15,9 @@ words them) have a Jaccard similarity of 80 percent or more.  No link is lost:
 How often a shingle stands in the table is found by blocks and buckets: a task
 gives the shingles of a block of documents (48 bits of each, and which document
 of the block) to the shingles' buckets; a bucket tells blocks which of them stand
-elsewhere too, and how often.  So texts are not shuffled to be compared.
+elsewhere too, and how often.  So texts are not shuffled to be compared.  A
+shingle that several documents of a block have is given once, with their number;
+so however common it is, its bucket holds it once for each block.
 
 Components of the links follow.  Work within a connected set grows with its
 square; candidates are never capped.
@@ -79,7 +81,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: A block's shingles in a bucket, with their document's place in the block; or (``often`` is null and ``tokens`` too) its documents' nodes and sizes.
+#: A block's shingles in a bucket, with their document's place in the block, or how often they stand in it; or its documents' nodes and sizes, with the shingles that several of them have.
 POSTINGS = "bucket long, block long, tokens binary, owners binary, often binary, nodes binary, sizes binary"
 _NAMES = [field.split()[0] for field in POSTINGS.split(", ")]
 _KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
@@ -89,6 +91,16 @@ def _rows(rows: list[tuple], names: list[str] = _NAMES) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(_KINDS), _KINDS, strict=True)], names)
 
 
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(bucket)]
+    return ((int(bucket[lo]), slice(lo, hi)) for lo, hi in itertools.pairwise(cuts))
+
+
+def _ids(tokens: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
+    """What names a shingle across buckets: 48 bits of its hash, and 16 of its bucket's number."""
+    return (tokens | bucket % np.uint64(65_536) << np.uint64(48)).astype("<u8")
+
+
 def _posted(buckets: int, block_shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -99,11 +111,18 @@ def _posted(buckets: int, block_shingles: int):
             tokens = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
             owners = np.repeat(np.arange(len(held)), sizes)
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((tokens, bucket))
             tokens, owners, bucket = tokens[order], owners[order].astype("<u4"), bucket[order]
-            cuts = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(bucket)]
-            rows = [(int(bucket[lo]), block, _packed(tokens[lo:hi]), owners[lo:hi].tobytes(), None, None, None) for lo, hi in itertools.pairwise(cuts)]
-            rows.append((block % buckets, block, None, None, None, np.array(list(held), "<i8").tobytes(), sizes.astype("<i8").tobytes()))
+            first = np.ones(len(tokens), bool)
+            first[1:] = tokens[1:] != tokens[:-1]
+            counts = np.diff(np.nonzero(first)[0], append=len(tokens))
+            once = counts[np.cumsum(first) - 1] == 1 if len(tokens) else first
+            rows = [(b, block, _packed(tokens[once][part]), owners[once][part].tobytes(), None, None, None) for b, part in _by_bucket(bucket[once])]
+            again = first & ~once
+            counts = counts[counts > 1].astype("<u4")
+            rows += [(b, block, _packed(tokens[again][part]), None, counts[part].tobytes(), None, None) for b, part in _by_bucket(bucket[again])]
+            own = _ids(tokens[~once] >> np.uint64(16), bucket[~once].astype(np.uint64))
+            rows.append((block % buckets, block, own.tobytes(), owners[~once].tobytes(), None, np.array(list(held), "<i8").tobytes(), sizes.astype("<i8").tobytes()))
             yield from _rows(rows).to_batches()
 
         for batch in batches:
@@ -125,20 +144,20 @@ def _posted(buckets: int, block_shingles: int):
 def _counted(table: pa.Table) -> pa.Table:
     """For a bucket: each block's shingles that stand elsewhere too, and how often they stand (up to 65,535; it only sets their order)."""
     rows = table.to_pylist()
-    out = [tuple(row[name] for name in _NAMES) for row in rows if row["tokens"] is None]
-    rows = [row for row in rows if row["tokens"] is not None]
+    out = [tuple(row[name] for name in _NAMES) for row in rows if row["nodes"] is not None]
+    rows = [row for row in rows if row["nodes"] is None]
     if rows:
         tokens = [_unpacked(row["tokens"]) for row in rows]
-        _, which, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        often = np.minimum(often[which], 65_535)
+        weights = [np.ones(len(part), np.uint32) if row["often"] is None else np.frombuffer(row["often"], "<u4") for row, part in zip(rows, tokens, strict=True)]
+        _, which = np.unique(np.concatenate(tokens), return_inverse=True)
+        often = np.minimum(np.bincount(which, np.concatenate(weights))[which], 65_535)
         end = 0
         for row, part in zip(rows, tokens, strict=True):
             start, end = end, end + len(part)
             shared = often[start:end] > 1
             if shared.any():
-                ids = part[shared] | np.uint64(row["bucket"] % 65_536) << np.uint64(48)
-                owners = np.frombuffer(row["owners"], "<u4")[shared]
-                out.append((row["bucket"], row["block"], ids.astype("<u8").tobytes(), owners.tobytes(), often[start:end][shared].astype("<u2").tobytes(), None, None))
+                owners = row["owners"] and np.frombuffer(row["owners"], "<u4")[shared].tobytes()
+                out.append((row["bucket"], row["block"], _ids(part[shared], np.uint64(row["bucket"])).tobytes(), owners, often[start:end][shared].astype("<u2").tobytes(), None, None))
     return _rows(out)
 
 
@@ -151,9 +170,18 @@ def _prefixed(percent: int):
         rows = table.to_pylist()
         of = next(row for row in rows if row["nodes"] is not None)
         nodes, sizes = np.frombuffer(of["nodes"], "<i8"), np.frombuffer(of["sizes"], "<i8")
-        rows = [row for row in rows if row["tokens"] is not None]
         kinds = {"tokens": "<u8", "owners": "<u4", "often": "<u2"}
-        tokens, owners, often = (np.frombuffer(b"".join(row[name] for row in rows), kind) for name, kind in kinds.items())
+
+        def joined(name: str, several: bool) -> np.ndarray:
+            return np.frombuffer(b"".join(row[name] for row in rows if row["nodes"] is None and (row["owners"] is None) == several), kinds[name])
+
+        # Of shingles that several documents of the block have, the counts come back, and the documents are here.
+        order = np.argsort(joined("tokens", True))
+        own = np.frombuffer(of["tokens"], "<u8")
+        own_often = joined("often", True)[order][np.searchsorted(joined("tokens", True)[order], own)] if len(own) else np.zeros(0, "<u2")
+        tokens = np.concatenate([joined("tokens", False), own])
+        owners = np.concatenate([joined("owners", False), np.frombuffer(of["owners"], "<u4")])
+        often = np.concatenate([joined("often", False), own_often])
         order = np.lexsort((tokens, often, owners))
         tokens, owners = tokens[order], owners[order].astype(np.int64)
         bounds = np.searchsorted(owners, np.arange(len(nodes) + 1))
