@@ -24,7 +24,7 @@ symbol is named by its anchor and what stands around it.
 Texts are dealt to blocks of about ``block_bytes`` by hash, once; all rounds
 read that one shuffle.
 
-Round 1.  A block names its words and windows, and gives the windows' symbols (40
+Round 1.  A block names its words and windows, and gives the windows' symbols (32
 bits of each, once) to the symbols' buckets.
 Round 2.  A bucket tells blocks which of their symbols another block has too.
 Round 3.  A block finds its windows that also start in a smaller document of the
@@ -224,13 +224,13 @@ class _Block:
 
 
 def _packed(symbols: np.ndarray) -> bytes:
-    """The upper 40 bits of symbols, five bytes each."""
-    return np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+    """The upper 32 bits of symbols, four bytes each."""
+    return np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4:]).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(blob) // 4, 8), np.uint8)
+    out[:, 4:] = np.frombuffer(blob, np.uint8).reshape(-1, 4)
     return out.view("<u8").ravel()
 
 
@@ -267,7 +267,7 @@ def _named(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Round 2. A block names a symbol once, so one that stands twice has two blocks (or is alike in 40 bits, which costs work alone)."""
+    """Round 2. A block names a symbol once, so one that stands twice has two blocks (or is alike in 32 bits, which costs work alone)."""
     parts = [_unpacked(blob.as_py()) for blob in table["symbols"]]
     every = np.concatenate(parts)
     _, which, often = np.unique(every, return_inverse=True, return_counts=True)
