@@ -326,7 +326,23 @@ UNION ALL SELECT 'l_extendedprice', count(*), count(DISTINCT l_extendedprice), c
   sum((l_extendedprice > 0 AND l_extendedprice NOT BETWEEN 32874 AND 49674)::BIGINT)::BIGINT FROM lineitem""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice")
-    return cells.profile(cells.from_table(rows, "lineitem", "l_orderkey"), in_order=False).select("header", "filled", "n_distinct", "n_numeric", "n_date", "n_positive")
+    return cells.profile(cells.from_table(rows, "lineitem", "l_orderkey")).select("header", "filled", "n_distinct", "n_numeric", "n_date", "n_positive")
+
+
+_ORDERED = {"o_custkey": "o_custkey::VARCHAR", "o_orderpriority": "trim(o_orderpriority)"}
+
+
+@query(" UNION ALL ".join(f"""
+SELECT '{name}' AS header,
+  (SELECT string_agg(v, ' | ' ORDER BY n DESC, f) FROM (SELECT {value} AS v, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1 ORDER BY n DESC, f LIMIT 5)) AS top_values,
+  (SELECT string_agg(v, ' | ' ORDER BY f) FROM (SELECT {value} AS v, min(o_orderkey) AS f FROM orders GROUP BY 1 ORDER BY f LIMIT 5)) AS samples,
+  (SELECT round(avg((x >= b)::INT), 9) FROM (SELECT TRY_CAST({name} AS DOUBLE) AS x, lag(TRY_CAST({name} AS DOUBLE)) OVER (ORDER BY o_orderkey) AS b FROM orders)) AS increasing,
+  (SELECT round(avg((x <= b)::INT), 9) FROM (SELECT TRY_CAST({name} AS DOUBLE) AS x, lag(TRY_CAST({name} AS DOUBLE)) OVER (ORDER BY o_orderkey) AS b FROM orders)) AS decreasing""" for name, value in _ORDERED.items()))
+def column_order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent and first values and monotonic shares of two whole columns."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *_ORDERED)
+    found = cells.profile(cells.from_table(rows, "orders", "o_orderkey"))
+    return found.select("header", *(F.array_join(n, " | ").alias(n) for n in ("top_values", "samples")), *(F.round(n, 9).alias(n) for n in ("increasing", "decreasing")))
 
 
 @query(f"{sql.VIEWS} SELECT avg(regexp_full_match(gstin, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]')::INT) AS gstin_share FROM books")

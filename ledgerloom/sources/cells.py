@@ -23,6 +23,10 @@ DATE_SHAPES = (
 NUMBER_SHAPE = r"^\(?[-+]?[$£€¥]?\s?\d{1,3}(,\d{3})*(\.\d+)?%?\)?$"
 FIRST_DAY_NUMBER, LAST_DAY_NUMBER = 32874, 49674
 
+STRETCH = 1 << 16  #: Rows that are put in order together
+SLICES = 256  #: Parts of a column's distinct values
+FOREMOST = 5  #: Values shown of each column
+
 
 def from_grids(spark: SparkSession, grids: dict[str, Sequence[Sequence]], formats: dict[str, Sequence[Sequence[str]]] | None = None) -> DataFrame:
     """Cells of in-memory sheets. Numbers stay numbers; rows may be of different lengths."""
@@ -71,47 +75,71 @@ def kind() -> Column:
     )
 
 
+def sheet_keys(cells: DataFrame) -> list[str]:
+    """The columns that tell sheets apart: the name, and the workbook's path if there is one."""
+    return [name for name in ("path", "sheet") if name in cells.columns]
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
-    """``sheet, header_ix``: the first row with two cells or more, 60 % of them text, and a cell in the five rows below; else -1."""
+    """``sheet, header_ix`` (and ``path``): the first row with two cells or more, 60 % of them text, and a cell in the five rows below; else -1."""
+    keys = sheet_keys(cells)
     filled = cells.filter("s is not null and s <> ''")
     wordy = F.col("n").isNull() & F.trim("s").try_cast("double").isNull() & (F.trim("s") != "")
-    rows = filled.groupBy("sheet", "row_ix").agg(F.count("*").alias("filled"), F.count_if(wordy).alias("wordy"))
-    below = Window.partitionBy("sheet").orderBy("row_ix").rangeBetween(1, 5)
+    rows = filled.groupBy(*keys, "row_ix").agg(F.count("*").alias("filled"), F.count_if(wordy).alias("wordy"))
+    below = Window.partitionBy(*keys).orderBy("row_ix").rangeBetween(1, 5)
     found = rows.withColumn("below", F.count("*").over(below)).filter("filled >= 2 and wordy >= 0.6 * filled and below > 0")
-    first = found.groupBy("sheet").agg(F.min("row_ix").alias("header_ix"))
-    return cells.select("sheet").distinct().join(first, "sheet", "left").select("sheet", F.coalesce("header_ix", F.lit(-1)).alias("header_ix"))
+    first = found.groupBy(*keys).agg(F.min("row_ix").alias("header_ix"))
+    return cells.select(*keys).distinct().join(first, keys, "left").select(*keys, F.coalesce("header_ix", F.lit(-1)).alias("header_ix"))
+
+
+def _runs(numbers: DataFrame, column: list[str]) -> DataFrame:
+    """Counts of signs, and shares of numbers not below or not above the one before. Rows are put in order by stretches, which are then joined end to end."""
+    stretch = F.floor(F.col("row_ix") / STRETCH)
+    within = Window.partitionBy(*column, "stretch").orderBy("row_ix")
+    number, before = F.col("number"), F.col("before")
+    parts = (
+        numbers.withColumn("stretch", stretch)
+        .withColumn("before", F.lag("number").over(within))
+        .groupBy(*column, "stretch")
+        .agg(
+            F.count("*").alias("n_numbers"), F.count_if(number > 0).alias("n_positive"), F.count_if(number < 0).alias("n_negative"),
+            F.count_if(number >= before).alias("up"), F.count_if(number <= before).alias("down"), F.min_by("number", "row_ix").alias("head"), F.max_by("number", "row_ix").alias("tail"),
+        )
+        .withColumn("before", F.lag("tail").over(Window.partitionBy(*column).orderBy("stretch")))
+    )
+    steps = F.sum("n_numbers") - 1
+    return parts.groupBy(*column).agg(
+        *(F.sum(n).alias(n) for n in ("n_numbers", "n_positive", "n_negative")),
+        F.try_divide(F.sum("up") + F.count_if(F.col("head") >= before), steps).alias("increasing"),
+        F.try_divide(F.sum("down") + F.count_if(F.col("head") <= before), steps).alias("decreasing"),
+    )
 
 
-def profile(cells: DataFrame, in_order: bool = True) -> DataFrame:
-    """One row per sheet and column: counts of kinds, distinct values and signs; with ``in_order`` also samples and monotonic runs.
+def profile(cells: DataFrame) -> DataFrame:
+    """One row per sheet and column: counts of kinds, distinct values and signs, the five most frequent values, the first five values, and monotonic shares.
 
-    What depends on the order of rows sorts a whole column at once, so tables
-    beyond a sheet's size are profiled without it.
+    A column is never put in order as a whole: rows are by stretches, values by
+    slices, of which each gives its five foremost.
     """
-    headers = header_rows(cells)
-    joined = cells.join(headers, "sheet")
-    names = joined.filter("row_ix = header_ix").select("sheet", "col_ix", F.col("s").alias("header"))
+    keys = sheet_keys(cells)
+    column = [*keys, "col_ix"]
+    joined = cells.join(header_rows(cells), keys)
+    names = joined.filter("row_ix = header_ix").select(*column, F.col("s").alias("header"))
     data = joined.filter("row_ix > header_ix").withColumn("kind", kind())
-    n_rows = data.groupBy("sheet").agg((F.max("row_ix") - F.first("header_ix")).alias("n_rows"))
+    n_rows = data.groupBy(*keys).agg((F.max("row_ix") - F.first("header_ix")).alias("n_rows"))
     data = data.filter("kind <> 'blank'").withColumn("number", F.when(F.col("kind") == "numeric", F.coalesce("n", number_or_null(F.col("s")))))
-    step = Window.partitionBy("sheet", "col_ix").orderBy("row_ix")
-    numbers = data.filter("number is not null").withColumn("before", F.lag("number").over(step) if in_order else F.lit(None).cast("double"))
-    signs = numbers.groupBy("sheet", "col_ix").agg(
-        F.count("*").alias("n_numbers"),
-        F.count_if(F.col("number") > 0).alias("n_positive"),
-        F.count_if(F.col("number") < 0).alias("n_negative"),
-        F.avg((F.col("number") >= F.col("before")).cast("int")).alias("increasing"),
-        F.avg((F.col("number") <= F.col("before")).cast("int")).alias("decreasing"),
-    )
-    values = data.groupBy("sheet", "col_ix", F.trim("s").alias("value")).agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("date", "numeric", "text")))
-    if not in_order:
-        values = values.withColumns({"rank": F.lit(0), "seen": F.lit(0)})
-    ranked = values if not in_order else values.withColumn("rank", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy(F.desc("n"), "first_ix")))
-    ranked = ranked if not in_order else ranked.withColumn("seen", F.row_number().over(Window.partitionBy("sheet", "col_ix").orderBy("first_ix")))
-    top = lambda place: F.transform(F.array_sort(F.collect_list(F.when(F.col(place) <= 5, F.struct(place, "value")))), lambda x: x["value"])
-    shape = ranked.groupBy("sheet", "col_ix").agg(
-        F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")), *((top("rank").alias("top_values"), top("seen").alias("samples")) if in_order else ())
-    )
-    out = names.join(shape, ["sheet", "col_ix"], "full").join(signs, ["sheet", "col_ix"], "left").join(n_rows, "sheet", "left")
+    signs = _runs(data.filter("number is not null"), column)
+    values = data.groupBy(*column, F.trim("s").alias("value")).agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("date", "numeric", "text")))
+    orders = {"top_values": [(-F.col("n")).alias("n"), F.col("first_ix")], "samples": [F.col("first_ix")]}
+    for name, order in orders.items():
+        slice_ = Window.partitionBy(*column, F.pmod(F.xxhash64("value"), F.lit(SLICES))).orderBy(*order)
+        values = values.withColumn(f"{name}_place", F.row_number().over(slice_))
+
+    def foremost(name: str) -> Column:
+        found = F.collect_list(F.when(F.col(f"{name}_place") <= FOREMOST, F.struct(*orders[name], "value")))
+        return F.transform(F.slice(F.array_sort(found), 1, FOREMOST), lambda x: x["value"]).alias(name)
+
+    shape = values.groupBy(*column).agg(F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")), *map(foremost, orders))
+    out = names.join(shape, column, "full").join(signs, column, "left").join(n_rows, keys, "left")
     counts = ("filled", "n_distinct", "n_date", "n_numeric", "n_text", "n_numbers", "n_positive", "n_negative", "n_rows")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

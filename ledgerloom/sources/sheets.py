@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import date_or_null, number_or_null, paise
+from ledgerloom.sources.cells import sheet_keys
 
 # The columns of the raw sheets by position, and the column without which a row does not count.
 LAYOUTS = {
@@ -28,9 +29,8 @@ _REPORT_WORDS = ("category", "amount", "month", "revenue", "cost", "line item")
 
 def sheet_rows(cells: DataFrame, places: dict[str, int]) -> DataFrame:
     """One row per sheet row that has a cell in one of ``places`` (name to column): ``sheet, row_index``, and each name's text."""
-    keys = [k for k in ("path", "sheet") if k in cells.columns]
     wanted = cells.filter(F.col("col_ix").isin(sorted(set(places.values()))) & (F.col("s") != ""))
-    return wanted.groupBy(*keys, F.col("row_ix").alias("row_index")).agg(*(F.max(F.when(F.col("col_ix") == i, F.col("s"))).alias(name) for name, i in places.items()))
+    return wanted.groupBy(*sheet_keys(cells), F.col("row_ix").alias("row_index")).agg(*(F.max(F.when(F.col("col_ix") == i, F.col("s"))).alias(name) for name, i in places.items()))
 
 
 def _given(cell: str) -> Column:
@@ -38,8 +38,8 @@ def _given(cell: str) -> Column:
     return F.col(cell).isNotNull() & ~F.coalesce(F.col(cell).try_cast("double") == 0, F.lit(False))
 
 
-def raw_sheet(cells: DataFrame, kind: str, first_row: int = 4) -> DataFrame:
-    """A raw sheet of one of the ``LAYOUTS``, from ``first_row`` on: dates as dates, amounts in paise (missing ones zero), the rest trimmed text."""
+def raw_sheet(cells: DataFrame, kind: str, first_row: int = 3) -> DataFrame:
+    """A raw sheet of one of the ``LAYOUTS``, from ``first_row`` on (counted from 0; a heading below that place counts as a row): dates as dates, amounts in paise (missing ones zero), the rest trimmed text."""
     names = LAYOUTS[kind]
     rows = sheet_rows(cells.filter(F.col("row_ix") >= first_row), {name: i for i, name in enumerate(names)}).filter(_given(ROW_KEYS[kind]))
 
@@ -54,24 +54,24 @@ def raw_sheet(cells: DataFrame, kind: str, first_row: int = 4) -> DataFrame:
 
 
 def ledger_header(cells: DataFrame) -> DataFrame:
-    """``sheet, header_ix``: the first row with "invoice" in the first column, else 0."""
+    """``sheet, header_ix`` (and ``path``): the first row with "invoice" in the first column, else 0."""
     hit = (F.col("col_ix") == 0) & F.contains(F.lower("s"), F.lit("invoice"))
-    return cells.groupBy("sheet").agg(F.coalesce(F.min(F.when(hit, F.col("row_ix"))), F.lit(0)).alias("header_ix"))
+    return cells.groupBy(*sheet_keys(cells)).agg(F.coalesce(F.min(F.when(hit, F.col("row_ix"))), F.lit(0)).alias("header_ix"))
 
 
 def report_header(cells: DataFrame) -> DataFrame:
-    """``sheet, header_ix``: the first row with three filled cells, one of them a word of report headings or with four digits; else -1."""
+    """``sheet, header_ix`` (and ``path``): the first row with three filled cells, one of them a word of report headings or with four digits; else -1."""
     word = F.lower("s").rlike(r"\d{4}|" + "|".join(_REPORT_WORDS))
-    rows = cells.filter(F.trim("s") != "").groupBy("sheet", "row_ix").agg(F.count("*").alias("filled"), F.max(word).alias("word"))
-    return rows.groupBy("sheet").agg(F.coalesce(F.min(F.when((F.col("filled") >= 3) & F.col("word"), F.col("row_ix"))), F.lit(-1)).alias("header_ix"))
+    rows = cells.filter(F.trim("s") != "").groupBy(*sheet_keys(cells), "row_ix").agg(F.count("*").alias("filled"), F.max(word).alias("word"))
+    return rows.groupBy(*sheet_keys(cells)).agg(F.coalesce(F.min(F.when((F.col("filled") >= 3) & F.col("word"), F.col("row_ix"))), F.lit(-1)).alias("header_ix"))
 
 
 def ledger_rows(cells: DataFrame) -> DataFrame:
     """Ledger or statement rows below the header, as ``operators.ledgers.compare_ledger`` takes them; a serial day number becomes ``dd/MM/yyyy``."""
-    rows = sheet_rows(cells, _LEDGER).filter(_given("invoice_no")).join(F.broadcast(ledger_header(cells)), "sheet").filter("row_index > header_ix")
+    rows = sheet_rows(cells, _LEDGER).filter(_given("invoice_no")).join(ledger_header(cells), sheet_keys(cells)).filter("row_index > header_ix")
     serial = F.trim("date").rlike(r"^\d{1,6}(\.\d+)?$")
     date = F.when(serial, F.date_format(date_or_null(F.col("date")), "dd/MM/yyyy")).otherwise(F.trim("date"))
-    return rows.select("sheet", "row_index", F.trim("invoice_no").alias("invoice_no"), F.trim("supplier").alias("supplier"), paise(F.col("amount")).alias("amount"), date.alias("date"))
+    return rows.select(*sheet_keys(cells), "row_index", F.trim("invoice_no").alias("invoice_no"), F.trim("supplier").alias("supplier"), paise(F.col("amount")).alias("amount"), date.alias("date"))
 
 
 def invoices(cells: DataFrame, sheet: str, header_ix: int, places: dict[str, int]) -> DataFrame:
@@ -102,4 +102,4 @@ def invoices(cells: DataFrame, sheet: str, header_ix: int, places: dict[str, int
 
 def totals_row(cells: DataFrame, header_ix: int) -> DataFrame:
     """``sheet, col_ix, total`` of every column with a number below the header: what a totals row would hold."""
-    return cells.filter((F.col("row_ix") > header_ix) & F.col("n").isNotNull()).groupBy("sheet", "col_ix").agg(F.sum("n").alias("total"))
+    return cells.filter((F.col("row_ix") > header_ix) & F.col("n").isNotNull()).groupBy(*sheet_keys(cells), "col_ix").agg(F.sum("n").alias("total"))

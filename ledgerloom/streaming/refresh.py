@@ -1,13 +1,16 @@
-"""Findings kept up to date as entries arrive: each micro-batch recomputes what its change touches, or nothing."""
+"""Findings kept up to date as entries arrive: a micro-batch that changes the table has its findings computed anew, any other does nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+HASH = "n_rows long, content string"
+
 
 def content_hash(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free hash of all rows: equal tables have equal values."""
@@ -15,29 +18,50 @@ def content_hash(df: DataFrame) -> tuple[int, int]:
     return int(count), int(total)
 
 
+def _kept_hash(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """The hash that an earlier run left at ``path``; None if there is none."""
+    try:
+        row = spark.read.schema(HASH).parquet(path).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (row["n_rows"], int(row["content"])) if row else None
+
+
 class Refresh:
-    """Runs ``compute`` only if the data differ from the last run."""
+    """Runs ``compute`` only if the data differ from the last run.
+
+    With ``state``, a path, the hash of the last run is kept there, so a restart
+    does not compute again. It is written after ``compute``: a run that was lost on
+    the way is repeated.
+    """
 
-    def __init__(self, compute: Callable[[DataFrame], None]) -> None:
-        self.compute, self.last = compute, None
+    def __init__(self, compute: Callable[[DataFrame], None], state: str | None = None) -> None:
+        self.compute, self.state, self.last = compute, state, None
         self.runs = 0
 
     def __call__(self, df: DataFrame) -> bool:
         now = content_hash(df)
+        if self.last is None and self.state:
+            self.last = _kept_hash(df.sparkSession, self.state)
         if now == self.last:
             return False
         self.compute(df)
+        if self.state:
+            df.sparkSession.createDataFrame([(now[0], str(now[1]))], HASH).coalesce(1).write.mode("overwrite").parquet(self.state)
         self.last = now
         self.runs += 1
         return True
 
 
-def keep_fresh(entries: DataFrame, table_path: str, compute: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+def keep_fresh(entries: DataFrame, table_path: str, compute: Callable[[DataFrame], None], checkpoint: str, state: str | None = None) -> StreamingQuery:
     """Append each batch of a stream to a table and recompute over the whole table if it changed.
 
-    A batch that is delivered again overwrites its own part, so nothing counts twice.
+    A batch that is delivered again overwrites its own part, so nothing counts
+    twice. ``state``: where the table's hash is kept between runs.
     """
-    refresh = Refresh(compute)
+    refresh = Refresh(compute, state)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{table_path}/batch={number}")

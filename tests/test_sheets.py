@@ -79,7 +79,25 @@ def test_refresh_runs_only_on_changes(spark, tmp_path):
     a = spark.createDataFrame([(1,), (2,)], "x int")
     assert refresh(a) and not refresh(a.orderBy("x", ascending=False)) and refresh(a.union(a))
     assert seen == [2, 4]
+    state = str(tmp_path / "hash")
+    first, restarted = (Refresh(lambda df: seen.append(-1), state) for _ in range(2))
+    assert first(a) and not restarted(a) and restarted(a.union(a)) and seen[2:] == [-1, -1]
     a.write.parquet(str(tmp_path / "in"))
     counts = []
     keep_fresh(spark.readStream.schema("x int").parquet(str(tmp_path / "in")), str(tmp_path / "table"), lambda df: counts.append(df.count()), str(tmp_path / "ckpt")).awaitTermination(60)
     assert counts[-1] == 2
+
+
+def test_order_of_a_long_column_does_not_depend_on_its_stretches(spark, monkeypatch):
+    values = [5, 3, 3, 8, 8, 8, 1, 2, 9, 9, 4, 7]
+    grid = [["key", "number"], *(["k", x] for x in values)]
+    steps = list(zip(values, values[1:], strict=False))
+    first = list(dict.fromkeys(values))
+    for stretch, slices in ((1 << 16, 256), (3, 2), (1, 1)):
+        monkeypatch.setattr(cells, "STRETCH", stretch)
+        monkeypatch.setattr(cells, "SLICES", slices)
+        row = cells.profile(cells.from_grids(spark, {"s": grid})).filter("col_ix = 1").first()
+        assert row["increasing"] == sum(a <= b for a, b in steps) / len(steps) and row["decreasing"] == sum(a >= b for a, b in steps) / len(steps)
+        assert row["samples"] == [str(x) for x in first[:5]]
+        assert row["top_values"] == [str(x) for x in sorted(first, key=lambda x: (-values.count(x), first.index(x)))[:5]]
+        assert (row["n_numbers"], row["n_distinct"], row["filled"]) == (12, 8, 12)

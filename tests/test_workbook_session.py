@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import explain, hygiene, ledgers, report, screening
-from ledgerloom.plans import memory, session, vocabulary
+from ledgerloom.plans import memory, recognition, session, vocabulary
 from ledgerloom.sources import cells, sheets
 
 A, B, C = "27AAAPL0001Q1Z5", "29AAAPL0002Q1Z5", "27AAAPL0003Q1Z5"
@@ -33,7 +34,7 @@ RAW = {
 @pytest.fixture(scope="module")
 def raw(spark):
     all_cells = cells.from_grids(spark, RAW)
-    pick = lambda sheet, kind: sheets.raw_sheet(all_cells.filter(f"sheet = '{sheet}'"), kind)
+    pick = lambda sheet, kind: sheets.raw_sheet(all_cells.filter(f"sheet = '{sheet}'"), kind, 4)
     return {"supplier_invoices": pick("inv", "supplier_invoices"), "bank_statement": pick("bank", "bank_statement"), "payroll": pick("pay", "payroll")}
 
 
@@ -43,6 +44,22 @@ def test_raw_sheets_by_position(raw):
     assert [r["tronc"] for r in raw["payroll"].orderBy("row_index").collect()] == [0, 300]
 
 
+def test_raw_sheets_start_at_the_fourth_row(spark):
+    found = sheets.raw_sheet(cells.from_grids(spark, {"pay": [*TITLE, ["May 2026", "s", 1]]}), "payroll").collect()
+    assert [(r["row_index"], r["month"], r["basic"], r["tronc"]) for r in found] == [(3, "May 2026", 100, 0)]
+
+
+def test_sheets_of_one_name_in_two_workbooks_stay_apart(spark):
+    grids = [[["Invoice no", "Supplier", "Amount", "Date"], ["I1", "x", 1, ""]], [["Title"], ["Invoice no", "Supplier", "Amount", "Date"], ["I2", "y", 2, ""]]]
+    parts = [cells.from_grids(spark, {"Sheet1": grid}).select(F.lit(f"{i}.xlsx").alias("path"), "*") for i, grid in enumerate(grids)]
+    both = parts[0].unionByName(parts[1])
+    assert {(r["path"], r["invoice_no"], r["amount"]) for r in sheets.ledger_rows(both).collect()} == {("0.xlsx", "I1", 100), ("1.xlsx", "I2", 200)}
+    assert {r["path"]: r["header_ix"] for r in cells.header_rows(both).collect()} == {"0.xlsx": 0, "1.xlsx": 1}
+    assert {(r["path"], r["header"]) for r in cells.profile(both).filter("col_ix = 0").collect()} == {("0.xlsx", "Invoice no"), ("1.xlsx", "Invoice no")}
+    with pytest.raises(ValueError, match="several workbooks"):
+        recognition.read_sheets(both)
+
+
 def test_hygiene_checks(raw):
     found = {label: {name: rows.count() for name, rows in hygiene.checks_for(label, raw).items()} for label in hygiene.CHECKS}
     assert found == {
