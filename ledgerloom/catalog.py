@@ -63,6 +63,14 @@ def vendor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendors.vendor_names(gstr2a(spark, sf_dir), books(spark, sf_dir))
 
 
+@query(f"{sql.VIEWS} SELECT gstin, min_by(trade_legal_name, row_index) AS vendor_name FROM books GROUP BY gstin")
+def vendor_names_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of vendors where neither sheet has a trade name, and the books' text column holds names."""
+    none = F.lit(None).cast("string")
+    register = books(spark, sf_dir).withColumn("particulars", F.col("trade_legal_name")).withColumn("trade_legal_name", none)
+    return vendors.vendor_names(gstr2a(spark, sf_dir).withColumns({"trade_legal_name": none, "particulars": none}), register).filter("vendor_name is not null")
+
+
 @query(f"""{sql.VIEWS},
 v AS (SELECT DISTINCT gstin FROM gstr2a),
 p AS (SELECT gstin, unnest(range(1, 15)) AS i FROM v),
@@ -306,6 +314,44 @@ def commission_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("platform", "month", F.round("previous", 9).alias("previous"), F.round("rate", 9).alias("rate"))
 
 
+_DELIVERED = """WITH
+o AS (SELECT strftime(o_orderdate::DATE, '%Y-%m') AS month, month(o_orderdate::DATE) AS m, ['deliveroo', 'ubereats', 'justeat'][o_orderkey % 3 + 1] AS platform, round(o_totalprice * 100)::BIGINT AS paise FROM orders),
+s AS (SELECT platform, month, sum(paise)::BIGINT AS gross, sum(paise * (72 + 3 * (m // 2 % 4)) // 100)::BIGINT AS net FROM o GROUP BY ALL)"""
+
+
+def _sales_report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as a sales report with a column per platform, and what the platforms paid out for them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("paise"))
+    sold = [F.when(F.col("o_orderkey") % 3 == i, F.col("paise")).otherwise(0).alias(name) for i, name in enumerate(ledgers.PLATFORMS)]
+    name = F.element_at(F.array(*map(F.lit, ledgers.PLATFORMS.values())), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    paid = F.expr("paise * (72 + 3 * (month(o_orderdate) div 2 % 4)) div 100")
+    bank = orders.select(F.col("o_orderdate").cast("date").alias("date"), F.concat(name, F.lit(" payout")).alias("description"), F.lit(hygiene.PAYOUT).alias("category"), paid.alias("amount"))
+    return orders.select(F.date_format("o_orderdate", "MMM yyyy").alias("month"), *sold), bank
+
+
+@query(f"""{_DELIVERED}, r AS (SELECT platform, month, 1 - net::DOUBLE / gross::DOUBLE AS rate FROM s WHERE gross > 0),
+p AS (SELECT *, lag(rate) OVER (PARTITION BY platform ORDER BY month) AS previous FROM r)
+SELECT platform, month, round(previous, 9) AS previous, round(rate, 9) AS rate FROM p WHERE abs(rate - previous) > 0.01""")
+def platform_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months in which a platform kept another share of its sales, from the sales report and the bank's payout lines."""
+    report_rows, bank = _sales_report(spark, sf_dir)
+    moved = ledgers.commission_drift(ledgers.platform_sales(report_rows), ledgers.platform_payouts(bank))
+    return moved.select("platform", "month", F.round("previous", 9).alias("previous"), F.round("rate", 9).alias("rate"))
+
+
+_KEPT = {"deliveroo": 0.28, "ubereats": 0.30, "justeat": 0.14}
+
+
+@query(f"""{_DELIVERED}
+SELECT month, round(sum(gross::DOUBLE * (1::DOUBLE - CASE platform {" ".join(f"WHEN '{name}' THEN {share}::DOUBLE" for name, share in _KEPT.items())} END)), 2) AS amount FROM s GROUP BY month""")
+def delivery_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales over platforms by month, less the share that each keeps."""
+    sales = ledgers.platform_sales(_sales_report(spark, sf_dir)[0])
+    shares = F.create_map(*(F.lit(x) for pair in _KEPT.items() for x in pair))
+    rates = sales.select("platform", "month").distinct().withColumn("rate", shares[F.col("platform")])
+    return ledgers.net_of_commission(sales, rates).select("month", F.round("amount", 2).alias("amount"))
+
+
 _RENAMED = "list_filter(leaders, lambda x: floor((1 - levenshtein(lower(trim(x)), lower(trim(n.vendor)))::DOUBLE / greatest(len(trim(x)), len(trim(n.vendor)))) * 100 + 0.5) BETWEEN 55 AND 99)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.identifiers import similarity_percent
 from ledgerloom.operators.components import components
+from ledgerloom.operators.hygiene import PAYOUT
 from ledgerloom.operators.matching import PIECE_KEYS, name_pieces, similar_names
 from ledgerloom.plans.staging import staged
 
@@ -18,6 +19,8 @@ SIMILAR = 80
 VAT_SHARE, VAT_BAND = 0.20, 0.01
 RENAME_SIMILAR = 55
 COMMISSION_STEP = 0.01
+# Delivery platforms by their column of the sales report, and how bank lines of their payouts start.
+PLATFORMS = {"deliveroo": "Deliveroo", "ubereats": "UberEats", "justeat": "JustEat"}
 
 
 def _nth(rows: DataFrame, *keys: str | Column) -> Column:
@@ -136,3 +139,27 @@ def commission_drift(gross: DataFrame, net: DataFrame) -> DataFrame:
     order = Window.partitionBy("platform").orderBy("month")
     moved = rates.withColumn("previous", F.lag("rate").over(order))
     return moved.filter(F.abs(F.col("rate") - F.col("previous")) > COMMISSION_STEP).select(*keys, "previous", "rate")
+
+
+def platform_sales(sales: DataFrame) -> DataFrame:
+    """``platform, month, amount`` of a sales report whose months stand as ``Jun 2026``: gross sales, a row for each report row and platform."""
+    month = F.date_format(F.try_to_timestamp("month", F.lit("MMM yyyy")), "yyyy-MM")
+    return sales.select(month.alias("month"), *PLATFORMS).filter("month is not null").unpivot("month", list(PLATFORMS), "platform", "amount")
+
+
+def platform_payouts(bank: DataFrame) -> DataFrame:
+    """``platform, month, amount`` of the payouts in a bank statement (``date, description, category, amount``); the start of the description tells the platform."""
+    platform = F.coalesce(*(F.when(F.startswith("description", F.lit(name)), column) for column, name in PLATFORMS.items()))
+    rows = bank.filter((F.col("category") == PAYOUT) & F.col("date").isNotNull())
+    return rows.select(platform.alias("platform"), F.date_format("date", "yyyy-MM").alias("month"), "amount").filter("platform is not null")
+
+
+def net_of_commission(sales: DataFrame, rates: DataFrame) -> DataFrame:
+    """``month, amount``: sales of all platforms less their commission. ``sales`` as ``platform_sales`` gives them; ``rates``: ``platform, month, rate``; sales without a rate are left out."""
+    by_platform = sales.groupBy("platform", "month").agg(F.sum("amount").alias("gross"))
+    return by_platform.join(rates, ["platform", "month"]).groupBy("month").agg(F.sum(F.col("gross") * (1 - F.col("rate"))).alias("amount"))
+
+
+def spent_on(category: str) -> Column:
+    """What a bank line of ``category`` costs: its amount with the sign turned. For ``conditional_sums``."""
+    return F.when(F.col("category") == category, -F.col("amount"))

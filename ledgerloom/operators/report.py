@@ -228,3 +228,8 @@ def accept(p: Proposal, path: str) -> dict[str, str]:
 def append_audit(rows: DataFrame, path: str) -> None:
     """Add ``rows`` (time, place, text) to the audit log; older entries stay as they are."""
     rows.write.mode("append").parquet(path)
+
+
+def audit_count(spark: SparkSession, path: str) -> int:
+    """Entries of the audit log; none if nothing was ever logged."""
+    return spark.read.parquet(path).count() if exists(spark, path) else 0

@@ -72,6 +72,7 @@ class Description:
     reason: str
     vendors: int
     constant: int
+    is_name: bool = False
 
 
 def description_variability(invoices: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def describe(invoices: DataFrame) -> Description:
     if vendors < CONSTANT_SAMPLE:
         return Description(True, "too few vendors with several rows to judge", vendors, constant)
     usable = constant / vendors < CONSTANT_SHARE
-    return Description(usable, "text varies within vendors" if usable else "text is constant for most vendors", vendors, constant)
+    return Description(usable, "text varies within vendors" if usable else "text is constant for most vendors", vendors, constant, is_name=not usable)
 
 
 def _mentions(text: Column, keywords: Iterable[str]) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import report, row_rules
-from ledgerloom.plans.memory import ColumnsUnresolved, Memory, Patterns, corroborated, pattern_key
+from ledgerloom.plans.memory import BestEffort, ColumnsUnresolved, Memory, Patterns, corroborated, pattern_key
 from ledgerloom.plans.recognition import Column, ColumnMap, Verdict, identify_columns, normalized_header, open_fields, pick_sheets, read_sheets, recognize_role
 from ledgerloom.plans.staging import staged
 from ledgerloom.sources.cells import header_rows
@@ -56,7 +56,7 @@ def recognize(cells: DataFrame) -> Recognized:
     return Recognized(sheets, maps, roles, pick_sheets(roles), {r["sheet"]: r["header_ix"] for r in header_rows(cells).collect()})
 
 
-def resolve_columns(found: Recognized, role: str, client_id: str, memory: Memory, shared: Patterns) -> tuple[dict[str, int], list[tuple[str, str]]]:
+def resolve_columns(found: Recognized, role: str, client_id: str, memory: Memory, shared: Patterns | BestEffort) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Places of all fields of a role's sheet, and ``(field, reason)`` of those that stay open."""
     sheet = found.chosen[role]
     columns, m = found.columns[sheet], found.maps[sheet]
@@ -88,7 +88,7 @@ def _header(found: Recognized, sheet: str, index: int) -> str:
     return next(c.header for c in found.columns[sheet] if c.index == index)
 
 
-def reconcile_workbook(cells: DataFrame, client_id: str, memory: Memory | None = None, shared: Patterns | None = None) -> report.Proposal:
+def reconcile_workbook(cells: DataFrame, client_id: str, memory: Memory | None = None, shared: Patterns | BestEffort | None = None) -> report.Proposal:
     """Reconcile the statement with the purchase register of a workbook. ``ValueError`` if a role has no sheet."""
     found = recognize(cells)
     if found.chosen is None:
@@ -103,7 +103,7 @@ def reconcile_workbook(cells: DataFrame, client_id: str, memory: Memory | None =
     return report.propose(sides["gstr2a"], sides["books"])
 
 
-def answer(found: Recognized, sheet: str, name: str, index: int, client_id: str, memory: Memory, shared: Patterns, audit_path: str | None = None, cells: DataFrame | None = None) -> None:
+def answer(found: Recognized, sheet: str, name: str, index: int, client_id: str, memory: Memory, shared: Patterns | BestEffort, audit_path: str | None = None, cells: DataFrame | None = None) -> None:
     """Remember an answer for the client; an ambiguous field is shared with all clients too. With ``audit_path`` the answer is logged."""
     columns, m = found.columns[sheet], found.maps[sheet]
     memory.answer(client_id, columns, sheet, name, index)

@@ -66,6 +66,11 @@ def report_header(cells: DataFrame) -> DataFrame:
     return rows.groupBy(*sheet_keys(cells)).agg(F.coalesce(F.min(F.when((F.col("filled") >= 3) & F.col("word"), F.col("row_ix"))), F.lit(-1)).alias("header_ix"))
 
 
+def data_rows(cells: DataFrame) -> DataFrame:
+    """``sheet, row_ix`` (and ``path``) of rows with a filled cell beyond the first column; titles and notes of a written report fill the first alone."""
+    return cells.filter((F.col("col_ix") > 0) & (F.trim("s") != "")).select(*sheet_keys(cells), "row_ix").distinct()
+
+
 def ledger_rows(cells: DataFrame) -> DataFrame:
     """Ledger or statement rows below the header, as ``operators.ledgers.compare_ledger`` takes them; a serial day number becomes ``dd/MM/yyyy``."""
     rows = sheet_rows(cells, _LEDGER).filter(_given("invoice_no")).join(ledger_header(cells), sheet_keys(cells)).filter("row_index > header_ix")

@@ -1,4 +1,8 @@
-"""Findings kept up to date as entries arrive: a micro-batch that changes the table has its findings computed anew, any other does nothing."""
+"""Findings kept up to date as entries arrive.
+
+``keep_fresh`` computes over the whole table, if a micro-batch changed it;
+``keep_slices_fresh`` over the rows of those keys alone that a batch touches.
+"""
 
 from __future__ import annotations
 
@@ -68,3 +72,29 @@ def keep_fresh(entries: DataFrame, table_path: str, compute: Callable[[DataFrame
         refresh(rows.sparkSession.read.parquet(table_path).drop("batch"))
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_slices_fresh(entries: DataFrame, table_path: str, key: str, compute: Callable[[DataFrame], DataFrame], findings_path: str, checkpoint: str) -> StreamingQuery:
+    """Append each batch of a stream to a table and compute the findings of the values of ``key`` in it, from all their rows.
+
+    ``compute`` has to work within each key, and to return the key. Findings are
+    written per batch, with the keys that it touched; ``latest_slices`` reads what
+    stands. A batch that is delivered again overwrites its own parts.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, own = rows.sparkSession, f"batch={number}"
+        rows.write.mode("overwrite").parquet(f"{table_path}/{own}")
+        spark.read.parquet(f"{table_path}/{own}").select(key).distinct().write.mode("overwrite").parquet(f"{findings_path}/keys/{own}")
+        table, touched = spark.read.parquet(table_path).filter(F.col("batch") <= number).drop("batch"), spark.read.parquet(f"{findings_path}/keys/{own}")
+        part = table.join(touched.withColumnRenamed(key, "touched_key"), F.col(key).eqNullSafe(F.col("touched_key")), "left_semi")
+        compute(part).write.mode("overwrite").parquet(f"{findings_path}/found/{own}")
+
+    return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_slices(spark: SparkSession, findings_path: str, key: str) -> DataFrame:
+    """The findings of every key as the last batch that touched it left them."""
+    last = spark.read.parquet(f"{findings_path}/keys").groupBy(F.col(key).alias("touched_key")).agg(F.max("batch").alias("last"))
+    found = spark.read.parquet(f"{findings_path}/found")
+    return found.join(last, F.col(key).eqNullSafe(F.col("touched_key")) & (F.col("batch") == F.col("last")), "left_semi").drop("batch")

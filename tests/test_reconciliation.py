@@ -196,7 +196,7 @@ def test_limits_of_duplicates_can_be_set(table):
 
 QUICK = (
     "vendor_status_counts", "invoice_exact_match", "fuzzy_digit_bridge", "wrong_head", "cross_wrong_head", "rate_mismatch", "dup_identifier_edges",
-    "vendor_renames", "short_id_tiebreak", "commission_drift", "pnl_monthly", "similar_vendors",
+    "vendor_renames", "vendor_names_from_text", "platform_drift", "delivery_revenue", "short_id_tiebreak", "commission_drift", "pnl_monthly", "similar_vendors",
 )
 
 
@@ -234,11 +234,23 @@ def test_commission_moves_and_months_add_up(spark):
     assert got == [(60, 50, None), (90, 80, 30)]
 
 
+def test_platforms_are_told_by_column_and_description(spark):
+    sales = spark.createDataFrame([("May 2026", 100, 50, 0), ("Jun 2026", 200, None, 10), ("soon", 1, 1, 1)], "month string, deliveroo long, ubereats long, justeat long")
+    bank = spark.createDataFrame([("2026-05-31", "Deliveroo payout", "Delivery Platform Payout", 72), ("2026-06-30", "Deliveroo", "Delivery Platform Payout", 140), ("2026-06-30", "Deliveroo", "Other", 9), ("2026-06-30", "My Deliveroo", "Delivery Platform Payout", 9), (None, "JustEat", "Delivery Platform Payout", 9)], "date string, description string, category string, amount long").withColumn("date", F.col("date").cast("date"))
+    gross, net = ledgers.platform_sales(sales), ledgers.platform_payouts(bank)
+    assert [tuple(r) for r in net.orderBy("month").collect()] == [("deliveroo", "2026-05", 72), ("deliveroo", "2026-06", 140)]
+    assert [(r["platform"], r["month"], round(r["previous"], 6), round(r["rate"], 6)) for r in ledgers.commission_drift(gross, net).collect()] == [("deliveroo", "2026-06", 0.28, 0.3)]
+    rates = spark.createDataFrame([("deliveroo", "2026-05", 0.25), ("ubereats", "2026-05", 0.5)], "platform string, month string, rate double")
+    assert [tuple(r) for r in ledgers.net_of_commission(gross, rates).collect()] == [("2026-05", 100.0)]
+    spent = ledgers.conditional_sums(bank.filter("date is not null"), F.date_format("date", "yyyy-MM"), {"other": ledgers.spent_on("Other")})
+    assert {tuple(r) for r in spent.collect()} == {("2026-05", 0), ("2026-06", -9)}
+
+
 def test_audit_log_grows(spark, tmp_path):
     rows = spark.createDataFrame([("now", "A1", "written")], "time string, place string, text string")
     for _ in range(2):
         report.append_audit(rows, str(tmp_path / "audit"))
-    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+    assert report.audit_count(spark, str(tmp_path / "audit")) == 2 and report.audit_count(spark, str(tmp_path / "none")) == 0
 
 
 def test_similar_names_equal_all_pairs(spark):

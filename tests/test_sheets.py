@@ -5,10 +5,11 @@ from __future__ import annotations
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.plans import memory, recognition
 from ledgerloom.sources import cells, workbook
-from ledgerloom.streaming.refresh import Refresh, keep_fresh
+from ledgerloom.streaming.refresh import Refresh, keep_fresh, keep_slices_fresh, latest_slices
 
 IDS = ["07AAAPL0001Q1Z5", "27AAAPL0002Q1Z5", "29AAAPL0003Q1Z5"]
 STATEMENT = [["GSTIN of Supplier", "Trade/Legal Name", "Invoice Number", "Invoice Date", "Taxable Value", "Rate", "Integrated Tax", "Central Tax", "State/UT Tax", "Place of Supply"]] + [
@@ -59,6 +60,44 @@ def test_answers_are_remembered_per_client(spark, sheets, tmp_path):
     assert memory.corroborated(["Input CGST", "CGST"], ["cgst"]) == ("exact", "CGST")
 
 
+def test_answers_can_be_reviewed_and_changed(sheets):
+    store, structure = memory.Memory(), recognition.signature(sheets["b"])[0]
+    store.answer("me", sheets["b"], "b", "cgst", 7)
+    store.answer("me", sheets["b"], "b", "igst", 6)
+    assert {row[2] for row in store.learned("me")} == {"cgst", "igst"} and store.learned("you") == []
+    assert "cgst" in store.set_answer("me", structure, "igst", None).label and store.columns("me", sheets["b"]) == {"cgst": 7}
+    header = next(c.header for c in sheets["b"] if c.index == 6)
+    store.set_answer("me", structure, "cgst", header)
+    assert store.columns("me", sheets["b"]) == {"cgst": 6}
+    with pytest.raises(ValueError):
+        store.set_answer("me", structure, "cgst", " ")
+    assert store.set_answer("me", structure, "cgst", None) is None and not store.records
+    assert store.set_answer("me", structure, "cgst", "x") is None and store.relabel("me", structure, "x") is None
+
+
+def test_labels_come_from_rules_then_the_client_then_all_clients(sheets):
+    own, shared, columns = memory.Memory(), memory.Patterns(), sheets["b"]
+    label = lambda client, kind="unknown", tier=shared: memory.sheet_label(own, client, columns, kind, tier)
+    assert label("me", "payroll") == memory.SheetLabel("classified", "payroll") and label("me").status == "needs_input"
+    record = memory.remember_label(own, "me", columns, "b", " Purchases ", shared)
+    assert label("me") == memory.SheetLabel("remembered", "Purchases", "exact")
+    assert memory.sheet_label(own, "me", [*columns, sheets["c"][1]], "unknown").via == "fuzzy"
+    assert label("you") == (memory.SheetLabel("remembered", "Purchases", "shared") if recognition.shareable(columns) else memory.SheetLabel("needs_input"))
+    assert own.relabel("me", record.signature, "Bills").label == "Bills" and label("me").label == "Bills"
+    other = memory.layered(memory.Memory(), own)
+    assert [r.label for r in other.records] == ["Bills"]
+
+    def away():
+        raise OSError("no store")
+
+    down = memory.BestEffort(away)
+    down.remember("k", "v")
+    assert down.get("k") is None and label("you", tier=down).status == "needs_input"
+    saved = []
+    memory.BestEffort(lambda: memory.Patterns({"a": "b"}), saved.append).remember("k", "v")
+    assert saved[0].answers == {"a": "b", "k": "v"}
+
+
 def test_workbooks_give_cells(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as book:
@@ -88,6 +127,22 @@ def test_refresh_runs_only_on_changes(spark, tmp_path):
     assert counts[-1] == 2
 
 
+def test_only_touched_slices_are_computed(spark, tmp_path):
+    seen = []
+
+    def count_by_vendor(rows):
+        seen.append({r["vendor"] for r in rows.select("vendor").distinct().collect()})
+        return rows.groupBy("vendor").agg(F.count("*").alias("n")).filter("n < 3")
+
+    table, findings, arrivals = (str(tmp_path / name) for name in ("table", "findings", "in"))
+    for part in ([("a", 1), ("b", 1), (None, 1)], [("a", 2)], [("b", 2), ("b", 3)]):
+        spark.createDataFrame(part, "vendor string, x int").coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema("vendor string, x int").parquet(arrivals)
+        keep_slices_fresh(stream, table, "vendor", count_by_vendor, findings, str(tmp_path / "ckpt")).awaitTermination(60)
+    assert seen == [{"a", "b", None}, {"a"}, {"b"}]
+    assert {tuple(r) for r in latest_slices(spark, findings, "vendor").collect()} == {("a", 2), (None, 1)}  # b has three rows by now
+
+
 def test_order_of_a_long_column_does_not_depend_on_its_stretches(spark, monkeypatch):
     values = [5, 3, 3, 8, 8, 8, 1, 2, 9, 9, 4, 7]
     grid = [["key", "number"], *(["k", x] for x in values)]

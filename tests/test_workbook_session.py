@@ -95,6 +95,7 @@ def test_headers_ledgers_and_totals(spark):
     assert rows == {("l", "A1"): ("Acme", 120050, "15/03/2023"), ("l", "A2"): ("Bee", None, "1/2/2024"), ("n", "K2"): (None, None, None)}
     report_cells = cells.from_grids(spark, {"p": [["P&L for 2026"], ["Line", "May 2026", "Jun 2026"], ["Rent", 1, 2], ["Food", 3, 4]], "q": [["a", "b"]]})
     assert {r["sheet"]: r["header_ix"] for r in sheets.report_header(report_cells).collect()} == {"p": 1, "q": -1}
+    assert {(r["sheet"], r["row_ix"]) for r in sheets.data_rows(report_cells).collect()} == {("p", 1), ("p", 2), ("p", 3), ("q", 0)}
     assert {r["col_ix"]: r["total"] for r in sheets.totals_row(report_cells.filter("sheet = 'p'"), 1).collect()} == {1: 4.0, 2: 6.0}
 
 
