@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers as ids
-from ledgerloom.operators import duplicates, explain, hygiene, invoices, ledgers, matching, report, row_rules, screening, vendors
+from ledgerloom.operators import duplicates, explain, hygiene, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
 from ledgerloom.plans import oracle_parts as sql
 from ledgerloom.plans import recognition
 from ledgerloom.plans.fixed import MATERIALITY
@@ -363,7 +363,7 @@ r AS (
   SELECT n.i, CASE WHEN len({_RENAMED}) = 0 THEN list_append(leaders, n.vendor) ELSE leaders END, coalesce({_RENAMED}[1], n.vendor), n.vendor FROM r JOIN n ON n.i = r.i + 1)
 SELECT canonical, alias FROM r WHERE i > 0""")
 def vendor_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledgers.vendor_renames(books(spark, sf_dir).select(F.col("trade_legal_name").alias("vendor"), "row_index"))
+    return renames.vendor_renames(books(spark, sf_dir).select(F.col("trade_legal_name").alias("vendor"), "row_index"))
 
 
 @query("""

@@ -1,23 +1,19 @@
-"""Ledger against statement, vendor renames, and monthly profit-and-loss roll-ups."""
+"""Ledger against statement, and monthly profit-and-loss roll-ups."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.identifiers import similarity_percent
-from ledgerloom.operators.components import components
 from ledgerloom.operators.hygiene import PAYOUT
-from ledgerloom.operators.matching import PIECE_KEYS, name_pieces, similar_names
-from ledgerloom.plans.staging import staged
+from ledgerloom.operators.matching import similar_names
 
 # In the order in which findings are shown.
 STATUSES = ("MATCHED", "FUZZY_VENDOR", "AMOUNT_DIFF", "VAT_ISSUE", "DATE_DIFF", "MISSING_SUPPLIER", "MISSING_LEDGER", "DUPLICATE")
 SIMILAR = 80
 VAT_SHARE, VAT_BAND = 0.20, 0.01
-RENAME_SIMILAR = 55
 COMMISSION_STEP = 0.01
 # Delivery platforms by their column of the sales report, and how bank lines of their payouts start.
 PLATFORMS = {"deliveroo": "Deliveroo", "ubereats": "UberEats", "justeat": "JustEat"}
@@ -67,51 +63,6 @@ def status_counts(findings: DataFrame) -> DataFrame:
     return F.broadcast(order).join(counts, "status", "left").orderBy("place").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _leaders(names: pd.DataFrame) -> pd.DataFrame:
-    """Greedy clusters: a name joins the first earlier leader that is alike, or leads itself."""
-
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i, *[0] * len(b)], row
-            for j, y in enumerate(b, 1):
-                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-        return row[-1]
-
-    def similarity(a: str, b: str) -> int:
-        a, b = a.strip().lower(), b.strip().lower()
-        longest = max(len(a), len(b))
-        return 100 if not longest else int((1 - distance(a, b) / longest) * 100 + 0.5)
-
-    leaders: list[str] = []
-    found = []
-    for name in names.sort_values("row_index")["vendor"]:
-        leader = next((x for x in leaders if RENAME_SIMILAR <= similarity(x, name) < 100), None)
-        if leader is None:
-            leader = name
-            leaders.append(name)
-        found.append((names["block"].iloc[0], leader, name))
-    return pd.DataFrame(found, columns=["block", "canonical", "alias"])
-
-
-def vendor_renames(invoices: DataFrame) -> DataFrame:
-    """``canonical, alias`` of vendor names, in the order in which they first appear.
-
-    Names alike share a piece, so they lie in one connected set of names with common
-    pieces; the greedy pass runs within each set, where it meets all that matters.
-    """
-    first = invoices.filter(F.trim("vendor") != "").groupBy("vendor").agg(F.min("row_index").alias("row_index"))
-    first = first.withColumn("text", F.lower(F.regexp_replace("vendor", r"(?U)^\s+|\s+$", "")))
-    first = staged(first.withColumn("node", F.xxhash64("text")), "vendor-names")
-    probes, indexed = name_pieces(first.select("text").distinct(), first.select("text").distinct(), RENAME_SIMILAR)
-    held = probes.unionByName(indexed.withColumnRenamed("other", "name")).select(F.xxhash64(*PIECE_KEYS).alias("piece"), F.xxhash64("name").alias("node")).distinct()
-    held = staged(held, "vendor-pieces")
-    least = held.groupBy("piece").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    sets = components(held.join(least, "piece").select("node", "least").distinct())
-    blocks = first.join(sets, "node", "left").select("vendor", "row_index", F.coalesce("component", "node").alias("block"))
-    return blocks.groupBy("block").applyInPandas(_leaders, "block long, canonical string, alias string").drop("block")
-
-
 def conditional_sums(rows: DataFrame, month: Column, lines: dict[str, Column]) -> DataFrame:
     """One row per month, one column per line: the sum of each line's amount expression."""
     return rows.groupBy(month.alias("month")).agg(*(F.coalesce(F.sum(amount), F.lit(0)).alias(name) for name, amount in lines.items()))

@@ -8,13 +8,14 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.functions import amounts, identifiers
-from ledgerloom.operators import duplicates, invoices, ledgers, matching, report, row_rules, vendors
+from ledgerloom.operators import duplicates, invoices, ledgers, matching, renames, report, row_rules, vendors
 
 SCHEMA = "row_index long, gstin string, identifier string, trade_legal_name string, particulars string, place_of_supply string, reverse_charge string, rate long, taxable_value long, igst long, cgst long, sgst long, invoice_date date"
 G = "07AAAPL0001Q1Z5"
@@ -222,7 +223,7 @@ def test_ledger_statuses(spark):
 
 def test_names_join_the_first_leader_that_is_alike(spark):
     names = spark.createDataFrame([("Acme Limited", 1), ("Acme Ltd", 2), ("acme limited", 3), ("Other", 4), ("Acme Limited", 5), (" ", 6)], "vendor string, row_index long")
-    assert {(r["alias"], r["canonical"]) for r in ledgers.vendor_renames(names).collect()} == {("Acme Limited", "Acme Limited"), ("Acme Ltd", "Acme Limited"), ("acme limited", "acme limited"), ("Other", "Other")}
+    assert {(r["alias"], r["canonical"]) for r in renames.vendor_renames(names).collect()} == {("Acme Limited", "Acme Limited"), ("Acme Ltd", "Acme Limited"), ("acme limited", "acme limited"), ("Other", "Other")}
 
 
 def test_commission_moves_and_months_add_up(spark):
@@ -275,23 +276,56 @@ def test_sets_of_pairs_that_span_batches(spark):
     assert len(whole) == 40 and list(duplicates._streamed(iter([]))) == []
 
 
-def test_renames_meet_across_first_letters(spark):
-    given = ["Fresh Fields Ltd", "The Fresh Fields Ltd", "Acme Foods", "4cme Foods", "Fresh Field Ltd", "Zebra", "fresh fields ltd", "Xcme Foodz", "q"]
-    names = spark.createDataFrame(list(enumerate(given)), "row_index long, vendor string")
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i, *[0] * len(b)], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+    return row[-1]
 
-    def alike(a, b):
-        a, b = a.lower(), b.lower()
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i, *[0] * len(b)], row
-            for j, y in enumerate(b, 1):
-                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-        return 55 <= int((1 - row[-1] / max(len(a), len(b))) * 100 + 0.5) < 100
 
-    leaders, expected = [], set()
+def plain_renames(given):
+    leaders, found = [], set()
     for name in given:
-        leader = next((x for x in leaders if alike(x, name)), name)
+        a = name.strip().lower()
+        share = lambda b: int((1 - plain_distance(b, a) / max(len(a), len(b))) * 100 + 0.5)  # noqa: B023, E731
+        leader = next((x for x in leaders if 55 <= share(x.strip().lower()) < 100), name)
         leaders += [name] if leader == name else []
-        expected.add((leader, name))
+        found.add((leader, name))
+    return found
+
+
+def test_renames_meet_across_first_letters(spark):
+    given = ["Fresh Fields Ltd", "The Fresh Fields Ltd", "Acme Foods", "4cme Foods", "Fresh Field Ltd", "Zebra", "fresh fields ltd", "Xcme Foodz", "q"]
+    names = spark.createDataFrame(list(enumerate(given)), "row_index long, vendor string")
+    expected = plain_renames(given)
     assert {("Fresh Fields Ltd", "The Fresh Fields Ltd"), ("Acme Foods", "4cme Foods")} <= expected
-    assert {(r["canonical"], r["alias"]) for r in ledgers.vendor_renames(names).collect()} == expected
+    assert {(r["canonical"], r["alias"]) for r in renames.vendor_renames(names).collect()} == expected
+
+
+@pytest.mark.parametrize("per_round", [1, 7, 40, 4096])
+def test_renames_elected_in_rounds_equal_one_pass(spark, per_round):
+    rng = random.Random(per_round)
+    words = ["Fresh", "Fields", "Müller", "& Co", "Trading", "Ltd", "GmbH", "日本", "Zen", "Apex", "x"]
+    given = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(50 if per_round < 7 else 250)]
+    given += [g[: rng.randint(1, 9)] + rng.choice("abc ") + g[3:] for g in given[:80]] + ["y" * 70 + g for g in given[:6]] + [" Zen  ", "ZEN", "\U0001d11e" * 3, "a", "b"]
+    given = list(dict.fromkeys(g for g in given if g.strip()))
+    rows = [(i, g) for i, g in enumerate(given)] + [(5000, given[3]), (5001, None), (5002, "  ")]
+    names = spark.createDataFrame(rows, "row_index long, vendor string").repartition(3)
+    assert {(r["canonical"], r["alias"]) for r in renames.vendor_renames(names, per_round).collect()} == plain_renames(given)
+    assert renames.vendor_renames(names.limit(0)).isEmpty()
+
+
+def test_distances_of_many_pairs_at_once():
+    rng = random.Random(2)
+    a, b = (["".join(rng.choices("abcé日", k=rng.choice([0, 1, 5, 20, 63, 64, 65, 90]))) for _ in range(60)] for _ in range(2))
+    leaders, names = renames.Leaders(a), renames.Names(b)
+    one, other = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    assert renames.distances(leaders, names, one, other).tolist() == [plain_distance(a[i], b[j]) for i, j in zip(one.tolist(), other.tolist(), strict=True)]
+
+
+def test_elections_do_not_depend_on_how_many_names_go_at_once():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcd", k=rng.randint(3, 9))) for _ in range(200)]
+    assert renames.elected(texts, 1) == renames.elected(texts, 7) == renames.elected(texts, 500)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import explain, hygiene, ledgers, report, screening
+from ledgerloom.operators import explain, hygiene, ledgers, renames, report, screening
 from ledgerloom.plans import memory, recognition, session, vocabulary
 from ledgerloom.sources import cells, sheets
 
@@ -75,7 +75,7 @@ def test_hygiene_checks(raw):
 
 def test_renames_within_a_category(raw):
     invoices = raw["supplier_invoices"]
-    renames = ledgers.vendor_renames(invoices)
+    renames = renames.vendor_renames(invoices)
     assert hygiene.renamed_within(invoices, renames, "FOOD").first()["aliases"] == ["Fresh Fields Produce Ltd", "Fresh Fields Wholesale Ltd"]
     assert hygiene.renamed_within(invoices, renames, "rent").isEmpty()
     assert {r["canonical_vendor"] for r in hygiene.with_canonical_vendor(invoices, renames).collect()} == {"Fresh Fields Produce Ltd"}
