@@ -68,6 +68,36 @@ PERIOD_COUNT, PERIOD_RATIO = 15, 0.6
 POSITIVE_SHARE, MONOTONIC_SAMPLE, MONOTONIC_SHARE = 0.9, 3, 0.9
 LEAST_SCORE, LEAST_MARGIN, HIGH_MARGIN = 3, 2, 4
 
+# Points for what the columns of a sheet show.
+SHEET_POINTS = {
+    "bank_statement": {"dates": 2, "amounts of both signs": 5, "amounts that rise": 3, "debit and credit": 3},
+    "invoice_list": {"dates": 2, "due dates": 1, "positive amounts": 3, "varied text": 2, "unique text": 1, "amounts of both signs": -3},
+    "sales_pos": {"periods": 2, "three positive amounts": 3, "periods and categories": 1, "amounts of both signs": -3},
+    "payroll": {"periods": 2, "three positive amounts": 2, "amounts of both signs": -3},
+}
+# Points for the fields that a tax sheet has.
+ROLE_POINTS = {
+    "gstr2a": {"gstin": 3, "taxable_value": 2, "two tax heads": 3, "invoice_number": 2, "trade_legal_name": 2, "official fields": 2, "books fields": -5},
+    "purchase_register": {"dates": 2, "voucher_number": 3, "particulars": 2, "gstin": 3, "taxable_value": 2, "a tax head": 1, "official fields": -4},
+}
+# Words of column headings by field. A line is one way to name the field: each of its lists must have a term in the heading.
+# A term that starts with = is a whole word, any other may be part of one.
+HEADING_TERMS = {
+    "taxable_value": [[["taxable", "assessable", "txbl", "=tv"]]],
+    "igst": [[["=igst", "integrated tax", "integrated gst"]]],
+    "cgst": [[["=cgst", "central tax", "central gst"]]],
+    "sgst": [[["=sgst", "=ugst"]], [["=state", "=ut", "union territory"], ["=tax", "=gst"]]],
+    "rate": [[["=rate"]]],
+    "invoice_number": [[["invoice"], ["=no", "=number", "=num"]], [["invoice details"]]],
+    "voucher_number": [[["voucher"], ["=no", "=number", "=num"]]],
+    "particulars": [[["=particulars", "=narration"]]],
+    "trade_legal_name": [[["trade", "legal name", "supplier name", "vendor name"]]],
+    "place_of_supply": [[["place of supply"]]],
+    "invoice_type": [[["invoice type"]]],
+    "filing_period": [[["filing period", "return period", "gstr 1", "gstr 2a"]]],
+    "reverse_charge": [[["reverse charge", "=rcm"]]],
+}
+
 # Roles of tax sheets.
 ROLE_LEAST_SCORE, ROLE_LEAST_MARGIN = 5, 2
 GSTIN_SHARE, GSTIN_MARGIN = 0.6, 0.1

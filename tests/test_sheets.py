@@ -156,3 +156,12 @@ def test_order_of_a_long_column_does_not_depend_on_its_stretches(spark, monkeypa
         assert row["samples"] == [str(x) for x in first[:5]]
         assert row["top_values"] == [str(x) for x in sorted(first, key=lambda x: (-values.count(x), first.index(x)))[:5]]
         assert (row["n_numbers"], row["n_distinct"], row["filled"]) == (12, 8, 12)
+
+
+def test_headings_name_fields_by_words_and_parts():
+    named = {
+        "state ut tax": {"sgst"}, "union territory gst": {"sgst"}, "statement tax": set(), "state of supply": set(), "tv": {"taxable_value"}, "tvs": set(), "txbl val": {"taxable_value"},
+        "invoice no": {"invoice_number"}, "invoice details": {"invoice_number"}, "invoice date": set(), "voucher type": set(), "voucher num": {"voucher_number"}, "igst rate": {"igst", "rate"}, "": set(),
+        "central tax": {"cgst"}, "supplier name": {"trade_legal_name"}, "gstr 2a period": {"filing_period"}, "is rcm": {"reverse_charge"},
+    }
+    assert {heading: recognition.fields_named(heading) for heading in named} == named

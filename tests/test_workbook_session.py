@@ -75,10 +75,10 @@ def test_hygiene_checks(raw):
 
 def test_renames_within_a_category(raw):
     invoices = raw["supplier_invoices"]
-    renames = renames.vendor_renames(invoices)
-    assert hygiene.renamed_within(invoices, renames, "FOOD").first()["aliases"] == ["Fresh Fields Produce Ltd", "Fresh Fields Wholesale Ltd"]
-    assert hygiene.renamed_within(invoices, renames, "rent").isEmpty()
-    assert {r["canonical_vendor"] for r in hygiene.with_canonical_vendor(invoices, renames).collect()} == {"Fresh Fields Produce Ltd"}
+    found = renames.vendor_renames(invoices)
+    assert hygiene.renamed_within(invoices, found, "FOOD").first()["aliases"] == ["Fresh Fields Produce Ltd", "Fresh Fields Wholesale Ltd"]
+    assert hygiene.renamed_within(invoices, found, "rent").isEmpty()
+    assert {r["canonical_vendor"] for r in hygiene.with_canonical_vendor(invoices, found).collect()} == {"Fresh Fields Produce Ltd"}
 
 
 def test_subtotals_and_stages():
