@@ -58,13 +58,13 @@ def column_letters(index: int) -> str:
     return out
 
 
-def _blocks(part: IO[bytes]) -> Iterator[bytes]:
+def _blocks(part: IO[bytes], size: int) -> Iterator[bytes]:
     """A part as UTF-8, block by block."""
-    block = part.read(_BLOCK)
+    block = part.read(size)
     wide = codecs.getincrementaldecoder("utf-16")() if block[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else None
     while block:
         yield wide.decode(block).encode() if wide else block
-        block = part.read(_BLOCK)
+        block = part.read(size)
 
 
 def _pieces(part: IO[bytes], root: str, item: str, number: Callable[[bytes, int], int], piece_bytes: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -73,7 +73,7 @@ def _pieces(part: IO[bytes], root: str, item: str, number: Callable[[bytes, int]
     end = re.compile(rb"</(?:[\w.-]+:)?" + item.encode() + rb"\s*>|<(?:[\w.-]+:)?" + item.encode() + rb"\b[^>]*/>")
     opening = re.compile(rb"<(?:[\w.-]+:)?" + item.encode() + rb"\b")
     head, held, first = None, b"", 0
-    for block in _blocks(part):
+    for block in _blocks(part, min(_BLOCK, max(256, piece_bytes))):
         held += block
         if head is None:
             found = start.search(held)
