@@ -142,6 +142,37 @@ def test_duplicate_clusters_equal_all_pairs(table):
     assert {frozenset(g) for g in found.values()} == want
 
 
+def joining(pairs):
+    """The pairs that join two sets, taken in order."""
+    parent, out = {}, []
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(pairs):
+        if find(a) != find(b):
+            parent[find(b)] = find(a)
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_numbers_join_what_all_pairs_join(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("VW"), rng.choice(["N1", "N2"]), rng.choice([None, 1000, 1060, 1120, 1180, 5000]), rng.choice([None, 18.0, 18.4, 18.8, 5.0]), DAY + dt.timedelta(days=rng.randrange(0, 160, (4, 8, 40)[seed]))) for i in rng.sample(range(1000), 220)]
+    records = spark.createDataFrame(rows, "row_index long, gstin string, identifier string, amount long, rate double, date date")
+    pairs, links = ({(r["a"], r["b"]) for r in f(records).collect()} for f in (duplicates.number_pairs, duplicates.number_links))
+    assert links <= pairs and joining(links) == joining(pairs)
+
+
+def test_a_number_entered_all_the_time_gives_about_one_link_a_row(spark):
+    n = 20_000
+    days = spark.range(n).selectExpr("id as row_index", "'V' as gstin", "'N' as identifier", "100000L as amount", "18D as rate", "date_add(date'2024-04-01', cast(id % 45 as int)) as date")
+    assert duplicates.number_links(days).count() <= n + 45 * 44 / 2
+
+
 def test_numbers_in_sequence_are_not_duplicates(table):
     rows = table(row(1, "ST/23", tv=500), row(2, "ST/24", tv=500, day=1), row(3, "Q/1", tv=900), row(4, "R/9", tv=900, day=1))
     assert {(r["a"], r["b"]) for r in duplicates.amount_pairs(duplicates.records(rows)).collect()} == {(3, 4)}
