@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions import identifiers as ids
 from ledgerloom.functions.amounts import days_between
@@ -57,16 +56,19 @@ def bridged(keys: DataFrame) -> DataFrame:
 
     A plain number bridges to the only identifier over there with that run of three
     digits or more; another identifier to the only plain number that is one of its
-    runs, if no second identifier on its own side has that run.  Runs of both sides
-    are counted together, in one shuffle.
+    runs, if no second identifier on its own side has that run.  Holders of a run are
+    counted, and the least kept, before the shuffle; runs that several numbers of both
+    sides hold (a year) bridge nothing and go before the join back.
     """
     runs = keys.withColumn("run", F.explode(F.array_distinct(ids.digit_runs(F.col("identifier"), ids.SHORTEST_RUN))))
     runs = runs.withColumn("plain", F.col("identifier").rlike(r"^\d+$"))
-    holders = Window.partitionBy("gstin", "run")
     on = {"one": F.col("n_one") > 0, "two": F.col("n_two") > 0}
+    sums = []
     for side, there in on.items():
-        name, plain = F.when(there, F.col("identifier")), F.when(there & F.col("plain"), F.col("identifier"))
-        runs = runs.withColumns({f"n_{side}_run": F.count(name).over(holders), f"{side}_run": F.min(name).over(holders), f"n_{side}_plain": F.count(plain).over(holders), f"{side}_plain": F.min(plain).over(holders)})
+        for kind, held in (("run", there), ("plain", there & F.col("plain"))):
+            sums += [F.count_if(held).alias(f"n_{side}_{kind}"), F.min(F.when(held, F.col("identifier"))).alias(f"{side}_{kind}")]
+    holders = runs.groupBy("gstin", "run").agg(*sums).filter("n_one_run = 1 or n_two_run = 1")
+    runs = runs.join(holders, ["gstin", "run"])
     partners = {}
     for own, other in (("one", "two"), ("two", "one")):
         by_plain = F.when(F.col("plain") & (F.col(f"n_{other}_run") == 1), F.col(f"{other}_run"))
@@ -114,9 +116,39 @@ def _pairs_by_short_number(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.filter(days_between(F.col("l_invoice_date"), F.col("r_invoice_date")) <= TIEBREAK_DAYS)
 
 
+def _number_keys(rows: DataFrame, cut_short: bool) -> DataFrame:
+    """Rows under ``number_key``: the number as normalized, and for each of its core segments those before it with the segment (``cut_short``: with each start of it).
+
+    ``whole``: the key takes in all segments.
+    """
+    core = ids.core_segments(F.col("identifier"))
+    place = lambda k: F.concat(k.cast("string"), F.lit("\n"), F.array_join(F.slice(F.col("core"), F.lit(1), k - 1), "\n"), F.lit("\n"))
+
+    def keys_at(k: Column) -> Column:
+        part = F.get("core", k - 1)
+        parts = F.transform(F.sequence(F.lit(1), F.length(part)), lambda n: F.substring(part, F.lit(1), n)) if cut_short else F.array(part)
+        return F.transform(parts, lambda x: F.struct(F.concat(place(k), x).alias("number_key"), (k == F.size("core")).alias("whole")))
+
+    places = F.when(F.size("core") > 0, F.sequence(F.lit(1), F.size("core"))).otherwise(F.array().cast("array<int>"))
+    normal = F.array(F.struct(F.concat(F.lit("="), ids.normalized_number(F.col("identifier"))).alias("number_key"), F.lit(True).alias("whole")))
+    keyed = rows.withColumn("core", core).withColumn("key", F.explode(F.concat(normal, F.flatten(F.transform(places, keys_at)))))
+    return keyed.select(*rows.columns, "key.number_key", "key.whole")
+
+
 def _pairs_by_normalized_number(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Amounts and taxes agree, and the numbers may be one."""
-    pairs = banded(a, b, ["gstin"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
+    """Amounts and taxes agree, and the numbers may be one.
+
+    Numbers that may be one are equal as normalized, or equal in all segments that the
+    one of fewer has, where the last of them may be cut short in either.  So one has
+    a key that is, start for start, a key of the other, and one of the two keys is
+    whole: numbers that cannot be one do not meet, however often a vendor has one amount.
+    """
+    found = []
+    for short, full, sides in ((a, b, "lr"), (b, a, "rl")):
+        pairs = banded(_number_keys(short, True), _number_keys(full, False), ["gstin", "number_key"], "taxable_value", TOLERANCE)
+        pairs = pairs.filter(taxes_agree(TOLERANCE) & (F.col("l_whole") | F.col("r_whole")))
+        found.append(pairs.select(*(F.col(f"{'lr'[sides.index(side)]}_{name}").alias(f"{side}_{name}") for side in "lr" for name in a.columns)))
+    pairs = found[0].unionByName(found[1]).dropDuplicates(["l_row_index", "r_row_index"])
     for side in "lr":
         number = F.col(f"{side}_identifier")
         pairs = pairs.withColumns({f"{side}_core": ids.core_segments(number), f"{side}_norm": ids.normalized_number(number)})

@@ -19,8 +19,9 @@ COMMISSION_STEP = 0.01
 PLATFORMS = {"deliveroo": "Deliveroo", "ubereats": "UberEats", "justeat": "JustEat"}
 
 
-def _nth(rows: DataFrame, *keys: str | Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy("row_index"))
+def _first_rows(rows: DataFrame, name: str, *keys: str | Column) -> DataFrame:
+    """``row_index`` of the first row under each key, marked in ``name``. Minima are combined before the shuffle, so a key that very many rows have is no group."""
+    return rows.groupBy(*keys).agg(F.min("row_index").alias("row_index")).select("row_index", F.lit(True).alias(name))
 
 
 def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
@@ -31,29 +32,30 @@ def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
     names alike, amounts, dates.  A ledger row meets the first statement row with
     its number.
     """
-    rows = ledger.withColumns({"nth_number": _nth(ledger, "invoice_no"), "nth_alike": _nth(ledger, F.lower("supplier"), "amount", "date")})
-    first = statement.withColumn("nth", _nth(statement, "invoice_no")).filter("nth = 1")
-    first = first.select("invoice_no", F.col("row_index").alias("s_row"), F.col("supplier").alias("s_supplier"), F.col("amount").alias("s_amount"), F.col("date").alias("s_date"))
+    rows = ledger.join(_first_rows(ledger, "first_number", "invoice_no"), "row_index", "left").join(_first_rows(ledger, "first_alike", F.lower("supplier"), "amount", "date"), "row_index", "left")
+    entered = F.col("first_number").isNull() | F.col("first_alike").isNull()
+    again, once = rows.filter(entered), rows.filter(~entered)  # what follows meets each number once at most
+    first = statement.groupBy("invoice_no").agg(F.min_by(F.struct("row_index", "supplier", "amount", "date"), "row_index").alias("s")).select("invoice_no", *(F.col(f"s.{c}").alias(f"s_{a}") for c, a in (("row_index", "row"), ("supplier", "supplier"), ("amount", "amount"), ("date", "date"))))
     names = statement.groupBy(F.col("supplier").alias("other")).agg(F.min("row_index").alias("first_row"))
-    own = ledger.join(first.select("invoice_no"), "invoice_no", "left_anti").select("supplier").distinct()  # only there it matters
+    own = once.join(first.select("invoice_no"), "invoice_no", "left_anti").select("supplier").distinct()  # only there it matters
     alike = similar_names(own, names.select("other"), SIMILAR).filter("similarity < 100").join(names, "other")
     alike = alike.groupBy(F.col("name").alias("supplier")).agg(F.min_by("other", "first_row").alias("similar_supplier"))
 
-    joined = rows.join(first, "invoice_no", "left").join(alike, "supplier", "left")
+    joined = once.join(first, "invoice_no", "left").join(alike, "supplier", "left")
     off = F.abs(F.col("amount") - F.col("s_amount"))
     share = F.try_divide(off.cast("double"), F.col("amount").cast("double"))
     status = (
-        F.when((F.col("nth_number") > 1) | (F.col("nth_alike") > 1), "DUPLICATE")
-        .when(F.col("s_row").isNull(), F.when(F.col("similar_supplier").isNotNull(), "FUZZY_VENDOR").otherwise("MISSING_SUPPLIER"))
+        F.when(F.col("s_row").isNull(), F.when(F.col("similar_supplier").isNotNull(), "FUZZY_VENDOR").otherwise("MISSING_SUPPLIER"))
         .when(similarity_percent(F.col("supplier"), F.col("s_supplier")) < SIMILAR, "FUZZY_VENDOR")
         .when(off > 0, F.when(F.abs(share - VAT_SHARE) < VAT_BAND, "VAT_ISSUE").otherwise("AMOUNT_DIFF"))
         .when(~F.col("date").eqNullSafe(F.col("s_date")), "DATE_DIFF")
         .otherwise("MATCHED")
     )
-    judged = joined.select(F.lit("ledger").alias("side"), "row_index", "invoice_no", status.alias("status"), F.when(F.col("s_row").isNotNull(), F.col("s_row")).alias("s_row"))
-    met = judged.filter("status <> 'DUPLICATE' and s_row is not null").select(F.col("s_row").alias("row_index")).distinct()
+    judged = joined.select(F.lit("ledger").alias("side"), "row_index", "invoice_no", status.alias("status"), "s_row")
+    met = judged.filter("s_row is not null").select(F.col("s_row").alias("row_index"))
     missing = statement.join(met, "row_index", "left_anti").select(F.lit("statement").alias("side"), "row_index", "invoice_no", F.lit("MISSING_LEDGER").alias("status"))
-    return judged.drop("s_row").unionByName(missing)
+    duplicates = again.select(F.lit("ledger").alias("side"), "row_index", "invoice_no", F.lit("DUPLICATE").alias("status"))
+    return judged.drop("s_row").unionByName(duplicates).unionByName(missing)
 
 
 def status_counts(findings: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ NUMBER_SHAPE = r"^\(?[-+]?[$£€¥]?\s?\d{1,3}(,\d{3})*(\.\d+)?%?\)?$"
 FIRST_DAY_NUMBER, LAST_DAY_NUMBER = 32874, 49674
 
 STRETCH = 1 << 16  #: Rows that are put in order together
+HALO = 5  #: Rows below a header that are looked at
 SLICES = 256  #: Parts of a column's distinct values
 FOREMOST = 5  #: Values shown of each column
 
@@ -80,14 +81,20 @@ def sheet_keys(cells: DataFrame) -> list[str]:
     return [name for name in ("path", "sheet") if name in cells.columns]
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """``sheet, header_ix`` (and ``path``): the first row with two cells or more, 60 % of them text, and a cell in the five rows below; else -1."""
+def header_rows(cells: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """``sheet, header_ix`` (and ``path``): the first row with two cells or more, 60 % of them text, and a cell in the five rows below; else -1.
+
+    Rows are looked at in stretches, each with the first five rows of the one behind it.
+    """
     keys = sheet_keys(cells)
     filled = cells.filter("s is not null and s <> ''")
     wordy = F.col("n").isNull() & F.trim("s").try_cast("double").isNull() & (F.trim("s") != "")
     rows = filled.groupBy(*keys, "row_ix").agg(F.count("*").alias("filled"), F.count_if(wordy).alias("wordy"))
-    below = Window.partitionBy(*keys).orderBy("row_ix").rangeBetween(1, 5)
-    found = rows.withColumn("below", F.count("*").over(below)).filter("filled >= 2 and wordy >= 0.6 * filled and below > 0")
+    own = F.floor(F.col("row_ix") / stretch)
+    also_before = F.when(F.pmod("row_ix", F.lit(stretch)) < HALO, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("stretch", F.explode(also_before))
+    below = Window.partitionBy(*keys, "stretch").orderBy("row_ix").rangeBetween(1, HALO)
+    found = rows.withColumn("below", F.count("*").over(below)).filter(own == F.col("stretch")).filter("filled >= 2 and wordy >= 0.6 * filled and below > 0")
     first = found.groupBy(*keys).agg(F.min("row_ix").alias("header_ix"))
     return cells.select(*keys).distinct().join(first, keys, "left").select(*keys, F.coalesce("header_ix", F.lit(-1)).alias("header_ix"))
 

@@ -360,3 +360,33 @@ def test_elections_do_not_depend_on_how_many_names_go_at_once():
     rng = random.Random(9)
     texts = ["".join(rng.choices("abcd", k=rng.randint(3, 9))) for _ in range(200)]
     assert renames.elected(texts, 1) == renames.elected(texts, 7) == renames.elected(texts, 500)
+
+
+def test_numbers_that_may_be_one_meet_without_all_pairs(spark, table):
+    rng = random.Random(8)
+    forms = ["INV/{}/21-22", "INV-{}-2021-22", "{}", "A/{}", "A/B/{}/2021-22", "inv-0{}", "21-22", "A//{}", "{}/24"]
+    sides = [[row(i, rng.choice(forms).format(rng.choice([7, 71, 712, 8, 9])), tv=rng.choice([1000, 1050, 1120, 9000])) for i in range(70)] for _ in range(2)]
+    a, b = (invoices.indexable(invoices.canonical(table(*rows))) for rows in sides)
+    got = {(r["l_row_index"], r["r_row_index"]) for r in invoices._pairs_by_normalized_number(a, b).collect()}
+    x, y = a.select("row_index", "identifier", "taxable_value").toDF("i", "x", "tv"), b.select("row_index", "identifier", "taxable_value").toDF("j", "y", "tw")
+    alike = identifiers.numbers_agree(F.col("x"), F.col("y"), *(f(F.col(c)) for f in (identifiers.core_segments, identifiers.normalized_number) for c in "xy"))
+    want = {(r["i"], r["j"]) for r in x.crossJoin(y).filter(alike & (F.abs(F.col("tv") - F.col("tw")) <= 100)).collect()}
+    assert got == want and len(want) > 100
+    flat = [table(*(row(i, f"INV/{n}/{10000 + i}/21-22") for i in range(400))) for n in (1, 2)]
+    keyed = [invoices._number_keys(invoices.canonical(t), cut).filter("whole") for t, cut in zip(flat, (True, False), strict=True)]
+    assert keyed[0].join(keyed[1], ["gstin", "number_key"]).isEmpty()  # one vendor, one amount, and no pair is tried
+
+
+def test_runs_that_many_numbers_hold_bridge_nothing(table):
+    a = table(*(row(i, f"X/{i + 500}/2021") for i in range(50)), row(60, "777"), row(61, "900"))
+    b = table(*(row(i, f"Y/{i + 600}/2021") for i in range(50)), row(60, "Z-777"), row(61, "P/900"), row(62, "Q/900"), row(63, "505"))
+    found = {(r["identifier"], r["other_identifier"]) for r in invoices.digit_bridges(invoices.canonical(a), invoices.canonical(b)).collect()}
+    assert found == {("777", "Z-777"), ("X/505/2021", "505")}
+
+
+def test_first_entries_of_blank_numbers(spark):
+    schema = "row_index long, invoice_no string, supplier string, amount long, date date"
+    ledger = spark.createDataFrame([(5, "", "A", 1, DAY), (3, "", "A", 2, DAY), (4, None, "A", 3, DAY), (7, None, "B", 4, DAY), (8, "N", "a", 2, DAY), (9, "N1", "C", 9, DAY)], schema)
+    statement = spark.createDataFrame([(2, "", "A", 2, DAY), (1, "", "Zzzz", 2, DAY), (3, "N1", "C", 9, DAY)], schema)
+    got = {(r["side"], r["row_index"]): r["status"] for r in ledgers.compare_ledger(ledger, statement).collect()}
+    assert got == {("ledger", 3): "FUZZY_VENDOR", ("ledger", 5): "DUPLICATE", ("ledger", 4): "MISSING_SUPPLIER", ("ledger", 7): "DUPLICATE", ("ledger", 8): "DUPLICATE", ("ledger", 9): "MATCHED", ("statement", 2): "MISSING_LEDGER"}

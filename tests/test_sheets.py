@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zipfile
 
 import pytest
@@ -165,3 +166,21 @@ def test_headings_name_fields_by_words_and_parts():
         "central tax": {"cgst"}, "supplier name": {"trade_legal_name"}, "gstr 2a period": {"filing_period"}, "is rcm": {"reverse_charge"},
     }
     assert {heading: recognition.fields_named(heading) for heading in named} == named
+
+
+@pytest.mark.parametrize("stretch", [6, 7, 50, 1 << 16])
+def test_headers_are_found_across_stretches(spark, stretch):
+    rng = random.Random(1)
+    grids = {}
+    for n in range(40):
+        rows = [["" for _ in range(3)] for _ in range(60)]
+        for i in rng.sample(range(60), rng.randint(0, 12)):
+            rows[i] = [rng.choice(["word", 5, "", "7"]) for _ in range(3)]
+        grids[f"s{n}"] = [["only", "", ""], *rows]
+    want = {}
+    for name, rows in grids.items():
+        filled = [[c for c in row if c != ""] for row in rows]
+        wordy = [sum(c in ("word", "only") for c in row) for row in filled]
+        want[name] = next((i for i, row in enumerate(filled) if len(row) >= 2 and wordy[i] >= 0.6 * len(row) and any(filled[i + 1 : i + 6])), -1)
+    assert {r["sheet"]: r["header_ix"] for r in cells.header_rows(cells.from_grids(spark, grids), stretch).collect()} == want
+    assert len(set(want.values())) > 10
