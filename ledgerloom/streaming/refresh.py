@@ -1,7 +1,8 @@
 """Findings kept up to date as entries arrive.
 
 ``keep_fresh`` computes over the whole table, if a micro-batch changed it;
-``keep_slices_fresh`` over the rows of those keys alone that a batch touches.
+``keep_slices_fresh`` over the rows of those keys alone that a batch touches: entries
+lie in folders by a hash of their key, so a batch reads the folders of its own keys.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,21 +75,37 @@ def keep_fresh(entries: DataFrame, table_path: str, compute: Callable[[DataFrame
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_slices_fresh(entries: DataFrame, table_path: str, key: str, compute: Callable[[DataFrame], DataFrame], findings_path: str, checkpoint: str) -> StreamingQuery:
+BUCKETS = 256  #: Folders that entries are dealt to by their key
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def slices(spark: SparkSession, table_path: str, touched: DataFrame, key: str, number: int, buckets: int = BUCKETS) -> DataFrame:
+    """All entries up to batch ``number`` whose key is in ``touched`` (one column), from the folders that can have them."""
+    folders = [r[0] for r in touched.select(_bucket(touched.columns[0], buckets)).distinct().collect()]  # ``buckets`` at most
+    table = spark.read.parquet(table_path).filter((F.col("batch") <= number) & F.col("bucket").isin(folders)).drop("batch", "bucket")
+    named = touched.toDF("touched_key")
+    return table.join(named, F.col(key).eqNullSafe(F.col("touched_key")), "left_semi")
+
+
+def keep_slices_fresh(entries: DataFrame, table_path: str, key: str, compute: Callable[[DataFrame], DataFrame], findings_path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Append each batch of a stream to a table and compute the findings of the values of ``key`` in it, from all their rows.
 
     ``compute`` has to work within each key, and to return the key. Findings are
     written per batch, with the keys that it touched; ``latest_slices`` reads what
-    stands. A batch that is delivered again overwrites its own parts.
+    stands. A batch that is delivered again overwrites its own parts. ``buckets`` of a
+    table must not change. Entries must not have columns ``batch`` and ``bucket``.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark, own = rows.sparkSession, f"batch={number}"
-        rows.write.mode("overwrite").parquet(f"{table_path}/{own}")
-        spark.read.parquet(f"{table_path}/{own}").select(key).distinct().write.mode("overwrite").parquet(f"{findings_path}/keys/{own}")
-        table, touched = spark.read.parquet(table_path).filter(F.col("batch") <= number).drop("batch"), spark.read.parquet(f"{findings_path}/keys/{own}")
-        part = table.join(touched.withColumnRenamed(key, "touched_key"), F.col(key).eqNullSafe(F.col("touched_key")), "left_semi")
-        compute(part).write.mode("overwrite").parquet(f"{findings_path}/found/{own}")
+        rows.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/{own}")
+        if not rows.isEmpty():
+            spark.read.parquet(f"{table_path}/{own}").select(key).distinct().write.mode("overwrite").parquet(f"{findings_path}/keys/{own}")
+            part = slices(spark, table_path, spark.read.parquet(f"{findings_path}/keys/{own}"), key, number, buckets)
+            compute(part).write.mode("overwrite").parquet(f"{findings_path}/found/{own}")
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

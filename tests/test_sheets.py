@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans import memory, recognition
 from ledgerloom.sources import cells, workbook
-from ledgerloom.streaming.refresh import Refresh, keep_fresh, keep_slices_fresh, latest_slices
+from ledgerloom.streaming.refresh import Refresh, keep_fresh, keep_slices_fresh, latest_slices, slices
 
 IDS = ["07AAAPL0001Q1Z5", "27AAAPL0002Q1Z5", "29AAAPL0003Q1Z5"]
 STATEMENT = [["GSTIN of Supplier", "Trade/Legal Name", "Invoice Number", "Invoice Date", "Taxable Value", "Rate", "Integrated Tax", "Central Tax", "State/UT Tax", "Place of Supply"]] + [
@@ -144,6 +144,19 @@ def test_only_touched_slices_are_computed(spark, tmp_path):
     assert {tuple(r) for r in latest_slices(spark, findings, "vendor").collect()} == {("a", 2), (None, 1)}  # b has three rows by now
 
 
+def test_a_batch_reads_the_folders_of_its_own_keys(spark, tmp_path):
+    arrivals, table, findings = (str(tmp_path / name) for name in ("in", "table", "found"))
+    spark.range(400).selectExpr("concat('v', id % 97) as vendor", "id as x").write.parquet(arrivals)
+    stream = spark.readStream.schema("vendor string, x long").parquet(arrivals)
+    keep_slices_fresh(stream, table, "vendor", lambda rows: rows.groupBy("vendor").count(), findings, str(tmp_path / "ckpt"), buckets=16).awaitTermination(60)
+    part = slices(spark, table, spark.createDataFrame([("v3",), ("none",)], "vendor string"), "vendor", 0, buckets=16)
+    assert {r["x"] for r in part.collect()} == set(range(3, 400, 97))
+    assert 0 < part.select("*", F.input_file_name().alias("f")).select("f").distinct().count() <= 2
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert latest_slices(spark, findings, "vendor").agg(F.sum("count")).first()[0] == 400
+
+
 def test_order_of_a_long_column_does_not_depend_on_its_stretches(spark, monkeypatch):
     values = [5, 3, 3, 8, 8, 8, 1, 2, 9, 9, 4, 7]
     grid = [["key", "number"], *(["k", x] for x in values)]
