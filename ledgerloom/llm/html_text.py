@@ -8,21 +8,31 @@ what is open at the end is closed.  A start tag looks for what it implies only
 as far as the nearest container (list, table, cell, ...).  ``render`` walks the
 tree and writes what a reader sees:
 
-- nothing of scripts, styles, templates, the head, comments, or elements that
-  are hidden (``hidden``, ``display:none``, a ``dialog`` or the inside of
+- nothing of scripts, styles, templates, the head, comments, fallbacks, or elements
+  that are hidden (``hidden``, ``display:none``, a ``dialog`` or the inside of
   ``details`` without ``open``; not ``aria-hidden``, which hides from screen
   readers alone);
 - nothing that stands in ``visibility:hidden``, but parts of it that are
   ``visibility:visible``;
 - of a drawing its labels, of a formula its signs, of a ``select`` the selected
-  options, or its first one (all of a list box), of ``input`` a button's label;
-- white space runs as one space, but as it stands in ``pre`` and ``textarea``;
+  options, or its first one (all of a list box), of ``input`` its label or value;
+- white space runs as one space, but as it stands in ``pre``, ``textarea`` and
+  ``white-space:pre``;
 - block elements on lines of their own, with an empty line around paragraphs,
   headings, lists, tables, quotations and ``pre``;
 - list items with ``- ``, or their number, indented by their depth;
-- table rows as lines, cells padded to the width of their column, two spaces
-  between them (a line break in a cell becomes a space); cells that reach over
-  columns or rows keep those places free.
+- table rows as lines, or as many as their tallest cell has, cells padded to the
+  width of their column, two spaces between them; cells that reach over columns or
+  rows keep those places free.  A table with a cell of more than ``TALL`` lines lays
+  out a page and no data: its cells follow each other as blocks.
+
+Styles come from ``style`` attributes and from rules of ``style`` elements whose
+selector is one element, by name, class or id; of several the most specific one counts,
+then the last.  Only ``display``, ``visibility`` and ``white-space`` are read.
+
+Indentation ends at ``DEEPEST`` places.  Padding is bounded by the text: a cell far
+longer than others of its column does not widen it, and a table whose padding would
+still outweigh its text gets none.
 
 Both are loops over their own stacks, so depth is bounded by memory alone.
 
@@ -38,6 +48,7 @@ import bisect
 import html
 import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +57,7 @@ from pyspark.sql import DataFrame
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist meta link annotation annotation-xml rp".split())
+UNSEEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist meta link annotation annotation-xml rp progress meter".split())
 #: What may stand in a head.
 HEAD = frozenset("html head base link meta title style script noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -73,11 +84,19 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: Inputs whose value is not shown as text.
+NO_VALUE = frozenset("hidden password checkbox radio file image color range".split())
+#: What ``display`` makes a block, or keeps in the line.
+AS_BLOCK = frozenset("block list-item flex grid table flow-root".split())
+IN_LINE = frozenset("inline inline-block inline-flex inline-grid inline-table contents".split())
+AS_IT_STANDS = frozenset("pre pre-wrap break-spaces".split())
+DEEPEST = 40  #: Places of the deepest indentation
+TALL = 4  #: Lines of the tallest cell of a data table
 #: An end tag does not close what stands outside of these, and neither does a block an open paragraph.
 SCOPES = frozenset({"table", "td", "th", "caption", "html", "template", "object", "button"})
 
 _TOKEN = re.compile(
-    r"<!--(?P<comment>-?>|.*?(?:--!?>|\Z))|<[!?](?P<declaration>[^>]*)(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</(?P<odd>>|[^A-Za-z][^>]*(?:>|\Z))"
+    r"<!--(?P<comment>-?>|.*?(?:--!?>|\Z))|<!\[(?P<literal>CDATA)\[|<[!?](?P<declaration>[^>]*)(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</(?P<odd>>|[^A-Za-z][^>]*(?:>|\Z))"
     # A quotation mark holds a value together only behind an equals sign.
     r"|<(?P<start>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*+)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL,
@@ -146,9 +165,15 @@ def parse(markup: str) -> Element:
     at, end = 0, len(markup)
     while at < end:
         token = _TOKEN.match(markup, at)
-        at = token.end()
-        kind = token.lastgroup
-        if kind == "text":
+        kind, at = token.lastgroup, token.end()
+        if kind == "literal":
+            if stack.places.get("svg") or stack.places.get("math"):
+                close = markup.find("]]>", at)
+                stack.elements[-1].children.append(markup[at : close if close >= 0 else end])
+                at = close + 3 if close >= 0 else end
+            else:  # a comment elsewhere, which the first > ends
+                at = (markup.find(">", at) + 1) or end
+        elif kind == "text":
             if stack.elements[-1].name == "head" and token["text"].strip():
                 stack.close({"head"}, template)
             stack.elements[-1].children.append(html.unescape(token["text"]))
@@ -188,19 +213,82 @@ def parse(markup: str) -> Element:
     return root
 
 
-def _style(element: Element) -> dict[str, str]:
-    """The declarations of a style attribute; of repeated ones the last."""
-    parts = (part.partition(":") for part in element.attributes.get("style", "").lower().split(";"))
+def _declarations(source: str) -> dict[str, str]:
+    """Of repeated ones the last."""
+    parts = (part.partition(":") for part in source.lower().split(";"))
     return {name.strip(): value.replace("!important", "").strip() for name, _, value in parts}
 
 
-def hidden(element: Element) -> bool:
+def _css_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that stand under no condition."""
+    at = 0
+    while (begin := sheet.find("{", at)) >= 0:
+        selectors = sheet[at:begin].rpartition(";")[2].strip()
+        depth, at = 1, sheet.find("}", begin) + 1 or len(sheet)
+        if selectors.startswith("@"):
+            for brace in re.compile(r"[{}]").finditer(sheet, begin + 1):
+                depth += 1 if brace[0] == "{" else -1
+                if not depth:
+                    break
+            at = brace.end() if not depth else len(sheet)
+        else:
+            yield selectors, sheet[begin + 1 : at - 1]
+
+
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][A-Za-z_-][\w-]*)*)")
+_READ = ("display", "visibility", "white-space")
+
+
+class Styles:
+    """Rules of a page's style elements, found by id, class or name."""
+
+    def __init__(self, root: Element) -> None:
+        self.rules: dict[str, list[tuple]] = {}
+        self.n_rules = 0
+        work, sheets = [root], []
+        while work:
+            node = work.pop()
+            if node.name == "style":
+                sheets.append("".join(child for child in node.children if isinstance(child, str)))
+            work.extend(child for child in reversed(node.children) if isinstance(child, Element) and child.name != "template")
+        for sheet in sheets:
+            self._add(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL))
+
+    def _add(self, sheet: str) -> None:
+        for selectors, body in _css_rules(sheet):
+            read = {name: value for name, value in _declarations(body).items() if name in _READ}
+            for selector in selectors.split(",") if read else ():
+                found = _SELECTOR.fullmatch(selector.strip())
+                if not found or not selector.strip():
+                    continue
+                marks = re.findall(r"[.#][^.#]+", found[2])
+                ids, classes = [m[1:] for m in marks if m[0] == "#"], [m[1:] for m in marks if m[0] == "."]
+                name = found[1] if found[1] != "*" else None
+                key = f"#{ids[0]}" if ids else f".{classes[0]}" if classes else name or "*"
+                self.n_rules += 1
+                order = (len(ids), len(classes), name is not None, self.n_rules)
+                self.rules.setdefault(key, []).append((order, name, ids, classes, read))
+
+    def of(self, element: Element) -> dict[str, str]:
+        a = element.attributes
+        own = _declarations(a["style"]) if "style" in a else {}
+        if not self.rules:
+            return own
+        classes = set(a.get("class", "").split())
+        keys = [element.name, "*", f"#{a.get('id')}", *(f".{c}" for c in classes)]
+        met = [rule for key in keys for rule in self.rules.get(key, ()) if rule[1] in (None, element.name) and all(i == a.get("id") for i in rule[2]) and classes.issuperset(rule[3])]
+        out: dict[str, str] = {}
+        for rule in sorted(met, key=lambda rule: rule[0]):
+            out |= rule[4]
+        return out | own
+
+
+def hidden(element: Element, style: dict[str, str]) -> bool:
     """Whether an element takes no place, and nothing in it is seen."""
-    a = element.attributes
-    if element.name in UNSEEN or (element.name == "dialog" and "open" not in a):
+    if element.name in UNSEEN or (element.name == "dialog" and "open" not in element.attributes):
         return True
-    display = _style(element).get("display") if "style" in a else None
-    return display == "none" or ("hidden" in a and not display)
+    display = style.get("display")
+    return display == "none" or ("hidden" in element.attributes and not display)
 
 
 def _unfolded(details: Element) -> list[Element | str]:
@@ -210,7 +298,7 @@ def _unfolded(details: Element) -> list[Element | str]:
     return [child for child in details.children if isinstance(child, Element) and child.name == "summary"][:1]
 
 
-def _shown(select: Element) -> list[Element | str]:
+def _shown(select: Element, styles: Styles) -> list[Element | str]:
     """The options that a select shows: all of a list box, else the last selected one, or the first that is not disabled."""
     options: list[Element] = []
     off: set[int] = set()
@@ -221,15 +309,15 @@ def _shown(select: Element) -> list[Element | str]:
             continue
         disabled = disabled or "disabled" in node.attributes
         if node.name == "option":
-            if not hidden(node) or "selected" in node.attributes:
+            if not hidden(node, styles.of(node)) or "selected" in node.attributes:
                 options.append(node)
                 if disabled:
                     off.add(id(node))
-        elif not hidden(node):
+        elif not hidden(node, styles.of(node)):
             work.extend((child, disabled) for child in reversed(node.children))
     size = select.attributes.get("size", "").strip()
     if "multiple" in select.attributes or (size.isdecimal() and int(size) > 1):
-        return [option for option in options if not hidden(option)]
+        return [option for option in options if not hidden(option, styles.of(option))]
     chosen = [option for option in options if "selected" in option.attributes][-1:] or [option for option in options if id(option) not in off][:1]
     return [part for option in chosen for part in ([option.attributes["label"]] if option.attributes.get("label") else option.children)]
 
@@ -297,19 +385,22 @@ def _number(value: str, most: int) -> int:
     return min(int(value), most) if value.isascii() and value.isdecimal() and len(value) < 9 else 1
 
 
-def _placed(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tuple[int, int, str]]]:
-    """Cells with their first column and the one behind their last. ``rows``: their group, and texts with columns and rows that they take (0 rows: to the group's end)."""
-    placed: list[list[tuple[int, int, str]]] = []
+Cell = tuple[list[str], int, int]  #: Its lines, and the columns and rows that it takes (0 rows: to the group's end)
+
+
+def _placed(rows: list[tuple[int, list[Cell]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells with their first column and the one behind their last. ``rows``: their group, and their cells."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
     above: list[tuple[int, int, float]] = []  # columns that cells of earlier rows take, and for how many rows more
     group = None
     for of, cells in rows:
         if of != group:
             above, group = [], of
         taken, at, new, line = sorted(above), 0, [], []
-        for text, across, down in cells:
+        for lines, across, down in cells:
             while taken and taken[0][0] <= at:
                 at = max(at, taken.pop(0)[1])
-            line.append((at, at + across, text))
+            line.append((at, at + across, lines))
             if down != 1:
                 new.append((at, at + across, down - 1 if down else float("inf")))
             at += across
@@ -318,69 +409,112 @@ def _placed(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tup
     return placed
 
 
-def _aligned(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
-    """Lines of a table. Columns in which no cell begins take no room."""
-    placed = [line for line in _placed(rows) if any(text for _, _, text in line)]
+def _width(text: str) -> int:
+    """Places that a text takes; wide characters take two, marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _aligned(rows: list[tuple[int, list[Cell]]]) -> list[str]:
+    """Lines of a table. Columns in which no cell begins take no room, and neither do rows without text."""
+    placed = [line for line in _placed(rows) if any(lines for _, _, lines in line)]
     columns = sorted({first for line in placed for first, _, _ in line})
     index = {column: i for i, column in enumerate(columns)}
-    widths = [0] * len(columns)
+    lengths: list[list[int]] = [[] for _ in columns]
     wide = []
     for line in placed:
-        for first, behind, text in line:
-            i = index[first]
+        for first, behind, lines in line:
+            i, length = index[first], max(map(_width, lines), default=0)
             if i + 1 == len(columns) or columns[i + 1] >= behind:
-                widths[i] = max(widths[i], len(text))
+                lengths[i].append(length)
             else:
-                wide.append((i, bisect.bisect_left(columns, behind), len(text)))
+                wide.append((i, bisect.bisect_left(columns, behind), length))
+    widths = []
+    for own in lengths:
+        most = max(40, 4 * sum(own) // max(1, len(own)))  # a cell of more runs over, and does not widen the column
+        widths.append(max((n for n in own if n <= most), default=0))
     for i, j, length in wide:  # what does not fit in the columns it reaches over widens the last one
-        widths[j - 1] += max(0, length - sum(widths[i:j]) - 2 * (j - i - 1))
+        need = length - sum(widths[i:j]) - 2 * (j - i - 1)
+        widths[j - 1] += need if 0 < need <= 40 else 0
     starts = [0, *itertools.accumulate(width + 2 for width in widths)]
-    lines = []
+    text = sum(len(x) for line in placed for _, _, lines in line for x in lines)
+    padded = sum(starts[index[line[-1][0]]] * max(len(lines) for _, _, lines in line) for line in placed)
+    if padded > 4 * text + 60 * len(placed):  # few rows have many more columns than the others
+        starts = [0] * len(starts)
+    out = []
     for line in placed:
-        out = ""
-        for first, _, text in line:
-            out = out.ljust(starts[index[first]]) + text
-        lines.append(out.rstrip())
-    return lines
+        for n in range(max(len(lines) for _, _, lines in line)):
+            parts, at = [], 0
+            for first, _, lines in line:
+                start = max(starts[index[first]], at + 2 if at else 0)
+                if n < len(lines) and lines[n]:
+                    parts += [" " * (start - at), lines[n]]
+                    at = start + _width(lines[n])
+            out.append("".join(parts).rstrip())
+    return out
+
+
+def _cell_lines(text: str) -> list[str]:
+    """The lines of a cell without empty ones at either end."""
+    lines = text.split("\n")
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    return lines[filled[0] : filled[-1] + 1] if filled else []
+
+
+def _table_lines(rows: list[tuple[int, list[Cell]]]) -> list[str]:
+    if all(len(lines) <= TALL for _, cells in rows for lines, _, _ in cells):
+        return _aligned([(group, [([line for line in lines if line.strip()], across, down) for lines, across, down in cells]) for group, cells in rows])
+    out: list[str] = []
+    for _, cells in rows:
+        for lines, _, _ in cells:
+            if lines:
+                out += ["", *lines] if out else lines
+    return out
 
 
 def render(root: Element) -> str:
     """The visible text of a tree."""
+    styles = Styles(root)
     writers = [_Writer()]
     tables: list[dict] = []
     lists: list[list] = []  # [next number or None, indent outside, step]
-    visible = [True]
-    as_it_stands = drawings = 0
+    visible, verbatim, blocks, indents = [True], [False], [], []
+    drawings = 0
     work: list[tuple[Element | str, bool]] = [(root, True)]
     while work:
         node, entering = work.pop()
         out = writers[-1]
         if isinstance(node, str):
-            if not visible[-1]:
-                continue
-            if as_it_stands:
-                out.verbatim(node)
-            else:
-                out.text(node)
+            if visible[-1]:
+                (out.verbatim if verbatim[-1] else out.text)(node)
             continue
         name, a = node.name, node.attributes
         if entering:
-            if hidden(node) or (drawings and name in UNDRAWN):
+            style = styles.of(node) if "style" in a or styles.rules else {}
+            if hidden(node, style) or (drawings and name in UNDRAWN):
                 continue
-            shown = _style(node).get("visibility") if "style" in a else None
+            shown = style.get("visibility")
             visible.append(visible[-1] if shown in (None, "inherit") else shown not in ("hidden", "collapse"))
             if name == "svg":
                 drawings += 1
             if name in ("br", "input"):
+                kind = a.get("type", "").strip().lower()
                 if name == "br":
                     if not out.line and out.lines and out.lines[-1]:
                         out.gap = True
                     out.end_line()
-                elif visible[-1] and a.get("type", "").lower() in ("submit", "button", "reset"):
+                elif visible[-1] and kind not in NO_VALUE:
                     out.text(a.get("value", ""))
+                elif visible[-1] and kind == "image":
+                    out.text(a.get("alt", ""))
                 visible.pop()
                 continue
-            if name in BLOCKS:
+            space = style.get("white-space")
+            verbatim.append(True if space in AS_IT_STANDS or (space is None and name in VERBATIM) else verbatim[-1] if space in (None, "inherit") else False)
+            display = style.get("display", "")
+            blocks.append(display in AS_BLOCK or (name in BLOCKS and (display not in IN_LINE or name in ("tr", "li"))))
+            if blocks[-1]:
                 out.block(name in SPACED and not (name in ("ul", "ol") and lists))
             if name in LISTS:
                 step = -1 if "reversed" in a else 1
@@ -396,13 +530,13 @@ def render(root: Element) -> str:
                 if number is not None:
                     lists[-1][0] += lists[-1][2]
                 outside = lists[-1][1] if lists else out.indent
-                out.marker, out.indent = outside + mark, outside + " " * len(mark)
+                out.marker, out.indent = outside + mark, (outside + " " * len(mark))[:DEEPEST]
             elif name in ("dd", "blockquote"):
-                out.indent += "  "
-            elif name in VERBATIM:
-                as_it_stands += 1
+                indents.append(out.indent)
+                out.indent = (out.indent + "  ")[:DEEPEST]
             elif name == "table":
-                tables.append({"rows": [], "group": 0})
+                tables.append({"rows": [], "group": 0, "lists": lists})
+                lists = []
                 writers.append(_Writer())
             elif name in GROUPS and tables:
                 tables[-1]["group"] += 1
@@ -411,24 +545,30 @@ def render(root: Element) -> str:
             elif name in CELLS and tables:
                 writers.append(_Writer())
             work.append((node, False))
-            inside = _shown(node) if name == "select" else _unfolded(node) if name == "details" else node.children
+            inside = _shown(node, styles) if name == "select" else _unfolded(node) if name == "details" else node.children
             work.extend((child, True) for child in reversed(inside))
             continue
         visible.pop()
+        verbatim.pop()
+        block = blocks.pop()
         if name == "svg":
             drawings -= 1
         if name in CELLS and tables:
-            cell = " ".join(line.strip() for line in writers.pop().result().split("\n") if line.strip())
+            cell = _cell_lines(writers.pop().result())
             if not tables[-1]["rows"]:
                 tables[-1]["rows"].append((tables[-1]["group"], []))
             tables[-1]["rows"][-1][1].append((cell, max(1, _number(a.get("colspan", "1").strip(), 1000)), _number(a.get("rowspan", "1").strip(), 65_534)))
             continue
         if name == "table":
             around = writers.pop().result()  # captions, and text that stands between cells
-            out = writers[-1]
-            for line in [*(around.split("\n") if around else []), *_aligned(tables.pop()["rows"])]:
+            table = tables.pop()
+            out, lists = writers[-1], table["lists"]
+            for line in [*(around.split("\n") if around else []), *_table_lines(table["rows"])]:
                 out.verbatim(line)
-                out.end_line()
+                if line:
+                    out.end_line()
+                elif out.lines and out.lines[-1]:
+                    out.gap = True
         elif name in LISTS:
             lists.pop()
         elif name == "li":
@@ -436,12 +576,10 @@ def render(root: Element) -> str:
             out.marker, out.indent = "", lists[-1][1] if lists else ""
         elif name in ("dd", "blockquote"):
             out.end_line()
-            out.indent = out.indent[:-2]
-        elif name in VERBATIM:
-            as_it_stands -= 1
+            out.indent = indents.pop()
         if name in GROUPS and tables:
             tables[-1]["group"] += 1
-        if name in BLOCKS:
+        if block:
             out.block(name in SPACED and not (name in ("ul", "ol") and lists))
     return writers[0].result()
 

@@ -108,7 +108,7 @@ def test_generated_pages_give_their_lines(seed):
         ("<details><summary>s</summary>no</details><details open><summary>t</summary>x</details>", "s\nt\nx"),
         ("<b><p>x</b>y</p>z", "xy\n\nz"),
         ("<pre>\na\r\nb</pre>", "a\nb"),
-        ("<input type=submit value=Go> <input value=no>", "Go"),
+        ("<input type=submit value=Go> <input type=hidden value=no>", "Go"),
         ("<p hidden style='display:block'>a<p style='display:none;display:inline'>b", "a\n\nb"),
     ],
 )
@@ -126,3 +126,88 @@ def test_clashing_columns_and_long_pages(spark):
     table = spark.createDataFrame([(1, long, "x", "y"), (1, "<head><p>t", None, "z"), (None, None, "x", None)], "page_id long, html string, text string, n_chars string")
     got = Counter((r["page_id"], r["n_chars"], r["n_lines"]) for r in html_text.rendered(table).collect())
     assert got == Counter([(1, 30_000 * 5 - 1, 30_000), (1, 1, 1), (None, 0, 0)])
+
+
+def test_text_grows_with_the_page_and_not_with_rows_times_columns():
+    rows = "<tr><td>a<td>b" * 10_000
+    pages = [
+        f"<table><tr><td>{'word ' * 200_000}<td>b{rows}</table>",
+        f"<table><tr>{'<td>cell' * 2000}{'<tr><td colspan=1000>x<td colspan=999>y<td>z' * 3000}</table>",
+        "<blockquote>" * 3000 + "x<br>" * 10_000,
+        "<ul><li>a" * 3000 + "<br>x" * 10_000,
+        "<table><tr><td>" * 400 + "x" + "<tr><td><td>y</table><td>z" * 400,
+        "<style>" + "a" * 1_000_000 + "</style>x",
+        "<style>" + "@media x{" * 50_000 + "</style>x",
+        "<style>" + "".join(f".c{i},.d{i}{{display:none}}" for i in range(20_000)) + "</style>" + "<p class='c5 x'>no<p class=y>yes" * 5000,
+        "<![CDATA[" * 50_000 + "x",
+        "<div style='white-space:pre'>" + "a\n" * 100_000,
+    ]
+    for page in pages:
+        assert len(html_text.page_text(page)) <= 10 * len(page)
+    lines = html_text.page_text(pages[0]).split("\n")
+    assert len(lines) == 10_001 and lines[1:] == ["a  b"] * 10_000 and lines[0].endswith("word  b")
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("<table><tr><td><h1>Title</h1><p>one<p>two<ul><li>x<li>y</ul><td>side</table>", "Title\n\none\n\ntwo\n\n- x\n- y\n\nside"),
+        ("<table><tr><td>a<br>bb<td>1<tr><td>c<td>2<br>3</table>", "a   1\nbb\nc   2\n    3"),
+        ("<table><tr><td>out<td><table><tr><td>a<td>b<tr><td>cc<td>d</table><tr><td>o<td>p</table>", "out  a   b\n     cc  d\no    p"),
+        ("<table><tr><td>日本<td>x<tr><td>abcd<td>y<tr><td>é<td>z</table>", "日本  x\nabcd  y\né     z"),
+        ("<style>.x{display:none} p.y,#z{visibility:hidden}</style><p class='a x'>no<p class=y>no<div class=y>yes</div><i id=z>no</i>", "yes"),
+        ("<style>b{display:none}/*.k{display:none}*/b.k{display:inline}@media print{i{display:none}}</style><b>no</b><b class=k>yes</b> <i>too</i>", "yes too"),
+        ("<style>@import 'x';span{display:block}div{display:inline}</style>a<span>b</span>c<div>d</div>", "a\nb\ncd"),
+        ("<style>.c{white-space:pre}</style><div class=c>a  b\n c</div><pre style='white-space:normal'>x\n  y</pre>", "a  b\n c\n\nx y"),
+        ("<svg><text><![CDATA[a <b> c]]></text></svg> <![CDATA[no]]> d", "a <b> c d"),
+        ("<progress value=1>no</progress><meter>no</meter>x", "x"),
+        ("<input value=typed> <input type=password value=no> <input type=image alt=pic>", "typed pic"),
+        ("<ul><li>a<table><tr><td>1<td>2</table><li>b</ul>", "- a\n\n  1  2\n\n- b"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c</table>", "- a  c\n- b"),
+        ("<blockquote>q<blockquote>r</blockquote></blockquote>s", "  q\n\n    r\n\ns"),
+    ],
+)
+def test_layout_within_tables_and_styles_of_the_page(markup, text):
+    assert html_text.page_text(markup) == text
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_generated_tables_and_lists_stand_where_they_should(seed):
+    """Alignment, indentation and empty lines, character by character."""
+    rng = random.Random(seed)
+    blocks, want = [], []
+
+    def text():
+        return " ".join("".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+
+    def items(depth, indent):
+        out, lines = "", []
+        numbered, n = rng.random() < 0.5, rng.randint(1, 3)
+        for i in range(n):
+            own, mark = text(), f"{i + 1}. " if numbered else "- "
+            lines.append(indent + mark + own)
+            out += f"<li>{own}"
+            if depth and rng.random() < 0.4:
+                inner, more = items(depth - 1, indent + " " * len(mark))
+                out += inner
+                lines += more
+        name = "ol" if numbered else "ul"
+        return f"<{name}>{out}</{name}>", lines
+
+    for _ in range(4):
+        kind = rng.choice(["p", "table", "list", "quote", "div"])
+        if kind == "table":
+            grid = [[text() if rng.random() < 0.8 else "" for _ in range(3)] for _ in range(rng.randint(1, 5))]
+            grid = [row for row in grid if any(row)] or [["x", "", ""]]
+            widths = [max(len(row[i]) for row in grid) for i in range(3)]
+            blocks.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in grid) + "</table>")
+            lines = ["  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in grid]
+        elif kind == "list":
+            markup, lines = items(2, "")
+            blocks.append(markup)
+        else:
+            lines = [text()]
+            blocks.append({"p": f"<p>{lines[0]}", "quote": f"<blockquote>{lines[0]}</blockquote>", "div": f"<h2>{lines[0]}</h2>"}[kind])
+            lines = ["  " + lines[0]] if kind == "quote" else lines
+        want += ([""] if want else []) + lines
+    assert html_text.page_text("".join(blocks)).split("\n") == want
