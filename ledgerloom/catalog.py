@@ -461,12 +461,29 @@ issues AS (
 @query(f"{_ISSUES} SELECT * FROM issues ORDER BY tier, amount DESC, category, gstin NULLS FIRST, row_index NULLS FIRST, reason LIMIT 5")
 def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five foremost issues, as the headline shows them."""
-    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)), 5)
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)), 5).drop("breakdown")
 
 
 @query(f"{_ISSUES} SELECT * FROM issues")
 def ranked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True)))
+    return report.ranked(report.top_issues(report.propose(*_written(spark, sf_dir), True))).drop("breakdown")
+
+
+_PART = lambda h: f"CASE WHEN {h} <> 0 THEN '{h.upper()} ' || ({h} / 100)::DECIMAL(20, 2)::VARCHAR END"
+_PARTED = f"""{_FINDINGS},
+rows AS (
+  SELECT 'Extra in Books' AS category, gstin, row_index, igst, cgst, sgst FROM final_b UNION ALL SELECT 'Extra in 2A', gstin, row_index, igst, cgst, sgst FROM final_a
+  UNION ALL SELECT 'Possible Match', gstin, l_row_index, l_igst, l_cgst, l_sgst FROM possible UNION ALL SELECT 'Mismatch', gstin, NULL, a_igst, a_cgst, a_sgst FROM vendors WHERE status = 'discrepancy'
+  UNION ALL SELECT 'Wrong Head', gstin, row_index, igst, cgst, sgst FROM wrong UNION ALL SELECT 'Ineligible ITC', gstin, row_index, igst, cgst, sgst FROM blocked
+  UNION ALL SELECT 'RCM', gstin, row_index, igst, cgst, sgst FROM (SELECT * FROM rcm_a UNION ALL SELECT * FROM rcm_b))
+SELECT category, gstin, row_index, concat_ws(' + ', {_PART("igst")}, {_PART("cgst")}, {_PART("sgst")}) AS breakdown FROM rows
+WHERE (igst <> 0)::INT + (cgst <> 0)::INT + (sgst <> 0)::INT >= 2"""
+
+
+@query(_PARTED)
+def issue_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tax of issues by head, where it has several."""
+    return report.top_issues(report.propose(*_written(spark, sf_dir), True)).filter("breakdown is not null").select("category", "gstin", "row_index", "breakdown")
 
 
 @query(f"{_ISSUES} SELECT category, count(*) AS items, sum(amount)::BIGINT AS amount FROM issues GROUP BY category")

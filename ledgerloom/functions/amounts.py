@@ -68,6 +68,17 @@ def indian_grouping(paise_value: Column) -> Column:
     return F.concat(F.when(paise_value < 0, F.lit("-")).otherwise(F.lit("")), grouped)
 
 
+def day_text(date: Column) -> Column:
+    """``2024-04-01``, or the empty string."""
+    return F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(""))
+
+
+def breakdown_text(igst: Column, cgst: Column, sgst: Column) -> Column:
+    """``CGST 90.00 + SGST 90.00`` of amounts in paise, where two heads or more are not zero."""
+    part = lambda h: F.concat(h["head"], F.lit(" "), (h["amount"] / 100).cast("decimal(20,2)").cast("string"))
+    return F.array_join(F.transform(tax_breakdown(igst, cgst, sgst), part), " + ")
+
+
 def tax_breakdown(igst: Column, cgst: Column, sgst: Column) -> Column:
     """The heads that are not zero, or null if there are fewer than two."""
     heads = F.array(*(F.struct(F.lit(name).alias("head"), amount.alias("amount")) for name, amount in (("IGST", igst), ("CGST", cgst), ("SGST", sgst))))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators import duplicates, invoices, row_rules, vendors
+from ledgerloom.functions.amounts import breakdown_text
+from ledgerloom.operators import duplicates, invoices, row_rules, screening, vendors
 from ledgerloom.plans.fixed import MATERIALITY
 from ledgerloom.plans.staging import exists, staged
 
@@ -106,7 +107,7 @@ def summary_lines(one_row: DataFrame) -> DataFrame:
 
 
 def top_issues(p: Proposal) -> DataFrame:
-    """All findings as ``tier, amount, category, reason, gstin, row_index``. Tier 1: reverse charge and blocked credit of 1 % of the statement's tax or more."""
+    """All findings as ``tier, amount, category, reason, gstin, row_index, breakdown`` (of the tax, if it has several heads). Tier 1: reverse charge and blocked credit of 1 % of the statement's tax or more."""
     bar = p.gstr2a.agg((F.coalesce(F.sum(tax_of()), F.lit(0)) * MATERIALITY).alias("bar"))
     return _issues(tables(p), bar)
 
@@ -119,8 +120,9 @@ def ranked_from_written(spark: SparkSession, places: dict[str, str]) -> DataFram
 
 
 def _issues(t: dict[str, DataFrame], bar: DataFrame) -> DataFrame:
-    def issue(rows: DataFrame, category: str, reason: Column, tier: int, amount: Column, row: str = "row_index") -> DataFrame:
-        return rows.select(F.lit(tier).alias("tier"), amount.cast("long").alias("amount"), F.lit(category).alias("category"), reason.alias("reason"), "gstin", F.col(row).cast("long").alias("row_index"))
+    def issue(rows: DataFrame, category: str, reason: Column, tier: int, amount: Column, row: str = "row_index", heads: str | None = "") -> DataFrame:
+        parts = F.lit(None).cast("string") if heads is None else breakdown_text(*(F.coalesce(f"{heads}{h}", F.lit(0)) for h in ("igst", "cgst", "sgst")))
+        return rows.select(F.lit(tier).alias("tier"), amount.cast("long").alias("amount"), F.lit(category).alias("category"), reason.alias("reason"), "gstin", F.col(row).cast("long").alias("row_index"), parts.alias("breakdown"))
 
     gap = F.abs(tax_of("a_") - tax_of("b_"))
     doubles = duplicates.overclaim(t["duplicates"])
@@ -129,12 +131,12 @@ def _issues(t: dict[str, DataFrame], bar: DataFrame) -> DataFrame:
     found = [
         issue(t["extra_in_books"], "Extra in Books", F.lit("not in the statement yet"), 2, tax_of()),
         issue(t["extra_in_2a"], "Extra in 2A", F.lit("not in the books yet"), 2, tax_of()),
-        issue(t["possible_matches"].withColumn("gstin", F.col("l_gstin")), "Possible Match", F.col("reason"), 3, tax_of("l_"), "l_row_index"),
-        issue(t["mismatch"].withColumn("row_index", F.lit(None)), "Mismatch", F.lit("tax totals differ"), 2, gap),
+        issue(t["possible_matches"].withColumn("gstin", F.col("l_gstin")), "Possible Match", F.col("reason"), 3, tax_of("l_"), "l_row_index", "l_"),
+        issue(t["mismatch"].withColumn("row_index", F.lit(None)), "Mismatch", F.lit("tax totals differ"), 2, gap, heads="a_"),
         issue(t["wrong_head"].filter("section = 'statement'"), "Wrong Head", heads, 3, tax_of()),
-        issue(doubles.filter("confirmed"), "Duplicate Invoices", size, 3, F.col("overclaim"), "cluster"),
-        issue(doubles.filter("not confirmed"), "Possible Duplicate Invoices", size, 3, F.col("overclaim"), "cluster"),
-        issue(t["rate_mismatch"], "Rate Mismatch", F.concat_ws(" ", F.lit("tax is off at"), F.col("rate_percent"), F.lit("percent")), 3, F.abs("difference")),
+        issue(doubles.filter("confirmed"), "Duplicate Invoices", size, 3, F.col("overclaim"), "cluster", None),
+        issue(doubles.filter("not confirmed"), "Possible Duplicate Invoices", size, 3, F.col("overclaim"), "cluster", None),
+        issue(t["rate_mismatch"], "Rate Mismatch", F.concat_ws(" ", F.lit("tax is off at"), F.col("rate_percent"), F.lit("percent")), 3, F.abs("difference"), heads=None),
     ]
     weighed = [issue(t["rcm"], "RCM", F.coalesce("category", "found_by"), 0, tax_of()), issue(t["ineligible_itc"], "Ineligible ITC", F.concat_ws(" ", "category", "section"), 0, tax_of())]
     material = weighed[0].unionByName(weighed[1]).crossJoin(F.broadcast(bar))  # one row
@@ -166,14 +168,19 @@ def carry_notes(rows: DataFrame, notes: DataFrame, keys: list[str], order: str =
     return nth(rows).join(old, match, "left").drop("nth", "old_nth", *(f"old_{k}" for k in keys))
 
 
-def orphaned_notes(rows: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
-    """Old notes whose row is gone."""
-    return notes.join(rows.select(*keys).distinct(), keys, "left_anti")
+def orphaned_notes(rows: DataFrame, notes: DataFrame, keys: list[str], order: str = "row_index") -> DataFrame:
+    """Old notes whose row is gone: those that ``carry_notes`` found no place for."""
+    numbered = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    here = numbered(rows).select(*(F.col(k).alias(f"new_{k}") for k in keys), F.col("nth").alias("new_nth"))
+    match = F.col("nth") == F.col("new_nth")
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"new_{key}"))
+    return numbered(notes).join(here, match, "left_anti").drop("nth")
 
 
-def tables(p: Proposal) -> dict[str, DataFrame]:
-    """The ten report tables."""
-    return {
+def tables(p: Proposal, suggestions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ten report tables; with ``suggestions`` (what ``screening`` says of vendors) an eleventh, of the flagged ones, if no row was found ineligible by its text."""
+    found = {
         "summary": summary_lines(summary(p)),
         "extra_in_books": p.extras.extra_in_books,
         "extra_in_2a": p.extras.extra_in_2a,
@@ -185,6 +192,9 @@ def tables(p: Proposal) -> dict[str, DataFrame]:
         "duplicates": p.duplicates,
         "rate_mismatch": p.rate_mismatch,
     }
+    if suggestions is not None and screening.wanted(p.blocked):
+        found["vendor_suggestions"] = suggestions.filter("flagged")
+    return found
 
 
 #: What makes a row of a report table the same as one of an older report, and what orders rows that are alike.
@@ -198,33 +208,66 @@ REVIEWED: dict[str, tuple[list[str], str]] = {
     "ineligible_itc": (["source", "gstin", "identifier"], "row_index"),
     "duplicates": (["source", "gstin", "identifier"], "row_index"),
     "rate_mismatch": (["source", "gstin", "identifier"], "row_index"),
+    "vendor_suggestions": (["gstin"], "gstin"),
 }
+_NOTED = "reviewer_status is not null or reviewer_note is not null"
 
 
-def reviewed(name: str, rows: DataFrame, place: str) -> DataFrame:
-    """``rows`` of a report table with what reviewers wrote beside the same rows of the table at ``place``, if there is one."""
+def written_notes(spark: SparkSession, name: str, place: str, orphans: str) -> DataFrame | None:
+    """What reviewers wrote beside rows of the table at ``place``, and what is kept at ``orphans`` of rows that were gone before; None if nothing was ever written there."""
     keys, order = REVIEWED[name]
-    spark = rows.sparkSession
-    if not exists(spark, place):
-        return rows.withColumns({"reviewer_status": F.lit(None).cast("string"), "reviewer_note": F.lit(None).cast("string")})
-    old = spark.read.parquet(place).filter("reviewer_status is not null or reviewer_note is not null")
-    notes = staged(old.select(*dict.fromkeys([*keys, order]), "reviewer_status", "reviewer_note"), "notes")  # the table is about to be replaced
-    return carry_notes(rows, notes, keys, order)
+    columns = [*dict.fromkeys([*keys, order]), "reviewer_status", "reviewer_note"]
+    found = [spark.read.parquet(at).filter(_NOTED).select(*columns) for at in (place, orphans) if exists(spark, at)]
+    if not found:
+        return None
+    return staged(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "notes")  # both are about to be replaced
+
 
+def accept(p: Proposal, path: str, suggestions: DataFrame | None = None) -> dict[str, str]:
+    """Write all report tables below ``path``, explained, in place of older ones whose reviewers' notes they take over; gives each table's place.
 
-def accept(p: Proposal, path: str) -> dict[str, str]:
-    """Write all report tables below ``path``, explained, in place of older ones whose reviewers' notes they take over; gives each table's place."""
+    Notes on rows that are gone are kept below ``path/orphaned`` (``orphans``), and come back with their row.
+    """
     from ledgerloom.operators.explain import explained  # explains the tables of this module
 
     places = {}
-    for name, rows in tables(p).items():
+    for name, rows in tables(p, suggestions).items():
         place = places[name] = f"{path.rstrip('/')}/{name}"
         if name in REVIEWED:
-            rows = reviewed(name, explained(name, rows), place)
+            keys, order = REVIEWED[name]
+            rows, orphans = explained(name, rows), f"{path.rstrip('/')}/orphaned/{name}"
+            notes = written_notes(rows.sparkSession, name, place, orphans)
+            if notes is None:
+                rows = rows.withColumns({"reviewer_status": F.lit(None).cast("string"), "reviewer_note": F.lit(None).cast("string")})
+            else:
+                orphaned_notes(rows, notes, keys, order).write.mode("overwrite").parquet(orphans)
+                rows = carry_notes(rows, notes, keys, order)
         rows.write.mode("overwrite").parquet(place)
     return places
 
 
+def orphans(spark: SparkSession, path: str) -> DataFrame:
+    """``report_table, row_key, reviewer_status, reviewer_note`` of all notes below ``path`` whose row is gone."""
+    parts = []
+    for name, (keys, _) in REVIEWED.items():
+        if exists(spark, place := f"{path.rstrip('/')}/orphaned/{name}"):
+            key = F.concat_ws("|", *(F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) for k in keys))
+            parts.append(spark.read.parquet(place).select(F.lit(name).alias("report_table"), key.alias("row_key"), "reviewer_status", "reviewer_note"))
+    empty = spark.createDataFrame([], "report_table string, row_key string, reviewer_status string, reviewer_note string")
+    for part in parts:
+        empty = empty.unionByName(part)
+    return empty
+
+
+def note_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``report_table, carried, orphaned``: notes that stand beside a row, and those whose row is gone."""
+    gone = orphans(spark, path).select("report_table", F.lit(0).alias("carried"), F.lit(1).alias("orphaned"))
+    for name in REVIEWED:
+        if exists(spark, place := f"{path.rstrip('/')}/{name}"):
+            gone = gone.unionByName(spark.read.parquet(place).filter(_NOTED).select(F.lit(name).alias("report_table"), F.lit(1).alias("carried"), F.lit(0).alias("orphaned")))
+    return gone.groupBy("report_table").agg(F.sum("carried").alias("carried"), F.sum("orphaned").alias("orphaned"))
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
     """Add ``rows`` (time, place, text) to the audit log; older entries stay as they are."""
     rows.write.mode("append").parquet(path)

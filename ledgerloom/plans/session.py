@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import report, row_rules
-from ledgerloom.plans.memory import BestEffort, ColumnsUnresolved, Memory, Patterns, corroborated, pattern_key
-from ledgerloom.plans.recognition import Column, ColumnMap, Verdict, identify_columns, normalized_header, open_fields, pick_sheets, read_sheets, recognize_role
+from ledgerloom.plans.memory import BestEffort, ColumnsUnresolved, Memory, Patterns, SheetLabel, corroborated, pattern_key, sheet_label
+from ledgerloom.plans.recognition import Column, ColumnMap, Verdict, classify_sheet, identify_columns, normalized_header, open_fields, pick_sheets, read_sheets, recognize_role
 from ledgerloom.plans.staging import staged
 from ledgerloom.sources.cells import header_rows
 from ledgerloom.sources.sheets import invoices
 
-SIDES = {"gstr2a": "gstr2a", "purchase_register": "books"}
-# Workflows by name, with the role of each side; checks of single rows that run on both sides of any workflow.
-WORKFLOWS = {"gstr2a_vs_books": ("gstr2a", "purchase_register")}
+# Workflows in the order in which they are tried: the side of a proposal that each role's sheet becomes.
+WORKFLOWS = {"gstr2a_vs_books": {"gstr2a": "gstr2a", "purchase_register": "books"}}
+# Checks of single rows that run on both sides of any workflow.
 ONE_OF = (("igst", "cgst", "sgst"), ("invoice_number", "voucher_number"))
 VALIDATORS: dict[str, Callable[[DataFrame], DataFrame]] = {"rate_mismatch": row_rules.rate_mismatch}
 
@@ -40,20 +40,36 @@ def validated(sources: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 @dataclass
 class Recognized:
-    """Sheets of a workbook, what they hold, and the sheet of each role (None if one is missing)."""
+    """Sheets of a workbook, what they hold, the first workflow that has a sheet for each role, and these (None if there is no such workflow)."""
 
     columns: dict[str, list[Column]]
     maps: dict[str, ColumnMap]
     roles: dict[str, Verdict]
     chosen: dict[str, str] | None
     headers: dict[str, int] = field(default_factory=dict)
+    labels: dict[str, SheetLabel] = field(default_factory=dict)
+    workflow: str | None = None
 
 
-def recognize(cells: DataFrame) -> Recognized:
+def recognize(cells: DataFrame, client_id: str | None = None, labels: Memory | None = None, shared: Patterns | BestEffort | None = None) -> Recognized:
+    """Roles come from the columns; a sheet that they do not tell has the role that ``labels`` or ``shared`` remember for sheets like it, if that is one.
+
+    ``labels`` of the result say of every sheet what it is and how that is known.
+    """
     sheets = read_sheets(cells)
     maps = {name: identify_columns(columns) for name, columns in sheets.items()}
     roles = {name: recognize_role(m) for name, m in maps.items()}
-    return Recognized(sheets, maps, roles, pick_sheets(roles), {r["sheet"]: r["header_ix"] for r in header_rows(cells).collect()})
+    named: dict[str, SheetLabel] = {}
+    for name, columns in sheets.items():
+        kind = roles[name].kind if roles[name].kind != "unknown" else classify_sheet(columns).kind
+        named[name] = sheet_label(labels or Memory(), client_id or "", columns, kind, shared)
+        if roles[name].kind == "unknown" and named[name].status == "remembered" and any(named[name].label in sides for sides in WORKFLOWS.values()):
+            roles[name] = Verdict(named[name].label, "medium")
+    headers = {r["sheet"]: r["header_ix"] for r in header_rows(cells).collect()}
+    for workflow, sides in WORKFLOWS.items():
+        if chosen := pick_sheets(roles, sides):
+            return Recognized(sheets, maps, roles, chosen, headers, named, workflow)
+    return Recognized(sheets, maps, roles, None, headers, named)
 
 
 def resolve_columns(found: Recognized, role: str, client_id: str, memory: Memory, shared: Patterns | BestEffort) -> tuple[dict[str, int], list[tuple[str, str]]]:
@@ -88,13 +104,13 @@ def _header(found: Recognized, sheet: str, index: int) -> str:
     return next(c.header for c in found.columns[sheet] if c.index == index)
 
 
-def reconcile_workbook(cells: DataFrame, client_id: str, memory: Memory | None = None, shared: Patterns | BestEffort | None = None) -> report.Proposal:
-    """Reconcile the statement with the purchase register of a workbook. ``ValueError`` if a role has no sheet."""
-    found = recognize(cells)
+def reconcile_workbook(cells: DataFrame, client_id: str, memory: Memory | None = None, shared: Patterns | BestEffort | None = None, labels: Memory | None = None) -> report.Proposal:
+    """Reconcile the statement with the purchase register of a workbook. ``memory``: answers about columns; ``labels``: of sheets. ``ValueError`` if a role has no sheet."""
+    found = recognize(cells, client_id, labels, shared)
     if found.chosen is None:
         raise ValueError(f"no sheet for each role: {({s: v.kind for s, v in found.roles.items()})}")
     sides = {}
-    for role, side in SIDES.items():
+    for role, side in WORKFLOWS[found.workflow].items():
         sheet = found.chosen[role]
         places, asked = resolve_columns(found, role, client_id, memory or Memory(), shared or Patterns())
         if asked:

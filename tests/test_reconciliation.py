@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.functions import amounts, identifiers
-from ledgerloom.operators import duplicates, invoices, ledgers, matching, renames, report, row_rules, vendors
+from ledgerloom.operators import duplicates, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
 
 SCHEMA = "row_index long, gstin string, identifier string, trade_legal_name string, particulars string, place_of_supply string, reverse_charge string, rate long, taxable_value long, igst long, cgst long, sgst long, invoice_date date"
 G = "07AAAPL0001Q1Z5"
@@ -390,3 +390,38 @@ def test_first_entries_of_blank_numbers(spark):
     statement = spark.createDataFrame([(2, "", "A", 2, DAY), (1, "", "Zzzz", 2, DAY), (3, "N1", "C", 9, DAY)], schema)
     got = {(r["side"], r["row_index"]): r["status"] for r in ledgers.compare_ledger(ledger, statement).collect()}
     assert got == {("ledger", 3): "FUZZY_VENDOR", ("ledger", 5): "DUPLICATE", ("ledger", 4): "MISSING_SUPPLIER", ("ledger", 7): "DUPLICATE", ("ledger", 8): "DUPLICATE", ("ledger", 9): "MATCHED", ("statement", 2): "MISSING_LEDGER"}
+
+
+def test_notes_of_rows_that_are_gone_are_kept_counted_and_come_back(spark, table, tmp_path):
+    place = str(tmp_path / "out")
+
+    def run(*numbers):
+        report.accept(report.propose(table(*(row(i, n) for i, n in enumerate(numbers))), table(row(2, "B", tv=5)), True), place)
+        return {(r["identifier"], r["reviewer_note"]) for r in spark.read.parquet(f"{place}/extra_in_2a").collect()}
+
+    run("A", "C", "C")
+    rows = [{**r.asDict(), "reviewer_note": f"{r['identifier']}{r['row_index']}"} for r in spark.read.parquet(f"{place}/extra_in_2a").collect()]
+    spark.createDataFrame(rows, spark.read.parquet(f"{place}/extra_in_2a").schema).write.mode("overwrite").parquet(f"{place}/extra_in_2a")
+    assert run("C", "D") == {("C", "C1"), ("D", None)}
+    assert {(r["report_table"], r["row_key"], r["reviewer_note"]) for r in report.orphans(spark, place).collect()} == {("extra_in_2a", f"{G}|A", "A0"), ("extra_in_2a", f"{G}|C", "C2")}
+    assert [tuple(r) for r in report.note_counts(spark, place).collect()] == [("extra_in_2a", 1, 2)]
+    run("D")
+    assert report.orphans(spark, place).count() == 3
+    assert run("A", "C", "C") == {("A", "A0"), ("C", "C1"), ("C", "C2")} and report.orphans(spark, place).isEmpty()
+
+
+def test_issues_show_their_tax_by_head(spark, table):
+    p = report.propose(table(row(1, "A", igst=0, cgst=9_050, sgst=9_000, place="07-Delhi"), row(2, "C")), table(row(2, "B", tv=5)), True)
+    found = {(r["category"], r["row_index"]): r["breakdown"] for r in report.top_issues(p).collect()}
+    assert found["Extra in 2A", 1] == "CGST 90.50 + SGST 90.00" and found["Extra in 2A", 2] is None
+    assert one(spark, amounts.day_text(F.col("d")), d=DAY) == "2024-04-01"
+
+
+def test_suggestions_of_vendors_are_a_report_table(spark, table, tmp_path):
+    clean = report.propose(table(row(1, "A")), table(row(2, "B", tv=5)), True)
+    said = screening.by_name(spark.createDataFrame([("g1", "City Hotel"), ("g2", "Plain Trade")], "gstin string, vendor_name string"))
+    places = report.accept(clean, str(tmp_path / "a"), said)
+    rows = spark.read.parquet(places["vendor_suggestions"]).collect()
+    assert [(r["gstin"], r["reviewer_note"]) for r in rows] == [("g1", None)] and rows[0]["rule"] == "Vendor screening"
+    blocked = report.propose(table(row(1, "A")), table(row(1, "A", text="canteen")), True)
+    assert "vendor_suggestions" not in report.accept(blocked, str(tmp_path / "b"), said)

@@ -168,3 +168,18 @@ def test_standing_checks_run_on_all_sources(spark):
     found = session.recognize(book)
     rows = sheets.invoices(book, "a", found.headers["a"], found.maps["a"].found | {"rate": 5})
     assert {(r["source"], r["identifier"]) for r in session.validated({"x": rows, "y": rows.withColumn("igst", rows["igst"] + 50000)})["rate_mismatch"].collect()} == {("y", f"INV/{i}") for i in (1, 2, 3)}
+
+
+def test_remembered_labels_give_sheets_their_role(spark):
+    plain = [["Code", *REGISTER[1][1:]], *REGISTER[2:]]
+    unclear = [[*row[:3], *row[4:]] for row in plain]
+    book = cells.from_grids(spark, {"a": STATEMENT, "b": REGISTER})
+    assert session.recognize(book).workflow == "gstr2a_vs_books" and session.recognize(book).labels["a"].status == "classified"
+    book = cells.from_grids(spark, {"a": STATEMENT, "x": unclear})
+    found = session.recognize(book)
+    if found.chosen is None:
+        labels = memory.Memory()
+        memory.remember_label(labels, "me", found.columns["x"], "x", "purchase_register")
+        again = session.recognize(book, "me", labels)
+        assert again.labels["x"].status == "remembered" and again.chosen == {"gstr2a": "a", "purchase_register": "x"}
+        assert session.recognize(book, "you", labels).chosen is None
