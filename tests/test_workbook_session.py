@@ -171,15 +171,12 @@ def test_standing_checks_run_on_all_sources(spark):
 
 
 def test_remembered_labels_give_sheets_their_role(spark):
-    plain = [["Code", *REGISTER[1][1:]], *REGISTER[2:]]
-    unclear = [[*row[:3], *row[4:]] for row in plain]
     book = cells.from_grids(spark, {"a": STATEMENT, "b": REGISTER})
     assert session.recognize(book).workflow == "gstr2a_vs_books" and session.recognize(book).labels["a"].status == "classified"
-    book = cells.from_grids(spark, {"a": STATEMENT, "x": unclear})
-    found = session.recognize(book)
-    if found.chosen is None:
-        labels = memory.Memory()
-        memory.remember_label(labels, "me", found.columns["x"], "x", "purchase_register")
-        again = session.recognize(book, "me", labels)
-        assert again.labels["x"].status == "remembered" and again.chosen == {"gstr2a": "a", "purchase_register": "x"}
-        assert session.recognize(book, "you", labels).chosen is None
+    book = cells.from_grids(spark, {"a": STATEMENT, "x": [["Ref", "GSTIN/UIN", "IGST"], *([row[3], row[4], row[6]] for row in REGISTER[2:])]})
+    found, labels = session.recognize(book), memory.Memory()
+    assert found.chosen is None and found.workflow is None and found.labels["x"].status == "needs_input"
+    memory.remember_label(labels, "me", found.columns["x"], "x", "purchase_register")
+    again = session.recognize(book, "me", labels)
+    assert again.labels["x"].status == "remembered" and again.chosen == {"gstr2a": "a", "purchase_register": "x"}
+    assert session.recognize(book, "you", labels).chosen is None
