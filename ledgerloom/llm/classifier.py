@@ -110,7 +110,9 @@ class Gaussian:
     log_determinant: float
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        whitened = np.linalg.solve(self.cholesky, (x - self.mean).T)
+        whitened = (x - self.mean).T
+        for i, row in enumerate(self.cholesky):  # forward substitution: the factor is triangular
+            whitened[i] = (whitened[i] - row[:i] @ whitened[:i]) / row[i]
         return -0.5 * ((whitened**2).sum(axis=0) + self.log_determinant)
 
 

@@ -208,8 +208,11 @@ def oracle_sql() -> str:
         return f"regexp_replace({out}, ' +', ' ', 'g')"
 
     values = ", ".join(f"({text(name)}, {text(body)})" for name, body in KNOWN)
+    digests = ", ".join(f"({text(name)}, {text(value)})" for name, value in KNOWN_DIGESTS)
     return f"""
-WITH known AS (SELECT sha256({form("body")}) AS digest, min(license) AS license FROM (VALUES {values}) v(license, body) GROUP BY 1),
+WITH known AS (
+  SELECT digest, min(license) AS license
+  FROM (SELECT license, sha256({form("body")}) AS digest FROM (VALUES {values}) v(license, body) UNION ALL SELECT license, digest FROM (VALUES {digests}) w(license, digest)) GROUP BY digest),
 whole AS (SELECT doc_id, sha256({form("coalesce(text, '')")}) AS digest FROM documents),
 lines AS (
   SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)

@@ -3,10 +3,11 @@
 A rule rejects a document by a few statistics of its whole text.  A statistic
 is computed when the first rule asks for it and kept for the rules after it.
 Before the run, a bounded sample of ``sample_rows`` texts, those of the least
-hashes of id and text in the whole table, is put through the rules on the
+hashes of their ids in the whole table, is put through the rules on the
 driver.  The order is built greedily, each time by the rule that rejects most of
 what the rules before it let through, per second; its cost is the time that it
-takes beyond the statistics that those rules have left behind.  Every document then runs through the rules
+takes beyond the statistics that those rules have left behind (``screened`` returns
+some statistics of every text and plans with these as given).  Every document then runs through the rules
 in that order and leaves at the first that rejects it.  All rules of a set must
 hold, so the order changes the work and never the verdict.
 
@@ -116,9 +117,12 @@ RULES = (
 )
 
 
-def cascade(sample: Sequence[bytes], rules: Sequence[Rule], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
-    """The rules in the order of what each rejects per second, given those before it."""
+def cascade(sample: Sequence[bytes], rules: Sequence[Rule], clock: Callable[[], float] = time.perf_counter, given: Sequence[str] = ()) -> list[Rule]:
+    """The rules in the order of what each rejects per second, given those before it. ``given``: statistics that are there already."""
     left, order, remaining = [Statistics(text) for text in sample], [], list(rules)
+    for statistics in left:
+        for name in given:
+            getattr(statistics, name)
     while remaining:
         tried = {}
         for rule in remaining:
@@ -134,14 +138,14 @@ def cascade(sample: Sequence[bytes], rules: Sequence[Rule], clock: Callable[[],
     return order
 
 
-def planned(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200) -> list[Rule]:
-    """The cascade for ``docs``, from a sample of at most ``sample_rows`` of its texts, drawn by hash over the whole table."""
-    keys = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
+def planned(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200, given: Sequence[str] = ()) -> list[Rule]:
+    """The cascade for ``docs``, from a sample of at most ``sample_rows`` of its texts, drawn by hash over the whole table. The draw reads the ids alone."""
+    keys = docs.select(F.xxhash64(docs["doc_id"]).alias("key"))
     last = keys.orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
     if last is None:
         return list(rules)
-    sample = docs.filter(F.xxhash64(docs["doc_id"], docs["text"]) <= last).select("text").limit(sample_rows)  # repeated rows may make more
-    return cascade([(row[0] or "").encode() for row in sample.collect()], rules)
+    sample = docs.filter(F.xxhash64(docs["doc_id"]) <= last).select("text").limit(sample_rows)  # repeated ids may make more
+    return cascade([(row[0] or "").encode() for row in sample.collect()], rules, given=given)
 
 
 def passes(statistics: Statistics, order: Sequence[Rule]) -> bool:
@@ -153,7 +157,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES, sample_rows: int = 200) -> DataFrame:
     """Statistics and verdicts of every row: ``base_failed`` by the base rules, ``kept`` by all rules (which ``rules`` holds)."""
-    order = planned(docs, rules, sample_rows)
+    order = planned(docs, rules, sample_rows, COLUMNS)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -210,6 +210,22 @@ def test_licenses_know_creative_commons_and_standard_texts(spark):
     assert {r["doc_id"]: r["license"] for r in licenses.scanned(table).collect()} == {n: list(texts.values())[n] for n, _ in here}
 
 
+def test_known_digests_are_in_the_scan_and_in_its_sql(spark, monkeypatch):
+    """A made-up text of a known digest, so that nothing depends on what lies on the machine."""
+    import duckdb
+
+    body = "The Example Licence\n\nCopyright 2020 Somebody\nYou may do as you like, \"as is\". " * 30
+    digest = spark.createDataFrame([(body,)], "text string").select(licenses.digest(F.col("text"))).first()[0]
+    monkeypatch.setattr(licenses, "KNOWN_DIGESTS", (*licenses.KNOWN_DIGESTS, ("Example-1.0", digest)))
+    rows = [(1, body.upper()), (2, body + "more"), (3, "Licensed under the MIT licence."), (4, None), (5, "")]
+    got = {tuple(r) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(r[0], r[2]) for r in got} == {(1, "Example-1.0"), (2, None), (3, "MIT"), (4, None), (5, None)}
+    database = duckdb.connect()
+    database.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    database.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {tuple(r) for r in database.execute(licenses.oracle_sql()).fetchall()} == got
+
+
 def test_no_license_line_of_the_tables_stays_unknown(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = docs.selectExpr("doc_id", "explode(split(text, '\\n')) as text").filter("lower(text) rlike 'licen[cs]e'")
@@ -493,6 +509,31 @@ def test_classifier_scores_every_row_and_beats_chance(spark):
     assert {r["score"] for r in classifier.classified(docs, labels.filter("false")).collect()} == {0.5}
 
 
+def test_classifier_equals_plain_covariances(spark, docs, rows):
+    """The whole model again, class by class, from the features of each text; long texts and clashing columns included."""
+    rng = np.random.default_rng(4)
+    label_of = {r[0]: int(rng.integers(2)) for r in rows if r[0] is not None}
+    labels = spark.createDataFrame(list(label_of.items()), "doc_id long, quality int")
+    got = sorted((str(r["doc_id"]), r["score"], r["predicted"]) for r in classifier.classified(docs, labels).collect())
+    x = np.array([classifier.features((r[1] or "").encode()) for r in rows])
+    train = [i for i, r in enumerate(rows) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5]
+    y = np.array([label_of[rows[i][0]] for i in train])
+    spread = x[train].std(axis=0)
+    z = x / np.where(spread > 1e-9, spread, 1.0)
+    densities = []
+    for k in (0, 1):
+        own = z[train][y == k]
+        covariance = np.cov(own.T, bias=True)
+        covariance = (1 - classifier.SHRINKAGE) * covariance + classifier.SHRINKAGE * max(np.trace(covariance) / x.shape[1], 1e-3) * np.eye(x.shape[1])
+        off = z - own.mean(axis=0)
+        densities.append(-0.5 * ((off @ np.linalg.inv(covariance) * off).sum(axis=1) + np.linalg.slogdet(covariance)[1]))
+    logit = (np.log((y == 1).sum() / (y == 0).sum()) + densities[1] - densities[0]) / classifier.TEMPERATURE
+    want = sorted((str(r[0]), float(s)) for r, s in zip(rows, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+    assert all(predicted == (s >= 0.3) for _, s, predicted in got)
+
+
 def test_empty_tables_give_empty_results(spark, none):
     runs = [
         simhash.near_duplicates(none), simhash.deduplicated(none), packing.pack(none), token_counts.token_counts(none), licenses.scanned(none), quality_rules.screened(none),
