@@ -25,7 +25,6 @@ FIRST_DAY_NUMBER, LAST_DAY_NUMBER = 32874, 49674
 
 STRETCH = 1 << 16  #: Rows that are put in order together
 HALO = 5  #: Rows below a header that are looked at
-SLICES = 256  #: Parts of a column's distinct values
 FOREMOST = 5  #: Values shown of each column
 
 
@@ -125,8 +124,8 @@ def _runs(numbers: DataFrame, column: list[str]) -> DataFrame:
 def profile(cells: DataFrame) -> DataFrame:
     """One row per sheet and column: counts of kinds, distinct values and signs, the five most frequent values, the first five values, and monotonic shares.
 
-    A column is never put in order as a whole: rows are by stretches, values by
-    slices, of which each gives its five foremost.
+    A column is never put in order as a whole: rows are by stretches, and of its
+    values each task gives its five foremost.
     """
     keys = sheet_keys(cells)
     column = [*keys, "col_ix"]
@@ -137,16 +136,17 @@ def profile(cells: DataFrame) -> DataFrame:
     data = data.filter("kind <> 'blank'").withColumn("number", F.when(F.col("kind") == "numeric", F.coalesce("n", number_or_null(F.col("s")))))
     signs = _runs(data.filter("number is not null"), column)
     values = data.groupBy(*column, F.trim("s").alias("value")).agg(F.count("*").alias("n"), F.min("row_ix").alias("first_ix"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("date", "numeric", "text")))
-    orders = {"top_values": [(-F.col("n")).alias("n"), F.col("first_ix")], "samples": [F.col("first_ix")]}
-    for name, order in orders.items():
-        slice_ = Window.partitionBy(*column, F.pmod(F.xxhash64("value"), F.lit(SLICES))).orderBy(*order)
-        values = values.withColumn(f"{name}_place", F.row_number().over(slice_))
+    orders = {"top_values": [F.desc("n"), F.col("first_ix")], "samples": [F.col("first_ix")]}
 
-    def foremost(name: str) -> Column:
-        found = F.collect_list(F.when(F.col(f"{name}_place") <= FOREMOST, F.struct(*orders[name], "value")))
-        return F.transform(F.slice(F.array_sort(found), 1, FOREMOST), lambda x: x["value"]).alias(name)
+    def foremost(name: str) -> DataFrame:
+        """The first values of each column. A task keeps ``FOREMOST`` of its own before the shuffle (``WindowGroupLimit`` in the plan), so no column is put in order as a whole."""
+        place = F.row_number().over(Window.partitionBy(*column).orderBy(*orders[name]))
+        best = values.withColumn("place", place).filter(F.col("place") <= FOREMOST)
+        return best.groupBy(*column).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias(name))
 
-    shape = values.groupBy(*column).agg(F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")), *map(foremost, orders))
+    shape = values.groupBy(*column).agg(F.sum("n").alias("filled"), F.count("*").alias("n_distinct"), *(F.sum(k).alias(f"n_{k}") for k in ("date", "numeric", "text")))
+    for name in orders:
+        shape = shape.join(foremost(name), column, "left")
     out = names.join(shape, column, "full").join(signs, column, "left").join(n_rows, keys, "left")
     counts = ("filled", "n_distinct", "n_date", "n_numeric", "n_text", "n_numbers", "n_positive", "n_negative", "n_rows")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

@@ -162,9 +162,8 @@ def test_order_of_a_long_column_does_not_depend_on_its_stretches(spark, monkeypa
     grid = [["key", "number"], *(["k", x] for x in values)]
     steps = list(zip(values, values[1:], strict=False))
     first = list(dict.fromkeys(values))
-    for stretch, slices in ((1 << 16, 256), (3, 2), (1, 1)):
+    for stretch in (1 << 16, 3, 1):
         monkeypatch.setattr(cells, "STRETCH", stretch)
-        monkeypatch.setattr(cells, "SLICES", slices)
         row = cells.profile(cells.from_grids(spark, {"s": grid})).filter("col_ix = 1").first()
         assert row["increasing"] == sum(a <= b for a, b in steps) / len(steps) and row["decreasing"] == sum(a >= b for a, b in steps) / len(steps)
         assert row["samples"] == [str(x) for x in first[:5]]
@@ -181,6 +180,14 @@ def test_headings_name_fields_by_words_and_parts():
     assert {heading: recognition.fields_named(heading) for heading in named} == named
 
 
+def test_foremost_values_are_kept_by_task_before_the_shuffle(spark):
+    grid = [["key", "number"], *([f"k{i % 50}", i % 7] for i in range(300))]
+    profile = cells.profile(cells.from_grids(spark, {"s": grid}))
+    found = {r["col_ix"]: (r["top_values"], r["samples"]) for r in profile.collect()}
+    assert found == {0: ([f"k{i}" for i in range(5)],) * 2, 1: (["0", "1", "2", "3", "4"],) * 2}  # 0 to 5 stand once more than 6
+    assert profile._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+
+
 @pytest.mark.parametrize("stretch", [6, 7, 50, 1 << 16])
 def test_headers_are_found_across_stretches(spark, stretch):
     rng = random.Random(1)
