@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import identifiers as ids
 from ledgerloom.operators import duplicates, explain, hygiene, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
 from ledgerloom.plans import oracle_parts as sql
-from ledgerloom.plans import recognition
+from ledgerloom.plans import fixed, recognition
 from ledgerloom.plans.fixed import MATERIALITY
 from ledgerloom.plans.staging import shared_folder, staged
 from ledgerloom.sources import cells
@@ -559,7 +559,25 @@ def pnl_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query()
+def _tagged(table: str, numbers: list[str], order: list[str]) -> str:
+    """A table without dates and tax ids: of no kind and no role, with the tag of each column from its counts."""
+    ratio = "count(DISTINCT {c})::DOUBLE / count({c})"
+    number = f"CASE WHEN {ratio} < {fixed.HIGH_NUMERIC} THEN 'NUM_LOW' WHEN sum(({{c}} > 0)::INT) >= {fixed.POSITIVE_SHARE} * count({{c}}) THEN 'NUM_HIGH_NONNETTING' ELSE 'NUM_HIGH_SIGNED' END"
+    text = (
+        f"CASE WHEN {ratio} >= {fixed.HIGH_TEXT} THEN 'TEXT_UNIQUE' WHEN count(DISTINCT {{c}}) <= {fixed.CATEGORY_COUNT} AND {ratio} <= {fixed.CATEGORY_RATIO} THEN 'TEXT_CATEGORICAL' "
+        f"WHEN count(DISTINCT {{c}}) >= {fixed.MODERATE_COUNT} AND {ratio} > {fixed.MODERATE_LOW} AND {ratio} < {fixed.MODERATE_HIGH} THEN 'TEXT_MODERATE' ELSE 'TEXT_OTHER' END"
+    )
+    tags = " || ',' || ".join((number if c in numbers else text).format(c=c) for c in order)
+    return f"SELECT '{table}' AS sheet, 'unknown' AS kind, 'none' AS confidence, 'unknown' AS role, '{len(order)}:' || {tags} AS signature FROM {table}"
+
+
+_CLASSIFIED = " UNION ALL ".join((
+    _tagged("supplier", ["s_nationkey", "s_acctbal"], ["s_name", "s_nationkey", "s_acctbal"]), _tagged("nation", ["n_regionkey"], ["n_name", "n_regionkey"]),
+    _tagged("customer", ["c_nationkey", "c_acctbal"], ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+))
+
+
+@query(_CLASSIFIED)
 def sheet_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What three typed tables are taken for when they are read as sheets."""
     grids = [cells.from_table(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table, key) for table, key in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"))]
