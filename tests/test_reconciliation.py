@@ -425,3 +425,17 @@ def test_suggestions_of_vendors_are_a_report_table(spark, table, tmp_path):
     assert [(r["gstin"], r["reviewer_note"]) for r in rows] == [("g1", None)] and rows[0]["rule"] == "Vendor screening"
     blocked = report.propose(table(row(1, "A")), table(row(1, "A", text="canteen")), True)
     assert "vendor_suggestions" not in report.accept(blocked, str(tmp_path / "b"), said)
+
+
+def test_typical_gaps_of_series_in_several_ranges(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for vendor in "VWX":
+        picked = sorted(rng.sample(range(1, 5000), {"V": 400, "W": 5, "X": 3}[vendor]))
+        days = {n: rng.randint(0, 90) for n in picked}
+        rows += [(vendor, f"S/{n}", DAY + dt.timedelta(days=days[n])) for n in picked for _ in range(rng.randint(1, 2))]
+        gaps = sorted(b - a for a, b in zip(picked, picked[1:], strict=False))
+        if len(picked) >= 4:
+            want[vendor] = (gaps[(len(picked) - 1) // 2], (picked[-1] - picked[0]) / (max(days.values()) - min(days.values())))
+    got = {r["gstin"]: (r["median_gap"], r["per_day"]) for r in duplicates.typical_gaps(spark.createDataFrame(rows, "gstin string, identifier string, date date")).collect()}
+    assert got == want
