@@ -5,17 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import amounts
 from ledgerloom.functions import identifiers as ids
 from ledgerloom.operators import duplicates, explain, hygiene, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
 from ledgerloom.plans import oracle_parts as sql
-from ledgerloom.plans import fixed, recognition
+from ledgerloom.plans import fixed, recognition, record_log
 from ledgerloom.plans.fixed import MATERIALITY
 from ledgerloom.plans.staging import shared_folder, staged
 from ledgerloom.sources import cells
 from ledgerloom.sources.ledger_views import books, duckdb_ctes, gstr2a
+from ledgerloom.streaming.refresh import append_batch, slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,3 +599,60 @@ def audit_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in ("status = 'matched'", "status <> 'matched'"):
         report.append_audit(compared.filter(part).select(F.current_timestamp().alias("at"), F.col("gstin").alias("place"), F.col("status").alias("text")), path)
     return spark.read.parquet(path).select("place", "text")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice::DECIMAL(18, 2)::DOUBLE END AS amount, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_totalprice::DECIMAL(18, 2)::DOUBLE END AS amount_or_zero,
+  CASE WHEN o_orderkey % 11 > 0 THEN (o_totalprice::DECIMAL(18, 2) * 100)::BIGINT END AS paise, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate::DATE END AS day, CASE WHEN o_orderkey % 13 > 0 THEN abs(o_orderdate::DATE - DATE '1995-06-17') END AS days_off FROM orders"""
+)
+def parsed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and dates of all orders, written as sheets write them, and read from that text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, price, day = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderdate").cast("date")
+    plain = price.cast("string")
+    cell = F.when(key % 11 == 0, "n/a").when(key % 3 == 0, F.concat(F.lit("$ "), F.format_number(price, 2))).when(key % 3 == 1, F.concat(F.lit("("), plain, F.lit(")"))).otherwise(plain)
+    serial = F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string")
+    date = F.when(key % 13 == 0, "31-02-2020").when(key % 4 == 0, serial).when(key % 4 == 1, F.date_format(day, "d-M-yyyy")).when(key % 4 == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-M-d"))
+    rows = orders.select("o_orderkey", cell.alias("cell"), date.alias("date_cell"))
+    read = rows.select("o_orderkey", amounts.number_or_null(F.col("cell")).alias("amount"), amounts.number_or_zero(F.col("cell")).alias("amount_or_zero"), amounts.paise(F.col("cell")).alias("paise"), amounts.date_or_null(F.col("date_cell")).alias("day"))
+    return read.withColumn("days_off", amounts.days_between(F.col("day"), F.lit("1995-06-17").cast("date")))
+
+
+@query(f"WITH {duckdb_ctes()} SELECT row_index, gstin, identifier, taxable_value FROM books WHERE gstin IN (SELECT gstin FROM gstr2a WHERE taxable_value % 1009 = 7)")
+def touched_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of the vendors that a batch of statement rows touches, from the folders of a bucketed table that hold them."""
+    place = f"{shared_folder(spark)}/slices-{uuid.uuid4().hex}"
+    append_batch(books(spark, sf_dir), place, "gstin", 0)
+    touched = staged(gstr2a(spark, sf_dir).filter("taxable_value % 1009 = 7").select("gstin").distinct(), "touched")
+    return slices(spark, place, touched, "gstin", 0).select("row_index", "gstin", "identifier", "taxable_value")
+
+
+_SEEDS = (7919, 104729, 1299709, 15485863, 32452843)
+_LETTERS = " || ".join(f"chr((65 + ({{key}} * {seed}) // 1000 % 3)::INT)" for seed in _SEEDS)
+_TAG_NAMES = ", ".join(f"'{tag}'" for tag in record_log.TAGS[:3])
+
+
+@query(f"""
+WITH records AS (SELECT 'c' || s_nationkey % 5 AS client_id, {_LETTERS.format(key="s_suppkey")} AS letters, min(s_suppkey) AS first FROM supplier GROUP BY 1, 2),
+asked AS (SELECT c_custkey, 'c' || c_nationkey % 5 AS client_id, {_LETTERS.format(key="c_custkey")} AS letters FROM customer),
+met AS (
+  SELECT c_custkey, r.letters, first, row_number() OVER (PARTITION BY c_custkey ORDER BY (a.letters <> r.letters), levenshtein(a.letters, r.letters), first) AS nth, a.letters = r.letters AS same
+  FROM asked a JOIN records r USING (client_id) WHERE levenshtein(a.letters, r.letters) <= 1)
+SELECT c_custkey AS request_id, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS via, 0 AS tier, 'sheet ' || first AS label,
+       '5:' || array_to_string(list_transform(string_split(letters, ''), lambda x: [{_TAG_NAMES}][ascii(x) - 64]), ',') AS found_signature
+FROM met WHERE nth = 1""")
+def remembered_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a sheet layout of each customer the label that its client gave to this layout, or to one like it: layouts of suppliers, remembered in a record log."""
+
+    def signature(key: str) -> Column:
+        tags = F.array(*map(F.lit, record_log.TAGS[:3]))
+        return F.concat(F.lit("5:"), F.concat_ws(",", *(F.element_at(tags, (F.floor(F.col(key) * seed / 1000) % 3 + 1).cast("int")) for seed in _SEEDS)))
+
+    suppliers, customers = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("supplier", "customer"))
+    of = lambda nation: F.concat(F.lit("c"), (F.col(nation) % 5).cast("string"))
+    headers = F.lit("a|b|c|d|e")
+    layouts = suppliers.groupBy(of("s_nationkey").alias("client_id"), signature("s_suppkey").alias("signature")).agg(F.min("s_suppkey").alias("first"))
+    log = record_log.RecordLog(spark, f"{shared_folder(spark)}/records-{uuid.uuid4().hex}")
+    log.remember(layouts.select("client_id", "signature", headers.alias("headers"), F.lit("s").alias("sheet"), F.concat(F.lit("sheet "), "first").alias("label"), F.lpad(F.col("first").cast("string"), 20, "0").alias("created_at")))
+    asked = customers.select(F.col("c_custkey").alias("request_id"), of("c_nationkey").alias("client_id"), signature("c_custkey").alias("signature"), headers.alias("headers"))
+    return record_log.lookup(asked, [log.current()]).select("request_id", "via", "tier", "label", "found_signature")

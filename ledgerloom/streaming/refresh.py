@@ -82,6 +82,11 @@ def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def append_batch(rows: DataFrame, table_path: str, key: str, number: int, buckets: int = BUCKETS) -> None:
+    """Write a batch below the table, in folders by its key. A batch that is delivered again overwrites its own part."""
+    rows.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/batch={number}")
+
+
 def slices(spark: SparkSession, table_path: str, touched: DataFrame, key: str, number: int, buckets: int = BUCKETS) -> DataFrame:
     """All entries up to batch ``number`` whose key is in ``touched`` (one column), from the folders that can have them."""
     folders = [r[0] for r in touched.select(_bucket(touched.columns[0], buckets)).distinct().collect()]  # ``buckets`` at most
@@ -101,7 +106,7 @@ def keep_slices_fresh(entries: DataFrame, table_path: str, key: str, compute: Ca
 
     def batch(rows: DataFrame, number: int) -> None:
         spark, own = rows.sparkSession, f"batch={number}"
-        rows.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/{own}")
+        append_batch(rows, table_path, key, number, buckets)
         if not rows.isEmpty():
             spark.read.parquet(f"{table_path}/{own}").select(key).distinct().write.mode("overwrite").parquet(f"{findings_path}/keys/{own}")
             part = slices(spark, table_path, spark.read.parquet(f"{findings_path}/keys/{own}"), key, number, buckets)
