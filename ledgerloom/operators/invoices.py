@@ -135,20 +135,36 @@ def _number_keys(rows: DataFrame, cut_short: bool) -> DataFrame:
     return keyed.select(*rows.columns, "key.number_key", "key.whole")
 
 
-def _pairs_by_normalized_number(a: DataFrame, b: DataFrame) -> DataFrame:
+def _with_amount_beside(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows whose vendor has an amount like theirs on the other side. Amounts there are made distinct first, so none makes pairs."""
+    bucket = F.floor(F.col("taxable_value") / TOLERANCE).cast("long")
+    near = other.select("gstin", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).distinct()
+    return rows.withColumn("bucket", bucket).join(near, ["gstin", "bucket"], "left_semi").drop("bucket")
+
+
+def _pairs_by_normalized_number(a: DataFrame, b: DataFrame, few: int = 16) -> DataFrame:
     """Amounts and taxes agree, and the numbers may be one.
 
-    Numbers that may be one are equal as normalized, or equal in all segments that the
-    one of fewer has, where the last of them may be cut short in either.  So one has
-    a key that is, start for start, a key of the other, and one of the two keys is
-    whole: numbers that cannot be one do not meet, however often a vendor has one amount.
+    Rows with ``few`` amounts beside theirs on the other side, or less, are compared with
+    these.  For others the numbers have to meet first.  Numbers that may be one are equal
+    as normalized, or equal in all segments that the one of fewer has, where the last of
+    them may be cut short in either.  So one has a key that is, start for start, a key of
+    the other, and one of the two keys is whole: numbers that cannot be one do not meet,
+    however often a vendor has one amount.
     """
-    found = []
-    for short, full, sides in ((a, b, "lr"), (b, a, "rl")):
-        pairs = banded(_number_keys(short, True), _number_keys(full, False), ["gstin", "number_key"], "taxable_value", TOLERANCE)
-        pairs = pairs.filter(taxes_agree(TOLERANCE) & (F.col("l_whole") | F.col("r_whole")))
-        found.append(pairs.select(*(F.col(f"{'lr'[sides.index(side)]}_{name}").alias(f"{side}_{name}") for side in "lr" for name in a.columns)))
-    pairs = found[0].unionByName(found[1]).dropDuplicates(["l_row_index", "r_row_index"])
+    bucket = F.floor(F.col("taxable_value") / TOLERANCE).cast("long")
+    near = b.select("gstin", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).groupBy("gstin", "bucket").agg(F.count("*").alias("partners"))
+    beside = staged(a.withColumn("bucket", bucket).join(near, ["gstin", "bucket"]), "amounts-beside")
+    some, many = beside.filter(F.col("partners") <= few).select(*a.columns), beside.filter(F.col("partners") > few).select(*a.columns)
+    pairs = banded(some, b, ["gstin"], "taxable_value", TOLERANCE).filter(taxes_agree(TOLERANCE))
+    if not many.isEmpty():
+        there = staged(_with_amount_beside(b, many), "amounts-beside")
+        found = []
+        for short, full, sides in ((many, there, "lr"), (there, many, "rl")):
+            met = banded(_number_keys(short, True), _number_keys(full, False), ["gstin", "number_key"], "taxable_value", TOLERANCE)
+            met = met.filter(taxes_agree(TOLERANCE) & (F.col("l_whole") | F.col("r_whole")))
+            found.append(met.select(*(F.col(f"{'lr'[sides.index(side)]}_{name}").alias(f"{side}_{name}") for side in "lr" for name in a.columns)))
+        pairs = pairs.unionByName(found[0].unionByName(found[1]).dropDuplicates(["l_row_index", "r_row_index"]))
     for side in "lr":
         number = F.col(f"{side}_identifier")
         pairs = pairs.withColumns({f"{side}_core": ids.core_segments(number), f"{side}_norm": ids.normalized_number(number)})

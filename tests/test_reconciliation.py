@@ -362,12 +362,13 @@ def test_elections_do_not_depend_on_how_many_names_go_at_once():
     assert renames.elected(texts, 1) == renames.elected(texts, 7) == renames.elected(texts, 500)
 
 
-def test_numbers_that_may_be_one_meet_without_all_pairs(spark, table):
+@pytest.mark.parametrize("few", [0, 12, 1000])
+def test_numbers_that_may_be_one_meet_without_all_pairs(spark, table, few):
     rng = random.Random(8)
     forms = ["INV/{}/21-22", "INV-{}-2021-22", "{}", "A/{}", "A/B/{}/2021-22", "inv-0{}", "21-22", "A//{}", "{}/24"]
     sides = [[row(i, rng.choice(forms).format(rng.choice([7, 71, 712, 8, 9])), tv=rng.choice([1000, 1050, 1120, 9000])) for i in range(70)] for _ in range(2)]
     a, b = (invoices.indexable(invoices.canonical(table(*rows))) for rows in sides)
-    got = {(r["l_row_index"], r["r_row_index"]) for r in invoices._pairs_by_normalized_number(a, b).collect()}
+    got = {(r["l_row_index"], r["r_row_index"]) for r in invoices._pairs_by_normalized_number(a, b, few).collect()}
     x, y = a.select("row_index", "identifier", "taxable_value").toDF("i", "x", "tv"), b.select("row_index", "identifier", "taxable_value").toDF("j", "y", "tw")
     alike = identifiers.numbers_agree(F.col("x"), F.col("y"), *(f(F.col(c)) for f in (identifiers.core_segments, identifiers.normalized_number) for c in "xy"))
     want = {(r["i"], r["j"]) for r in x.crossJoin(y).filter(alike & (F.abs(F.col("tv") - F.col("tw")) <= 100)).collect()}
