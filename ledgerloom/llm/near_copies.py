@@ -8,19 +8,26 @@ words them) have a Jaccard similarity of 80 percent or more.  No link is lost:
   shingles stand in one order, the first fifth (and one more) of each have one in
   common.  Rare shingles stand first, and those of one document alone link
   nothing, so most documents have none left to look up;
-- sets that share such a shingle are connected; linked sets lie in one connected
-  set.  Small ones are compared by the bucket, large ones by pairs of tiles, by
-  counts of shared shingles, and each group gives a spanning forest of its links.
+- the smallest of the sets that share such a shingle leads them: all others are
+  compared with it, each pair once, whatever number of shingles brings it up.  A
+  leader of many is sent to many tasks.  Then the leaders leave, and shingles
+  whose sets are connected by now are done with;
+- after ``rounds`` of these, sets that still share a shingle and are not known to
+  be connected are left.  Only they make connected sets, of which small ones are
+  compared by the bucket, large ones by pairs of tiles, by counts of shared
+  shingles; each group gives a spanning forest of its links.
 
 How often a shingle stands in the table is found by blocks and buckets: a task
 gives the shingles of a block of documents (48 bits of each, and which document
 of the block) to the shingles' buckets; a bucket tells blocks which of them stand
 elsewhere too, and how often.  So texts are not shuffled to be compared.  A
 shingle that several documents of a block have is given once, with their number;
-so however common it is, its bucket holds it once for each block.
+so however common it is, its bucket holds it once for each block.  Texts are
+read and hashed once: ids travel with their block.
 
-Components of the links follow.  Work within a connected set grows with its
-square; candidates are never capped.
+Components of the links follow.  Copies of one text, however many and however
+alike to others, cost a comparison each; only work within what is left after the
+rounds grows with its square.  Candidates are never capped.
 
 Cases: null and empty texts are equal; texts below five words are one shingle;
 rows of one doc_id count as one document; rows with a null doc_id stay; an empty
@@ -47,6 +54,7 @@ from ledgerloom.operators.components import components
 SHINGLE = 5
 PERCENT = 80
 TILE_ROWS = 512
+ROUNDS = 1  #: Rounds in which leaders are met, before the rest is compared by connected sets
 BLOCK_SHINGLES = 500_000
 BUCKET_BYTES = 64 << 20  #: Bytes of text for one bucket of shingles
 
@@ -64,12 +72,6 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = [_node(shingles(text.as_py() or b"")) for text in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], ["doc_id", "node"])
-
-
 def _packed(tokens: np.ndarray) -> bytes:
     """The upper 48 bits, six bytes each."""
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
@@ -81,10 +83,10 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: A block's shingles in a bucket, with their document's place in the block, or how often they stand in it; or its documents' nodes and sizes, with the shingles that several of them have.
-POSTINGS = "bucket long, block long, tokens binary, owners binary, often binary, nodes binary, sizes binary"
+#: A block's shingles in a bucket, with their document's place in the block, or how often they stand in it; or its documents' nodes and sizes, with the shingles that several of them have, and their ids by node.
+POSTINGS = "bucket long, block long, tokens binary, owners binary, often binary, nodes binary, sizes binary, ids binary, copies binary"
 _NAMES = [field.split()[0] for field in POSTINGS.split(", ")]
-_KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+_KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 7)
 
 
 def _rows(rows: list[tuple], names: list[str] = _NAMES) -> pa.Table:
@@ -104,6 +106,7 @@ def _ids(tokens: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
 def _posted(buckets: int, block_shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        ids: dict[int, list[int]] = {}
         n_held, block = 0, TaskContext.get().partitionId() << 32
 
         def flushed() -> Iterator[pa.RecordBatch]:
@@ -117,24 +120,28 @@ def _posted(buckets: int, block_shingles: int):
             first[1:] = tokens[1:] != tokens[:-1]
             counts = np.diff(np.nonzero(first)[0], append=len(tokens))
             once = counts[np.cumsum(first) - 1] == 1 if len(tokens) else first
-            rows = [(b, block, _packed(tokens[once][part]), owners[once][part].tobytes(), None, None, None) for b, part in _by_bucket(bucket[once])]
+            rows = [(b, block, _packed(tokens[once][part]), owners[once][part].tobytes(), *[None] * 5) for b, part in _by_bucket(bucket[once])]
             again = first & ~once
             counts = counts[counts > 1].astype("<u4")
-            rows += [(b, block, _packed(tokens[again][part]), None, counts[part].tobytes(), None, None) for b, part in _by_bucket(bucket[again])]
+            rows += [(b, block, _packed(tokens[again][part]), None, counts[part].tobytes(), *[None] * 4) for b, part in _by_bucket(bucket[again])]
             own = _ids(tokens[~once] >> np.uint64(16), bucket[~once].astype(np.uint64))
-            rows.append((block % buckets, block, own.tobytes(), owners[~once].tobytes(), None, np.array(list(held), "<i8").tobytes(), sizes.astype("<i8").tobytes()))
+            copies = np.array([len(of) for of in ids.values()], "<u4")
+            carried = np.fromiter(itertools.chain.from_iterable(ids.values()), "<i8", int(copies.sum()))
+            rows.append((block % buckets, block, own.tobytes(), owners[~once].tobytes(), None, np.array(list(held), "<i8").tobytes(), sizes.astype("<i8").tobytes(), carried.tobytes(), copies.tobytes()))
             yield from _rows(rows).to_batches()
 
         for batch in batches:
-            for text in batch.column(1).cast(pa.binary()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = shingles(text.as_py() or b"")
                 node = _node(found)
                 if node not in held:
-                    held[node] = found
+                    held[node], ids[node] = found, []
                     n_held += len(found)
+                ids[node].append(doc_id)
+                n_held += 1
                 if n_held >= block_shingles:
                     yield from flushed()
-                    held, n_held, block = {}, 0, block + 1
+                    held, ids, n_held, block = {}, {}, 0, block + 1
         if held:
             yield from flushed()
 
@@ -157,16 +164,16 @@ def _counted(table: pa.Table) -> pa.Table:
             shared = often[start:end] > 1
             if shared.any():
                 owners = row["owners"] and np.frombuffer(row["owners"], "<u4")[shared].tobytes()
-                out.append((row["bucket"], row["block"], _ids(part[shared], np.uint64(row["bucket"])).tobytes(), owners, often[start:end][shared].astype("<u2").tobytes(), None, None))
+                out.append((row["bucket"], row["block"], _ids(part[shared], np.uint64(row["bucket"])).tobytes(), owners, often[start:end][shared].astype("<u2").tobytes(), *[None] * 4))
     return _rows(out)
 
 
-HELD = "node long, n long, tokens binary, prefix array<long>"
+HELD = "block long, node long, n long, ids array<long>, tokens binary, prefix array<long>"
 
 
 def _prefixed(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """For a block: its documents that can have a link, with all shingles that stand elsewhere, rare ones first, and those to look up."""
+        """For a block: its sets and their documents; of those that can have a link, all shingles that stand elsewhere, rare ones first, and those to look up."""
         rows = table.to_pylist()
         of = next(row for row in rows if row["nodes"] is not None)
         nodes, sizes = np.frombuffer(of["nodes"], "<i8"), np.frombuffer(of["sizes"], "<i8")
@@ -188,18 +195,43 @@ def _prefixed(percent: int):
         held = np.diff(bounds)
         # The first n - ceil(n * percent / 100) + 1 shingles, less those that no other document has.
         first = sizes + 1 - (sizes * percent + 99) // 100 - (sizes - held)
-        picked = np.nonzero((first > 0) & (held > 0))[0].tolist()
+        able = ((first > 0) & (held > 0)).tolist()
         signed = tokens.view(np.int64)
+        ends = np.cumsum(np.frombuffer(of["copies"], "<u4").astype(np.int32), dtype=np.int32)
         return pa.table({
-            "node": pa.array(nodes[picked], pa.int64()),
-            "n": pa.array(sizes[picked], pa.int64()),
-            "tokens": pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in picked], pa.binary()),
-            "prefix": pa.array([signed[bounds[i] : bounds[i] + first[i]] for i in picked], pa.list_(pa.int64())),
+            "block": pa.array(np.full(len(nodes), of["block"]), pa.int64()),
+            "node": pa.array(nodes, pa.int64()),
+            "n": pa.array(sizes, pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0)), pa.array(np.frombuffer(of["ids"], "<i8"))),
+            "tokens": pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() if yes else None for i, yes in enumerate(able)], pa.binary()),
+            "prefix": pa.array([signed[bounds[i] : bounds[i] + first[i]] if yes else None for i, yes in enumerate(able)], pa.list_(pa.int64())),
         })
 
     return run
 
 
+def _led(percent: int):
+    def group(table: pa.Table) -> pa.Table:
+        """Leaders and sets that are alike, among those of the table."""
+        leaders, nodes, sizes = (np.asarray(table[name]) for name in ("leader", "node", "n"))
+        blobs, a, b = table["tokens"], [], []
+        order = np.lexsort((nodes != leaders, leaders))
+        for i in order.tolist():
+            found = np.frombuffer(blobs[i].as_py(), "<u8")
+            if nodes[i] == leaders[i]:
+                lead, of, size = np.sort(found), nodes[i], sizes[i]
+                continue
+            if of != leaders[i]:
+                raise ValueError("a leader is not with its followers")
+            both = np.count_nonzero(lead[np.minimum(np.searchsorted(lead, found), len(lead) - 1)] == found)
+            if 100 * both >= percent * (size + sizes[i] - both):
+                a.append(of)
+                b.append(nodes[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return group
+
+
 def _linked(percent: int):
     def group(table: pa.Table) -> pa.Table:
         nodes = np.asarray(table["node"])
@@ -238,21 +270,28 @@ def _linked(percent: int):
     return group
 
 
-def links(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that connect all sets of the texts of ``docs`` alike by ``percent``."""
-    spark = docs.sparkSession
-    n_bytes = docs.select(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
-    buckets = max(shuffle_width(spark), math.ceil(n_bytes / BUCKET_BYTES))
+def _gathered(docs: DataFrame, percent: int, block_shingles: int, buckets: int) -> DataFrame:
+    """The sets of each block's texts, as ``HELD`` has them."""
     posted = docs.select("doc_id", "text").mapInArrow(_posted(buckets, block_shingles), POSTINGS)
-    counted = posted.groupBy("bucket").applyInArrow(_counted, POSTINGS)
-    held = written(counted.groupBy("block").applyInArrow(_prefixed(percent), HELD), "near-held")
-    prefixes = held.select("node", F.explode("prefix").alias("token"))
-    least = prefixes.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    sets = written(components(prefixes.join(least, "token").select("node", "least").distinct()), "near-sets")
+    return posted.groupBy("bucket").applyInArrow(_counted, POSTINGS).groupBy("block").applyInArrow(_prefixed(percent), HELD)
+
+
+def _leaders_met(meeting: DataFrame, mates: DataFrame, percent: int, tile_rows: int, buckets: int) -> DataFrame:
+    """Links of ``node`` with ``leader``, from the pairs in ``meeting``; each pair is compared once."""
+    many = meeting.groupBy("leader").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
+    led = meeting.join(many, "leader").select("leader", "node", "parts", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("part"))
+    own = many.select("leader", F.col("leader").alias("node"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    small = F.pmod(F.xxhash64("leader"), F.lit(16 * buckets))
+    key = F.when(F.col("parts") == 1, F.struct(small.alias("of"), F.lit(-1).alias("part"))).otherwise(F.struct(F.col("leader").alias("of"), "part"))
+    meets = led.unionByName(own).select(key.alias("key"), "leader", "node").join(mates, "node")
+    return meets.select("key.of", "key.part", "leader", "node", "n", "tokens").groupBy("of", "part").applyInArrow(_led(percent), "a long, b long")
 
+
+def _rest_met(rest: DataFrame, mates: DataFrame, percent: int, tile_rows: int, buckets: int) -> DataFrame:
+    """Links within what the pairs of nodes in ``rest`` connect."""
+    sets = written(components(rest), "near-sets")
     tiles = sets.groupBy("component").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    # Copies in several blocks are one set.
-    dealt = held.select("node", "n", "tokens").dropDuplicates(["node"]).join(sets.join(tiles, "component"), "node")
+    dealt = mates.join(sets.join(tiles, "component"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int")
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("own"))))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
@@ -263,13 +302,40 @@ def links(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS, b
     return meets.groupBy("of", "x", "y").applyInArrow(_linked(percent), "a long, b long")
 
 
-def near_copies(docs: DataFrame, also: DataFrame | None = None, **options) -> DataFrame:
+def links(held: DataFrame, buckets: int, percent: int = PERCENT, tile_rows: int = TILE_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that connect all sets of ``held``, a written table, alike by ``percent``."""
+    prefixes = held.select("node", F.explode("prefix").alias("token"))
+    shared = prefixes.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("most")).filter("leader <> most")
+    # Copies in several blocks are one set.
+    near = written(prefixes.join(shared.drop("most"), "token").distinct(), "near-prefixes")
+    once = held.filter("tokens is not null").groupBy("node").agg(F.min("block").alias("block")).join(near.select("node").distinct(), "node")
+    mates = written(held.select("node", "block", "n", "tokens").join(once, ["node", "block"]).drop("block"), "near-mates")
+
+    found = met = None
+    for _ in range(rounds):
+        pairs = near.filter("node <> leader").select("leader", "node").distinct()
+        pairs = written(pairs if met is None else pairs.join(met, ["leader", "node"], "left_anti"), "near-pairs")
+        alike = written(_leaders_met(pairs, mates, percent, tile_rows, buckets), "near-alike")
+        met, found = (pairs, alike) if met is None else (met.unionByName(pairs), found.unionByName(alike))
+        known = written(components(found), "near-known")
+        left = near.filter("node <> leader").select("node", "token").join(known, "node", "left")
+        left = left.select("node", "token", F.coalesce("component", "node").alias("component"))
+        apart = left.groupBy("token").agg(F.min("node").alias("leader"), F.min("component").alias("least"), F.max("component").alias("most"))
+        near = written(left.join(apart.filter("least <> most"), "token").select("node", "token", "leader"), "near-prefixes")
+    rest = _rest_met(near.select("node", "leader").distinct(), mates, percent, tile_rows, buckets)
+    return rest if found is None else found.unionByName(rest)
+
+
+def near_copies(docs: DataFrame, also: DataFrame | None = None, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, **options) -> DataFrame:
     """``doc_id`` and ``component_id`` (the smallest doc_id that links reach) of every row with a doc_id. ``also``: more links, pairs of doc_ids."""
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
-    marked = written(known.mapInArrow(_marks, "doc_id long, node long"), "near-marks")
+    n_bytes = known.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(docs.sparkSession), math.ceil(n_bytes / BUCKET_BYTES))
+    held = written(_gathered(known, percent, block_shingles, buckets), "near-held")
+    marked = held.select(F.explode("ids").alias("doc_id"), "node")
     by_doc = written(marked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")), "near-documents")
     several = marked.join(by_doc.filter("least <> most"), "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = links(known, **options).unionByName(several)
+    found = links(held, buckets, percent, **options).unionByName(several)
     if also is not None:
         for end, name in zip("ab", also.columns, strict=True):
             also = also.join(by_doc.select(F.col("doc_id").alias(name), F.col("least").alias(end)), name)

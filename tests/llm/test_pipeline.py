@@ -105,8 +105,8 @@ def five_word_sets(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("tile_rows", [512, 4])
-def test_near_dedup_finds_all_documents_alike_by_four_fifths(spark, rows, tile_rows):
+@pytest.mark.parametrize("tile_rows, rounds", [(512, 1), (4, 1), (4, 0), (4, 3)])
+def test_near_dedup_finds_all_documents_alike_by_four_fifths(spark, rows, tile_rows, rounds):
     rng = random.Random(3)
     table = [(r[0], r[1]) for r in rows]
     vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
@@ -133,7 +133,7 @@ def test_near_dedup_finds_all_documents_alike_by_four_fifths(spark, rows, tile_r
                 group[max(root(i), root(j))] = min(root(i), root(j))
     assert met > 40
     docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
-    found = near_copies.near_copies(docs, tile_rows=tile_rows)
+    found = near_copies.near_copies(docs, tile_rows=tile_rows, rounds=rounds)
     assert Counter(map(tuple, found.collect())) == Counter((i, root(i)) for i, _ in sets)
     if tile_rows == 512:  # the stage joins what fingerprints link as well
         for r in simhash.near_duplicates(docs).filter("doc_id is not null").collect():
