@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.functions import amounts, identifiers
-from ledgerloom.operators import duplicates, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
+from ledgerloom.operators import duplicates, explain, invoices, ledgers, matching, renames, report, row_rules, screening, vendors
 
 SCHEMA = "row_index long, gstin string, identifier string, trade_legal_name string, particulars string, place_of_supply string, reverse_charge string, rate long, taxable_value long, igst long, cgst long, sgst long, invoice_date date"
 G = "07AAAPL0001Q1Z5"
@@ -244,6 +244,19 @@ def test_queries_equal_their_sql(spark, name):
     assert wanted and plain(found.select(*sorted(found.columns)).collect()) == plain(wanted)
 
 
+def test_explained_wrong_heads_equal_their_sql(spark):
+    test_queries_equal_their_sql(spark, "wrong_head_explained")
+
+
+def test_side_at_fault_stands_in_the_ground(table):
+    heads = table(row(1, "A", place="07-X"), row(2, "B", place=""))
+    both = row_rules.cross_wrong_head(heads, table(*(row(i, n, igst=0, cgst=9_000, sgst=9_000) for i, n in ((3, "A"), (4, "B")))))
+    rows = row_rules.wrong_head(heads).withColumn("section", F.lit("statement")).unionByName(both.withColumn("section", F.lit("both sides")), allowMissingColumns=True)
+    found = {(r["section"], r["identifier"]): r for r in explain.explained("wrong_head", rows).collect()}
+    assert {key: r["finding"].split("; ")[-1] for key, r in found.items() if key[0] == "both sides"} == {("both sides", "A"): "expected CGST+SGST", ("both sides", "B"): "expected unknown"}
+    assert {key: r["ground"].split("; ")[1:] for key, r in found.items()} == {("statement", "A"): [], ("both sides", "A"): ["at fault by these: statement"], ("both sides", "B"): ["at fault by these: not determined"]}
+
+
 def test_ledger_statuses(spark):
     schema = "row_index long, invoice_no string, supplier string, amount long, date string"
     ledger = spark.createDataFrame([(0, "1", "Acme Ltd", 100, "a"), (1, "1", "Acme Ltd", 100, "a"), (2, "2", "Acme Ltd", 120, "a"), (3, "3", "Acme Ltd", 100, "b"), (4, "4", "Acme Lts", 7, "a"), (5, "5", "Zzz", 7, "a"), (6, "6", "Acme Ltd", 55, "a"), (7, "7", "Other", 10, "a")], schema)
