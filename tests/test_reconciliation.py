@@ -480,3 +480,11 @@ def test_notes_stay_with_their_row_where_entries_share_a_number(spark, crowded,
     notes = spark.createDataFrame([(G, "A", 2, "", "of 2"), (G, "A", 9, "", "of 9"), (G, "A", 10, "", "of 10"), (G, "A", 11, "", "of 11")], "gstin string, identifier string, row_index long, reviewer_status string, reviewer_note string")
     assert {(r["row_index"], r["reviewer_note"]) for r in report.carry_notes(rows, notes, ["gstin", "identifier"]).collect()} == {(1, "of 9"), (2, "of 2"), (3, "of 10")}
     assert [r["reviewer_note"] for r in report.orphaned_notes(rows, notes, ["gstin", "identifier"]).collect()] == ["of 11"]
+
+
+def test_names_in_the_text_column_need_no_judging(spark, crowded, table):
+    assert equal_to_sql(spark, "vendor_names_from_text", crowded)
+    rows = table(*(row(10 * v + i, "A", gstin=f"V{v}", text=f"name {i}") for v in range(4) for i in range(3))).withColumn("trade_legal_name", F.lit(None).cast("string"))
+    bare = rows.withColumn("particulars", F.lit(None).cast("string"))
+    named = lambda known: {r["vendor_name"] for r in vendors.vendor_names(bare, rows, known).collect()}
+    assert named(True) == {"name 0"} and named(None) == named(False) == set()
