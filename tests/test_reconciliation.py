@@ -488,3 +488,13 @@ def test_names_in_the_text_column_need_no_judging(spark, crowded, table):
     bare = rows.withColumn("particulars", F.lit(None).cast("string"))
     named = lambda known: {r["vendor_name"] for r in vendors.vendor_names(bare, rows, known).collect()}
     assert named(True) == {"name 0"} and named(None) == named(False) == set()
+
+
+def test_numbers_that_stand_once_on_each_side_are_settled(table):
+    a, b = table(row(1, "X-500"), row(2, "777"), row(3, "N/900")), table(row(1, "X-500"), row(2, "Z/777"), row(3, "M/901"))
+    found = {r["identifier"]: (r["over_one"], r["over_two"]) for r in invoices.numbers(invoices.canonical(a), invoices.canonical(b)).collect()}
+    assert found == {"777": ("Z/777", None), "Z/777": (None, "777"), "N/900": (None, None), "M/901": (None, None)}
+    left = invoices.unmatched_on_both(invoices.canonical(a), invoices.canonical(b))
+    assert [[r["identifier"] for r in side.collect()] for side in left] == [["N/900"], ["M/901"]]
+    e = invoices.detect_extras(a, b)
+    assert [tuple(r) for r in e.bridges().collect()] == [(G, "777", "Z/777")]
