@@ -506,3 +506,13 @@ def test_breakdowns_need_no_duplicates(table, monkeypatch):
     monkeypatch.setattr(duplicates, "on_both_sides", None)
     p = report.propose(p.gstr2a, p.books, True)
     assert want and sorted(report.issues_by_head(p).collect()) == sorted(want)
+
+
+def test_amounts_beside_equal_all_pairs(spark):
+    rng = random.Random(11)
+    amounts = {(v, a): rng.randint(1, 3) for v in "VW" for a in (-6_401, -6_400, -1, 0, 99, 100, 6_299, 6_300, 6_399, 6_400, 6_500, *(rng.randint(-9_000, 30_000) for _ in range(150)))}
+    rows = spark.createDataFrame([(v, a, n) for (v, a), n in amounts.items()], "gstin string, amount long, n long")
+    for width in (0, 7, 100):
+        want = {(v, a): sum(n for (w, b), n in amounts.items() if w == v and abs(a - b) <= width) for v, a in amounts}
+        got = duplicates.amounts_beside(rows, width).collect()
+        assert {(r["gstin"], r["amount"]): r["near"] for r in got} == want and len(got) == len(want)
