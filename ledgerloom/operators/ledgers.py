@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.identifiers import similarity_percent
 from ledgerloom.operators.hygiene import PAYOUT
-from ledgerloom.operators.matching import similar_names
+from ledgerloom.operators.matching import one_letter_apart, similar_names
+from ledgerloom.plans.staging import staged
 
 # In the order in which findings are shown.
 STATUSES = ("MATCHED", "FUZZY_VENDOR", "AMOUNT_DIFF", "VAT_ISSUE", "DATE_DIFF", "MISSING_SUPPLIER", "MISSING_LEDGER", "DUPLICATE")
@@ -19,9 +20,12 @@ COMMISSION_STEP = 0.01
 PLATFORMS = {"deliveroo": "Deliveroo", "ubereats": "UberEats", "justeat": "JustEat"}
 
 
-def _first_rows(rows: DataFrame, name: str, *keys: str | Column) -> DataFrame:
-    """``row_index`` of the first row under each key, marked in ``name``. Minima are combined before the shuffle, so a key that very many rows have is no group."""
-    return rows.groupBy(*keys).agg(F.min("row_index").alias("row_index")).select("row_index", F.lit(True).alias(name))
+def _similar(own: DataFrame, others: DataFrame) -> DataFrame:
+    """Names of ``own`` that are like one of ``others``, but not the same. Only those for which no name one letter aside is found are compared further."""
+    near = staged(one_letter_apart(own, others, SIMILAR), "names-near")
+    rest = staged(own.join(near, own.columns[0], "left_anti"), "names-left")
+    far = similar_names(rest, others, SIMILAR).filter("similarity < 100").select(F.col("name").alias(own.columns[0])).distinct()
+    return near.unionByName(far)
 
 
 def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
@@ -31,31 +35,38 @@ def compare_ledger(ledger: DataFrame, statement: DataFrame) -> DataFrame:
     tests come in this order: entered before, number on the statement, supplier
     names alike, amounts, dates.  A ledger row meets the first statement row with
     its number.
+
+    First rows are found by minima, combined before the shuffle, so a key that very
+    many rows have is no group.  The rows with what they meet are written once, as
+    names, statuses and statement rows are read off them.
     """
-    rows = ledger.join(_first_rows(ledger, "first_number", "invoice_no"), "row_index", "left").join(_first_rows(ledger, "first_alike", F.lower("supplier"), "amount", "date"), "row_index", "left")
-    entered = F.col("first_number").isNull() | F.col("first_alike").isNull()
-    again, once = rows.filter(entered), rows.filter(~entered)  # what follows meets each number once at most
-    first = statement.groupBy("invoice_no").agg(F.min_by(F.struct("row_index", "supplier", "amount", "date"), "row_index").alias("s")).select("invoice_no", *(F.col(f"s.{c}").alias(f"s_{a}") for c, a in (("row_index", "row"), ("supplier", "supplier"), ("amount", "amount"), ("date", "date"))))
-    names = statement.groupBy(F.col("supplier").alias("other")).agg(F.min("row_index").alias("first_row"))
-    own = once.join(first.select("invoice_no"), "invoice_no", "left_anti").select("supplier").distinct()  # only there it matters
-    alike = similar_names(own, names.select("other"), SIMILAR).filter("similarity < 100").join(names, "other")
-    alike = alike.groupBy(F.col("name").alias("supplier")).agg(F.min_by("other", "first_row").alias("similar_supplier"))
-
-    joined = once.join(first, "invoice_no", "left").join(alike, "supplier", "left")
+    number = F.coalesce(F.concat(F.lit("="), "invoice_no"), F.lit("")).alias("number")  # never null, so that missing numbers meet in joins too
+    rows = ledger.select("*", number, F.struct(F.lower("supplier").alias("supplier"), "amount", "date").alias("traits"))
+    rows = rows.join(rows.groupBy("traits").agg(F.min("row_index").alias("first_alike")), "traits").drop("traits")
+    rows = rows.join(rows.groupBy("number").agg(F.min("row_index").alias("first_number")), "number")
+    numbered = statement.filter("invoice_no is not null").select(number, F.col("row_index").alias("s_row"), F.col("supplier").alias("s_supplier"), F.col("amount").alias("s_amount"), F.col("date").alias("s_date"))
+    first = numbered.join(numbered.groupBy("number").agg(F.min("s_row").alias("s_first")), "number").filter("s_row = s_first").drop("s_first")
+    joined = rows.join(first, "number", "left")
+    entered = (F.col("first_number") < F.col("row_index")) | (F.col("first_alike") < F.col("row_index"))
     off = F.abs(F.col("amount") - F.col("s_amount"))
     share = F.try_divide(off.cast("double"), F.col("amount").cast("double"))
     status = (
-        F.when(F.col("s_row").isNull(), F.when(F.col("similar_supplier").isNotNull(), "FUZZY_VENDOR").otherwise("MISSING_SUPPLIER"))
+        F.when(entered, "DUPLICATE")
+        .when(F.col("s_row").isNull(), None)
         .when(similarity_percent(F.col("supplier"), F.col("s_supplier")) < SIMILAR, "FUZZY_VENDOR")
         .when(off > 0, F.when(F.abs(share - VAT_SHARE) < VAT_BAND, "VAT_ISSUE").otherwise("AMOUNT_DIFF"))
         .when(~F.col("date").eqNullSafe(F.col("s_date")), "DATE_DIFF")
         .otherwise("MATCHED")
     )
-    judged = joined.select(F.lit("ledger").alias("side"), "row_index", "invoice_no", status.alias("status"), "s_row")
-    met = judged.filter("s_row is not null").select(F.col("s_row").alias("row_index"))
-    missing = statement.join(met, "row_index", "left_anti").select(F.lit("statement").alias("side"), "row_index", "invoice_no", F.lit("MISSING_LEDGER").alias("status"))
-    duplicates = again.select(F.lit("ledger").alias("side"), "row_index", "invoice_no", F.lit("DUPLICATE").alias("status"))
-    return judged.drop("s_row").unionByName(duplicates).unionByName(missing)
+    judged = joined.withColumn("status", status)
+    judged = staged(judged.select("row_index", "invoice_no", "status", F.when(~entered, F.col("s_row")).alias("s_row"), F.when(F.col("status").isNull(), F.col("supplier")).alias("supplier")), "judged")
+
+    alone = judged.filter("status is null")
+    alike = _similar(alone.select("supplier").filter("supplier is not null").distinct(), statement.select("supplier").distinct()).withColumn("similar", F.lit(True))
+    alone = alone.join(alike, "supplier", "left").withColumn("status", F.when(F.col("similar"), "FUZZY_VENDOR").otherwise("MISSING_SUPPLIER"))
+    missing = statement.join(judged.filter("s_row is not null").select(F.col("s_row").alias("row_index")), "row_index", "left_anti").withColumn("status", F.lit("MISSING_LEDGER"))
+    finding = lambda side, rows: rows.select(F.lit(side).alias("side"), "row_index", "invoice_no", "status")
+    return finding("ledger", judged.filter("status is not null")).unionByName(finding("ledger", alone)).unionByName(finding("statement", missing))
 
 
 def status_counts(findings: DataFrame) -> DataFrame:

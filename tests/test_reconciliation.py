@@ -516,3 +516,15 @@ def test_amounts_beside_equal_all_pairs(spark):
         want = {(v, a): sum(n for (w, b), n in amounts.items() if w == v and abs(a - b) <= width) for v, a in amounts}
         got = duplicates.amounts_beside(rows, width).collect()
         assert {(r["gstin"], r["amount"]): r["near"] for r in got} == want and len(got) == len(want)
+
+
+def test_names_one_letter_apart_need_no_pairs(spark):
+    rng = random.Random(6)
+    names = ["", None, " Ab ", "abcde", "abcdE", "ABXDE", "abcd", "abcx", "x" * 200, "x" * 199 + "y", "é" * 9, "é" * 8 + "e"] + ["".join(rng.choice("abc") for _ in range(rng.randint(4, 8))) for _ in range(60)]
+    left, right = spark.createDataFrame([(n,) for n in names[:50]], "x string"), spark.createDataFrame([(n,) for n in names[30:] + names[:12]], "y string")
+    paired = left.crossJoin(right).select("x", F.lower(F.trim("x")).alias("a"), F.lower(F.trim("y")).alias("b"), identifiers.similarity_percent(F.col("x"), F.col("y")).alias("s"))
+    want = {r["x"] for r in paired.filter("length(a) = length(b) and levenshtein(a, b) = 1 and s between 80 and 99").collect()}
+    rows = matching.one_letter_apart(left, right, 80).collect()
+    assert {r["x"] for r in rows} == want and len(rows) == len(want) and want
+    many = [spark.range(400).select(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("x")) for _ in range(2)]
+    assert matching.one_letter_apart(*many, 80).count() == 400
